@@ -33,6 +33,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a keys-only side that may be broadcast; a longer one is shuffled.
+BROADCAST_ROWS = 200_000
+
+
+def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` (narrow, already staged) with a broadcast hint if it is proven to have no more than ``rows`` rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, root) for every node of ``edges`` (columns u, v); root is the smallest node reachable.
 
@@ -41,6 +50,8 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     join; a round's edges are written to the shared folder. Nodes without an
     edge to another node are not returned. Nulls are ignored.
     """
+    if edges.isEmpty():
+        return edges.selectExpr("u AS node", "v AS root")
     e = stage(edges.where("u <> v").selectExpr("greatest(u, v) AS u", "least(u, v) AS v").distinct(), "edges")
     seen = None
     for _ in range(rounds):
