@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontam, langid, minhash, sentences
+from . import bpe, chat, decontam, htmlnet, langid, minhash, quality, sentences, suffixes, vectors
 
 
 def _tokenizer() -> str:
@@ -31,10 +31,28 @@ def op3_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return htmlnet.extract(pages, htmlnet.learn(pages))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(_table(spark, sf_dir, "conversations"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.deduplicate(_table(spark, sf_dir, "documents"))
+
+
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(_table(spark, sf_dir, "embeddings"), percent=90)
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.rank(docs, quality.learn(docs, _table(spark, sf_dir, "labels")))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -45,6 +63,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_near_dedup, op2_byte_bpe, op3_sentence_dedup, op5_chat_format, op9_decontaminate, op10_language_id)
+    f.__name__: f
+    for f in (
+        op1_minhash_near_dedup,
+        op2_byte_bpe,
+        op3_sentence_dedup,
+        op4_html_text,
+        op5_chat_format,
+        op6_suffix_dedup,
+        op7_embedding_near_dedup,
+        op8_quality,
+        op9_decontaminate,
+        op10_language_id,
+    )
 }
 SQL: dict[str, str] = {"op5_chat_format": chat.SQL}
