@@ -14,8 +14,14 @@ about 5e-6. Exact copies of a set are collapsed before. Buckets are worked off
 with leaders, not with all pairs: a round compares the smallest members of a
 bucket with the rest of it, on full sets; members that meanwhile are in one
 component aren't compared again, and leaders leave the bucket after the round.
-So a bucket of n near copies costs n comparisons, no bucket is capped, and no
-link that joins two components is lost.
+Pairs whose set sizes rule the similarity out, or whose one-bit signatures
+differ in more bits than four standard deviations allow at it, aren't made.
+What is in mixed buckets after the first round moves to narrower ones: a
+bucket for each of the rarest shingles of a text, so many of them that two
+texts at the similarity must share one (prefix filtering, exact), early enough
+for the overlap they need. So a bucket
+of n near copies costs n comparisons, no bucket is capped, and no link that
+joins two components is lost.
 
 Defined cases: null or blank text has an empty set and links with nothing;
 fewer than k words make one shingle; rows of one doc_id are one document (any
@@ -67,6 +73,19 @@ def band_hashes(sketches: np.ndarray, rows_per_band: int = ROWS) -> np.ndarray:
     return acc
 
 
+def signature(sketches: np.ndarray) -> np.ndarray:
+    """One bit of each coordinate, in four 64-bit words."""
+    bits = np.zeros((len(sketches), 256), np.uint8)
+    bits[:, : sketches.shape[1]] = sketches & np.uint64(1)
+    return np.packbits(bits, axis=1).view(np.uint64)
+
+
+def most_different(percent: int) -> int:
+    """Bits in which signatures of sets at ``percent`` similarity may differ: four standard deviations above the mean."""
+    p = (1 - percent / 100) / 2
+    return int(COORDS * p + 4 * (COORDS * p * (1 - p)) ** 0.5) + 1
+
+
 def _sketched(k: int):
     def run(batches):
         for batch in batches:
@@ -75,7 +94,8 @@ def _sketched(k: int):
                     a, b = np.zeros(rows, np.uint64), np.zeros(rows, np.uint64)
                     np.add.at(a, doc, mix(value))
                     np.add.at(b, doc, mix(value ^ np.uint64(0xA5A5A5A5DEADBEEF)))
-                bands = band_hashes(sketch(value, doc, rows)).view(np.int64)
+                coords = sketch(value, doc, rows)
+                bands, bits = band_hashes(coords).view(np.int64), signature(coords).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(i, rows),
@@ -83,8 +103,9 @@ def _sketched(k: int):
                         pa.array(a.view(np.int64)),
                         pa.array(b.view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(np.arange(0, rows * BANDS + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel())),
+                        pa.ListArray.from_arrays(pa.array(np.arange(0, rows * 4 + 1, 4, dtype=np.int32)), pa.array(bits.ravel())),
                     ],
-                    names=["doc_id", "n_shingles", "f1", "f2", "bands"],
+                    names=["doc_id", "n_shingles", "f1", "f2", "bands", "bits"],
                 )
 
     return run
@@ -133,12 +154,35 @@ def confirm_pairs(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> D
     return rows.mapInArrow(_confirmed(k, percent), "u long, v long").distinct()
 
 
+def _elements(k: int):
+    def run(batches):
+        for batch in batches:
+            for i, rows, value, doc in shingle_sets(batch.column("text"), k):
+                size, text = np.bincount(doc, minlength=rows), np.zeros(rows, np.uint64)
+                with np.errstate(over="ignore"):
+                    np.add.at(text, doc, mix(value))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(pa.array(doc + i)), pa.array(text[doc].view(np.int64)), pa.array(size[doc].astype(np.int64)), pa.array(value.view(np.int64))], names=["id", "text", "size", "h"]
+                )
+
+    return run
+
+
+def rare_elements(texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """(h, id, r): the rarest shingles of each text, so many that two sets at ``percent`` similarity share one of them, and their places by rarity."""
+    rows = stage(texts.mapInArrow(_elements(k), "id long, text long, size long, h long"), "elements")
+    often = stage(rows.groupBy("h").agg(F.count("*").alias("often")), "often")
+    order = Window.partitionBy("id", "text").orderBy("often", "h")
+    ranked = rows.join(often, "h").withColumn("r", F.row_number().over(order))
+    return ranked.where(F.col("r") <= F.col("size") - F.ceil(F.col("size") * percent / 100) + 1).groupBy("h", "id").agg(F.min("r").alias("r"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     tune(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = stage(docs.mapInArrow(_sketched(k), "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"), "sets")
+    sets = stage(docs.mapInArrow(_sketched(k), "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, bits array<long>"), "sets")
     live = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = stage(live.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
     reps = live.join(classes.withColumnRenamed("rep", "doc_id"), ["f1", "f2", "doc_id"]).select(F.col("doc_id").alias("id"), F.explode("bands").alias("h"))
@@ -148,25 +192,43 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     texts = stage(docs.join(maybe_broadcast(involved), F.col("id") == F.col("doc_id"), "left_semi"), "texts")
     # one doc_id with several texts joins their classes
     links = live.join(classes, ["f1", "f2"]).where("rep <> doc_id").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    links, tested, leaders = stage(links.distinct(), "links"), None, 1
+    links, tested, leaders, rare = stage(links.distinct(), "links"), None, 1, False
     roots = connected_components(links)
+    size = live.join(left.select("id").distinct(), F.col("id") == F.col("doc_id")).groupBy("id").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"), F.min("bits").alias("bits"), F.count_distinct("f1").alias("texts"))
+    size = stage(size.select("id", "low", "high", "texts", *(F.col("bits")[i].alias(f"s{i}") for i in range(4))), "sizes")
+    left = left.join(size, "id").withColumn("r", F.lit(0))
+    near = f"{percent} * low <= 100 * lead_high AND {percent} * lead_low <= 100 * high"
+    differ = " + ".join(f"bit_count(s{i} ^ lead_s{i})" for i in range(4))
+    near = f"{near} AND ({differ} <= {most_different(percent)} OR texts > 1 OR lead_texts > 1)"
+    # the first shingle that two sets share leaves no more overlap than what follows it in either
+    enough = f"(100 + {percent}) * (1 + least(low - r, lead_low - lead_r)) >= {percent} * (low + lead_low)"
+    near = f"{near} AND (r = 0 OR {enough} OR texts > 1 OR lead_texts > 1)"
+    facts = ["r", "low", "high", "texts", "s0", "s1", "s2", "s3"]
     while True:
-        mine = left.join(roots, left.id == roots.node, "left").select("h", "id", F.coalesce("root", "id").alias("root"))
+        mine = left.join(roots, left.id == roots.node, "left").select("h", "id", F.coalesce("root", "id").alias("root"), *facts)
         mixed = mine.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("h")
         left = stage(mine.join(mixed, "h", "left_semi"), "left")
         if left.isEmpty():
             break
-        lead = left.withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy("id"))).where(F.col("r") <= leaders).select("h", F.col("id").alias("lead"), F.col("root").alias("lead_root"))
+        if tested is not None and not rare:
+            ids, rare = stage(left.select("id").distinct(), "ids"), True
+            some = texts.join(maybe_broadcast(ids), F.col("id") == F.col("doc_id"), "left_semi")
+            left = stage(rare_elements(some, k, percent).join(size, "id"), "rare")
+            continue
+        lead = left.withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy("id"))).where(F.col("r") <= leaders).select("h", F.col("id").alias("lead"), *(F.col(c).alias(f"lead_{c}") for c in ["root", *facts]))
         lead = stage(lead, "lead")
-        pairs = left.join(lead, "h").where("id > lead AND root <> lead_root").select("lead", "id").distinct()
+        near_by = F.expr(f"left.h = lead.h AND id > lead AND root <> lead_root AND {near}")
+        pairs = left.alias("left").join(lead.alias("lead"), near_by).select("lead", "id").distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["lead", "id"], "left_anti")
         pairs = stage(pairs, "pairs")
         tested = pairs if tested is None else tested.union(pairs)
-        links = stage(links.union(confirm_pairs(pairs, texts, k, percent)), "links")
-        roots = connected_components(links)
-        left = left.join(lead.select("h", F.col("lead").alias("id")), ["h", "id"], "left_anti").select("h", "id")
-        leaders *= 8
+        new = stage(confirm_pairs(pairs, texts, k, percent), "confirmed")
+        if not new.isEmpty():
+            links = stage(links.union(new), "links")
+            roots = connected_components(links)
+        left = left.join(lead.select("h", F.col("lead").alias("id")), ["h", "id"], "left_anti").select("h", "id", *facts)
+        leaders *= 32
     roots = stage(classes.join(roots, F.col("rep") == F.col("node"), "left").select("f1", "f2", F.coalesce("root", "rep").alias("root")), "roots")
     out = sets.join(roots, ["f1", "f2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("root")).otherwise(F.col("doc_id"))
