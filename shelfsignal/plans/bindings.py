@@ -118,9 +118,12 @@ VIEWS: dict[str, str] = {
                CASE WHEN user_id % 3 = 1 THEN TIMESTAMP '2024-01-20 00:00:00' END AS until_date, 'open' AS last_status, 'low' AS last_priority, CAST(user_id % 3 AS BIGINT) AS last_completed, CAST(0 AS BIGINT) AS last_overdue,
                CAST(100 AS DECIMAL(18,2)) AS last_at_risk, CAST(user_id % 2 AS BIGINT) AS last_escalations
         FROM events WHERE user_id % 3 <> 2 OR user_id % 5 = 0 GROUP BY user_id""",
+    "cases": f"""
+        SELECT CAST(1 AS BIGINT) AS tenant_id, min(p_partkey) AS case_id, concat(p_brand, '/', p_type) AS sku, {_T} - CAST(20 + min(p_partkey) % 40 AS INTEGER) AS detected_on,
+               {_T} - CAST(20 + min(p_partkey) % 40 - 18 - min(p_partkey) % 7 AS INTEGER) AS done_on FROM part GROUP BY p_brand, p_type""",
     "comments": """
         SELECT CAST(1 AS BIGINT) AS tenant_id, event_id AS id, user_id AS author_id, user_id AS investigation_id,
-               concat('Please look @Customer#000000', CASE WHEN event_id % 2 = 0 THEN '123' ELSE '045' END, ' and @building.', user_id, ' asap') AS body
+               concat('Please look @Building.', user_id, ' and @furniture.', event_id % 97, ' asap, mail x@y') AS body
         FROM events WHERE event_type = 'signup'""",
 }
 
