@@ -170,7 +170,7 @@ def outcome_windows(ctx: Context, sales: str = "sales") -> DataFrame:
     end = F.least(ctx.day(), F.date_add(done, 14))
     per = lambda a, z: F.when(F.datediff(z, a) > 0, F.coalesce(F.sum(F.when(F.col("date").between(a, z), F.col("amount"))), F.lit(0.0)) / F.greatest(F.lit(1), F.datediff(z, a))).otherwise(F.lit(0.0))
     keys = ["case_id", "sku", "detected_on", "done_on"]
-    return rows.groupBy(*keys).agg(F.round(per(F.date_sub(det, 35), F.date_sub(det, 8)), 4).alias("baseline"), F.round(per(F.date_sub(det, 7), done), 4).alias("during"), F.round(per(done, end), 4).alias("observed"), F.datediff(ctx.day(), done).cast("long").alias("elapsed"))
+    return rows.groupBy(*keys).agg(F.round(per(F.date_sub(det, 35), F.date_sub(det, 8)) + 1e-9, 4).alias("baseline"), F.round(per(F.date_sub(det, 7), done) + 1e-9, 4).alias("during"), F.round(per(done, end) + 1e-9, 4).alias("observed"), F.datediff(ctx.day(), done).cast("long").alias("elapsed"))
 
 
 def outcome_states(windows: DataFrame) -> DataFrame:

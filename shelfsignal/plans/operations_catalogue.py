@@ -125,7 +125,7 @@ _AMT = "coalesce(CAST(s.total_amount AS DOUBLE), CAST(s.quantity AS DOUBLE) * co
 
 
 def _per(a: str, z: str) -> str:
-    return f"round(CASE WHEN date_diff('day', {a}, {z}) > 0 THEN coalesce(sum(CASE WHEN s.date BETWEEN {a} AND {z} THEN {_AMT} END), 0) / greatest(1, date_diff('day', {a}, {z})) ELSE 0 END, 4)"
+    return f"round(CASE WHEN date_diff('day', {a}, {z}) > 0 THEN coalesce(sum(CASE WHEN s.date BETWEEN {a} AND {z} THEN {_AMT} END), 0) / greatest(1, date_diff('day', {a}, {z})) ELSE 0 END + CAST(1e-9 AS DOUBLE), 4)"
 
 
 _OUT = f"""SELECT c.case_id, c.sku, c.detected_on, c.done_on, {_per('c.detected_on - 35', 'c.detected_on - 8')} AS baseline, {_per('c.detected_on - 7', 'c.done_on')} AS during,
