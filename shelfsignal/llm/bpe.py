@@ -55,7 +55,7 @@ def load(path: str):
 
 def _spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     """The positions start[i] .. start[i] + count[i] - 1 of all i in a row."""
-    before = np.cumsum(count) - count
+    before = np.cumsum(count, dtype=np.int64) - count
     return np.repeat(start - before, count) + np.arange(int(count.sum()))
 
 
@@ -68,7 +68,7 @@ class Pieces:
 
     def forget(self) -> None:
         self.index: dict[str, int] = {}
-        self.chars = self.start = self.count = self.ids = self.first = self.end = np.zeros(0, np.int64)
+        self.chars = self.start = self.count = self.ids = self.first = self.end = np.zeros(0, np.int32)
 
     def numbers(self, pieces: list[str]) -> np.ndarray:
         """The place of each piece in the tables; unknown ones are encoded, those that join like words in long strings."""
@@ -86,20 +86,20 @@ class Pieces:
         n, at, count = len(self.index), len(self.ids), []
         chars, ids, first, end = [self.chars], [self.ids], [self.first], [self.end]
         for run, e in zip(runs, self.tokenizer.encode_batch(["".join(r) for r in runs], add_special_tokens=False), strict=True):
-            spans = np.array(e.offsets, np.int64).reshape(-1, 2)
-            size = np.array([len(p) for p in run])
-            begin = np.cumsum(size) - size
+            spans = np.array(e.offsets, np.int32).reshape(-1, 2)
+            size = np.array([len(p) for p in run], np.int32)
+            begin = np.cumsum(size, dtype=np.int32) - size
             owner = np.searchsorted(begin, spans[:, 0], "right") - 1
-            ids.append(np.array(e.ids, np.int64))
+            ids.append(np.array(e.ids, np.int32))
             first.append(spans[:, 0] - begin[owner])
             end.append(spans[:, 1] - begin[owner])
-            count.append(np.bincount(owner, minlength=len(run)))
+            count.append(np.bincount(owner, minlength=len(run)).astype(np.int32))
             chars.append(size)
         for i, p in enumerate(new):
             self.index[p] = n + i
         self.chars, self.ids, self.first, self.end = (np.concatenate(x) for x in (chars, ids, first, end))
         count = np.concatenate([self.count, *count])
-        self.start, self.count = np.concatenate([self.start, at + np.cumsum(count[n:]) - count[n:]]), count
+        self.start, self.count = np.concatenate([self.start, at + np.cumsum(count[n:], dtype=np.int32) - count[n:]]), count
         index = self.index
         return np.array([index[p] for p in pieces], np.int64)
 
@@ -114,7 +114,7 @@ def _encoded(path: str):
             cut = [_CUT.split(t) if t else [] for t in batch.column(0).to_pylist()]
             unit = pieces.numbers(list(chain.from_iterable(cut)))
             parts = np.cumsum([0] + [len(x) for x in cut])
-            chars, count = pieces.chars[unit], pieces.count[unit]
+            chars, count = pieces.chars[unit], pieces.count[unit].astype(np.int64)
             base = np.concatenate([[0], np.cumsum(chars)])
             base = base[:-1] - np.repeat(base[parts[:-1]], np.diff(parts))
             at, base = _spread(pieces.start[unit], count), np.repeat(base, count)

@@ -33,7 +33,7 @@ SIZES = (3, 4)
 SAMPLE, SEEN, GRAMS = 2000, 5, 20_000
 #: Positions of a filter and hashes of an n-gram: about 1 % false positives with GRAMS n-grams.
 POSITIONS, HASHES = 1 << 18, 3
-_SLICE = 1 << 20
+_SLICE = 1 << 18
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(97, 123), *range(128, 256)]] = True
 
@@ -62,7 +62,7 @@ def grams(texts: list[str]):
 
 
 def slices(texts: list[str]):
-    """Ranges of ``texts`` of about a megabyte."""
+    """Ranges of ``texts`` of about 250,000 characters, which bound a worker's memory."""
     i = 0
     while i < len(texts):
         j, size = i, 0

@@ -64,7 +64,7 @@ _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 def prefix(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Prefix sums of the bytes' polynomial, and the inverse powers: a substring's hash takes two of each."""
     n = len(data) + 1
-    size = 1 << max(21, (n - 1).bit_length())
+    size = 1 << max(19, (n - 1).bit_length())
     if size not in _tables:
         _tables.clear()
         _tables[size] = _powers(_P, size), _powers(_INV, size)

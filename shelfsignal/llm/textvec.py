@@ -7,7 +7,7 @@ import pyarrow as pa
 
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _PINV = np.uint64(pow(int(_P), -1, 1 << 64))
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -111,7 +111,7 @@ def shingles(hashes: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray
 
 
 def shingle_sets(column: pa.Array, k: int):
-    """Yields (first row, rows, hash, document within the slice) for slices of a string column of about a megabyte."""
+    """Yields (first row, rows, hash, document within the slice) for slices of a string column of about half a megabyte."""
     data, offsets = buffers(column)
     rows = len(offsets) - 1
     i = 0
