@@ -47,7 +47,7 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
 
     Alternating large-star and small-star: each half is one aggregation (which
     combines on the map side, so a hub costs no more than its edges) and one
-    join; a round's edges are written to the shared folder. Nodes without an
+    join; a round's edges are written to the shared folder. Roots, and nodes without an
     edge to another node are not returned. Nulls are ignored.
     """
     if edges.isEmpty():
