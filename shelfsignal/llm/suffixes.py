@@ -157,6 +157,22 @@ def _runs(flags: np.ndarray):
 _CONTEXT = "part int, g long, across boolean, witness boolean, rid binary, a int, place int, starts int, context binary"
 
 
+def _rows(rid, shift, doc, part, token, across, witness, a, place, starts, r, contexts) -> pa.RecordBatch:
+    """Rows ``r`` of a slice whose first text is the batch's row ``shift``."""
+    columns = [
+        pa.array(part[r].astype(np.int32)),
+        pa.array(token[r].view(np.int64)),
+        pa.array(across[r]),
+        pa.array(witness[r]),
+        rid.take(pa.array(doc[r] + shift)),
+        pa.array(a[r].astype(np.int32)),
+        pa.array(place[r].astype(np.int32)),
+        pa.array(starts.astype(np.int32)),
+        pa.nulls(len(r), pa.binary()) if contexts is None else pa.array(contexts, pa.binary()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=["part", "g", "across", "witness", "rid", "a", "place", "starts", "context"])
+
+
 def _contexts(splitters: np.ndarray):
     """Contexts of the wanted tokens; ``place`` is the token's in the context. A null context is a settled span."""
 
@@ -184,23 +200,18 @@ def _contexts(splitters: np.ndarray):
                 part = lo + (mix(same) % (hi - lo + 1).astype(np.uint64)).astype(np.int64)
                 begin = offsets[doc] if len(doc) else a
                 raw = data.tobytes()
-                for rows, context in ((np.flatnonzero(settled), False), (np.flatnonzero(sent), True)):
-                    for b in range(0, len(rows), 4096):
-                        r = rows[b : b + 4096]
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array(part[r].astype(np.int32)),
-                                pa.array(token[r].view(np.int64)),
-                                pa.array(hi[r] > lo[r]),
-                                pa.array(witness[r]),
-                                rid.take(pa.array(doc[r] + i)),
-                                pa.array((a - begin)[r].astype(np.int32)),
-                                pa.array((place - a)[r].astype(np.int32)),
-                                pa.array((z - a + 1)[r].astype(np.int32)),
-                                pa.array([raw[p:q] for p, q in zip(a[r], z[r] + LENGTH, strict=True)] if context else [None] * len(r), pa.binary()),
-                            ],
-                            names=["part", "g", "across", "witness", "rid", "a", "place", "starts", "context"],
-                        )
+                own = np.flatnonzero(settled)
+                if len(own):  # overlapping settled spans of a text become one, and go anywhere
+                    new = np.ones(len(own), bool)
+                    new[1:] = (doc[own][1:] != doc[own][:-1]) | (a[own][1:] > z[own][:-1] + LENGTH)
+                    first_, last_ = own[new], own[np.concatenate([np.flatnonzero(new)[1:], [len(own)]]) - 1]
+                    part[first_] = (mix(a[first_].astype(np.uint64) + np.uint64(i)) % np.uint64(len(splitters) + 1)).astype(np.int64)
+                    yield _rows(rid, i, doc, part, token, hi > lo, witness, a - begin, place - a, z[last_] - a[first_] + 1, first_, None)
+                    part = lo + (mix(same) % (hi - lo + 1).astype(np.uint64)).astype(np.int64)
+                rows = np.flatnonzero(sent)
+                for b in range(0, len(rows), 4096):
+                    r = rows[b : b + 4096]
+                    yield _rows(rid, i, doc, part, token, hi > lo, witness, a - begin, place - a, (z - a + 1)[r], r, [raw[p:q] for p, q in zip(a[r], z[r] + LENGTH, strict=True)])
 
     return run
 
@@ -323,7 +334,7 @@ def repeated_spans(texts: DataFrame, classes: DataFrame) -> DataFrame:
     shared = stage(seen.groupBy("g").agg(F.sum("c").alias("c")).where("c > 1").select("g"), "shared")
     wanted = stage(seen.join(shared, "g", "left_semi").select("g", "rid"), "wanted")
     count = wanted.count()
-    parts = max(2, -(-count // BUCKET))
+    parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-count // BUCKET))
     splitters = np.zeros(0, np.int64)
     if count:
         splitters = np.array(wanted.agg(F.percentile_approx("g", [i / parts for i in range(1, parts)], 20 * parts)).first()[0], np.int64)
