@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch: keeps a Python worker's memory bounded even where texts are long.
@@ -42,6 +42,22 @@ def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def bounded_sample(df: DataFrame, rows: int, key: str, by: str | None = None) -> DataFrame:
+    """At most ``rows`` rows (of each value of ``by``): those of the smallest hash of ``key``.
+
+    Rows are counted first, so that only about twice as many as wanted are
+    sorted, however many there are.
+    """
+    df = df.withColumn("_h", F.xxhash64(key).bitwiseAND(F.lit((1 << 62) - 1)))
+    if by is None:
+        low = df.where(F.col("_h") <= min(1.0, 2.0 * rows / max(1, df.count())) * float(1 << 62))
+        return low.orderBy("_h", key).limit(rows).drop("_h")
+    n = stage(df.groupBy(by).agg(F.count("*").alias("_n")), "counts")
+    low = df.join(maybe_broadcast(n), by).where(F.col("_h") <= F.least(F.lit(1.0), 2.0 * rows / F.col("_n")) * float(1 << 62))
+    low = low.withColumn("_k", F.row_number().over(Window.partitionBy(by).orderBy("_h", key)))
+    return low.where(F.col("_k") <= rows).drop("_h", "_n", "_k")
+
+
 def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, root) for every node of ``edges`` (columns u, v); root is the smallest node reachable.
 

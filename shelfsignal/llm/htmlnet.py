@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tune
+from .common import bounded_sample, tune
 
 PATH, WORDS, EXTRA, HIDDEN = 96, 16, 6, 20
 WIDTH = PATH + WORDS + EXTRA
@@ -385,7 +385,7 @@ class Layouts:
 
 def learn(pages: DataFrame) -> Network:
     """A network trained on laid-out pages with words of a bounded sample of ``pages`` (page_id, html)."""
-    some = pages.where(F.length("html") <= SAMPLE_CHARS).orderBy(F.xxhash64("page_id"), "page_id", F.xxhash64("html")).select("html").limit(SAMPLE).collect()
+    some = bounded_sample(pages.where(F.length("html") <= SAMPLE_CHARS).select("page_id", "html"), SAMPLE, "page_id").collect()
     words = [w for row in some for text, _, _ in blocks(row["html"]) for w in text.split()[:400]]
     layouts, seen = Layouts(words), []
     while len(seen) < PAGES:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, stage, tune
+from .common import bounded_sample, maybe_broadcast, stage, tune
 from .textvec import mix
 
 SIZES = (3, 4)
@@ -136,8 +136,7 @@ def learn(docs: DataFrame) -> Filters:
     """Filters from the rows of ``docs`` (doc_id, text, lang) that aren't held out."""
     tune(docs.sparkSession)
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    rows = rows.select("lang", "text", F.xxhash64("doc_id").alias("r"), "doc_id")
-    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("r", "doc_id", "text"))).where(F.col("k") <= SAMPLE)
+    rows = bounded_sample(rows.select("lang", "text", "doc_id"), SAMPLE, "doc_id", by="lang")
     found = rows.select("lang", "text").mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     found = stage(found.where(F.col("n") >= SEEN), "grams")
     total = found.groupBy("lang").agg(F.sum("n").alias("total"))

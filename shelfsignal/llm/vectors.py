@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, stage, tune
+from .common import bounded_sample, connected_components, stage, tune
 
 SHARD, MEMBERS, CENTROIDS, FIT = 2000, 700, 8192, 8
 DEGREE, NEAREST, RANDOM, ALPHA, BEAM, SLACK = 24, 48, 16, 1.2, 16, 0.08
@@ -211,8 +211,9 @@ def _audited(sample: pd.DataFrame, percent: int):
 
 def audit(classes: DataFrame, found: DataFrame, percent: int, size: int = AUDIT) -> float:
     """Share of the links of ``size`` classes, compared with all classes, that ``found`` (id, links) counts; 1 if there are none."""
-    sample = classes.join(found.where("links > 0"), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(size // 2).unionByName(classes.orderBy(F.xxhash64("id"), "id").limit(size // 2)).distinct()
-    sample = sample.select("id", "v").toPandas()  # ``size`` rows
+    linked = bounded_sample(classes.join(found.where("links > 0"), "id", "left_semi"), size // 2, "id")
+    any_ = bounded_sample(classes, size // 2, "id")
+    sample = linked.unionByName(any_).dropDuplicates(["id"]).select("id", "v").toPandas()  # ``size`` rows
     if sample.empty:
         return 1.0
     true = classes.mapInArrow(_audited(sample, percent), "id long, links long").groupBy("id").agg(F.sum("links").alias("true"))
@@ -227,7 +228,7 @@ def _linked(classes: DataFrame, percent: int, overlap: int) -> DataFrame:
     for dim, n in dims.items():
         count = int(min(CENTROIDS, max(1, n // MEMBERS)))
         if count > 1:
-            some = classes.where(F.size("v") == dim).orderBy(F.xxhash64("id"), "id").limit(max(2000, FIT * count)).select("v").toPandas()
+            some = bounded_sample(classes.where(F.size("v") == dim), max(2000, FIT * count), "id").select("v").toPandas()
             centroids[dim] = fit_centroids(matrix(pa.array(list(some["v"]))), count)
     kind = classes.schema["v"].dataType.simpleString()
     near = stage(classes.mapInArrow(_assigned(centroids, overlap), f"id long, w long, v {kind}, near array<long>"), "near")
