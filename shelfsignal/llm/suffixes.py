@@ -48,7 +48,8 @@ GRAM = LENGTH - STARTS + 1
 BUCKET, SLAB = 20_000, 2048
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INV = np.uint64(pow(int(_P), -1, 1 << 64))
-_POS = np.uint64((1 << 24) - 1)
+#: Half of a 64-bit word orders grams by hash, half says where they stand.
+_POS = np.uint64((1 << 32) - 1)
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -123,8 +124,6 @@ def _sliced(column):
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + 2 * _CHUNK, "right")) - 1)
         part, off = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-        if len(part) >= 1 << 24:
-            raise ValueError("a text has 16 MB or more")
         yield i, part, off
         i = j
 
