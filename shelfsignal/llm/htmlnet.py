@@ -10,7 +10,7 @@ the whole sequence of a page, and a logistic layer labels every block with
 what it has seen on both sides. Blocks labelled as main text are joined in
 page order.
 
-The network is trained at each call, with a fixed seed, on ``PAGES`` pages
+The network is trained at each call, in one task and with a fixed seed, on ``PAGES`` pages
 that a generator lays out in many ways (containers, sidebars, notices,
 comments ...), where the label of a block is known by construction. The words
 in them come from ``SAMPLE`` pages of the input of at most ``SAMPLE_CHARS``
@@ -25,6 +25,7 @@ character references are decoded as HTML 5 says; extra columns are left out.
 from __future__ import annotations
 
 import html
+import io
 import re
 import zlib
 from functools import lru_cache
@@ -383,10 +384,10 @@ class Layouts:
         return "".join([*out, "</body></html>"]), labels
 
 
-def learn(pages: DataFrame) -> Network:
-    """A network trained on laid-out pages with words of a bounded sample of ``pages`` (page_id, html)."""
-    some = bounded_sample(pages.where(F.length("html") <= SAMPLE_CHARS).select("page_id", "html"), SAMPLE, "page_id").collect()
-    words = [w for row in some for text, _, _ in blocks(row["html"]) for w in text.split()[:400]]
+def _trained(batches):
+    """One row: the parameters of a network trained with the words of all rows."""
+    some = sorted(h for batch in batches for h in batch.column("html").to_pylist())
+    words = [w for h in some for text, _, _ in blocks(h) for w in text.split()[:400]]
     layouts, seen = Layouts(words), []
     while len(seen) < PAGES:
         page, labels = layouts.page()
@@ -395,6 +396,17 @@ def learn(pages: DataFrame) -> Network:
             seen.append((found, np.array(labels, np.float32)))
     network = Network()
     network.train([*zip(vectors([f for f, _ in seen]), [y for _, y in seen], strict=True)])
+    kept = io.BytesIO()
+    np.savez(kept, **network.p)
+    yield pa.RecordBatch.from_arrays([pa.array([kept.getvalue()], pa.binary())], names=["parameters"])
+
+
+def learn(pages: DataFrame) -> Network:
+    """A network trained, in one task, on laid-out pages with words of a bounded sample of ``pages`` (page_id, html)."""
+    some = bounded_sample(pages.where(F.length("html") <= SAMPLE_CHARS).select("page_id", "html"), SAMPLE, "page_id")
+    kept = some.select("html").repartition(1).mapInArrow(_trained, "parameters binary").first()["parameters"]
+    network = Network()
+    network.p = dict(np.load(io.BytesIO(bytes(kept))))
     return network
 
 
