@@ -194,3 +194,58 @@ def badges(ctx: Context, user_id: int) -> DataFrame:
     s = ctx.table("suppressions").agg(F.count_if("active").alias("suppressions"))
     w = ctx.table("watches").agg(F.count_if(F.col("user_id") == user_id).alias("watches"))
     return i.crossJoin(s).crossJoin(w)  # rows of one
+
+
+def status_breakdown(ctx: Context) -> DataFrame:
+    rows = ctx.table("investigations").groupBy("status").agg(F.count("*").alias("n"), F.coalesce(F.sum("revenue_at_risk"), F.lit(0)).alias("at_risk"))
+    return rows.withColumn("share", pct(F.col("n"), F.sum("n").over(Window.partitionBy())))  # one row a status
+
+
+def money_series(ctx: Context, days: int = 30) -> DataFrame:
+    """Revenue at risk of investigations by day opened and recovery by day recorded, zero on other days."""
+    last = F.lit(ctx.now).cast("date")
+    risk = ctx.table("investigations").groupBy(F.col("opened_at").cast("date").alias("day")).agg(F.sum("revenue_at_risk").alias("at_risk"))
+    back = ctx.table("outcomes").groupBy(F.col("recorded_at").cast("date").alias("day")).agg(F.sum("revenue_recovered").alias("recovered"))
+    rows = spine(ctx, F.date_sub(last, days - 1), last).join(risk, "day", "left").join(back, "day", "left")
+    return rows.select("day", F.coalesce("at_risk", F.lit(0)).alias("at_risk"), F.coalesce("recovered", F.lit(0)).alias("recovered"))
+
+
+def top_alert_store(ctx: Context, days: int = 14) -> DataFrame:
+    rows = ctx.table("anomalies").where((F.col("detected_at").cast("timestamp_ntz") >= ctx.clock(24 * days)) & F.col("store_id").isNotNull()).groupBy("store_id").agg(F.count("*").alias("anomalies"))
+    return rows.orderBy(F.desc("anomalies"), "store_id").limit(1)
+
+
+def recent_urgent(ctx: Context, limit: int = 6) -> DataFrame:
+    rows = ctx.table("investigations").where(F.col("status").isin("open", "in_progress") & F.col("priority").isin("high", "critical"))
+    return rows.orderBy(F.desc("opened_at"), "id").limit(limit).select("id", "priority", "status")
+
+
+def dossier(ctx: Context) -> DataFrame:
+    """Each anomaly with its investigation, the number of pieces of evidence and the outcome."""
+    i = ctx.table("investigations").select(F.col("id").alias("investigation_id"), "title", "status")
+    e = ctx.table("evidence").groupBy("investigation_id").agg(F.count("*").alias("pieces"))
+    o = ctx.table("outcomes").select("investigation_id", "outcome_type")
+    rows = ctx.table("anomalies").join(i, "investigation_id", "left").join(e, "investigation_id", "left").join(o, "investigation_id", "left")
+    return rows.select("id", "rule_type", "title", "status", F.coalesce("pieces", F.lit(0)).alias("pieces"), "outcome_type")
+
+
+def related_anomalies(ctx: Context, limit: int = 5) -> DataFrame:
+    """The newest other anomalies of an open high anomaly's SKU; each SKU's newest ``limit`` + 1 are ranked once."""
+    w = Window.partitionBy("sku").orderBy(F.desc("detected_at"), "id")
+    newest = ctx.table("anomalies").where("sku IS NOT NULL").withColumn("k", F.row_number().over(w)).where(F.col("k") <= limit + 1).select("sku", F.col("id").alias("related_id"), "k")
+    a = ctx.table("anomalies").where("dismissed_at IS NULL AND severity = 'high'").select("id", "sku").join(newest, "sku").where("related_id <> id")
+    return a.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("k"))).where(F.col("r") <= limit).select("id", "related_id", "r")
+
+
+def recovered_this_month(ctx: Context, limit: int = 200) -> DataFrame:
+    first = F.trunc(F.lit(ctx.now).cast("date"), "month")
+    rows = ctx.table("outcomes").where((F.col("recorded_at").cast("date") >= first) & (F.col("revenue_recovered") > 0))
+    return rows.orderBy(F.desc("revenue_recovered"), "investigation_id").limit(limit).select("investigation_id", "outcome_type", "revenue_recovered")
+
+
+def watched(ctx: Context, user_id: int) -> DataFrame:
+    """A user's watches with the investigation's state and the next due action."""
+    from .investigations import watch_snapshot
+
+    w = ctx.table("watches").where(F.col("user_id") == user_id).select(F.col("id").alias("watch_id"), "investigation_id", "mode")
+    return w.join(watch_snapshot(ctx).select("investigation_id", "status", "overdue", F.col("next_due").cast("date").alias("next_due")), "investigation_id", "left")

@@ -270,3 +270,15 @@ CAT.add("store_counts", reports.store_counts, "SELECT s.name, coalesce(a.n, 0) A
 CAT.add("supplier_counts", reports.supplier_counts, f"SELECT s.name, coalesce(n, 0) AS orders, {r('coalesce(u, 0)')} AS units FROM suppliers s LEFT JOIN (SELECT supplier, count(*) AS n, sum(qty_ordered) AS u FROM purchase_orders GROUP BY 1) p ON p.supplier = s.name")
 CAT.add("sales_list_filtered", lambda c: reports.sales_list(c, "NATION_7", dt.date(2001, 7, 1), dt.date(2001, 8, 1)), f"SELECT date, sku, {r('quantity')} AS quantity, {r('total_amount')} AS total_amount FROM sales WHERE location = 'NATION_7' AND date BETWEEN DATE '2001-07-01' AND DATE '2001-08-01'")
 CAT.add("badge_counts", lambda c: reports.badges(c, 3), f"SELECT (SELECT count(*) FROM investigations WHERE {OPEN} AND priority IN ('high', 'critical')) AS urgent, (SELECT count(*) FROM suppressions WHERE active) AS suppressions, (SELECT count(*) FROM watches WHERE user_id = 3) AS watches")
+CAT.add("status_breakdown", reports.status_breakdown, f"SELECT status, n, {r('v')} AS at_risk, {r(pct('n', 't'))} AS share FROM (SELECT status, count(*) AS n, coalesce(sum(revenue_at_risk), 0) AS v, sum(count(*)) OVER () AS t FROM investigations GROUP BY 1)")
+CAT.add(
+    "money_series_30d",
+    reports.money_series,
+    f"SELECT d.day, {r('coalesce(a, 0)')} AS at_risk, {r('coalesce(b, 0)')} AS recovered FROM (SELECT CAST(unnest(generate_series(DATE '2024-01-02', DATE '2024-01-31', INTERVAL 1 DAY)) AS DATE) AS day) d LEFT JOIN (SELECT CAST(opened_at AS DATE) AS day, sum(revenue_at_risk) AS a FROM investigations GROUP BY 1) i ON i.day = d.day LEFT JOIN (SELECT CAST(recorded_at AS DATE) AS day, sum(revenue_recovered) AS b FROM outcomes GROUP BY 1) o ON o.day = d.day",
+)
+CAT.add("top_alert_store", reports.top_alert_store, f"SELECT store_id, count(*) AS anomalies FROM anomalies WHERE detected_at >= {NOW} - INTERVAL 14 DAY AND store_id IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1")
+CAT.add("recent_urgent_investigations", reports.recent_urgent, f"SELECT id, priority, status FROM investigations WHERE {OPEN} AND priority IN ('high', 'critical') ORDER BY opened_at DESC, id LIMIT 6")
+CAT.add("anomaly_dossier", reports.dossier, "SELECT a.id, a.rule_type, i.title, i.status, coalesce(e.n, 0) AS pieces, o.outcome_type FROM anomalies a LEFT JOIN investigations i ON a.investigation_id = i.id LEFT JOIN (SELECT investigation_id, count(*) AS n FROM evidence GROUP BY 1) e ON e.investigation_id = a.investigation_id LEFT JOIN outcomes o ON o.investigation_id = a.investigation_id")
+CAT.add("related_anomalies", reports.related_anomalies, "SELECT id, related_id, r FROM (SELECT a.id, b.id AS related_id, row_number() OVER (PARTITION BY a.id ORDER BY b.detected_at DESC, b.id) AS r FROM (SELECT * FROM anomalies WHERE dismissed_at IS NULL AND severity = 'high') a JOIN anomalies b ON a.sku = b.sku AND a.id <> b.id) WHERE r <= 5")
+CAT.add("financial_breakdown_recovered", reports.recovered_this_month, f"SELECT investigation_id, outcome_type, {r('revenue_recovered')} AS revenue_recovered FROM outcomes WHERE CAST(recorded_at AS DATE) >= DATE '2024-01-01' AND revenue_recovered > 0 ORDER BY outcomes.revenue_recovered DESC, investigation_id LIMIT 200")
+CAT.add("watched_list", lambda c: reports.watched(c, 3), f"SELECT w.id AS watch_id, w.investigation_id, w.mode, s.status, s.overdue, a.d AS next_due FROM (SELECT * FROM watches WHERE user_id = 3) w LEFT JOIN ({_SNAP}) s ON s.investigation_id = w.investigation_id LEFT JOIN (SELECT investigation_id, CAST(min(due_at) AS DATE) AS d FROM actions WHERE {ACTIVE} GROUP BY 1) a ON a.investigation_id = w.investigation_id")

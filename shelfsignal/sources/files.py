@@ -130,3 +130,36 @@ def read_sheets(spark: SparkSession, path: str) -> DataFrame:
 def write_csv(df: DataFrame, path: str) -> None:
     """One headed CSV file in the folder ``path``; for exports of list views, which are bounded by their filters."""
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def workbook(sheets: dict[str, tuple[list[str], list[tuple]]]) -> bytes:
+    """An XLSX file of small tables, the summary first: names of up to 31 characters, headers frozen."""
+    from xml.sax.saxutils import escape
+
+    def cell(v) -> str:
+        if v is None:
+            return "<c/>"
+        if isinstance(v, (int, float)) and not isinstance(v, bool):
+            return f"<c><v>{v}</v></c>"
+        return f'<c t="inlineStr"><is><t>{escape(str(v))}</t></is></c>'
+
+    main, out = _NS["m"], io.BytesIO()
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    names = [re.sub(r"[\[\]:*?/\\]", " ", n)[:31] for n in sheets]
+    kinds = "application/vnd.openxmlformats-officedocument.spreadsheetml."
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        parts = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{kinds}worksheet+xml"/>' for i in range(1, len(names) + 1))
+        z.writestr("[Content_Types].xml", f'<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{kinds}sheet.main+xml"/>{parts}</Types>')
+        package = "http://schemas.openxmlformats.org/package/2006/relationships"
+        z.writestr("_rels/.rels", f'<Relationships xmlns="{package}"><Relationship Id="r1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name="{escape(n)}" sheetId="{i}" r:id="r{i}"/>' for i, n in enumerate(names, 1)) + "</sheets></workbook>")
+        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{package}">' + "".join(f'<Relationship Id="r{i}" Type="{rel}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(names) + 1)) + "</Relationships>")
+        for i, (header, rows) in enumerate(sheets.values(), 1):
+            body = "".join(f"<row>{''.join(map(cell, row))}</row>" for row in [header, *rows])
+            z.writestr(f"xl/worksheets/sheet{i}.xml", f'<worksheet xmlns="{main}"><sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" state="frozen"/></sheetView></sheetViews><sheetData>{body}</sheetData></worksheet>')
+    return out.getvalue()
+
+
+def report(sheets: dict[str, DataFrame], rows: int = 10_000) -> bytes:
+    """A workbook of report tables, of at most ``rows`` rows each: reports are bounded by their filters."""
+    return workbook({name: (df.columns, [tuple(r) for r in df.limit(rows).collect()]) for name, df in sheets.items()})

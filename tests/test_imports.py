@@ -89,3 +89,10 @@ def test_streaming_takes_each_file_once(spark, tmp_path):
     go()
     assert sorted(r.sku for r in spark.read.parquet(str(tmp_path / "out/good")).collect()) == ["A", "B"]
     assert spark.read.parquet(str(tmp_path / "out/rejects")).count() == 1
+
+
+def test_workbooks_can_be_read_again(spark):
+    df = spark.createDataFrame([("a & b", 1.5), (None, 2.0)], "name string, v double")
+    data = files.report({"Summary of a very long report name, cut": df, "More": df})
+    assert data[:2] == b"PK"
+    assert list(files.sheet_rows(data)) == [["name", "v"], ["a & b", "1.5"], ["", "2.0"]]
