@@ -18,14 +18,15 @@ def tune(spark: SparkSession) -> None:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``, or our own where it is unset."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
+    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage with files that outlive an executor, and lets several
-    consumers read a result that is computed once.
+    consumers read a result that is computed once. The files stay, as the
+    result is lazy; clear the folder ``stages`` there when jobs have ended.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stages/{name}-{uuid.uuid4().hex}"
