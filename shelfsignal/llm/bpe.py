@@ -33,8 +33,8 @@ from pyspark.sql import types as T
 from .common import tune
 
 _CUT = re.compile(r"(?<=\S)(?= \S)")
-#: Pieces and characters that a task remembers before it begins anew (a batch may add to them), and the characters that go to the library as one string.
-REMEMBERED, MOST_CHARS, TOGETHER = 300_000, 8_000_000, 20_000
+#: Pieces and characters that a task remembers before it begins anew (a batch may add to them), and the words that go to the library as one string.
+REMEMBERED, MOST_CHARS, TOGETHER = 300_000, 8_000_000, 3000
 
 
 def byte_table() -> dict[str, int]:
@@ -75,19 +75,16 @@ class Pieces:
         if len(self.index) > REMEMBERED or self.chars.sum() > MOST_CHARS:
             self.forget()
         new = [p for p in dict.fromkeys(pieces) if p not in self.index]
-        joins = [p[0] == " " and len(p) > 1 and not p[1].isspace() and not p[-1].isspace() for p in new]
-        runs, size = [], TOGETHER
-        for p, joined in zip(new, joins, strict=True):
-            if not joined or size >= TOGETHER:
-                runs.append([])
-                size = 0
-            runs[-1].append(p)
-            size = size + len(p) if joined else TOGETHER
+        together = [p for p in new if p[0] == " " and len(p) > 1 and not (p[1].isspace() or p[-1].isspace())]
+        joined = set(together)
+        alone = [p for p in new if p not in joined]
+        runs = [[p] for p in alone] + [together[i : i + TOGETHER] for i in range(0, len(together), TOGETHER)]
+        new = alone + together
         n, at, count = len(self.index), len(self.ids), []
         chars, ids, first, end = [self.chars], [self.ids], [self.first], [self.end]
         for run, e in zip(runs, self.tokenizer.encode_batch(["".join(r) for r in runs], add_special_tokens=False), strict=True):
             spans = np.array(e.offsets, np.int32).reshape(-1, 2)
-            size = np.array([len(p) for p in run], np.int32)
+            size = np.fromiter(map(len, run), np.int32, len(run))
             begin = np.cumsum(size, dtype=np.int32) - size
             owner = np.searchsorted(begin, spans[:, 0], "right") - 1
             ids.append(np.array(e.ids, np.int32))
@@ -95,13 +92,11 @@ class Pieces:
             end.append(spans[:, 1] - begin[owner])
             count.append(np.bincount(owner, minlength=len(run)).astype(np.int32))
             chars.append(size)
-        for i, p in enumerate(new):
-            self.index[p] = n + i
+        self.index.update(zip(new, range(n, n + len(new)), strict=True))
         self.chars, self.ids, self.first, self.end = (np.concatenate(x) for x in (chars, ids, first, end))
         count = np.concatenate([self.count, *count])
         self.start, self.count = np.concatenate([self.start, at + np.cumsum(count[n:], dtype=np.int32) - count[n:]]), count
-        index = self.index
-        return np.array([index[p] for p in pieces], np.int64)
+        return np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
 
 
 _pieces: dict[str, Pieces] = {}
