@@ -1,17 +1,23 @@
 """Substring deduplication by sliding spans of sentences.
 
 A text's words (maximal runs of bytes outside space and 0x09-0x0D) form
-sentences: one ends with a word that ends in one of ``. ! ? ; : ,``, before a
-line feed, and at the text's end. A span starts at every sentence and takes
+sentences: one ends with a word that ends in one of ``. ! ? ; : ,`` or in such
+a mark of another script, before a line feed, and at the text's end. Of any
+``LONGEST`` words in a row without an end the one of least hash is an end too:
+what a passage's words make is the same wherever it stands, and no sentence is
+longer. So a repeated passage of 29 words or more always holds a span, and of
+its words at most ``LONGEST`` stay at its begin and 8 at its end, where
+sentences lie across its edges (line feeds within it being alike). A span starts at every sentence and takes
 consecutive sentences until it has ``SENTENCES`` of them and ``WORDS`` words;
 too short a rest makes none. Spans are hashed over their lower-cased words
 (ASCII letters) and joined by hash over all documents. Of equal spans the
 first, by (doc_id, position), stays; every sentence that any other one covers
 is removed with the white space after it.
 
-A span's rows are counted before the shuffle; a hash that a third of all rows
-share is one row of each task there. Its occurrences meet only in a join that
-can be split.
+A span's hashes are counted before the shuffle; a hash that a third of all rows
+share is one row of each task there. Only spans of hashes met twice go on, and
+the first is found among these. Its occurrences meet only in a join
+that can be split.
 
 Defined cases: null text stays null, a text without a repeated span stays as
 it is, a text all of whose sentences go becomes empty. Rows of one doc_id
@@ -31,12 +37,41 @@ from .common import stage, tune
 from .textvec import _CHUNK, buffers, mix, word_hashes, word_spans
 
 SENTENCES, WORDS = 3, 20
+#: So many words in a row hold at least one end of a sentence.
+LONGEST = 5
 _ENDS = np.zeros(256, bool)
 _ENDS[list(b".!?;:,")] = True
+#: Marks of other scripts that end a sentence or clause, by their number of bytes.
+_MARKS = {2: "\u037e\u0589\u060c\u061b\u061f\u06d4\u0700\u0701\u0702", 3: "\u2026\u203c\u2047\u2048\u2049\u3001\u3002\uff01\uff0c\uff0e\uff1a\uff1b\uff1f\uff61\uff64\u0964\u0965\u1362\u1363\u1364\u1367\u104a\u104b\u17d4"}
+_CODES = {n: np.array(sorted(int.from_bytes(c.encode()) for c in marks)) for n, marks in _MARKS.items()}
 _P = np.uint64(0x5851F42D4C957F2D)
 _INV = np.uint64(pow(0x5851F42D4C957F2D, -1, 1 << 64))
 
 
+def _marked(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Words that end in a mark of ``_MARKS``."""
+    out = np.zeros(len(start), bool)
+    wide = np.flatnonzero(data[end - 1] >= 0x80)
+    for n, codes in _CODES.items():
+        at = wide[end[wide] - start[wide] >= n]
+        code = sum(data[end[at] - 1 - i].astype(np.int64) << (8 * i) for i in range(n))
+        out[at] = np.isin(code, codes)
+    return out
+
+
+def _chosen(last: np.ndarray, hashes: np.ndarray, longest: int) -> np.ndarray:
+    """``last``, and the word of least hash (the last of equal ones) of any ``longest`` words in a row that hold no end."""
+    total = np.concatenate([[0], np.cumsum(last)])
+    at = np.flatnonzero(total[longest:] == total[:-longest])
+    low, least = at.copy(), hashes[at]
+    for i in range(1, longest):
+        lower = hashes[at + i] <= least
+        low, least = np.where(lower, at + i, low), np.where(lower, hashes[at + i], least)
+    out = last.copy()
+    out[low] = True
+    return out
+
+
 def spans(data: np.ndarray, offsets: np.ndarray, sentences: int, words: int):
     """(document, hash, first byte, byte after it with white space) of every span."""
     start, end, bounds = word_spans(data, offsets)
@@ -48,7 +83,9 @@ def spans(data: np.ndarray, offsets: np.ndarray, sentences: int, words: int):
     last = np.zeros(n, bool)
     last[bounds[1:][np.diff(bounds) > 0] - 1] = True
     last[:-1] |= lines[start[1:]] > lines[end[:-1]]
-    last |= _ENDS[data[end - 1]]
+    last |= _ENDS[data[end - 1]] | _marked(data, start, end)
+    hashes = word_hashes(data, start, end)
+    last = _chosen(last, hashes, LONGEST)
     until = np.flatnonzero(last) + 1
     first = np.concatenate([[0], until[:-1]])
     doc = np.searchsorted(bounds, first, "right") - 1
@@ -61,7 +98,7 @@ def spans(data: np.ndarray, offsets: np.ndarray, sentences: int, words: int):
         down = np.full(n + 1, _INV, np.uint64)
         up[0] = down[0] = 1
         up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)
-        total = np.concatenate([[np.uint64(0)], np.cumsum(word_hashes(data, start, end) * up[:n])])
+        total = np.concatenate([[np.uint64(0)], np.cumsum(hashes * up[:n])])
         value = mix((total[after] - total[first]) * down[first] + (after - first).astype(np.uint64))
     begin = offsets[doc]
     rest = np.where(after < bounds[doc + 1], start[np.minimum(after, n - 1)], offsets[doc + 1])
@@ -87,6 +124,8 @@ def repeated_spans(docs: DataFrame, sentences: int = SENTENCES, words: int = WOR
     tune(docs.sparkSession)
     docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = stage(docs.mapInArrow(_spans(sentences, words), "h long, doc_id long, a int, z int"), "spans")
+    several = stage(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "several")
+    found = stage(found.join(several, "h", "left_semi"), "met")
     first = found.groupBy("h").agg(F.min(F.struct("doc_id", "a")).alias("first"), F.max(F.struct("doc_id", "a")).alias("last")).where("first <> last").select("h", "first")
     return found.join(stage(first, "repeated"), "h").where(F.struct("doc_id", "a") != F.col("first")).select("doc_id", "a", "z")
 

@@ -170,6 +170,30 @@ def test_sentence_spans(spark):
     assert sentences.remove_repeats(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_repeated_windows_of_51_words(spark):
+    """Against plain windows of words, whatever the punctuation: of a repeated run some words at its edges stay at most."""
+    rng = random.Random(9)
+    fresh = iter(range(10**6))
+    prose = lambda n, ends: [f"w{next(fresh)}" + rng.choice(ends) for _ in range(n)]
+    passages = [prose(rng.randint(51, 90), ends) for ends in [[""], [""] * 30 + ["."], [""] * 9 + [","], ["", "", "."], [""] * 5 + ["。"]] for _ in range(4)]
+    rows = []
+    for i in range(120):
+        p = rng.choice(passages)
+        a = rng.randint(0, len(p) - 51)
+        rows.append((i, [*prose(rng.randint(0, 30), [""]), *p[a : rng.randint(a + 51, len(p))], *prose(rng.randint(0, 30), [""])]))
+    seen, runs = set(), {}
+    for d, words in rows:
+        for k in range(len(words) - 50):
+            window = tuple(words[k : k + 51])
+            if window in seen:
+                runs.setdefault(d, set()).update(window)
+            seen.add(window)
+    assert len(runs) > 60
+    for r in sentences.remove_repeats(spark.createDataFrame([(d, " ".join(words)) for d, words in rows], DOCS)).collect():
+        kept = set(r.text.split())
+        assert len(runs.get(r.doc_id, set()) & kept) <= 13, r.doc_id
+
+
 # Suffixes
 
 
