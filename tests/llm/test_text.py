@@ -186,6 +186,20 @@ def test_slots_must_be_consistent(spark):
     assert {r.doc_id: r.contaminated for r in decontam.report(docs, bench).collect()} == {1: True, 2: False}
 
 
+def test_names_open_sentences_and_numbers_are_dense(spark):
+    items = [(1, "Tom has 5 apples. Ann has 7 pears. Bob gives 3 plums away."), (2, "compute 12 7 3 4 2 9 12 8 1 6 5 11 and add them"), (3, "Hello world"), (4, "sum 4 5 6")]
+    around = "nobody in the old town has ever heard of such a thing"
+    docs = [
+        (1, f"{around}. Eva has 8 apples. Max has 2 pears. Lea gives 6 plums away. {around}"),
+        (2, f"{around} compute 31 2 5 6 7 8 31 4 9 3 1 77 and add them {around}"),
+        (3, f"{around} compute 31 2 5 6 7 8 30 4 9 3 1 77 and then stop {around}"),
+        (4, " ".join(str(i) for i in range(3000))), (5, f"Dear world. Total 7 8 9. {around}. Hello there"), (6, "sum 7 8 9"),
+        (7, f"{around}. Eva has 8 chairs. Max sold 2 pears. Lea took 6 plums away. {around}"),
+    ]
+    got = decontam.report(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r.doc_id: r.item_ids for r in got if r.contaminated} == {1: [1], 2: [2]}
+
+
 # Language ID
 
 
