@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, maybe_broadcast, stage, tune
+from .common import bounded_sample, stage, tune
 from .textvec import mix
 
 SIZES = (3, 4)
@@ -184,7 +184,19 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
 LEAST_COVER = 0.2
 
 
+def _known(filters: Filters):
+    predicted = _predicted(filters)
+
+    def run(batches):
+        for batch in batches:
+            for found in predicted([batch]):
+                columns = (found.column(name).to_pylist() for name in ("doc_id", "lang_pred", "cover"))
+                yield batch.filter(pa.array([i is None or lang != "und" and cover >= LEAST_COVER for i, lang, cover in zip(*columns, strict=True)], pa.bool_()))
+
+    return run
+
+
 def keep_known(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in a learned language, all columns; rows with a null doc_id stay."""
-    gone = stage(predict(docs, learn(docs)).where((F.col("lang_pred") == "und") | (F.col("cover") < LEAST_COVER)).select(F.col("doc_id").alias("_gone")), "gone")
-    return docs.join(maybe_broadcast(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+    """The rows of ``docs`` in a learned language, each by its own text, all columns; rows with a null doc_id stay."""
+    filters = learn(docs)
+    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(_known(filters), docs.schema)

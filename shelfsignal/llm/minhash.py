@@ -236,6 +236,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that are kept, all columns; of rows with one doc_id and one text one stays."""
+    """The rows of ``docs`` that are kept, all columns; of rows with one doc_id (null too) and one text one stays."""
     gone = near_duplicates(docs, k, percent).where("NOT kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(maybe_broadcast(stage(gone, "gone")), F.col("doc_id") == F.col("_gone"), "left_anti")
+    out = docs.join(maybe_broadcast(stage(gone, "gone")), F.col("doc_id") == F.col("_gone"), "left_anti")
+    key = F.xxhash64("doc_id", "text")
+    again = stage(out.groupBy(key.alias("_again")).agg(F.count("*").alias("n")).where("n > 1").select("_again"), "again")
+    if again.isEmpty():
+        return out
+    again = maybe_broadcast(again)
+    once = out.join(again, key == F.col("_again"), "left_anti")
+    return once.unionByName(out.join(again, key == F.col("_again"), "left_semi").dropDuplicates(["doc_id", "text"]))

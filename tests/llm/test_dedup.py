@@ -101,6 +101,13 @@ def test_near_duplicates_of_nothing(spark):
     assert [tuple(r) for r in minhash.keep_one(docs).collect()] == [(1, "a b", 5)]
 
 
+def test_repeated_rows_stay_once(spark):
+    a, b = "a b c d e f g h", "p q r s t u v w"
+    rows = [(1, a), (1, a), (1, b), (2, a), (None, a), (None, a), (None, b), (None, None), (3, "x y")]
+    got = [tuple(r) for r in minhash.keep_one(spark.createDataFrame(rows, DOCS)).collect()]
+    assert sorted(got, key=str) == sorted({r for r in rows if r[0] != 2}, key=str)
+
+
 def test_sketches_fill_and_estimate():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 2**63, 900).astype(np.uint64)

@@ -221,6 +221,14 @@ def test_languages(spark):
     assert {r.doc_id for r in langid.keep_known(docs).where("doc_id >= 1000").collect()} == {1003, 1004}
 
 
+def test_language_of_each_row(spark):
+    rng = random.Random(4)
+    text = lambda: "".join(rng.choices("abcde", k=3)) + " la mo ne ri" * rng.randint(2, 9)
+    rows = [(i, text(), "aa") for i in range(400)]
+    docs = spark.createDataFrame([*rows, (7, "123 !!", None), (None, "456", None)], "doc_id long, text string, lang string")
+    assert sorted(map(tuple, langid.keep_known(docs).collect()), key=str) == sorted([*rows, (None, "456", None)], key=str)
+
+
 def test_filters_return_every_member():
     sets = {"a": np.arange(5000, dtype=np.uint64), "b": np.arange(2500, 9000, dtype=np.uint64)}
     f = langid.Filters(["a", "b"], sets)
