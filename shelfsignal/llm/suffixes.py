@@ -1,25 +1,30 @@
 """Substring deduplication over suffixes: every byte in a repeated string of ``LENGTH`` bytes goes.
 
-Suffixes are grouped by a leading token. In each string of LENGTH bytes the
-gram of ``GRAM`` bytes with the smallest hash (the leftmost of equal ones) is
-its token: equal strings have it at the same place, so that only strings with
-a token in common can be equal, and a token serves about ``STARTS`` / 2
-neighbouring starts. Tokens are counted first; what lies around a token that
-occurs once in the corpus can't repeat and is left where it is. For the others
-the bytes around the token (its context, from its first start to the end of
-its last string) are sent, once for equal contexts of a slice: these repeat
-each other and are settled on the spot.
-
-Contexts are range-partitioned by token with splitters that are quantiles of
-the tokens to be sent. A token so frequent that it is itself a splitter is
-dealt over all buckets between. A bucket sorts its suffixes by several keys
-(token, place, string by its 64-bit hash) and compares neighbours. Suffixes of
-tokens that lie on a boundary are compared across buckets by a second
-aggregation of the keys that stayed single.
-
-The local sort compares hashes of the strings instead of bytes character by
-character: only equality of LENGTH bytes counts, and 256 starts of a context
-share one prefix-sum hash.
+Leading tokens. In each string of LENGTH bytes the gram of ``GRAM`` bytes with
+the smallest hash (the leftmost of equal ones) is its token: equal strings have
+it at the same place, so that only strings with a token in common can be
+equal, and a token serves about ``STARTS`` / 2 neighbouring starts. A token
+with the starts it serves and the bytes around it, from the first start to the
+end of the last string, is a context. Contexts are counted by token and by
+fingerprint (128 bits, as whole texts are): what lies around a token that
+occurs once can't repeat and is left where it is, contexts that occur twice
+repeat each other in all their starts and are settled, and one of them stands
+for all. Only tokens with two or more different contexts are left.
+
+Order. These contexts are range-partitioned by token with the splitters that
+Spark samples. A bucket sorts them as suffixes from the token on, and as
+reversed prefixes before it, by multikey quicksort over words of eight bytes
+(each round splits what is still tied by the next word), and the longest
+common prefixes of neighbours divide each order into classes for each distance
+of a start from its token. Two strings are equal if both their classes are:
+bytes are compared, not hashes.
+
+Boundaries. A token is never split over buckets. One with more than ``HOT``
+different contexts is dealt anew by more of what surrounds it: starts at
+distances 0-15, 16-31 ... from the token make narrower contexts, whose leading
+token is all that their strings have in common; what is still as frequent is
+cut to single strings, which counting settles. So nothing is compared in pairs
+and no task takes more than a bounded part of a token, however frequent.
 
 Equal texts are one class: of two or more with LENGTH bytes or more all bytes
 go, and one of them stands for all in the index. Texts are told apart by md5.
@@ -44,8 +49,10 @@ from .textvec import _CHUNK, buffers, mix
 
 LENGTH, STARTS = 400, 256
 GRAM = LENGTH - STARTS + 1
-#: Contexts of a bucket, about, and of a local sort.
-BUCKET, SLAB = 20_000, 2048
+#: Starts of a context at each level: those of a token, then of narrower windows of a frequent one.
+WIDTHS = (STARTS, 16, 1)
+#: Contexts of a bucket, about, of a local sort, and the different ones from which a token is dealt anew.
+BUCKET, SLAB, HOT = 20_000, 2048, 2048
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INV = np.uint64(pow(int(_P), -1, 1 << 64))
 #: Half of a 64-bit word orders grams by hash, half says where they stand.
@@ -63,7 +70,7 @@ _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def prefix(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix sums of the bytes' polynomial, and the inverse powers: a substring's hash takes two of each."""
+    """Prefix sums of the bytes' polynomial, and the inverse powers: a gram's hash takes two of each."""
     n = len(data) + 1
     size = 1 << max(19, (n - 1).bit_length())
     if size not in _tables:
@@ -76,11 +83,6 @@ def prefix(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return total, down[:n]
 
 
-def hashes(total: np.ndarray, down: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return mix((total[end] - total[start]) * down[start])
-
-
 def _window_min(x: np.ndarray, w: int) -> np.ndarray:
     """Minimum of every ``w`` consecutive values."""
     n = len(x)
@@ -92,12 +94,13 @@ def _window_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[: n - w + 1], left[w - 1 : n])
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, total: np.ndarray, down: np.ndarray):
+def anchors(data: np.ndarray, offsets: np.ndarray):
     """(token, place of the token, first start, last start, document) for each run of starts with one token."""
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < LENGTH:
         return none.astype(np.uint64), none, none, none, none
+    total, down = prefix(data)
     with np.errstate(over="ignore"):
         gram = mix((total[GRAM:] - total[: n - GRAM + 1]) * down[: n - GRAM + 1])
     at = np.arange(len(gram), dtype=np.uint64)
@@ -128,22 +131,79 @@ def _sliced(column):
         i = j
 
 
-def _tokens(batches):
-    """Each token of each text once, with its number of runs there (2 stands for more)."""
+#: A context: its token, fingerprint, text, first start, the token's place in it and its number of starts. One without a token is a settled span.
+_CONTEXT = "g long, h binary, rid binary, a int, place int, starts int"
+
+
+def _contexts(batches):
+    """The contexts of all texts; of equal ones in a slice the first with a token, their spans settled."""
     for batch in batches:
         for i, data, offsets in _sliced(batch.column("text")):
-            total, down = prefix(data)
-            token, place, _, _, doc = anchors(data, offsets, total, down)
-            order = np.lexsort((place, token, doc))
-            token, place, doc = token[order], place[order], doc[order]
-            other = np.ones(len(token), bool)
-            other[1:] = (token[1:] != token[:-1]) | (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])
-            token, doc = token[other], doc[other]
-            new = np.ones(len(token), bool)
-            new[1:] = (token[1:] != token[:-1]) | (doc[1:] != doc[:-1])
-            at = np.flatnonzero(new)
-            n = np.minimum(2, np.diff(np.concatenate([at, [len(token)]])))
-            yield pa.RecordBatch.from_arrays([pa.array(token[at].view(np.int64)), batch.column("rid").take(pa.array(doc[at] + i)), pa.array(n.astype(np.int32))], names=["g", "rid", "c"])
+            token, place, a, z, doc = anchors(data, offsets)
+            raw, n = data.tobytes(), len(token)
+            prints = [hashlib.md5(raw[p:q]).digest() for p, q in zip(a.tolist(), (z + LENGTH).tolist(), strict=True)]
+            seen: dict[tuple, int] = {}
+            first = np.fromiter((seen.setdefault(k, j) for j, k in enumerate(zip(prints, token.tolist(), (place - a).tolist(), strict=True))), np.int64, n)
+            own = np.flatnonzero(np.bincount(first, minlength=n)[first] > 1 if n else [])
+            begin = offsets[doc]
+            new = np.ones(len(own), bool)  # overlapping settled spans of a text become one
+            new[1:] = (doc[own][1:] != doc[own][:-1]) | (a[own][1:] > z[own][:-1] + LENGTH)
+            head, tail = own[new], own[np.concatenate([np.flatnonzero(new)[1:], [len(own)]]).astype(int) - 1] if len(own) else own
+            kept = np.flatnonzero(first == np.arange(n))
+            row = np.concatenate([kept, head])
+            starts = np.concatenate([z[kept] - a[kept], z[tail] - a[head]]) + 1
+            settled = np.arange(len(row)) >= len(kept)
+            columns = [
+                pa.array(token[row].view(np.int64), mask=settled),
+                pa.array([prints[j] for j in kept.tolist()] + [None] * len(head), pa.binary()),
+                batch.column("rid").take(pa.array(doc[row] + i)),
+                *(pa.array(x.astype(np.int32)) for x in ((a - begin)[row], (place - a)[row], starts)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["g", "h", "rid", "a", "place", "starts"])
+
+
+def _fetched(batches):
+    """The bytes of the contexts listed with each text."""
+    for batch in batches:
+        for text, rid, some in zip(batch.column("text").to_pylist(), batch.column("rid").to_pylist(), batch.column("some").to_pylist(), strict=True):
+            raw = text.encode()
+            for i in range(0, len(some), 4096):
+                part = some[i : i + 4096]
+                columns = [pa.array([x[c] for x in part], pa.int64() if c == "g" else pa.int32()) for c in ("g", "a", "place", "starts")]
+                bytes_ = pa.array([raw[x["a"] : x["a"] + x["starts"] - 1 + LENGTH] for x in part], pa.binary())
+                yield pa.RecordBatch.from_arrays([columns[0], pa.array([rid] * len(part), pa.binary()), *columns[1:], bytes_], names=["g", "rid", "a", "place", "starts", "context"])
+
+
+def multikey_order(group: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The order of byte strings (rows of one width) within groups: what is tied is split by its next eight bytes, round by round."""
+    n, width = rows.shape
+    words = np.zeros((n, -(-width // 8) * 8), np.uint8)
+    words[:, :width] = rows
+    words = words.view(">u8").astype(np.uint64)
+    order = np.argsort(group, kind="stable")
+    tied = np.concatenate([[0], np.cumsum(group[order][1:] != group[order][:-1])]) if n else np.zeros(0, np.int64)
+    for k in range(words.shape[1]):
+        at = np.flatnonzero(np.bincount(tied, minlength=n)[tied] > 1) if n else []
+        if not len(at):
+            break
+        word = words[order[at], k]
+        way = np.lexsort((word, tied[at]))
+        order[at], word = order[at][way], word[way]
+        new = np.zeros(n, np.int64)
+        new[at[1:]] = (tied[at[1:]] == tied[at[:-1]]) & (word[1:] != word[:-1])
+        tied = tied + np.cumsum(new)
+    return order
+
+
+def _classes(group: np.ndarray, rows: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """For each row and each of the lengths ``least`` the class of rows of its group that begin with the same bytes."""
+    order = multikey_order(group, rows)
+    differ = rows[order[1:]] != rows[order[:-1]]
+    common = np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1])
+    common[group[order[1:]] != group[order[:-1]]] = -1
+    out = np.zeros((len(rows), len(least)), np.int64)
+    out[order[1:]] = np.cumsum(common[:, None] < least, axis=0)
+    return out
 
 
 def _runs(flags: np.ndarray):
@@ -153,160 +213,110 @@ def _runs(flags: np.ndarray):
     return row, first, np.nonzero(edge == -1)[1] - 1
 
 
-_CONTEXT = "part int, g long, across boolean, witness boolean, rid binary, a int, place int, starts int, context binary"
-
-
-def _rows(rid, shift, doc, part, token, across, witness, a, place, starts, r, contexts) -> pa.RecordBatch:
-    """Rows ``r`` of a slice whose first text is the batch's row ``shift``."""
-    columns = [
-        pa.array(part[r].astype(np.int32)),
-        pa.array(token[r].view(np.int64)),
-        pa.array(across[r]),
-        pa.array(witness[r]),
-        rid.take(pa.array(doc[r] + shift)),
-        pa.array(a[r].astype(np.int32)),
-        pa.array(place[r].astype(np.int32)),
-        pa.array(starts.astype(np.int32)),
-        pa.nulls(len(r), pa.binary()) if contexts is None else pa.array(contexts, pa.binary()),
-    ]
-    return pa.RecordBatch.from_arrays(columns, names=["part", "g", "across", "witness", "rid", "a", "place", "starts", "context"])
-
-
-def _contexts(splitters: np.ndarray):
-    """Contexts of the wanted tokens; ``place`` is the token's in the context. A null context is a settled span."""
+def repeats(g: np.ndarray, place: np.ndarray, starts: np.ndarray, contexts: list[bytes], width: int):
+    """(context, first start, last start) of the runs of starts whose strings stand in another context of the token, too."""
+    n = len(contexts)
+    m = np.zeros((n, width + LENGTH), np.uint8)
+    column = width - 1 - place
+    for i, c in enumerate(contexts):
+        m[i, column[i] : column[i] + len(c)] = np.frombuffer(c, np.uint8)
+    back = np.arange(width - 1, -1, -1)  # the distance to the token of the start in each column
+    ahead = _classes(g, m[:, width - 1 :], LENGTH - back)
+    behind = _classes(g, m[:, width - 2 :: -1] if width > 1 else np.zeros((n, 1), np.uint8), back)
+    j = np.arange(width)
+    real = (j >= column[:, None]) & (j < (column + starts)[:, None])
+    key = np.where(real, ahead * n + behind, -1 - np.arange(n)[:, None]).T
+    order = np.argsort(key, axis=1)
+    ranked = np.take_along_axis(key, order, axis=1)
+    same = np.zeros((width, n + 1), bool)
+    same[:, 1:-1] = ranked[:, 1:] == ranked[:, :-1]
+    twice = np.zeros((width, n), bool)
+    np.put_along_axis(twice, order, same[:, 1:] | same[:, :-1], axis=1)
+    row, first, last = _runs(twice.T)
+    return row, first - column[row], last - column[row]
+
+
+def _bucket(width: int):
+    """Slabs of whole tokens of a bucket, which comes sorted by token."""
 
     def run(batches):
+        held, size = [], 0
         for batch in batches:
-            wanted, copy, rid = batch.column("wanted"), batch.column("copy").to_numpy(zero_copy_only=False), batch.column("rid")
-            for i, data, offsets in _sliced(batch.column("text")):
-                total, down = prefix(data)
-                token, place, a, z, doc = anchors(data, offsets, total, down)
-                keep = np.zeros(len(token), bool)
-                bounds = np.searchsorted(doc, np.arange(len(offsets)))
-                for k in range(len(offsets) - 1):
-                    own = slice(bounds[k], bounds[k + 1])
-                    keep[own] = np.isin(token[own].view(np.int64), wanted[i + k].values.to_numpy(zero_copy_only=False))
-                token, place, a, z, doc = (x[keep] for x in (token, place, a, z, doc))
-                with np.errstate(over="ignore"):
-                    same = mix(hashes(total, down, a, z + LENGTH) + token + (place - a).astype(np.uint64) * _P + (z - a).astype(np.uint64))
-                _, first, back, count = np.unique(same, return_index=True, return_inverse=True, return_counts=True)
-                repeated = count[back] > 1
-                sent = np.zeros(len(token), bool)
-                sent[first] = True
-                witness = repeated | copy[i + doc] if len(doc) else repeated
-                settled = repeated & ~copy[i + doc] if len(doc) else repeated
-                lo, hi = np.searchsorted(splitters, token.view(np.int64), "left"), np.searchsorted(splitters, token.view(np.int64), "right")
-                part = lo + (mix(same) % (hi - lo + 1).astype(np.uint64)).astype(np.int64)
-                begin = offsets[doc] if len(doc) else a
-                raw = data.tobytes()
-                own = np.flatnonzero(settled)
-                if len(own):  # overlapping settled spans of a text become one, and go anywhere
-                    new = np.ones(len(own), bool)
-                    new[1:] = (doc[own][1:] != doc[own][:-1]) | (a[own][1:] > z[own][:-1] + LENGTH)
-                    first_, last_ = own[new], own[np.concatenate([np.flatnonzero(new)[1:], [len(own)]]) - 1]
-                    part[first_] = (mix(a[first_].astype(np.uint64) + np.uint64(i)) % np.uint64(len(splitters) + 1)).astype(np.int64)
-                    yield _rows(rid, i, doc, part, token, hi > lo, witness, a - begin, place - a, z[last_] - a[first_] + 1, first_, None)
-                    part = lo + (mix(same) % (hi - lo + 1).astype(np.uint64)).astype(np.int64)
-                rows = np.flatnonzero(sent)
-                for b in range(0, len(rows), 4096):
-                    r = rows[b : b + 4096]
-                    yield _rows(rid, i, doc, part, token, hi > lo, witness, a - begin, place - a, (z - a + 1)[r], r, [raw[p:q] for p, q in zip(a[r], z[r] + LENGTH, strict=True)])
+            held.append(batch)
+            size += len(batch)
+            if size >= 2 * SLAB:
+                table = pa.Table.from_batches(held)
+                g = table["g"].to_numpy()
+                cut = int(np.searchsorted(g, g[-1], "left"))
+                if cut:
+                    yield from slabs(table.slice(0, cut))
+                    held, size = table.slice(cut).to_batches(), len(g) - cut
+        if size:
+            yield from slabs(pa.Table.from_batches(held))
+
+    def slabs(table: pa.Table):
+        g, begin = table["g"].to_numpy(), 0
+        while begin < len(g):
+            end = int(np.searchsorted(g, g[min(begin + SLAB, len(g)) - 1], "right"))
+            part = table.slice(begin, end - begin)
+            own, place, starts, a = (part[c].to_numpy() for c in ("g", "place", "starts", "a"))
+            row, first, last = repeats(own, place, starts, part["context"].to_pylist(), width)
+            yield pa.RecordBatch.from_arrays([part["rid"].combine_chunks().take(pa.array(row)), *(pa.array(x.astype(np.int32)) for x in (a[row] + first, a[row] + last + LENGTH))], names=["rid", "a", "z"])
+            begin = end
 
     return run
 
 
-def _keys(g: np.ndarray, place: np.ndarray, starts: np.ndarray, contexts: list[bytes]):
-    """A key for each start of each context, at the column of its distance from the token, and which are real."""
-    n = len(contexts)
-    m = np.zeros((n, STARTS + LENGTH), np.uint8)
-    column = STARTS - 1 - place
-    for i, c in enumerate(contexts):
-        m[i, column[i] : column[i] + len(c)] = np.frombuffer(c, np.uint8)
-    up, down = _powers(_P, STARTS + LENGTH), _powers(_INV, STARTS)
-    total = np.zeros((n, STARTS + LENGTH + 1), np.uint64)
-    j = np.arange(STARTS)
-    with np.errstate(over="ignore"):
-        np.cumsum((m.astype(np.uint64) + np.uint64(1)) * up, axis=1, out=total[:, 1:])
-        h = mix((total[:, LENGTH : LENGTH + STARTS] - total[:, :STARTS]) * down)
-        key = mix(h ^ mix(g.view(np.uint64)[:, None] + j.astype(np.uint64) * _P))
-    return key, (j >= column[:, None]) & (j < (column + starts)[:, None]), column
-
-
-_FOUND = "kind int, key long, n int, rid binary, a int, z int"
-
-
-def _found(kind, key, n, rid, a, z):
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(key.view(np.int64)), pa.array(n.astype(np.int32)), rid, pa.array(a.astype(np.int32)), pa.array(z.astype(np.int32))], names=["kind", "key", "n", "rid", "a", "z"])
-
-
-def _compared(table: pa.Table, across: np.ndarray):
-    """Spans (kind 0), and of tokens that lie across: single starts (1) and how often a key was seen (2)."""
-    g, place, starts = (table[c].to_numpy() for c in ("g", "place", "starts"))
-    key, real, column = _keys(g, place, starts, table["context"].to_pylist())
-    witness, a = table["witness"].to_numpy(zero_copy_only=False), table["a"].to_numpy()
-    rid = table["rid"].combine_chunks()
-    row, col = np.nonzero(real)
-    flat = key[row, col]
-    order = np.argsort(flat, kind="stable")
-    ranked = flat[order]
-    new = np.ones(len(ranked), bool)
-    new[1:] = ranked[1:] != ranked[:-1]
-    at = np.flatnonzero(new)
-    count = np.diff(np.concatenate([at, [len(ranked)]]))
-    twice = np.zeros(real.shape, bool)
-    twice[row[order], col[order]] = np.repeat(count > 1, count)
-    twice &= ~witness[:, None]
-    r, first, last = _runs(twice)
-    zero = np.zeros(len(r), np.uint64)
-    yield _found(0, zero, zero, rid.take(pa.array(r)), a[r] + first - column[r], a[r] + last - column[r] + LENGTH)
-    if across.any():
-        far = across[row[order]][new]
-        rows = order[at[far]]
-        nothing = pa.nulls(len(rows), pa.binary())
-        yield _found(2, flat[rows], np.minimum(2, count[far]), nothing, np.zeros(len(rows)), np.zeros(len(rows)))
-        r, c = np.nonzero(real & ~twice & (across & ~witness)[:, None])
-        yield _found(1, key[r, c], np.zeros(len(r)), rid.take(pa.array(r)), a[r] + c - column[r], a[r] + c - column[r] + LENGTH)
-
-
-def _buckets(batches):
-    """Slabs of a bucket, sorted by token; a token that needs several slabs lies across like one of several buckets."""
-    held: list[pa.RecordBatch] = []
-    size, carry = 0, None
-
-    def slabs(table: pa.Table, final: bool):
-        """Whole tokens of ``table`` as slabs; the rest, if it isn't final."""
-        nonlocal carry
-        while table.num_rows:
-            g = table["g"].to_numpy()
-            cut = len(g)
-            if cut > SLAB or not final:
-                cut = int(np.searchsorted(g, g[min(SLAB, len(g)) - 1], "left"))
-                if not cut:
-                    if len(g) <= SLAB and not final:
-                        break
-                    cut = SLAB if len(g) > SLAB else len(g)
-            part, table = table.slice(0, cut), table.slice(cut)
-            own = part["g"].to_numpy()
-            split = table.num_rows and table["g"][0].as_py() == own[-1]
-            far = part["across"].to_numpy(zero_copy_only=False) | (own == carry if carry is not None else False) | (own == own[-1] if split else False)
-            carry = own[-1] if split or (carry is not None and own[-1] == carry) else None
-            yield from _compared(part, np.asarray(far))
-        return table
+def _narrower(contexts: DataFrame, width: int) -> DataFrame:
+    """Contexts cut to windows of ``width`` distances from the token; the new token is what all strings of a window share."""
+    low, high = f"greatest(w * {width}, place - starts + 1)", f"least(w * {width} + {width - 1}, place)"
+    windows = F.explode(F.expr(f"sequence(cast(floor((place - starts + 1) / {width}) as int), cast(floor(place / {width}) as int))")).alias("w")
+    cut = contexts.select("g", "rid", "a", "place", "starts", "context", windows).select("*", F.expr(f"place - {high}").alias("s"), F.expr(f"{high} - {low} + 1").alias("n"))
+    core = F.expr(f"substring(context, place - w * {width} + 1, {LENGTH - width + 1})")
+    return cut.select(
+        F.xxhash64("g", "w", core).alias("g"),
+        F.unhex(F.md5(F.expr(f"substring(context, s + 1, n - 1 + {LENGTH})"))).alias("h"),
+        "rid",
+        (F.col("a") + F.col("s")).alias("a"),
+        F.expr(f"place - w * {width} - s").alias("place"),
+        F.col("n").alias("starts"),
+    )
 
-    for batch in batches:
-        ctx = batch.column("context")
-        done = batch.filter(ctx.is_null())
-        if len(done):
-            a, starts = done.column("a").to_numpy(), done.column("starts").to_numpy()
-            yield _found(0, np.zeros(len(a), np.uint64), np.zeros(len(a)), done.column("rid"), a, a + starts - 1 + LENGTH)
-        rest = batch.filter(ctx.is_valid())
-        held.append(rest)
-        size += len(rest)
-        if size >= 2 * SLAB:
-            left = yield from slabs(pa.Table.from_batches(held), False)
-            held, size = left.to_batches(), left.num_rows
-    if size:
-        yield from slabs(pa.Table.from_batches(held), True)
+
+def _bytes(contexts: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """``contexts`` with the bytes of their texts."""
+    lists = stage(contexts.groupBy("rid").agg(F.collect_list(F.struct("g", "a", "place", "starts")).alias("some")).join(classes.select("rid", F.col("doc_id").alias("one")), "rid"), "lists")
+    some = texts.join(maybe_broadcast(lists.select("rid", "one")), "rid").where("doc_id <=> one").select("rid", "text")
+    return some.join(lists.select("rid", "some"), "rid").mapInArrow(_fetched, "g long, rid binary, a int, place int, starts int, context binary")
+
+
+def repeated_spans(texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """(rid, a, z) of bytes in repeated strings, which may overlap, of the texts (doc_id, rid, text); one, of the smallest doc_id, stands for each of ``classes`` (rid, doc_id, n)."""
+    span = lambda df: df.select("rid", "a", (F.col("a") + F.col("starts") - 1 + LENGTH).alias("z"))
+    copies = stage(classes.where("n > 1").select("rid", F.col("doc_id").alias("one"), F.lit(True).alias("copy")), "copies")
+    one = texts.join(maybe_broadcast(copies), "rid", "left").where("copy IS NULL OR doc_id <=> one").select("rid", "text")
+    rows = stage(one.mapInArrow(_contexts, _CONTEXT), "contexts")
+    out = span(rows.where("g IS NULL"))
+    for level, width in enumerate(WIDTHS):
+        met = stage(rows.groupBy("g").agg(F.count("*").alias("n")).where("n > 1 AND g IS NOT NULL").select("g"), "met")
+        rows = stage(rows.join(met, "g", "left_semi"), "wanted")
+        different = stage(rows.groupBy("g", "h").agg(F.count("*").alias("n"), F.min(F.struct("rid", "a", "place", "starts")).alias("one")), "different")
+        out = out.unionByName(span(rows.join(different.where("n > 1").select("g", "h"), ["g", "h"], "left_semi")))
+        several = stage(different.groupBy("g").agg(F.count("*").alias("n")).where("n > 1"), "several")
+        left = stage(different.select("g", "one.*").join(several, "g"), "left")
+        last = level == len(WIDTHS) - 1  # there a token is a string: different ones share it by a chance of hashes only
+        cold = left if last else left.where(f"n <= {HOT}")
+        count = cold.count()
+        if count:
+            contexts = stage(_bytes(cold, texts, classes), "bytes")
+            parts = max(2, -(-count // BUCKET))
+            bucket = contexts.repartitionByRange(parts, "g").sortWithinPartitions("g")
+            out = out.unionByName(bucket.mapInArrow(_bucket(width), "rid binary, a int, z int"))
+        hot = left.where(f"n > {HOT}")
+        if last or hot.isEmpty():
+            return out
+        rows = stage(_narrower(_bytes(hot, texts, classes), WIDTHS[level + 1]), "narrower")
+    return out
 
 
 def _cut(batches):
@@ -326,26 +336,6 @@ def _cut(batches):
         yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string())], names=["rid", "removed", "spans", "sha"])
 
 
-def repeated_spans(texts: DataFrame, classes: DataFrame) -> DataFrame:
-    """(rid, a, z) of bytes in repeated strings, which may overlap, for the texts (rid, text) whose class has one member."""
-    seen = texts.select("rid", "text").mapInArrow(_tokens, "g long, rid binary, c int").groupBy("g", "rid").agg(F.max("c").alias("c"))
-    seen = stage(seen, "tokens")
-    shared = stage(seen.groupBy("g").agg(F.sum("c").alias("c")).where("c > 1").select("g"), "shared")
-    wanted = stage(seen.join(shared, "g", "left_semi").select("g", "rid"), "wanted")
-    count = wanted.count()
-    parts = max(2, -(-count // BUCKET))
-    splitters = np.zeros(0, np.int64)
-    if count:
-        splitters = np.array(wanted.agg(F.percentile_approx("g", [i / parts for i in range(1, parts)], 20 * parts)).first()[0], np.int64)
-    lists = stage(wanted.groupBy("rid").agg(F.collect_list("g").alias("wanted")).join(classes, "rid"), "lists")
-    some = texts.join(maybe_broadcast(lists.select("rid", F.col("doc_id").alias("_doc"))), ["rid"]).where("doc_id <=> _doc").drop("_doc", "doc_id")
-    rows = some.join(lists.select("rid", "wanted", (F.col("n") > 1).alias("copy")), "rid").select("rid", "text", "wanted", "copy").mapInArrow(_contexts(splitters), _CONTEXT)
-    rows = rows.repartition(int(parts), "part").sortWithinPartitions("g")
-    found = stage(rows.mapInArrow(_buckets, _FOUND), "compared")
-    across = found.where("kind = 2").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
-    return found.where("kind = 0").select("rid", "a", "z").unionByName(found.where("kind = 1").join(across, "key", "left_semi").select("rid", "a", "z"))
-
-
 def deduplicate(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for every row of ``docs`` (doc_id, text)."""
     tune(docs.sparkSession)

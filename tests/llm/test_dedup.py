@@ -228,35 +228,58 @@ def suffix_rows():
     return rows
 
 
-def test_suffixes(spark, monkeypatch):
+@pytest.mark.parametrize(("bucket", "slab", "hot"), [(20_000, 2048, 2048), (7, 3, 2048), (7, 3, 2)])
+def test_suffixes(spark, monkeypatch, bucket, slab, hot):
+    """With one bucket, with many, and with tokens that are dealt anew by narrower windows."""
     rows = suffix_rows()
     key = lambda r: (r[0] is None, *((x or 0) if i == 0 else x for i, x in enumerate(r)))
-    want = sorted(suffix_brute(rows), key=key)
-    for bucket in (20_000, 7):
-        monkeypatch.setattr(suffixes, "BUCKET", bucket)
-        got = suffixes.deduplicate(spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, rid int"))
-        assert sorted(map(tuple, got.collect()), key=key) == want
+    monkeypatch.setattr(suffixes, "BUCKET", bucket)
+    monkeypatch.setattr(suffixes, "SLAB", slab)
+    monkeypatch.setattr(suffixes, "HOT", hot)
+    got = suffixes.deduplicate(spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, rid int"))
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(suffix_brute(rows), key=key)
+
+
+def test_suffixes_of_nothing(spark):
     assert suffixes.deduplicate(spark.createDataFrame([], DOCS)).count() == 0
 
 
-def test_a_token_in_several_slabs(monkeypatch):
-    """What single slabs can't see comes back as keys to be compared across."""
-    monkeypatch.setattr(suffixes, "SLAB", 3)
-    contexts = [bytes([65 + i % 2]) * 10 + b"t" * 400 for i in range(10)]
-    batch = pa.RecordBatch.from_pydict(
-        {"part": [0] * 10, "g": [7] * 10, "across": [False] * 10, "witness": [False] * 10, "rid": [bytes([i]) for i in range(10)], "a": [0] * 10, "place": [10] * 10, "starts": [11] * 10, "context": contexts},
-        schema=pa.schema([("part", pa.int32()), ("g", pa.int64()), ("across", pa.bool_()), ("witness", pa.bool_()), ("rid", pa.binary()), ("a", pa.int32()), ("place", pa.int32()), ("starts", pa.int32()), ("context", pa.binary())]),
-    )
-    found = [r for b in suffixes._buckets(iter([batch])) for r in b.to_pylist()]
-    total = Counter()
-    for r in found:
-        if r["kind"] == 2:
-            total[r["key"]] += r["n"]
-    covered = defaultdict(set)
-    for r in found:
-        if r["kind"] == 0 or r["kind"] == 1 and total[r["key"]] > 1:
-            covered[r["rid"]] |= set(range(r["a"], r["z"]))
-    assert all(covered[bytes([i])] == set(range(410)) for i in range(10))
+def test_multikey_order():
+    """Against the order of Python's tuples; groups stay together."""
+    rng = np.random.default_rng(6)
+    rows = rng.integers(0, 3, (400, 21)).astype(np.uint8)
+    rows[100:200] = rows[:100]
+    rows[200:300, :17] = rows[:100, :17]
+    group = rng.integers(0, 3, 400)
+    order = suffixes.multikey_order(group, rows)
+    ranked = [(int(group[i]), rows[i].tobytes()) for i in order]
+    assert ranked == sorted(ranked) and sorted(order.tolist()) == list(range(400))
+    assert len(suffixes.multikey_order(group[:0], rows[:0])) == 0
+
+
+@pytest.mark.parametrize("width", [256, 16, 1])
+def test_repeats_in_a_slab(width):
+    """Each start of each context against all strings of the other contexts of its token at the same distance."""
+    rng = random.Random(width)
+    pieces = ["".join(rng.choices("ab", k=width)).encode() for _ in range(3)]
+    core = [bytes([c]) * (400 + width) for c in b"xy"]
+    g, place, starts, contexts = [], [], [], []
+    for _ in range(40):
+        p = rng.randrange(width)
+        n = rng.randint(1, p + 1)
+        token = rng.randrange(2)
+        left = rng.choice(pieces)
+        tail = rng.choice([b"", bytes(rng.choices(b"uv", k=3))])
+        right = core[token][: 400 - p + n - 1 - len(tail)] + tail
+        g.append(token)
+        place.append(p)
+        starts.append(n)
+        contexts.append((left[width - p :] if p else b"") + right)
+    row, first, last = suffixes.repeats(np.array(g), np.array(place), np.array(starts), contexts, width)
+    got = {(int(r), s) for r, a, z in zip(row, first, last, strict=True) for s in range(a, z + 1)}
+    strings = Counter((g[i], place[i] - s, contexts[i][s : s + 400]) for i in range(40) for s in range(starts[i]))
+    want = {(i, s) for i in range(40) for s in range(starts[i]) if strings[g[i], place[i] - s, contexts[i][s : s + 400]] > 1}
+    assert got == want and want
 
 
 # Vectors
