@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,8 +18,13 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or our own where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """The folder that all executors share: ``spark.checkpoint.dir``; a temporary one where it is unset and all run on this machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{tempfile.gettempdir()}/checkpoints"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -34,6 +40,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 #: Rows of a keys-only side that may be broadcast; a longer one is shuffled.
 BROADCAST_ROWS = 200_000
 
@@ -43,20 +57,27 @@ def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: Parts of a sample that are cut to size each on its own.
+PARTS = 8
+
+
 def bounded_sample(df: DataFrame, rows: int, key: str, by: str | None = None) -> DataFrame:
     """At most ``rows`` rows (of each value of ``by``): those of the smallest hash of ``key``.
 
     Rows are counted first, so that only about twice as many as wanted are
-    sorted, however many there are.
+    sorted, however many there are. With ``by`` each value's rows are dealt by
+    their hash into ``PARTS``, of which each holds its share at most.
     """
-    df = df.withColumn("_h", F.xxhash64(key).bitwiseAND(F.lit((1 << 62) - 1)))
+    h = unused(df, "h")
+    low_hash = F.xxhash64(key).bitwiseAND(F.lit((1 << 62) - 1))
     if by is None:
-        low = df.where(F.col("_h") <= min(1.0, 2.0 * rows / max(1, df.count())) * float(1 << 62))
-        return low.orderBy("_h", key).limit(rows).drop("_h")
-    n = stage(df.groupBy(by).agg(F.count("*").alias("_n")), "counts")
-    low = df.join(maybe_broadcast(n), by).where(F.col("_h") <= F.least(F.lit(1.0), 2.0 * rows / F.col("_n")) * float(1 << 62))
-    low = low.withColumn("_k", F.row_number().over(Window.partitionBy(by).orderBy("_h", key)))
-    return low.where(F.col("_k") <= rows).drop("_h", "_n", "_k")
+        low = df.withColumn(h, low_hash).where(F.col(h) <= min(1.0, 2.0 * rows / max(1, df.count())) * float(1 << 62))
+        return low.orderBy(h, key).limit(rows).drop(h)
+    n, k, value = unused(df, "n"), unused(df, "k"), unused(df, "value")
+    counts = maybe_broadcast(stage(df.groupBy(F.col(by).alias(value)).agg(F.count("*").alias(n)), "counts"))
+    low = df.withColumn(h, low_hash).join(counts, F.col(by) == F.col(value)).where(F.col(h) <= F.least(F.lit(1.0), 2.0 * rows / F.col(n)) * float(1 << 62))
+    low = low.withColumn(k, F.row_number().over(Window.partitionBy(by, F.col(h) % PARTS).orderBy(h, key)))
+    return low.where(F.col(k) <= -(-rows // PARTS)).drop(h, n, k, value)
 
 
 def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
@@ -64,7 +85,8 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
 
     Alternating large-star and small-star: each half is one aggregation (which
     combines on the map side, so a hub costs no more than its edges) and one
-    join; a round's edges are written to the shared folder. Roots, and nodes without an
+    join with its result, which is broadcast while it is small, so that a hub's
+    edges stay where they are; a round's edges are written to the shared folder. Roots, and nodes without an
     edge to another node are not returned. Nulls are ignored.
     """
     if edges.isEmpty():
@@ -73,10 +95,10 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     seen = None
     for _ in range(rounds):
         both = e.union(e.selectExpr("v AS u", "u AS v"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = maybe_broadcast(stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low"))
         large = both.join(low, "u").where("v > u").selectExpr("v AS u", "m AS v")
         large = stage(large.where("u <> v").distinct(), "large")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = maybe_broadcast(stage(large.groupBy("u").agg(F.min("v").alias("m")), "low"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*")
         e = stage(small.where("u <> v").distinct(), "small")
         now = e.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("count(distinct u)")).first()

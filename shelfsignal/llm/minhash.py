@@ -14,8 +14,10 @@ about 5e-6. Exact copies of a set are collapsed before. Buckets are worked off
 with leaders, not with all pairs: a round compares the smallest members of a
 bucket with the rest of it, on full sets; members that meanwhile are in one
 component aren't compared again, and leaders leave the bucket after the round.
-Pairs whose set sizes rule the similarity out, or whose one-bit signatures
-differ in more bits than four standard deviations allow at it, aren't made.
+Pairs whose set sizes rule the similarity out aren't made, nor those whose
+sketches do by their concentration bound: one bit of each coordinate makes a
+signature, and a pair at the threshold differs in more bits than allowed with a
+chance of 1e-11, a small part of what the bands miss.
 What is in mixed buckets after the first round moves to narrower ones: a
 bucket for each of the rarest shingles of a text, so many of them that two
 texts at the similarity must share one (prefix filtering, exact), early enough
@@ -31,12 +33,14 @@ component and is kept. Extra columns are left out here.
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, maybe_broadcast, stage, tune
+from .common import connected_components, maybe_broadcast, stage, tune, unused
 from .textvec import mix, shingle_sets
 
 COORDS, ROWS = 240, 6
@@ -80,10 +84,15 @@ def signature(sketches: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1).view(np.uint64)
 
 
-def most_different(percent: int) -> int:
-    """Bits in which signatures of sets at ``percent`` similarity may differ: four standard deviations above the mean."""
-    p = (1 - percent / 100) / 2
-    return int(COORDS * p + 4 * (COORDS * p * (1 - p)) ** 0.5) + 1
+def most_different(percent: int, chance: float = 1e-11) -> int:
+    """Bits in which signatures of sets at ``percent`` similarity may differ: more of them have at most this ``chance`` (binomial tail)."""
+    p, bits, tail = (1 - percent / 100) / 2, COORDS, 0.0
+    while bits > 0:
+        tail += comb(COORDS, bits) * p**bits * (1 - p) ** (COORDS - bits)
+        if tail > chance:
+            break
+        bits -= 1
+    return bits
 
 
 def _sketched(k: int):
@@ -177,6 +186,15 @@ def rare_elements(texts: DataFrame, k: int, percent: int) -> DataFrame:
     return ranked.where(F.col("r") <= F.col("size") - F.ceil(F.col("size") * percent / 100) + 1).groupBy("h", "id").agg(F.min("r").alias("r"))
 
 
+def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` (node, root) after more links (u, v): only the old roots that they join are looked at."""
+    for end in ("u", "v"):
+        links = links.join(roots.select(F.col("node").alias(end), F.col("root").alias("_root")), end, "left").withColumn(end, F.coalesce("_root", end)).drop("_root")
+    more = stage(connected_components(links.where("u <> v")), "more")
+    moved = roots.join(more.select(F.col("node").alias("root"), F.col("root").alias("_root")), "root", "left").select("node", F.coalesce("_root", "root").alias("root"))
+    return stage(moved.unionByName(more), "roots")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
@@ -192,8 +210,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     texts = stage(docs.join(maybe_broadcast(involved), F.col("id") == F.col("doc_id"), "left_semi"), "texts")
     # one doc_id with several texts joins their classes
     links = live.join(classes, ["f1", "f2"]).where("rep <> doc_id").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    links, tested, leaders, rare = stage(links.distinct(), "links"), None, 1, False
-    roots = connected_components(links)
+    tested, leaders, rare = None, 1, False
+    roots = stage(connected_components(stage(links.distinct(), "links")), "roots")
     size = live.join(left.select("id").distinct(), F.col("id") == F.col("doc_id")).groupBy("id").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"), F.min("bits").alias("bits"), F.count_distinct("f1").alias("texts"))
     size = stage(size.select("id", "low", "high", "texts", *(F.col("bits")[i].alias(f"s{i}") for i in range(4))), "sizes")
     left = left.join(size, "id").withColumn("r", F.lit(0))
@@ -225,8 +243,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         tested = pairs if tested is None else tested.union(pairs)
         new = stage(confirm_pairs(pairs, texts, k, percent), "confirmed")
         if not new.isEmpty():
-            links = stage(links.union(new), "links")
-            roots = connected_components(links)
+            roots = joined(roots, new)
         left = left.join(lead.select("h", F.col("lead").alias("id")), ["h", "id"], "left_anti").select("h", "id", *facts)
         leaders *= 32
     roots = stage(classes.join(roots, F.col("rep") == F.col("node"), "left").select("f1", "f2", F.coalesce("root", "rep").alias("root")), "roots")
@@ -237,12 +254,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that are kept, all columns; of rows with one doc_id (null too) and one text one stays."""
-    gone = near_duplicates(docs, k, percent).where("NOT kept").select(F.col("doc_id").alias("_gone"))
-    out = docs.join(maybe_broadcast(stage(gone, "gone")), F.col("doc_id") == F.col("_gone"), "left_anti")
+    one, twice = unused(docs, "gone"), unused(docs, "again")
+    gone = stage(near_duplicates(docs, k, percent).where("NOT kept").select(F.col("doc_id").alias(one)), "gone")
+    out = docs.join(maybe_broadcast(gone), F.col("doc_id") == F.col(one), "left_anti")
     key = F.xxhash64("doc_id", "text")
-    again = stage(out.groupBy(key.alias("_again")).agg(F.count("*").alias("n")).where("n > 1").select("_again"), "again")
+    again = stage(out.groupBy(key.alias(twice)).agg(F.count("*").alias("n")).where("n > 1").select(twice), "again")
     if again.isEmpty():
         return out
     again = maybe_broadcast(again)
-    once = out.join(again, key == F.col("_again"), "left_anti")
-    return once.unionByName(out.join(again, key == F.col("_again"), "left_semi").dropDuplicates(["doc_id", "text"]))
+    once = out.join(again, key == F.col(twice), "left_anti")
+    return once.unionByName(out.join(again, key == F.col(twice), "left_semi").dropDuplicates(["doc_id", "text"]))
