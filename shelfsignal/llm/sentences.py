@@ -21,8 +21,9 @@ that can be split.
 
 Defined cases: null text stays null, a text without a repeated span stays as
 it is, a text all of whose sentences go becomes empty. Rows of one doc_id
-count as one document if their texts are equal; a null doc_id is left as it
-is. Columns ``_…`` of the input are its own business: other columns pass.
+count as one document if their texts are equal; with different texts they are
+documents of their own, in the order of a hash of the text. A null doc_id is
+left as it is. All columns pass, whatever their names; n_removed is replaced.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stage, tune
+from .common import maybe_broadcast, stage, tune, unused
 from .textvec import _CHUNK, buffers, mix, word_hashes, word_spans
 
 SENTENCES, WORDS = 3, 20
@@ -108,26 +109,36 @@ def spans(data: np.ndarray, offsets: np.ndarray, sentences: int, words: int):
 def _spans(sentences: int, words: int):
     def run(batches):
         for batch in batches:
-            data, offsets = buffers(batch.column(1))
-            ids, i = batch.column(0), 0
+            data, offsets = buffers(batch.column(2))
+            ids, versions, i = batch.column(0), batch.column(1), 0
             while i < len(batch):
                 j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + 2 * _CHUNK, "right")) - 1)
                 doc, value, a, z = spans(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], sentences, words)
-                yield pa.RecordBatch.from_arrays([pa.array(value), ids.take(pa.array(doc + i)), pa.array(a.astype(np.int32)), pa.array(z.astype(np.int32))], names=["h", "doc_id", "a", "z"])
+                row = pa.array(doc + i)
+                yield pa.RecordBatch.from_arrays([pa.array(value), ids.take(row), versions.take(row), pa.array(a.astype(np.int32)), pa.array(z.astype(np.int32))], names=["h", "doc_id", "version", "a", "z"])
                 i = j
 
     return run
 
 
+def versions(docs: DataFrame) -> DataFrame:
+    """``docs`` and, last, a column that tells the texts of one doc_id apart: 0 where there is one row of it, else a hash of the text."""
+    again, version = unused(docs, "again"), unused(docs, "version")
+    several = docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias(again)).agg(F.count("*").alias("n")).where("n > 1").select(again)
+    several = maybe_broadcast(stage(several, "several"))
+    return docs.join(several, F.col("doc_id").cast("long") == F.col(again), "left").withColumn(version, F.when(F.col(again).isNotNull(), F.xxhash64("text")).otherwise(0)).drop(again)
+
+
 def repeated_spans(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS) -> DataFrame:
-    """(doc_id, a, z) in bytes of every span that is not the first of its kind."""
+    """(doc_id, version, a, z) in bytes of every span that is not the first of its kind, for ``docs`` (doc_id, version, text)."""
     tune(docs.sparkSession)
-    docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = stage(docs.mapInArrow(_spans(sentences, words), "h long, doc_id long, a int, z int"), "spans")
+    docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "version", F.col("text").cast("string").alias("text"))
+    found = stage(docs.mapInArrow(_spans(sentences, words), "h long, doc_id long, version long, a int, z int"), "spans")
     several = stage(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "several")
     found = stage(found.join(several, "h", "left_semi"), "met")
-    first = found.groupBy("h").agg(F.min(F.struct("doc_id", "a")).alias("first"), F.max(F.struct("doc_id", "a")).alias("last")).where("first <> last").select("h", "first")
-    return found.join(stage(first, "repeated"), "h").where(F.struct("doc_id", "a") != F.col("first")).select("doc_id", "a", "z")
+    at = F.struct("doc_id", "version", "a")
+    first = found.groupBy("h").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first <> last").select("h", "first")
+    return found.join(stage(first, "repeated"), "h").where(at != F.col("first")).select("doc_id", "version", "a", "z")
 
 
 def _cut(schema: T.StructType, text: int):
@@ -155,7 +166,11 @@ def _cut(schema: T.StructType, text: int):
 
 def remove_repeats(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS) -> DataFrame:
     """``docs`` with the repeated sentences taken out of text, and n_removed (bytes)."""
-    cuts = repeated_spans(docs, sentences, words).groupBy("doc_id").agg(F.collect_set(F.struct("a", "z")).alias("_cuts")).withColumnRenamed("doc_id", "_id")
     docs = docs.drop("n_removed").withColumn("text", F.col("text").cast("string"))
     schema = T.StructType([*docs.schema.fields, T.StructField("n_removed", T.LongType())])
-    return docs.join(stage(cuts, "cuts"), F.col("doc_id") == F.col("_id"), "left").drop("_id").mapInArrow(_cut(schema, docs.columns.index("text")), schema)
+    rows = versions(docs)
+    version, id_, own, cuts = rows.columns[-1], unused(rows, "id"), unused(rows, "own"), unused(rows, "cuts")
+    found = repeated_spans(rows.select("doc_id", F.col(version).alias("version"), "text"), sentences, words)
+    found = found.groupBy(F.col("doc_id").alias(id_), F.col("version").alias(own)).agg(F.collect_set(F.struct("a", "z")).alias(cuts))
+    rows = rows.join(stage(found, "cuts"), (F.col("doc_id").cast("long") == F.col(id_)) & (F.col(version) == F.col(own)), "left").drop(id_, own, version)
+    return rows.mapInArrow(_cut(schema, docs.columns.index("text")), schema)
