@@ -7,8 +7,8 @@ at least half of the largest share in any language; at most ``GRAMS`` n-grams
 a language, the most frequent ones, are kept. These bounds are parameters of
 the classifier; predictions cover every whole text.
 
-The filters of all languages are one array of 64-bit words: word r holds, as
-bit l, position r of language l's filter. The words at the ``HASHES``
+The filters of all languages are arrays of 64-bit words, one for each 64
+languages: word r holds, as bit l, position r of language l's filter. The words at the ``HASHES``
 positions of an n-gram, and-ed, give at once the mask of all languages that
 contain it. A language's popcount over a text is corrected for its filter's
 false positives, (hits - n f) / (1 - f); the largest wins, ties by name.
@@ -16,7 +16,7 @@ false positives, (hits - n f) / (1 - f); the largest wins, ties by name.
 Defined cases: null text and text without a letter is ``und`` with score 0; so
 is any text if nothing could be learned. A text without a known n-gram gets
 the first language with score 0. Rows with null doc_id are predicted like
-others and are not learned from. More than 64 languages are an error.
+others and are not learned from.
 """
 
 from __future__ import annotations
@@ -100,13 +100,11 @@ class Filters:
     """The sliced filters: languages, words, and each language's rate of false positives."""
 
     def __init__(self, languages: list[str], sets: dict[str, np.ndarray]):
-        if len(languages) > 64:
-            raise ValueError("more than 64 languages")
-        self.languages, self.words = languages, np.zeros(POSITIONS, np.uint64)
+        self.languages, self.words = languages, np.zeros((-(-len(languages) // 64) or 1, POSITIONS), np.uint64)
         rates = []
         for bit, lang in enumerate(languages):
             at = np.unique(self.at(sets[lang]))
-            self.words[at] |= np.uint64(1 << bit)
+            self.words[bit // 64, at] |= np.uint64(1 << bit % 64)
             rates.append((len(at) / POSITIONS) ** HASHES)
         self.rates = np.array(rates)
 
@@ -117,9 +115,10 @@ class Filters:
         return np.stack([((h >> np.uint64(20 * i)) & np.uint64(POSITIONS - 1)).astype(np.int64) for i in range(HASHES)])
 
     def masks(self, code: np.ndarray) -> np.ndarray:
+        """A mask of all languages for each n-gram, 64 languages a row."""
         out = None
         for at in self.at(code):
-            out = self.words[at] if out is None else out & self.words[at]
+            out = self.words[:, at] if out is None else out & self.words[:, at]
         return out
 
     def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -128,7 +127,7 @@ class Filters:
         n = np.bincount(doc, minlength=len(texts)).astype(float)
         mask, hits = self.masks(code), np.zeros((len(texts), len(self.languages)))
         for bit in range(len(self.languages)):
-            hits[:, bit] = np.bincount(doc, ((mask >> np.uint64(bit)) & np.uint64(1)).astype(float), len(texts))
+            hits[:, bit] = np.bincount(doc, ((mask[bit // 64] >> np.uint64(bit % 64)) & np.uint64(1)).astype(float), len(texts))
         return np.maximum(0, (hits - n[:, None] * self.rates) / (1 - self.rates)), n
 
 
