@@ -12,8 +12,8 @@ emptied when full; the new pieces of a batch go to the library in one call,
 words joined to long strings.
 
 Defined cases: a null or empty text has no tokens; ids outside the vocabulary
-are an error; special tokens' strings are ordinary text; null ids decode to
-empty bytes. Extra columns pass unless they bear the names of the results,
+are an error; special tokens' strings are ordinary text; null ids and null
+lists of ids decode to empty bytes. Extra columns pass unless they bear the names of the results,
 which then replace them.
 """
 
@@ -127,13 +127,16 @@ def _decoded(path: str):
         piece = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             piece[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
+        piece.append(b"")  # what a null id stands for
         size = np.array([len(x) for x in piece])
         start, table = np.cumsum(size) - size, np.frombuffer(b"".join(piece), np.uint8)
         for batch in batches:
             lists = pc.fill_null(batch.column(0), []) if batch.column(0).null_count else batch.column(0)
-            ids = lists.flatten().fill_null(-1).to_numpy()
-            if len(ids) and not 0 <= ids.min() <= ids.max() < len(size):
+            ids = lists.flatten()
+            known = ids.drop_null().to_numpy()
+            if len(known) and not 0 <= known.min() <= known.max() < len(size) - 1:
                 raise ValueError("an id lies outside the vocabulary")
+            ids = ids.fill_null(len(size) - 1).to_numpy()
             tokens = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
             data = table[_spread(start[ids], size[ids])]
             offsets = np.concatenate([[0], np.cumsum(size[ids])])[tokens]
