@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, stage, tune
+from .common import maybe_broadcast, stage, tune, unused
 from .textvec import _CHUNK, buffers, mix, word_hashes, word_spans
 
 WINDOW, COVER = 8, 0.5
@@ -224,5 +224,6 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: f
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: float = COVER) -> DataFrame:
     """The rows of ``docs`` without a contaminated document, all columns."""
-    gone = stage(contaminated(docs, benchmark, window, cover).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(maybe_broadcast(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = unused(docs, "gone")
+    found = stage(contaminated(docs, benchmark, window, cover).select(F.col("doc_id").alias(gone)).distinct(), "gone")
+    return docs.join(maybe_broadcast(found), F.col("doc_id") == F.col(gone), "left_anti")

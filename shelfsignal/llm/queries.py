@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from . import bpe, chat, decontam, htmlnet, langid, minhash, quality, sentences, suffixes, vectors
 
 
-def _tokenizer() -> str:
+def tokenizer() -> str:
+    """The path of the vocabulary that the registered queries and the pipeline use."""
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
@@ -24,7 +25,7 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(_table(spark, sf_dir, "documents"), _tokenizer())
+    return bpe.digests(_table(spark, sf_dir, "documents"), tokenizer())
 
 
 def op3_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

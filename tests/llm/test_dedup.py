@@ -177,6 +177,21 @@ def test_sentence_spans(spark):
     assert sentences.remove_repeats(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_texts_of_one_id_are_cut_apart(spark):
+    """Rows of one doc_id with different texts, and columns with the names that the plans use."""
+    span = "die größte Übung, heißt es, ist die längste: wer früh übt, der bleibt schön dabei, und wer spät beginnt, der müht sich ab und kommt doch an."
+    rows = [(1, f"ää öö. {span}"), (1, f"ü. {span} ende"), (2, span), (1, f"ää öö. {span}"), (None, span), (3, "ganz anders")]
+    names = "doc_id long, text string, _id int, id int, _gone int, gone int, version int, again int, cuts int, own int, h int, n int"
+    docs = spark.createDataFrame([(*r, *range(10)) for r in rows], names)
+    got = sentences.remove_repeats(docs)
+    assert got.columns == [*docs.columns, "n_removed"]
+    texts = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+    assert sum(span in t for d, t in texts if d is not None) in (1, 2)  # 2: the first text of its doc_id stands in two rows
+    assert (None, span) in texts and (3, "ganz anders") in texts and len(texts) == 6
+    assert all(set(tuple(r)[2:12]) == set(range(10)) for r in got.collect())
+    assert set(minhash.keep_one(docs).columns) == set(docs.columns)
+
+
 def test_repeated_windows_of_51_words(spark):
     """Against plain windows of words, whatever the punctuation: of a repeated run some words at its edges stay at most."""
     rng = random.Random(9)

@@ -48,6 +48,10 @@ def test_bpe_offsets_and_extra_columns(spark, paths):
     assert list(zip(r["first"], r["end"], strict=True)) == want
     back = bpe.decode_text(coded, paths[0]).collect()
     assert {x.doc_id: x.text for x in back} == {1: text, 2: ""}
+    odd = spark.createDataFrame([(1, [r["ids"][0], None, r["ids"][1]]), (2, None), (3, []), (4, [None])], "doc_id long, ids array<int>")
+    assert {x.doc_id: x.text for x in bpe.decode_text(odd, paths[0]).collect()} == {1: text[: r["end"][1]], 2: "", 3: "", 4: ""}
+    with pytest.raises(Exception, match="outside the vocabulary"):
+        bpe.decode_text(spark.createDataFrame([(1, [10**6])], "doc_id long, ids array<int>"), paths[0]).collect()
 
 
 def test_pieces_that_are_forgotten(paths, monkeypatch):
@@ -158,6 +162,25 @@ def test_ranking(spark):
     assert {r.score for r in quality.rank(docs, quality.learn(docs, labels.limit(0))).collect()} == {0.5}
 
 
+def test_threshold_is_that_of_all_labels():
+    """Scores against step by step figures; a capped sample of the labels must not move the threshold."""
+    rng = np.random.default_rng(5)
+    y = (rng.random(4000) < 0.1).astype(int)
+    x = rng.standard_normal((4000, quality.WIDTH)) + 0.8 * y[:, None] * (np.arange(quality.WIDTH) < 3)
+    whole = quality.fit(x, y)
+    share = (whole.score(x) >= 0.5).mean()
+    assert abs(share - y.mean()) < 0.005
+    some = np.concatenate([np.flatnonzero(y == 1)[:200], np.flatnonzero(y == 0)[:200]])
+    capped = quality.fit(x[some], y[some], {0: int((y == 0).sum()), 1: int((y == 1).sum())})
+    plain = quality.fit(x[some], y[some])
+    assert abs((capped.score(x) >= 0.5).mean() - share) < 0.1 < 0.15 < abs((plain.score(x) >= 0.5).mean() - share)
+    assert quality.quantile(np.array([3.0, 1.0, 2.0, 4.0]), np.array([1.0, 1.0, 1.0, 1.0]), 0.5) == 2.5
+    for i in (0, 17):
+        z = [min(8, max(-8, (x[i, j] - whole.mean[j]) / whole.scale[j])) for j in range(quality.WIDTH)]
+        margin = sum(a * b for a, b in zip(z, whole.weights, strict=True)) - whole.threshold
+        assert abs(whole.score(x[i : i + 1])[0] - 1 / (1 + np.exp(-margin))) < 1e-9
+
+
 # Decontamination
 
 
@@ -232,10 +255,26 @@ def test_language_of_each_row(spark):
 def test_filters_return_every_member():
     sets = {"a": np.arange(5000, dtype=np.uint64), "b": np.arange(2500, 9000, dtype=np.uint64)}
     f = langid.Filters(["a", "b"], sets)
-    assert (f.masks(sets["a"]) & np.uint64(1)).all() and (f.masks(sets["b"]) & np.uint64(2)).all()
+    assert (f.masks(sets["a"])[0] & np.uint64(1)).all() and (f.masks(sets["b"])[0] & np.uint64(2)).all()
     assert (f.masks(np.arange(10**6, 10**6 + 20_000, dtype=np.uint64)) != 0).mean() < 0.02
 
 
+def test_many_languages():
+    """Against exact sets of n-grams, with more languages than a word has bits."""
+    rng = random.Random(12)
+    names = [f"l{i:03}" for i in range(130)]
+    text = {x: " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(120)) for x in names}
+    sets = {x: np.unique(langid.grams([t])[0]) for x, t in text.items()}
+    f = langid.Filters(names, sets)
+    some = names[::7]
+    count, n = f.counts([text[x] for x in some])
+    for row, x in enumerate(some):
+        code = langid.grams([text[x]])[0]
+        exact = np.array([np.isin(code, sets[y]).sum() for y in names])
+        assert n[row] == len(code) and names[int(count[row].argmax())] == x == names[int(exact.argmax())]
+        assert np.abs(count[row] - exact).max() < 0.02 * len(code) + 5
+
+
 # Pipeline
 
 
