@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from shelfsignal.llm import bpe, decontam, langid, minhash, sentences
 from shelfsignal.llm.common import stage
-from shelfsignal.llm.queries import _tokenizer
+from shelfsignal.llm.queries import tokenizer
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and the text decoded from them."""
-    path = _tokenizer()
+    path = tokenizer()
     coded = bpe.encode(docs.select("doc_id", "text"), path).select("doc_id", "ids", F.col("ids").alias("kept_ids"))
     out = bpe.decode_text(coded, path)
     return out.select("doc_id", F.size("kept_ids").cast("long").alias("n_tokens"), F.col("kept_ids").alias("ids"), "text")
