@@ -1,11 +1,14 @@
 """Main text of HTML pages: a recurrent labeller of blocks.
 
 A page is cut into leaf blocks: runs of text between block-level tags, with
-the path of open tags above them. Scripts, styles, comments and the head are
-no text; an unclosed paragraph or list item ends where the next one begins; an
-end tag closes what is open inside it, one without a start is ignored. A block
-becomes a vector: hashed names of tags, classes and ids on its path, hashed
-words, share of text in links and so on. A bidirectional LSTM in numpy reads
+the path of open tags above them. Scripts, styles, templates, frames, comments
+and the head are no text (``SILENT``); text in noscript, math, svg, object,
+canvas, audio and video is text like any other. An unclosed paragraph or list
+item ends where the next one begins; an end tag closes what is open inside it,
+one without a start is ignored; a silent element closed by ``/>`` holds
+nothing; a tag that never ends is dropped with what follows it. The cut takes
+time in proportion to the page. A block becomes a vector: hashed names of tags,
+classes and ids on its path, hashed words, share of text in links and so on. A bidirectional LSTM in numpy reads
 the whole sequence of a page, and a logistic layer labels every block with
 what it has seen on both sides. Blocks labelled as main text are joined in
 page order.
@@ -28,6 +31,7 @@ import html
 import io
 import re
 import zlib
+from collections import Counter
 from functools import lru_cache
 from itertools import chain
 
@@ -42,11 +46,13 @@ PATH, WORDS, EXTRA, HIDDEN = 96, 16, 6, 20
 WIDTH = PATH + WORDS + EXTRA
 PAGES, SAMPLE, SAMPLE_CHARS, EPOCHS, BATCH, SEED = 1200, 200, 200_000, 10, 24, 5
 #: Elements that break text into blocks, that have no end, whose content is no text, and that an own sibling ends.
-BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section select summary table tbody td textarea tfoot th thead tr ul".split())
+BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav noscript ol option p pre section select summary table tbody td textarea tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template svg math head title iframe object canvas audio video map".split())
+SILENT = frozenset("script style template head title iframe".split())
 ENDS = {"li": "li", "p": "p", "dt": "dt dd", "dd": "dt dd", "tr": "tr", "td": "td th", "th": "td th", "option": "option"}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)/?>|<[!?][^>]*>|[^<]+|<", re.S | re.I)
+_QUOTES = re.compile(r"[>\"']")
+_RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in ("script", "style")}
+_TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
 
@@ -66,19 +72,51 @@ def _node(tag: str, attributes: str) -> tuple[str, ...]:
     return tuple(names)
 
 
+class Path:
+    """The names of the elements open above a block; paths with a common begin share it, and a vector."""
+
+    __slots__ = ("depth", "inner", "names", "parent", "sum")
+    count = 0
+
+    def __init__(self, parent: Path | None, names: tuple[str, ...], fresh: bool):
+        self.parent, self.names, self.inner = parent, names, {}
+        self.depth = parent.depth + 1 if parent else 0
+        self.sum = parent.sum if parent else np.zeros(PATH, np.float32)
+        if fresh:  # names that stand twice on a path count once
+            self.sum = self.sum.copy()
+            for name in names:
+                at, sign = _dim(name, PATH)
+                self.sum[at] += sign
+        Path.count += 1
+
+    def within(self, names: tuple[str, ...], fresh: bool) -> Path:
+        found = self.inner.get(names)
+        if found is None:
+            found = self.inner[names] = Path(self, names, fresh)
+        return found
+
+
 @lru_cache(65536)
-def _path_vector(path: tuple[tuple[str, ...], ...]) -> np.ndarray:
+def _leaf(names: tuple[str, ...]) -> np.ndarray:
+    """What the innermost element of a path adds to its vector."""
     v = np.zeros(PATH, np.float32)
-    for names in set(path):
-        for name in names:
-            at, sign = _dim(name, PATH)
-            v[at] += sign
-    for name in path[-1] if path else ():
+    for name in names:
         at, sign = _dim("leaf " + name, PATH)
         v[at] += sign
     return v
 
 
+_root = Path(None, (), False)
+
+
+def root() -> Path:
+    """The path of nothing; paths of earlier pages are forgotten when they are many."""
+    global _root
+    if Path.count > 65_536:
+        _root, Path.count = Path(None, (), False), 0
+    return _root
+
+
 class _Words(dict):
     def __missing__(self, word: str) -> int:
         at = _dim(word, WORDS)[0]
@@ -90,40 +128,105 @@ class _Words(dict):
 _words = _Words()
 
 
-def blocks(page: str) -> list[tuple[str, tuple, float]]:
+def tokens(page: str):
+    """(text, None, None) and (None, tag, attributes) for start tags, (None, "/tag", None) for end tags, in one pass."""
+    at, n, none_left = 0, len(page), set()
+    while at < n:
+        lt = page.find("<", at)
+        if lt < 0:
+            yield page[at:], None, None
+            return
+        follows = page[lt + 1 : lt + 2]
+        if not (follows.isascii() and follows.isalpha() or follows in ("/", "!", "?") and follows):
+            yield page[at : lt + 1], None, None
+            at = lt + 1
+            continue
+        if lt > at:
+            yield page[at:lt], None, None
+        m = _TAG.match(page, lt + 1)
+        if m is None:  # a comment, or what counts as one
+            long = page.startswith("<!--", lt)
+            end = page.find("-->" if long else ">", lt + (4 if long else 2))
+            if end < 0:
+                return
+            at = end + (3 if long else 1)
+            continue
+        end = m.end()
+        while True:  # quotes count after an equals sign, where they close
+            q = _QUOTES.search(page, end)
+            if q is None:
+                return
+            end = q.end()
+            if q[0] == ">":
+                break
+            if q[0] not in none_left and page[max(m.end(), q.start() - 64) : q.start()].rstrip()[-1:] == "=":
+                close = page.find(q[0], end)
+                if close < 0:
+                    none_left.add(q[0])
+                else:
+                    end = close + 1
+        tag, inner = m[2].lower(), page[m.end() : end - 1]
+        at = end
+        if m[1]:
+            yield None, "/" + tag, None
+            continue
+        closed = inner[-1:] == "/" and tag in SILENT and (len(inner) == 1 or inner[-2] in " \t\r\n\f\"'")
+        if tag in _RAW:
+            if not closed:
+                stop = _RAW[tag].search(page, at)
+                if stop is None:
+                    return
+                at = stop.start()
+                yield None, tag, inner
+            continue
+        if not closed:
+            yield None, tag, inner
+
+
+def blocks(page: str) -> list[tuple[str, Path, float]]:
     """(text, path of names, share of its characters in links) of every leaf block."""
-    out, stack, parts, linked, silent = [], [], [], 0, 0
-    links = 0
+    out, stack, paths, open_, named, parts, linked = [], [], [root()], Counter(), Counter(), [], 0
+    own: list[int] = []  # places of block elements in the stack
+    silent: list[int] = []  # and of silent ones
 
     def flush():
         nonlocal parts, linked
         if parts:
             text = "".join(parts)
+            size = len(text)
             text = " ".join((html.unescape(text) if "&" in text else text).split())
             if text:
-                out.append((text, tuple(n for t, n in stack if t in BLOCKS), min(1.0, linked / max(1, sum(map(len, parts))))))
+                out.append((text, paths[-1], min(1.0, linked / max(1, size))))
         parts, linked = [], 0
 
-    for m in _TOKEN.finditer(page):
-        tag = m[3]
+    def close(least: int) -> None:
+        """Close all elements from the place ``least`` of the stack on."""
+        while len(stack) > least:
+            tag = stack.pop()
+            open_[tag] -= 1
+            if tag in SILENT:
+                silent.pop()
+            if tag in BLOCKS:
+                named[paths[-1].names] -= 1
+                paths.pop()
+                own.pop()
+
+    for text, tag, attributes in tokens(page):
         if tag is None:
-            word = m[0]
-            if m[1] is None and not silent and not word.startswith(("<!", "<?")):
-                parts.append(word)
-                if links:
-                    linked += len(word)
+            if not silent:
+                parts.append(text)
+                if open_["a"]:
+                    linked += len(text)
             continue
-        tag = tag.lower()
-        if m[2]:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if at is None:
-                continue
-            closed = [t for t, _ in stack[at:]]
-            if any(t in BLOCKS for t in closed):
-                flush()
-            del stack[at:]
-            silent -= sum(t in SILENT for t in closed)
-            links -= closed.count("a")
+        if tag[0] == "/":
+            tag = tag[1:]
+            if open_[tag] > 0:
+                at = len(stack) - 1
+                while stack[at] != tag:
+                    at -= 1
+                if own and own[-1] >= at:
+                    flush()
+                close(at)
             continue
         if tag in VOID:
             if tag == "br":
@@ -131,33 +234,31 @@ def blocks(page: str) -> list[tuple[str, tuple, float]]:
             elif tag in BLOCKS:
                 flush()
             continue
-        if silent and tag == "body":
-            stack, silent, links = [x for x in stack if x[0] not in SILENT], 0, 0
+        if tag == "body" and silent:
+            close(silent[0])
         if tag in BLOCKS:
             flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if tag in ENDS and stack[i][0] in ENDS[tag].split() or stack[i][0] == "p":
-                    del stack[i:]
-                    links = sum(t == "a" for t, _ in stack)
-                    break
-                if stack[i][0] in BLOCKS:
-                    break
-        stack.append((tag, _node(tag, m[4] or "")))
-        silent += tag in SILENT
-        links += tag == "a"
+            if own and (stack[own[-1]] == "p" or tag in ENDS and stack[own[-1]] in ENDS[tag].split()):
+                close(own[-1])
+            names = _node(tag, attributes)
+            named[names] += 1
+            paths.append(paths[-1].within(names, named[names] == 1))
+            own.append(len(stack))
+        if tag in SILENT:
+            silent.append(len(stack))
+        stack.append(tag)
+        open_[tag] += 1
     flush()
     return out
 
 
-def vectors(pages: list[list[tuple[str, tuple, float]]]) -> list[np.ndarray]:
+def vectors(pages: list[list[tuple[str, Path, float]]]) -> list[np.ndarray]:
     """A vector for each block of each page."""
     sizes = [len(f) for f in pages]
     found = [b for f in pages for b in f]
     x = np.zeros((len(found), WIDTH), np.float32)
     if found:
-        paths: dict[tuple, int] = {}
-        at = [paths.setdefault(b[1], len(paths)) for b in found]
-        x[:, :PATH] = np.stack([_path_vector(p) for p in paths])[at]
+        x[:, :PATH] = np.stack([b[1].sum for b in found]) + np.stack([_leaf(b[1].names) for b in found])
         words = [b[0].lower().split() for b in found]
         n = np.array([len(w) for w in words])
         dims = np.fromiter(map(_words.__getitem__, chain.from_iterable(words)), np.int64, int(n.sum()))
@@ -165,7 +266,7 @@ def vectors(pages: list[list[tuple[str, tuple, float]]]) -> list[np.ndarray]:
         x[:, PATH : PATH + WORDS] = counts / np.maximum(1, np.sqrt((counts**2).sum(axis=1)))[:, None]
         stops = np.array([b[0].count(".") + b[0].count(",") for b in found])
         full = [b[0][-1] in ".!?" for b in found]
-        x[:, PATH + WORDS :] = np.stack([np.log1p(n) / 3, [b[2] for b in found], np.minimum(1, stops / np.maximum(1, n)), full, [len(b[1]) / 8 for b in found], np.ones(len(found))], axis=1)
+        x[:, PATH + WORDS :] = np.stack([np.log1p(n) / 3, [b[2] for b in found], np.minimum(1, stops / np.maximum(1, n)), full, [min(b[1].depth, 64) / 8 for b in found], np.ones(len(found))], axis=1)
     return np.split(x, np.cumsum(sizes)[:-1]) if sizes else []
 
 
@@ -185,8 +286,8 @@ class Network:
             self.p[f"c{d}"][HIDDEN : 2 * HIDDEN] = 1
         self.p |= {"V": init(2 * HIDDEN + WIDTH, 1), "v": np.zeros(1, np.float32)}
 
-    def _read(self, x, mask, d):
-        """States of one direction over (steps, pages, WIDTH), and what the way back needs."""
+    def _read(self, x, mask, d, back: bool):
+        """States of one direction over (steps, pages, WIDTH), and what the way back needs if there is one."""
         steps, n, _ = x.shape
         pre = x.reshape(steps * n, -1) @ self.p[f"W{d}"] + self.p[f"c{d}"]
         pre = pre.reshape(steps, n, -1)
@@ -199,20 +300,21 @@ class Network:
             m = mask[t][:, None]
             new = f * c + i * u
             tanh = np.tanh(new)
-            kept.append((t, h, c, i, f, o, u, tanh, m))
+            if back:
+                kept.append((t, h, c, i, f, o, u, tanh, m))
             c = np.where(m, new, c)
             h = np.where(m, o * tanh, h)
             out[t] = h
         return out, kept
 
-    def forward(self, x, mask):
-        hf, kf = self._read(x, mask, "f")
-        hb, kb = self._read(x, mask, "b")
+    def forward(self, x, mask, back: bool = False):
+        hf, kf = self._read(x, mask, "f", back)
+        hb, kb = self._read(x, mask, "b", back)
         z = np.concatenate([hf, hb, x], axis=2)
         return _sigmoid((z @ self.p["V"])[:, :, 0] + self.p["v"]), z, kf, kb
 
     def gradients(self, x, mask, y):
-        p, z, kf, kb = self.forward(x, mask)
+        p, z, kf, kb = self.forward(x, mask, True)
         e = np.where(mask, p - y, 0) / mask.sum()
         grad = {k: np.zeros_like(v) for k, v in self.p.items()}
         grad["V"] = (z.reshape(-1, z.shape[2]).T @ e.reshape(-1, 1)).astype(np.float32)
@@ -332,7 +434,7 @@ class Layouts:
         if kind == 4:
             return wrap(self.named(AD_NAMES, ("div", "div", "p", "section", "aside")), self.pick([self.prose(1, 30), f"<p>{self.prose(3, 30, 0.1)}</p>"]))
         if kind == 5:
-            return wrap(self.named(NOTICE_NAMES, ("div", "div", "p", "section")), self.short(0.5) + self.pick(["", f"<button>{self.prose(1, 2, 1)}</button>"]))
+            return wrap(self.pick([("<noscript>", "</noscript>"), *(self.named(NOTICE_NAMES, ("div", "div", "p", "section")) for _ in range(5))]), self.short(0.5) + self.pick(["", f"<button>{self.prose(1, 2, 1)}</button>"]))
         if kind == 6:
             return wrap(("<form>", "</form>") if self.rng.random() < 0.7 else self.named(["search", "login-form", "form", "signup"]), f"<label>{self.prose(1, 4, 0.6)}</label><input><select><option>{self.prose(1, 2)}</option><option>{self.prose(1, 2)}</option></select><button>{self.prose(1, 2, 1)}</button>")
         if kind == 7:
@@ -340,7 +442,7 @@ class Layouts:
         return wrap(self.named(SHARE_NAMES), self.link_list(1, 5, 0.6))
 
     def paragraph(self) -> str:
-        kind = int(self.rng.integers(14))
+        kind = int(self.rng.integers(15))
         text = self.prose(*self.pick([(1, 4), (3, 20), (10, 60), (20, 120)]))
         if kind == 0:
             return f"<h2>{self.prose(1, 9)}</h2>"
@@ -358,6 +460,8 @@ class Layouts:
             return f"<div>{text}</div>"
         if kind == 7:
             return f"<pre>{text}</pre>"
+        if kind == 9:
+            return self.pick([f"<noscript><p>{text}</p></noscript>", f"<p>{self.prose(2, 9)} <math><mi>{self.prose(1, 3)}</mi></math> {self.prose(2, 20)}</p>", f"<object><p>{text}</p></object>", f"<div><p>{text}</p></div>"])
         if kind == 8:
             return f'<p>{self.prose(3, 20)} <a href="/y">{self.prose(1, 3)}</a> {self.prose(1, 20)}</p>'
         return f"<p>{text}</p>"
@@ -387,15 +491,18 @@ class Layouts:
 def _trained(batches):
     """One row: the parameters of a network trained with the words of all rows."""
     some = sorted(h for batch in batches for h in batch.column("html").to_pylist())
-    words = [w for h in some for text, _, _ in blocks(h) for w in text.split()[:400]]
+    words = [w for h in some for text, _, _ in blocks(h) for w in text.split()]
     layouts, seen = Layouts(words), []
     while len(seen) < PAGES:
         page, labels = layouts.page()
         found = blocks(page)
         if found and len(found) == len(labels):
             seen.append((found, np.array(labels, np.float32)))
+    rows = vectors([f for f, _ in seen])
+    for x in rows:  # half of the pages without their words, so that these don't outweigh the layout
+        x[:, PATH : PATH + WORDS] *= layouts.rng.random() < 0.5
     network = Network()
-    network.train([*zip(vectors([f for f, _ in seen]), [y for _, y in seen], strict=True)])
+    network.train([*zip(rows, [y for _, y in seen], strict=True)])
     kept = io.BytesIO()
     np.savez(kept, **network.p)
     yield pa.RecordBatch.from_arrays([pa.array([kept.getvalue()], pa.binary())], names=["parameters"])

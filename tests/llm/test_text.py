@@ -70,8 +70,32 @@ def test_blocks():
     page = "<html><head><title>t</title></head><body><script>var a='</p>';</script><!-- x --><nav><a href='/'>Home</a></nav><p>One &amp; two\n three<p>Four<br>five<ul><li>a<li>b</ul></article><div class='mainText'>six</body>"
     found = htmlnet.blocks(page)
     assert [b[0] for b in found] == ["Home", "One & two three", "Four five", "a", "b", "six"]
-    assert found[0][2] == 1.0 and found[1][2] == 0.0 and ".main" in found[-1][1][-1]
-    assert htmlnet.blocks("") == [] and htmlnet.blocks("plain < text") == [("plain < text", (), 0.0)]
+    assert found[0][2] == 1.0 and found[1][2] == 0.0 and ".main" in found[-1][1].names and found[1][1].depth == 3
+    assert htmlnet.blocks("") == [] and [(t, p.depth, x) for t, p, x in htmlnet.blocks("plain < text")] == [("plain < text", 0, 0.0)]
+
+
+def test_what_is_text():
+    """Only scripts, styles, templates, frames and the head are silent; a silent element closed by a slash holds nothing."""
+    text = lambda page: [b[0] for b in htmlnet.blocks(page)]
+    assert text("<p>Energy is <math>E=m</math> here.</p>") == ["Energy is E=m here."]
+    assert text("<p>a</p><noscript><p>b</p></noscript><p>c<svg><path d='x'/><text>d</text></svg>e") == ["a", "b", "cde"]
+    assert text("<div>a<iframe src='x' /><p>b<template>c</template></p>d</div>") == ["a", "b", "d"]
+    assert text("<p>a<iframe>x</p><p>b") == ["a", "b"]
+    assert text("<p title='>' class=x/>a</p><p data-x=\"it's > 1\">b</p><p it's>c</p>") == ["a", "b", "c"]
+    assert text("a<script>if (a < b) '</p>'</scripts></script >b<style>x</style") == ["ab"]
+    assert text("<head><title>t</title><body>x<title>u</title>y") == ["xy"]
+    assert text("a <!-- <p> --> b <!x> c <?y?> d </> e </ f> g <") == ["a b c d e g <"]
+    assert text("a<p class='never closed") == ["a"]
+
+
+@pytest.mark.parametrize("part", ["<a ", "<div>x", "<i><p>y</p>", "<div></x>", '<a href="x ', "<!-- ", "< ", "<script> ", "<title><body>", "<p>z</div>"])
+def test_time_follows_the_length(part):
+    import time
+
+    page = part * (400_000 // len(part))
+    start = time.process_time()
+    htmlnet.blocks(page)
+    assert time.process_time() - start < 3
 
 
 def test_gradients():
