@@ -1,140 +1,64 @@
-"""Data health, detection quality and recovery metrics."""
+"""Detection quality and recovery metrics."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..context import Context
-from ..functions.columns import hours_between, priority_rank, ratio
-
-# Per dataset the table, the columns that must be filled, the date column and the hours it may be old.
-HEALTH = {
-    "sales": ("sales", ("date", "sku", "quantity"), "date", 48),
-    "inventory": ("inventory", ("sku", "on_hand_qty"), "as_of_date", 72),
-    "purchase_orders": ("purchase_orders", ("po_number", "sku", "qty_ordered", "order_date"), "order_date", 168),
-    "products": ("products", ("sku", "name", "selling_price"), None, 720),
-    "stores": ("stores", ("name", "city"), None, 2160),
-}
-# Weights of the health score.
-WEIGHTS = {"freshness": 0.35, "completeness": 0.25, "validity": 0.25, "referential": 0.15}
-
+from ..functions.columns import hours_between, priority_rank
 
 def pct(a: Column, b: Column) -> Column:
     """Percentage to one digit; null without a denominator."""
     return F.when(b > 0, F.round(a.cast("double") / b.cast("double") * 100 + 1e-9, 1))
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), parts)
-
-
-def completeness(ctx: Context) -> DataFrame:
-    """Share of filled values in each critical column, and their mean, per dataset; one pass a dataset."""
-    out = []
-    for name, (table, columns, _, _) in HEALTH.items():
-        shares = F.array(*(F.struct(F.lit(c).alias("column"), ratio(F.count(F.col(c)), F.count("*"), 100).alias("share")) for c in columns))
-        row = ctx.table(table).agg(F.count("*").alias("rows"), shares.alias("s"))
-        out.append(row.select(F.lit(name).alias("dataset"), "rows", F.explode("s").alias("e")).select("dataset", "rows", "e.column", F.round("e.share", 4).alias("share")))
-    return _union(out)
-
-
-def freshness(ctx: Context) -> DataFrame:
-    """Hours since the newest date, or the last completed import; 100 up to the limit, then down to 0 at thrice it."""
-    out = []
-    runs = ctx.table("runs").where(F.col("status") != "failed").groupBy(F.col("data_type").alias("dataset")).agg(F.max("completed_at").alias("last_run"))
-    for name, (table, _, column, limit) in HEALTH.items():
-        newest = F.max(F.col(column)).cast("timestamp") if column else F.lit(None).cast("timestamp")
-        out.append(ctx.table(table).agg(newest.alias("newest"), F.count("*").alias("rows")).select(F.lit(name).alias("dataset"), "newest", "rows", F.lit(limit).alias("limit")))
-    rows = _union(out).join(runs, "dataset", "left")
-    day = F.lit(ctx.as_of).cast("timestamp")
-    age = F.when(F.col("newest").isNotNull(), F.abs(hours_between(day, F.col("newest")))).otherwise(F.abs(hours_between(ctx.clock(), F.col("last_run"))))
-    rows = rows.withColumn("hours", age)
-    score = F.when(F.col("hours") <= F.col("limit"), 100.0).otherwise(F.greatest(F.lit(0.0), 100 * (1 - (F.col("hours") - F.col("limit")) / (2 * F.col("limit")))))
-    return rows.select("dataset", "rows", F.round("hours", 4).alias("hours"), F.round(score, 4).alias("freshness"))
-
-
-def validity(ctx: Context) -> DataFrame:
-    """From the latest run of each dataset: its score, else imported rows of processed ones."""
-    last = ctx.table("runs").groupBy(F.col("data_type").alias("dataset")).agg(F.max_by(F.struct("validation_score", "rows_imported", "rows_processed"), "id").alias("r"))
-    score = F.coalesce(F.col("r.validation_score").cast("double"), ratio(F.col("r.rows_imported"), F.col("r.rows_processed"), 100), F.lit(100.0))
-    return last.select("dataset", F.round(F.least(F.lit(100.0), F.greatest(F.lit(0.0), score)), 4).alias("validity"))
-
-
-def referential(ctx: Context) -> DataFrame:
-    """Rows whose SKU is no product, for the three fact tables."""
-    known = ctx.table("products").select("sku").distinct().withColumn("known", F.lit(1))
-    out = []
-    for name in ("sales", "inventory", "purchase_orders"):
-        rows = ctx.table(HEALTH[name][0]).select("sku").join(known, "sku", "left")
-        out.append(rows.agg(F.count("*").alias("rows"), F.count_if(F.col("known").isNull()).alias("orphans")).withColumn("dataset", F.lit(name)))
-    return _union(out).select("dataset", "rows", "orphans", F.when(F.col("rows") > 0, F.round((1 - F.col("orphans") / F.col("rows")) * 100, 4)).otherwise(100.0).alias("referential"))
+# The stages of the funnel, in order, and the outcome states that count as recovery.
+STAGES = ("Potential anomalies", "Investigations", "Reviewed / accepted", "Actionable", "Action taken", "Resolved", "Observed recovery")
+RECOVERED = ("observed_recovery", "partial_recovery")
 
 
-def health_scores(ctx: Context) -> DataFrame:
-    """Composite score and status of each dataset."""
-    c = completeness(ctx).groupBy("dataset").agg(F.avg("share").alias("completeness"))
-    rows = freshness(ctx).join(c, "dataset").join(validity(ctx), "dataset", "left").join(referential(ctx).select("dataset", "referential", "orphans"), "dataset", "left")
-    rows = rows.withColumns({"validity": F.coalesce("validity", F.lit(100.0)), "referential": F.coalesce("referential", F.lit(100.0)), "orphans": F.coalesce("orphans", F.lit(0))})
-    score = sum((F.lit(w) * F.col(k) for k, w in WEIGHTS.items()), F.lit(0.0))
-    warn = lambda when, level: F.when(when, F.lit(level))
-    rows = rows.withColumn("score", F.round(score + 1e-9, 1)).withColumn("warnings", F.array_compact(F.array(warn(F.col("freshness") <= 0, "critical"), warn((F.col("freshness") > 0) & (F.col("freshness") < 100), "warning"), warn(F.col("completeness") < 90, "warning"), warn(F.col("orphans") > 0, "warning"))))
-    critical = F.array_contains("warnings", "critical")
-    status = F.when(F.col("rows") == 0, "no_data").when(critical | (F.col("score") < 60), "critical").when((F.col("score") < 85) | (F.size("warnings") > 0), "warning").otherwise("healthy")
-    return rows.select("dataset", "score", status.alias("status"), F.size("warnings").cast("long").alias("n_warnings"))
-
-
-def health_overall(ctx: Context) -> DataFrame:
-    order = F.when(F.col("status") == "critical", 3).when(F.col("status") == "warning", 2).when(F.col("status") == "healthy", 1).otherwise(0)
-    row = health_scores(ctx).agg(F.max(order).alias("w"), F.round(F.avg("score") + 1e-9, 1).alias("score"), F.sum("n_warnings").alias("n_warnings"))
-    return row.select(F.when(F.col("w") == 3, "critical").when(F.col("w") == 2, "warning").when(F.col("w") == 1, "healthy").otherwise("no_data").alias("status"), "score", "n_warnings")
-
-
-def affected_investigations(ctx: Context, sources: tuple[str, ...], limit: int = 25) -> DataFrame:
-    """The newest open investigations with evidence from ``sources``."""
-    e = ctx.table("evidence").where(F.col("source").isin(*sources)).select(F.col("investigation_id").alias("id"))
-    return ctx.table("investigations").where(F.col("status").isin("open", "in_progress")).join(e, "id", "left_semi").orderBy(F.desc("opened_at"), "id").limit(limit).select("id", "status", "priority")
-
-
-def evidence_caveats(ctx: Context, unhealthy: tuple[str, ...]) -> DataFrame:
-    """Unhealthy sources that an investigation's evidence rests on."""
-    rows = ctx.table("evidence").where(F.col("source").isin(*unhealthy)).groupBy("investigation_id").agg(F.array_join(F.sort_array(F.collect_set("source")), ",").alias("sources"))
-    return rows
+def _investigated(ctx: Context) -> DataFrame:
+    """Investigations with whether they have an action, and a completed one."""
+    a = ctx.table("actions").groupBy(F.col("investigation_id").alias("id")).agg(F.bool_or(F.col("status") == "completed").alias("done"))
+    return ctx.table("investigations").join(a, "id", "left")
 
 
 def funnel(ctx: Context) -> DataFrame:
-    """Seven stages from detection to recovery."""
-    a = ctx.table("anomalies").agg(F.count("*").alias("detected"), F.count_if(F.col("dismissed_at").isNull()).alias("not_dismissed"), F.count_if(F.col("investigation_id").isNotNull()).alias("correlated"))
-    done = ctx.table("actions").where("status = 'completed'").select(F.col("investigation_id").alias("id")).distinct()
-    i = ctx.table("investigations")
-    row = a.crossJoin(i.agg(F.count("*").alias("investigated"), F.count_if(F.col("status").isin("resolved", "closed")).alias("resolved")))
-    row = row.crossJoin(i.join(done, "id", "left_semi").agg(F.count("*").alias("acted"))).crossJoin(ctx.table("outcomes").agg(F.count_if(F.col("revenue_recovered") > 0).alias("recovered")))
-    stages = ["detected", "not_dismissed", "correlated", "investigated", "acted", "resolved", "recovered"]
-    pairs = ", ".join(f"'{s}', {s}" for s in stages)
-    return row.selectExpr(f"stack({len(stages)}, {pairs}) AS (stage, n)")
+    """Seven stages from detection to observed recovery."""
+    status = F.col("status")
+    i = _investigated(ctx).agg(
+        F.count("*").alias("s1"), F.count_if(status.isin("in_progress", "resolved", "closed")).alias("s2"), F.count("done").alias("s3"), F.count_if("done").alias("s4"), F.count_if(status.isin("resolved", "closed")).alias("s5")
+    )
+    row = ctx.table("anomalies").agg(F.count("*").alias("s0")).crossJoin(i).crossJoin(ctx.table("outcomes").agg(F.count_if(F.col("outcome_state").isin(*RECOVERED)).alias("s6")))  # rows of one
+    pairs = ", ".join(f"'{name}', s{k}" for k, name in enumerate(STAGES))
+    return row.selectExpr(f"stack({len(STAGES)}, {pairs}) AS (stage, n)")
 
 
 def rates(ctx: Context) -> DataFrame:
-    a = ctx.table("anomalies").agg(
-        F.count("*").alias("n"), F.count_if(F.col("investigation_id").isNotNull()).alias("accepted"), F.count_if("is_false_positive").alias("fp"), F.count_if(F.col("dismissed_at").isNotNull() & ~F.col("is_false_positive")).alias("dismissed")
-    )
-    i = ctx.table("investigations").agg(F.count("*").alias("inv"), F.count_if("snoozed").alias("snoozed"), F.count_if(F.col("status").isin("resolved", "closed")).alias("resolved"))
-    x = ctx.table("actions").agg(F.count("*").alias("actions"), F.count_if(F.col("status") == "completed").alias("done"))
-    o = ctx.table("outcomes").agg(F.count("*").alias("outcomes"), F.count_if("cause_established").alias("cause"))
-    row = a.crossJoin(i).crossJoin(x).crossJoin(o)  # rows of one
+    """Shares of anomalies, investigations and actions, and the counts they are shares of."""
+    from .investigations import active_suppressions
+
     c = F.col
+    a = ctx.table("anomalies").agg(F.count("*").alias("anomalies"), F.count_if("is_false_positive").alias("fp"), F.count("dismissed_at").alias("dismissed"))
+    i = ctx.table("investigations").agg(
+        F.count("*").alias("investigations"), F.count_if(c("snoozed_until").cast("timestamp_ntz") > ctx.clock()).alias("snoozed"), F.count_if(c("status").isin("resolved", "closed")).alias("resolved"),
+        F.count("narrated_at").alias("narrated"), F.count_if(c("ai_confidence") == "established").alias("established"),
+    )
+    x = ctx.table("actions").agg(F.count("*").alias("actions"), F.count_if(c("status") == "completed").alias("done"))
+    s = active_suppressions(ctx).agg(F.count("*").alias("active_suppressions")).crossJoin(ctx.table("suppressions").agg(F.coalesce(F.sum("match_count"), F.lit(0)).alias("suppressed_matches")))
+    row = a.crossJoin(i).crossJoin(x).crossJoin(s)  # rows of one
     return row.select(
-        pct(c("accepted"), c("n")).alias("acceptance"), pct(c("fp"), c("n")).alias("false_positive"), pct(c("dismissed"), c("n")).alias("dismissal"), pct(c("snoozed"), c("inv")).alias("snooze"),
-        pct(c("cause"), c("outcomes")).alias("established_cause"), pct(c("done"), c("actions")).alias("action_completion"), pct(c("resolved"), c("inv")).alias("resolution"),
+        pct(c("anomalies") - c("dismissed"), c("anomalies")).alias("acceptance"), pct(c("fp"), c("anomalies")).alias("false_positive"), pct(F.greatest(F.lit(0), c("dismissed") - c("fp")), c("anomalies")).alias("dismissal"),
+        pct(c("snoozed"), c("investigations")).alias("snooze"), "active_suppressions", "suppressed_matches", pct(c("established"), c("narrated")).alias("established_cause"), pct(c("done"), c("actions")).alias("action_completion"),
+        pct(c("resolved"), c("investigations")).alias("resolution"), "anomalies", "investigations", "actions", "resolved",
     )
 
 
 def evidence_strength(ctx: Context) -> DataFrame:
-    """Evidence counts by investigation status and strength."""
-    rows = ctx.table("evidence").join(ctx.table("investigations").select(F.col("id").alias("investigation_id"), "status"), "investigation_id")
-    return rows.groupBy("status").pivot("strength", ["strong", "moderate", "weak"]).count().na.fill(0)
+    """How much of the evidence of the tenant's investigations is strong, moderate and insufficient (weak)."""
+    rows = ctx.table("evidence").join(ctx.table("investigations").select(F.col("id").alias("investigation_id")), "investigation_id", "left_semi")
+    return rows.agg(F.count_if(F.col("strength") == "strong").alias("strong"), F.count_if(F.col("strength") == "moderate").alias("moderate"), F.count_if(F.col("strength") == "weak").alias("insufficient"))
 
 
 def evidence_label(ctx: Context) -> DataFrame:
@@ -145,8 +69,11 @@ def evidence_label(ctx: Context) -> DataFrame:
     return rows.withColumn("label", label)
 
 
-def action_statuses(ctx: Context) -> DataFrame:
-    return ctx.table("actions").groupBy("status").agg(F.count("*").alias("n"))
+def action_quality(ctx: Context) -> DataFrame:
+    """Actions completed, cancelled, in progress and not started, and outcomes that show a recovery."""
+    n = lambda *names: F.count_if(F.col("status").isin(*names))
+    row = ctx.table("actions").agg(n("completed").alias("completed"), n("cancelled").alias("cancelled"), n("in_progress").alias("in_progress"), n("unassigned", "assigned", "acknowledged").alias("open"))
+    return row.crossJoin(ctx.table("outcomes").agg(F.count_if(F.col("outcome_state").isin(*RECOVERED)).alias("completed_with_recovery")))
 
 
 def rule_performance(ctx: Context) -> DataFrame:
@@ -165,11 +92,10 @@ def noisy_skus(ctx: Context, limit: int = 10) -> DataFrame:
 
 
 def quality_score(ctx: Context, least: int = 20) -> DataFrame:
-    """Mean of precision, resolution, completion and established causes; withheld with under ``least`` resolved."""
-    n = ctx.table("investigations").agg(F.count_if(F.col("status").isin("resolved", "closed")).alias("resolved_count"))
-    row = rates(ctx).crossJoin(n)
-    mean = (100 - F.coalesce("false_positive", F.lit(0.0)) + F.coalesce("resolution", F.lit(0.0)) + F.coalesce("action_completion", F.lit(0.0)) + F.coalesce("established_cause", F.lit(0.0))) / 4
-    return row.select("resolved_count", F.when(F.col("resolved_count") >= least, F.round(mean + 1e-9, 1)).alias("quality_score"))
+    """Mean of acceptance, 100 less false positives, resolution and completion; withheld with under ``least`` resolved."""
+    row, zero = rates(ctx), F.lit(0.0)
+    mean = (F.coalesce("acceptance", zero) + 100 - F.coalesce("false_positive", zero) + F.coalesce("resolution", zero) + F.coalesce("action_completion", zero)) / 4
+    return row.select(F.col("resolved").alias("sample_size"), (F.col("resolved") >= least).alias("available"), F.when(F.col("resolved") >= least, F.round(mean + 1e-9, 1)).alias("quality_score"))
 
 
 def recovery_summary(ctx: Context) -> DataFrame:

@@ -34,18 +34,20 @@ VIEWS: dict[str, str] = {
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "products": """
         SELECT CAST(1 AS BIGINT) AS tenant_id, min(p_partkey) AS id, concat(p_brand, '/', p_type) AS sku, min(p_name) AS name, p_type AS category, p_brand AS subcategory,
-               round(avg(p_retailprice), 4) AS selling_price, round(avg(p_retailprice * CASE WHEN p_size % 10 = 0 THEN 1.1 ELSE 0.6 END), 4) AS unit_cost
+               round(avg(p_retailprice), 4) AS selling_price, round(avg(p_retailprice * CASE WHEN p_size % 10 = 0 THEN 1.1 ELSE 0.6 END), 4) AS unit_cost,
+               TIMESTAMP '2001-07-20 00:00:00' AS updated_at
         FROM part GROUP BY p_brand, p_type""",
     "part_products": """
         SELECT CAST(1 AS BIGINT) AS tenant_id, p_partkey AS id, CAST(p_partkey AS STRING) AS sku, p_name AS name, p_type AS category, p_brand AS subcategory,
-               p_retailprice AS selling_price, p_retailprice * CASE WHEN p_size % 10 = 0 THEN 1.1 ELSE 0.6 END AS unit_cost
+               p_retailprice AS selling_price, p_retailprice * CASE WHEN p_size % 10 = 0 THEN 1.1 ELSE 0.6 END AS unit_cost,
+               TIMESTAMP '2001-05-02 00:00:00' AS updated_at
         FROM part WHERE p_partkey % 17 <> 0""",
     "stores": f"""
         SELECT CAST(1 AS BIGINT) AS tenant_id, CAST(n_nationkey AS BIGINT) AS id, n_name AS name, r_name AS region, {_T} - CAST(n_nationkey AS INTEGER) AS created_at,
                CASE WHEN n_nationkey % 2 = 0 THEN NULL ELSE concat('S', n_nationkey) END AS code, CASE WHEN n_nationkey % 2 = 0 THEN NULL ELSE n_name END AS city,
-               CAST(NULL AS STRING) AS address
+               CAST(NULL AS STRING) AS address, CAST(NULL AS TIMESTAMP) AS updated_at
         FROM nation JOIN region ON n_regionkey = r_regionkey""",
-    "suppliers": "SELECT CAST(1 AS BIGINT) AS tenant_id, s_suppkey AS id, s_name AS name, s_nationkey AS country FROM supplier",
+    "suppliers": "SELECT CAST(1 AS BIGINT) AS tenant_id, s_suppkey AS id, s_name AS name, s_nationkey AS country, TIMESTAMP '2001-06-01 12:00:00' AS updated_at FROM supplier",
     "inventory": f"""
         SELECT CAST(1 AS BIGINT) AS tenant_id, p_partkey AS id, CAST(p_partkey AS STRING) AS sku, concat('L', p_partkey % 25) AS location, p_partkey % 25 AS store_id,
                CAST((p_partkey * 37) % 200 AS DECIMAL(12,2)) AS on_hand_qty, CAST(CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE p_size * 2 END AS DECIMAL(12,2)) AS reorder_point,
@@ -66,7 +68,7 @@ VIEWS: dict[str, str] = {
     "runs": """
         SELECT CAST(1 AS BIGINT) AS tenant_id, event_id AS id, CASE event_type WHEN 'view' THEN 'sales' WHEN 'click' THEN 'inventory' WHEN 'purchase' THEN 'purchase_orders' WHEN 'signup' THEN 'products' ELSE 'stores' END AS data_type,
                CASE event_id % 5 WHEN 0 THEN 'failed' WHEN 1 THEN 'partial' ELSE 'completed' END AS status, CAST(floor(value * 10) AS BIGINT) AS rows_processed,
-               CAST(floor(value * 9) AS BIGINT) AS rows_imported, CASE WHEN event_id % 4 = 0 THEN NULL ELSE 50 + event_id % 50 END AS validation_score, ts AS completed_at
+               CAST(floor(value * 9) AS BIGINT) AS rows_imported, CAST(floor(value * 10) AS BIGINT) - CAST(floor(value * 9) AS BIGINT) AS rows_failed, ts - INTERVAL '7' MINUTE AS started_at, CASE WHEN event_id % 4 = 0 THEN NULL ELSE 50 + event_id % 50 END AS validation_score, ts AS completed_at
         FROM events""",
     "anomalies": f"""
         SELECT CAST(1 AS BIGINT) AS tenant_id, event_id AS id, {_RULE.format('event_id % 27')} AS rule_type,
@@ -80,7 +82,10 @@ VIEWS: dict[str, str] = {
                CASE (user_id % 13) % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' ELSE 'critical' END AS priority, CAST(user_id AS STRING) AS primary_sku, user_id % 25 AS primary_store_id,
                CASE WHEN user_id % 7 = 0 THEN NULL ELSE sum(CAST(value AS DECIMAL(18,2))) END AS revenue_at_risk, CAST(count(*) AS BIGINT) AS anomaly_count, min(ts) AS opened_at,
                CASE WHEN user_id % 5 = 0 THEN NULL ELSE min(ts) + INTERVAL '6' HOUR END AS assigned_at, CASE WHEN user_id % 4 >= 2 THEN max(ts) END AS resolved_at,
-               CASE WHEN user_id % 6 = 0 THEN NULL ELSE max(ts) - INTERVAL '2' DAY END AS narrated_at, user_id % 11 = 0 AS snoozed
+               CASE WHEN user_id % 6 = 0 THEN NULL ELSE max(ts) - INTERVAL '2' DAY END AS narrated_at,
+               CASE user_id % 11 WHEN 0 THEN TIMESTAMP '2024-02-03 00:00:00' WHEN 1 THEN TIMESTAMP '2024-01-15 00:00:00' END AS snoozed_until,
+               CASE WHEN user_id % 6 = 0 THEN NULL WHEN user_id % 3 = 1 THEN 'established' WHEN user_id % 3 = 2 THEN 'probable' ELSE 'suspected' END AS ai_confidence,
+               CASE WHEN user_id % 5 < 2 THEN NULL ELSE CAST(user_id % 4 AS BIGINT) END AS assigned_team_id
         FROM events GROUP BY user_id""",
     "actions": """
         SELECT CAST(1 AS BIGINT) AS tenant_id, event_id AS id, user_id AS investigation_id, concat('Action ', event_id) AS title,
@@ -93,7 +98,8 @@ VIEWS: dict[str, str] = {
         SELECT CAST(1 AS BIGINT) AS tenant_id, user_id AS investigation_id, sum(CAST(value AS DECIMAL(18,2))) AS revenue_at_risk,
                CASE WHEN user_id % 6 = 0 THEN NULL ELSE sum(CASE WHEN event_type = 'purchase' THEN CAST(value AS DECIMAL(18,2)) ELSE 0 END) END AS revenue_recovered,
                CAST(user_id % 50 AS DECIMAL(18,2)) AS action_cost, CASE user_id % 5 WHEN 0 THEN 'false_positive' WHEN 1 THEN 'resolved' WHEN 2 THEN 'partially_resolved' WHEN 3 THEN 'unresolved' ELSE 'monitoring' END AS outcome_type,
-               user_id % 3 = 0 AS cause_established, max(ts) AS recorded_at
+               CASE user_id % 7 WHEN 0 THEN 'observed_recovery' WHEN 1 THEN 'partial_recovery' WHEN 2 THEN 'no_material_change' WHEN 3 THEN 'insufficient_evidence' ELSE 'monitoring' END AS outcome_state,
+               user_id % 5 = 0 AS was_false_positive, CASE WHEN user_id % 3 = 0 THEN TIMESTAMP '2024-02-01 00:00:00' END AS next_measurement_at, max(ts) AS recorded_at
         FROM events WHERE user_id % 2 = 0 GROUP BY user_id""",
     "evidence": """
         SELECT CAST(1 AS BIGINT) AS tenant_id, event_id AS id, user_id AS investigation_id, event_id AS anomaly_id,
@@ -105,8 +111,12 @@ VIEWS: dict[str, str] = {
         SELECT CAST(1 AS BIGINT) AS tenant_id, CAST(n_nationkey AS BIGINT) AS id, CASE n_nationkey % 4 WHEN 0 THEN 'rule' WHEN 1 THEN 'rule_store' WHEN 2 THEN 'rule_sku' ELSE 'rule_store_sku' END AS scope_type,
                {_RULE.format('n_nationkey % 27')} AS rule_type, CASE WHEN n_nationkey % 4 IN (1, 3) THEN CAST(n_nationkey AS BIGINT) END AS store_id, CASE WHEN n_nationkey % 4 IN (2, 3) THEN CAST(n_nationkey + 25 AS STRING) END AS sku,
                TIMESTAMP '2024-01-01 00:00:00' AS starts_at, CASE WHEN n_nationkey % 5 = 0 THEN NULL WHEN n_nationkey % 5 = 1 THEN TIMESTAMP '2024-01-15 00:00:00' ELSE TIMESTAMP '2024-03-01 00:00:00' END AS expires_at,
-               n_nationkey % 6 <> 5 AS active
+               n_nationkey % 6 <> 5 AS active, CAST(n_nationkey % 7 AS BIGINT) AS match_count
         FROM nation""",
+    "health_settings": """
+        SELECT CAST(1 AS BIGINT) AS tenant_id, CASE r_regionkey WHEN 0 THEN 'sales' WHEN 1 THEN 'inventory' WHEN 2 THEN 'purchase_orders' WHEN 3 THEN 'suppliers' ELSE 'products' END AS dataset,
+               CASE r_regionkey WHEN 0 THEN 900 WHEN 3 THEN 1000 WHEN 4 THEN 1500 END AS freshness_max_hours, CASE WHEN r_regionkey = 1 THEN 99.5 END AS completeness_min_pct, CASE WHEN r_regionkey < 3 THEN 1 + 2 * r_regionkey END AS rejection_max_pct
+        FROM region""",
     "escalation_rules": """
         SELECT CAST(1 AS BIGINT) AS tenant_id, CAST(r_regionkey AS BIGINT) AS id, CASE r_regionkey WHEN 0 THEN 'priority_threshold' WHEN 1 THEN 'time_open' WHEN 2 THEN 'unassigned' WHEN 3 THEN 'no_action' ELSE 'time_open' END AS trigger_type,
                CASE r_regionkey WHEN 0 THEN 'critical' WHEN 1 THEN '600' WHEN 2 THEN '24' WHEN 3 THEN '48' ELSE '48' END AS trigger_value, CASE WHEN r_regionkey IN (1, 3) THEN 'medium' END AS min_priority, CAST(r_regionkey AS BIGINT) AS sort_order

@@ -179,41 +179,7 @@ CAT.add(
 CAT.add("evidence_strongest", evidence.strongest, "SELECT investigation_id, k, label, strength FROM (SELECT *, row_number() OVER (PARTITION BY investigation_id ORDER BY CASE strength WHEN 'strong' THEN 3 WHEN 'moderate' THEN 2 ELSE 1 END DESC, id) AS k FROM evidence) WHERE k <= 4")
 CAT.add("evidence_strength", metrics.evidence_label, "SELECT investigation_id, a AS strong, s AS supports, CASE WHEN a >= 3 OR (a >= 1 AND s >= 3) THEN 'Strong' WHEN a >= 1 OR s >= 2 THEN 'Moderate' ELSE 'Insufficient' END AS label FROM (SELECT investigation_id, count(*) FILTER (WHERE strength = 'strong') AS a, count(*) FILTER (WHERE direction = 'supports') AS s FROM evidence GROUP BY 1)")
 
-# Health, quality, recovery
-_COMPLETE = " UNION ALL ".join(f"SELECT '{d}' AS dataset, count(*) AS rows, '{c}' AS \"column\", round(count({c}) * 100.0::DOUBLE / count(*), 4) AS share FROM {t}" for d, (t, cols, _, _) in metrics.HEALTH.items() for c in cols)
-CAT.add("health_completeness", metrics.completeness, f"SELECT dataset, rows, \"column\", {r('share')} AS share FROM ({_COMPLETE})")
-_AGE = " UNION ALL ".join(
-    f"SELECT '{d}' AS dataset, (SELECT count(*) FROM {t}) AS rows, abs({hours('TIMESTAMP ' + chr(39) + '2001-08-01 00:00:00' + chr(39), f'CAST((SELECT max({c}) FROM {t}) AS TIMESTAMP)') if c else hours(NOW, f'(SELECT max(completed_at) FROM runs WHERE status <> {chr(39)}failed{chr(39)} AND data_type = {chr(39)}{d}{chr(39)})')}) AS h, {m} AS m" for d, (t, _, c, m) in metrics.HEALTH.items()
-)
-CAT.add("health_freshness", metrics.freshness, f"SELECT dataset, rows, {r('round(h, 4)')} AS hours, {r('round(CASE WHEN h <= m THEN 100.0 ELSE greatest(0.0, 100 * (1 - (h - m) / (2 * m))) END, 4)')} AS freshness FROM ({_AGE})")
-CAT.add("health_validity", metrics.validity, f"SELECT dataset, {r('least(100.0, greatest(0.0, coalesce(CAST(v AS DOUBLE), CASE WHEN p <> 0 THEN CAST(i AS DOUBLE) * 100 / CAST(p AS DOUBLE) END, 100.0)))')} AS validity FROM (SELECT data_type AS dataset, validation_score AS v, rows_imported AS i, rows_processed AS p, row_number() OVER (PARTITION BY data_type ORDER BY id DESC) AS k FROM runs) WHERE k = 1")
-_ORPHAN = " UNION ALL ".join(f"SELECT '{d}' AS dataset, count(*) AS rows, count(*) FILTER (WHERE sku NOT IN (SELECT sku FROM part_products)) AS orphans FROM {t}" for d, t in (("sales", "part_sales"), ("inventory", "inventory"), ("purchase_orders", "purchase_orders")))
-CAT.add("health_referential", metrics.referential, f"SELECT dataset, rows, orphans, {r('(1 - CAST(orphans AS DOUBLE) / rows) * 100')} AS referential FROM ({_ORPHAN})", **_PART)
-_DATASETS = "SELECT dataset, rows, CASE WHEN h <= m THEN 100.0 ELSE greatest(0.0, 100 * (1 - (h - m) / (2 * m))) END AS f FROM (" + _AGE.replace("FROM sales)", "FROM part_sales)").replace("FROM products)", "FROM part_products)") + ")"
-_SCORE = f"""SELECT f.dataset, f.rows, f.f, c.c, coalesce(v.v, 100.0) AS v, CASE WHEN o.rows > 0 THEN (1 - CAST(o.orphans AS DOUBLE) / o.rows) * 100 ELSE 100.0 END AS ref, coalesce(o.orphans, 0) AS orphans FROM ({_DATASETS}) f
-    JOIN (SELECT dataset, avg(share) AS c FROM ({_COMPLETE.replace('FROM sales', 'FROM part_sales').replace('FROM products', 'FROM part_products')}) GROUP BY 1) c ON f.dataset = c.dataset
-    LEFT JOIN (SELECT dataset, least(100.0, greatest(0.0, coalesce(CAST(v AS DOUBLE), CASE WHEN p <> 0 THEN CAST(i AS DOUBLE) * 100 / CAST(p AS DOUBLE) END, 100.0))) AS v FROM (SELECT data_type AS dataset, validation_score AS v, rows_imported AS i, rows_processed AS p, row_number() OVER (PARTITION BY data_type ORDER BY id DESC) AS k FROM runs) WHERE k = 1) v ON f.dataset = v.dataset
-    LEFT JOIN ({_ORPHAN}) o ON f.dataset = o.dataset"""
-_STATUS = f"""SELECT dataset, round(0.35 * f + 0.25 * c + 0.25 * v + 0.15 * ref + 1e-9, 1) AS score, rows, f, CAST((f <= 0)::INT + (f > 0 AND f < 100)::INT + (c < 90)::INT + (orphans > 0)::INT AS BIGINT) AS n FROM ({_SCORE})"""
-_SCORED = f"SELECT dataset, {r('score')} AS score, CASE WHEN rows = 0 THEN 'no_data' WHEN f <= 0 OR score < 60 THEN 'critical' WHEN score < 85 OR n > 0 THEN 'warning' ELSE 'healthy' END AS status, n AS n_warnings FROM ({_STATUS})"
-CAT.add("health_score", metrics.health_scores, _SCORED, **_PART)
-CAT.add("health_overall", metrics.health_overall, f"SELECT CASE max(CASE status WHEN 'critical' THEN 3 WHEN 'warning' THEN 2 WHEN 'healthy' THEN 1 ELSE 0 END) WHEN 3 THEN 'critical' WHEN 2 THEN 'warning' WHEN 1 THEN 'healthy' ELSE 'no_data' END AS status, {r('round(avg(score) + 1e-9, 1)')} AS score, CAST(sum(n_warnings) AS BIGINT) AS n_warnings FROM ({_SCORED})", **_PART)
-CAT.add("health_affected_investigations", lambda c: metrics.affected_investigations(c, ("sales", "inventory")), f"SELECT id, status, priority FROM investigations WHERE {OPEN} AND id IN (SELECT investigation_id FROM evidence WHERE source IN ('sales', 'inventory')) ORDER BY opened_at DESC, id LIMIT 25")
-CAT.add("health_evidence_caveats", lambda c: metrics.evidence_caveats(c, ("stores", "sales")), "SELECT investigation_id, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM evidence WHERE source IN ('stores', 'sales') GROUP BY 1")
-CAT.add("health_recipients", lambda c: c.table("users").where("is_admin").agg(F.array_join(F.sort_array(F.collect_list("email")), ",").alias("emails")), "SELECT string_agg(email, ',' ORDER BY email) AS emails FROM users WHERE is_admin")
-CAT.add(
-    "quality_funnel",
-    metrics.funnel,
-    f"""SELECT 'detected' AS stage, count(*) AS n FROM anomalies UNION ALL SELECT 'not_dismissed', count(*) FROM anomalies WHERE dismissed_at IS NULL UNION ALL SELECT 'correlated', count(*) FROM anomalies WHERE investigation_id IS NOT NULL UNION ALL SELECT 'investigated', count(*) FROM investigations
-    UNION ALL SELECT 'acted', count(*) FROM investigations WHERE id IN ({_DONE}) UNION ALL SELECT 'resolved', count(*) FROM investigations WHERE status IN ('resolved', 'closed') UNION ALL SELECT 'recovered', count(*) FROM outcomes WHERE revenue_recovered > 0""",
-)
-_RATES = f"""SELECT {pct('a.x', 'a.n')} AS acceptance, {pct('a.fp', 'a.n')} AS false_positive, {pct('a.d', 'a.n')} AS dismissal, {pct('i.s', 'i.n')} AS snooze, {pct('o.c', 'o.n')} AS established_cause, {pct('x.d', 'x.n')} AS action_completion, {pct('i.r', 'i.n')} AS resolution, i.r AS resolved_count
-    FROM (SELECT count(*) AS n, count(investigation_id) AS x, count(*) FILTER (WHERE is_false_positive) AS fp, count(*) FILTER (WHERE dismissed_at IS NOT NULL AND NOT is_false_positive) AS d FROM anomalies) a, (SELECT count(*) AS n, count(*) FILTER (WHERE snoozed) AS s, count(*) FILTER (WHERE status IN ('resolved', 'closed')) AS r FROM investigations) i,
-    (SELECT count(*) AS n, count(*) FILTER (WHERE status = 'completed') AS d FROM actions) x, (SELECT count(*) AS n, count(*) FILTER (WHERE cause_established) AS c FROM outcomes) o"""
-CAT.add("quality_rates", metrics.rates, "SELECT " + ", ".join(f"{r(c)} AS {c}" for c in ("acceptance", "false_positive", "dismissal", "snooze", "established_cause", "action_completion", "resolution")) + f" FROM ({_RATES})")
-CAT.add("quality_score", metrics.quality_score, f"SELECT resolved_count, {r('CASE WHEN resolved_count >= 20 THEN round((100 - coalesce(false_positive, 0) + coalesce(resolution, 0) + coalesce(action_completion, 0) + coalesce(established_cause, 0)) / 4 + 1e-9, 1) END')} AS quality_score FROM ({_RATES})")
-CAT.add("quality_evidence_strength", metrics.evidence_strength, "SELECT i.status, count(*) FILTER (WHERE strength = 'strong') AS strong, count(*) FILTER (WHERE strength = 'moderate') AS moderate, count(*) FILTER (WHERE strength = 'weak') AS weak FROM evidence e JOIN investigations i ON e.investigation_id = i.id GROUP BY 1")
-CAT.add("quality_action_statuses", metrics.action_statuses, "SELECT status, count(*) AS n FROM actions GROUP BY 1")
+# Rules and recovery
 _PERF = f"SELECT rule_type, count(*) AS detections, count(dismissed_at) AS dismissed, count(*) FILTER (WHERE is_false_positive) AS false_positives, count(DISTINCT investigation_id) AS investigations, {r(pct('count(*) FILTER (WHERE is_false_positive)', 'count(*)'))} AS fp_rate FROM anomalies GROUP BY 1"
 CAT.add("quality_rule_performance", metrics.rule_performance, _PERF)
 CAT.add("quality_noisy_rules", lambda c: metrics.noisy_rules(c, 5, 10), f"SELECT rule_type, detections, fp_rate FROM ({_PERF}) WHERE detections >= 5 AND fp_rate >= 10")

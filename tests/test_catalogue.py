@@ -10,12 +10,14 @@ duckdb = pytest.importorskip("duckdb")
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
+from shelfsignal.plans.health_catalogue import CAT as HEALTH  # noqa: E402
 from shelfsignal.plans.ingest_catalogue import CAT as INGEST  # noqa: E402
 from shelfsignal.plans.operations_catalogue import CAT as OPERATIONS  # noqa: E402
 from shelfsignal.plans.rules_catalogue import CAT as RULES  # noqa: E402
 
-ORACLES = {**RULES.oracle(), **OPERATIONS.oracle(), **INGEST.oracle()}
-QUERIES = {**RULES.queries, **OPERATIONS.queries, **INGEST.queries}
+CATALOGUES = (RULES, OPERATIONS, HEALTH, INGEST)
+ORACLES = {name: sql for c in CATALOGUES for name, sql in c.oracle().items()}
+QUERIES = {name: query for c in CATALOGUES for name, query in c.queries.items()}
 
 
 @pytest.fixture(scope="module")
