@@ -1,4 +1,4 @@
-"""Correlation of anomalies into investigations, suppression, escalation, watches, outcomes, bulk actions and mentions."""
+"""Correlation of anomalies into investigations, suppression, escalation, bulk actions and mentions."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..context import Context
 from ..functions.columns import hours_between, priority_name, priority_rank, severity_rank
-from ..schema import ACTIVE_ACTIONS
 
 _OPEN = ("open", "in_progress")
 
@@ -44,9 +43,12 @@ def correlation_groups(ctx: Context) -> DataFrame:
     opened = F.col("opened_at").cast("timestamp_ntz")
     open_ = ctx.table("investigations").where(F.col("status").isin(*_OPEN) & (opened >= ctx.clock(24 * 7))).groupBy("primary_sku").agg(F.max_by("id", F.struct("opened_at", "id")).alias("investigation_id"))
     rows = groups.join(open_, groups.sku.eqNullSafe(open_.primary_sku), "left")
-    title = F.concat_ws(" - ", F.initcap(F.replace(F.col("first.rule_type"), F.lit("_"), F.lit(" "))), F.concat(F.lit("SKU "), F.col("sku")))
+    stores = ctx.table("stores").select(F.col("id").alias("s_id"), F.col("name").alias("store"))
+    team = ctx.table("teams").where("is_default").agg(F.min("id").alias("team_id"))
+    rows = rows.join(stores, F.col("first.store_id") == F.col("s_id"), "left").crossJoin(team)  # one row
+    title = F.concat_ws(" \u2014 ", F.initcap(F.replace(F.col("first.rule_type"), F.lit("_"), F.lit(" "))), F.concat(F.lit("SKU "), F.col("sku")), F.concat(F.lit("@ "), F.col("store")))
     priority = F.when(F.col("worst") == 3, "high").when(F.col("worst") == 2, "medium").otherwise("low")
-    return rows.select("sku", "investigation_id", F.when(F.col("investigation_id").isNull(), title).alias("new_title"), priority.alias("priority"), "anomalies", F.coalesce(F.round("impact", 2), F.lit(0)).alias("revenue_at_risk"))
+    return rows.select("sku", "investigation_id", F.when(F.col("investigation_id").isNull(), title).alias("new_title"), F.when(F.col("investigation_id").isNull(), F.col("team_id")).alias("team_id"), priority.alias("priority"), "anomalies", F.coalesce(F.round("impact", 2), F.lit(0)).alias("revenue_at_risk"))
 
 
 def entities(ctx: Context) -> DataFrame:
@@ -84,6 +86,19 @@ def expired_suppressions(ctx: Context) -> DataFrame:
     return ctx.table("suppressions").where(F.col("active") & (F.col("expires_at").cast("timestamp_ntz") <= ctx.clock())).select("id", "rule_type", "expires_at")
 
 
+def suppression_rows(requests: DataFrame, now: Column) -> DataFrame:
+    """New suppressions from ``requests``: they begin now and end after ``default_expiry_days`` (30 where null; 0 for never) unless a time is given."""
+    days = F.coalesce("default_expiry_days", F.lit(30))
+    ends = F.coalesce(F.col("expires_at").cast("timestamp_ntz"), F.when(days > 0, now + F.make_dt_interval(days=days)))
+    return requests.withColumns({"starts_at": F.coalesce(F.col("starts_at").cast("timestamp_ntz"), now), "expires_at": ends, "active": F.lit(True)}).drop("default_expiry_days")
+
+
+def woken(ctx: Context) -> DataFrame:
+    """Investigations whose snooze has ended."""
+    until = F.col("snoozed_until").cast("timestamp_ntz")
+    return ctx.table("investigations").where(until <= ctx.clock()).select("id", "status", "snoozed_until")
+
+
 def snooze_until(now: Column, choice: Column, custom: Column) -> Column:
     """End of a snooze: 24h, 3d, 7d, 30d, or the custom time."""
     hours = F.when(choice == "24h", 24).when(choice == "3d", 72).when(choice == "7d", 168).when(choice == "30d", 720)
@@ -106,7 +121,7 @@ def escalation_matches(ctx: Context, refire_hours: float = 24) -> DataFrame:
     kind = F.col("trigger_type")
     fires = (
         ((kind == "time_open") & (_open_hours(ctx, "opened_at") >= F.coalesce(limit, F.lit(48.0))))
-        | ((kind == "unassigned") & F.col("assigned_at").isNull() & (_open_hours(ctx, "opened_at") >= F.coalesce(limit, F.lit(24.0))))
+        | ((kind == "unassigned") & F.col("assigned_team_id").isNull() & (_open_hours(ctx, "opened_at") >= F.coalesce(limit, F.lit(24.0))))
         | ((kind == "no_action") & (F.col("status") == "in_progress") & F.col("a_id").isNull() & (hours_between(ctx.clock(), F.coalesce("assigned_at", "opened_at")) >= F.coalesce(limit, F.lit(48.0))))
         | ((kind == "priority_threshold") & (priority_rank(F.col("priority")) >= priority_rank(F.coalesce("trigger_value", F.lit("high")))))
     )
@@ -114,77 +129,17 @@ def escalation_matches(ctx: Context, refire_hours: float = 24) -> DataFrame:
     rows = i.join(rules, "tenant_id").where(fires & allowed)
     fired = ctx.table("escalation_events").where(hours_between(ctx.clock(), F.col("fired_at")) < refire_hours).select(F.col("investigation_id").alias("id"), "rule_id")
     rows = rows.join(fired, ["id", "rule_id"], "left_anti").withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy("sort_order", "rule_id"))).where("_r = 1")
+    return rows.select(F.col("id").alias("investigation_id"), "rule_id", "trigger_type", "priority", "assigned_at")
+
+
+def escalation_effects(ctx: Context) -> DataFrame:
+    """What each rule that fires does: another team or user, or a higher priority, in a row that is the event as well."""
+    r = ctx.table("escalation_rules").select(F.col("id").alias("rule_id"), "escalation_action", "target_team_id", "target_user_id")
+    rows, does = escalation_matches(ctx).join(r, "rule_id"), F.col("escalation_action")
     up = priority_name(F.least(priority_rank(F.col("priority")) + 1, F.lit(4)))
-    return rows.select(F.col("id").alias("investigation_id"), "rule_id", "trigger_type", F.col("priority").alias("from_priority"), up.alias("to_priority"))
-
-
-def watch_snapshot(ctx: Context) -> DataFrame:
-    """What a watch compares: status, priority, counts of actions, escalations, money."""
-    overdue = F.col("status").isin(*ACTIVE_ACTIONS) & (F.col("due_at").cast("timestamp_ntz") < ctx.clock())
-    a = ctx.table("actions").groupBy("investigation_id").agg(F.count("*").alias("actions"), F.count_if(F.col("status") == "completed").alias("completed"), F.count_if(overdue).alias("overdue"), F.min(F.when(F.col("status").isin(*ACTIVE_ACTIONS), F.col("due_at"))).alias("next_due"))
-    e = ctx.table("escalation_events").groupBy("investigation_id").agg(F.count("*").alias("escalations"))
-    o = ctx.table("outcomes").select("investigation_id", "revenue_recovered")
-    i = ctx.table("investigations").withColumnRenamed("id", "investigation_id")
-    rows = i.join(a, "investigation_id", "left").join(e, "investigation_id", "left").join(o, "investigation_id", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return rows.select("investigation_id", "status", "priority", zero("actions"), zero("completed"), zero("overdue"), zero("escalations"), "revenue_at_risk", "revenue_recovered", "next_due")
-
-
-def watch_events(ctx: Context) -> DataFrame:
-    """Events of each live watch since its last state, with a signature for the ledger."""
-    s, w = watch_snapshot(ctx), ctx.table("watches")
-    w = w.where(F.col("mode").isin("until_resolved", "always") | (F.col("until_date").cast("timestamp_ntz") > ctx.clock())).select(F.col("id").alias("watch_id"), "investigation_id", *(c for c in w.columns if c.startswith("last_")))
-    rows = w.join(s, "investigation_id")
-    moved = F.abs(F.col("revenue_at_risk") - F.col("last_at_risk"))
-    event = lambda name, when, value: F.when(when, F.struct(F.lit(name).alias("event"), F.concat_ws(":", F.lit(name), value.cast("string")).alias("signature")))
-    resolved = F.col("status").isin("resolved", "closed")
-    each = F.array_compact(
-        F.array(
-            event("status_changed", F.col("status") != F.col("last_status"), F.col("status")),
-            event("resolved", resolved & ~F.col("last_status").isin("resolved", "closed"), F.col("status")),
-            event("escalated", F.col("escalations") > F.col("last_escalations"), F.col("escalations")),
-            event("action_completed", F.col("completed") > F.col("last_completed"), F.col("completed")),
-            event("action_overdue", (F.col("overdue") > 0) & (F.col("last_overdue") == 0), F.col("overdue")),
-            event("at_risk_changed", (moved >= 100) & (moved >= 0.1 * F.abs(F.col("last_at_risk"))), F.floor("revenue_at_risk")),
-        )
-    )
-    return rows.select("watch_id", "investigation_id", F.explode(each).alias("e")).select("watch_id", "investigation_id", "e.*")
-
-
-def watch_expiry(ctx: Context) -> DataFrame:
-    """Watches that end: no investigation, date passed, or resolved."""
-    i = ctx.table("investigations").select(F.col("id").alias("i_id"), "status")
-    rows = ctx.table("watches").join(i, F.col("investigation_id") == F.col("i_id"), "left")
-    why = F.when(F.col("i_id").isNull(), "missing").when((F.col("mode") == "until_date") & (F.col("until_date").cast("timestamp_ntz") <= ctx.clock()), "date").when((F.col("mode") == "until_resolved") & F.col("status").isin("resolved", "closed"), "resolved")
-    return rows.select(F.col("id").alias("watch_id"), why.alias("reason")).where("reason IS NOT NULL")
-
-
-def outcome_windows(ctx: Context, sales: str = "sales") -> DataFrame:
-    """Daily revenue before, during and after, for ``cases``: case_id, sku, the day of detection and of the latest completed action."""
-    cases = ctx.table("cases")
-    det, done = F.col("detected_on"), F.col("done_on")
-    amount = F.coalesce(F.col("total_amount").cast("double"), F.col("quantity").cast("double") * F.coalesce("unit_price", F.lit(0.0)))
-    daily = ctx.table(sales).groupBy("sku", "date").agg(F.sum(amount).alias("amount"))
-    near = (cases.sku == daily.sku) & daily.date.between(F.date_sub(cases.detected_on, 35), F.date_add(cases.done_on, 14))
-    rows = cases.join(daily, near, "left").drop(daily.sku)
-    end = F.least(ctx.day(), F.date_add(done, 14))
-    per = lambda a, z: F.when(F.datediff(z, a) > 0, F.coalesce(F.sum(F.when(F.col("date").between(a, z), F.col("amount"))), F.lit(0.0)) / F.greatest(F.lit(1), F.datediff(z, a))).otherwise(F.lit(0.0))
-    keys = ["case_id", "sku", "detected_on", "done_on"]
-    return rows.groupBy(*keys).agg(F.round(per(F.date_sub(det, 35), F.date_sub(det, 8)) + 1e-9, 4).alias("baseline"), F.round(per(F.date_sub(det, 7), done) + 1e-9, 4).alias("during"), F.round(per(done, end) + 1e-9, 4).alias("observed"), F.datediff(ctx.day(), done).cast("long").alias("elapsed"))
-
-
-def outcome_states(windows: DataFrame) -> DataFrame:
-    """The state that the three daily revenues give; order matters."""
-    b, d, o = F.col("baseline"), F.col("during"), F.col("observed")
-    state = F.when(F.col("elapsed") < 3, "monitoring").when(b <= 0, "insufficient_evidence").when(o >= 0.9 * b, "observed_recovery").when(o > 1.1 * d, "partial_recovery").otherwise("no_material_change")
-    return windows.withColumn("outcome_state", state)
-
-
-def net_impact(ctx: Context) -> DataFrame:
-    """Recovered less cost, and the recovery rate; null without a recovery or anything at risk."""
-    o = ctx.table("outcomes")
-    rate = F.when(F.col("revenue_at_risk") > 0, F.col("revenue_recovered").cast("double") / F.col("revenue_at_risk").cast("double") * 100)
-    return o.select("investigation_id", (F.col("revenue_recovered") - F.coalesce("action_cost", F.lit(0))).alias("net_impact"), rate.alias("recovery_rate"))
+    team, user = F.when(does == "reassign_team", F.col("target_team_id")), F.when(does == "reassign_user", F.col("target_user_id"))
+    assigned = F.coalesce(F.col("assigned_at").cast("timestamp_ntz"), F.when(team.isNotNull() | user.isNotNull(), ctx.clock()))
+    return rows.select("investigation_id", "rule_id", "trigger_type", "escalation_action", team.alias("to_team_id"), user.alias("to_user_id"), F.col("priority").alias("from_priority"), F.when(does == "elevate_priority", up).otherwise(F.col("priority")).alias("to_priority"), assigned.alias("assigned_at"), ctx.clock().alias("triggered_at"))
 
 
 def bulk(ids: DataFrame, targets: DataFrame) -> DataFrame:

@@ -99,10 +99,11 @@ def quality_score(ctx: Context, least: int = 20) -> DataFrame:
 
 
 def recovery_summary(ctx: Context) -> DataFrame:
-    row = ctx.table("outcomes").agg(
-        F.coalesce(F.sum("revenue_at_risk"), F.lit(0)).alias("at_risk"), F.coalesce(F.sum("revenue_recovered"), F.lit(0)).alias("recovered"), F.count_if(F.col("outcome_type") == "false_positive").alias("false_positives"), F.count_if(F.col("outcome_type") == "resolved").alias("resolved")
-    )
-    return row.withColumn("recovery_rate", F.coalesce(pct(F.col("recovered"), F.col("at_risk")), F.lit(0.0)))
+    """Totals of all outcomes, and investigations resolved to date; no rate without anything at risk."""
+    zero = F.lit(0)
+    row = ctx.table("outcomes").agg(F.coalesce(F.sum("revenue_at_risk"), zero).alias("at_risk"), F.coalesce(F.sum("revenue_recovered"), zero).alias("recovered"), F.count("*").alias("outcomes"), F.count_if("was_false_positive").alias("false_positives"))
+    done = ctx.table("investigations").agg(F.count_if(F.col("status").isin("resolved", "closed")).alias("resolved"))
+    return row.crossJoin(done).withColumn("recovery_rate", pct(F.col("recovered"), F.col("at_risk")))
 
 
 def _by(rows: DataFrame, key: str) -> DataFrame:

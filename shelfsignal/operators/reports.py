@@ -30,12 +30,14 @@ def top_skus(ctx: Context, days: int = 30, limit: int = 10) -> DataFrame:
 
 
 def inventory_health(ctx: Context, limit: int = 10) -> DataFrame:
-    """Stockouts, levels at risk and healthy ones by location; by store where no location is known."""
+    """Stockouts, levels at risk and healthy ones by location; by store only where no location is known at all."""
     out = F.col("on_hand_qty") <= 0
     risk = ~out & F.col("reorder_point").isNotNull() & (F.col("on_hand_qty") <= F.col("reorder_point"))
-    place = F.coalesce("location", F.concat(F.lit("Store "), F.col("store_id")))
-    rows = ctx.table("inventory").groupBy(place.alias("place")).agg(F.count_if(out).alias("stockout"), F.count_if(risk).alias("at_risk"), F.count_if(~out & ~risk).alias("healthy"), F.count("*").alias("n"))
-    return rows.orderBy(F.desc("n"), "place").limit(limit).drop("n")
+    by = F.when(F.col("location").isNotNull(), F.struct(F.lit(1).alias("kind"), F.col("location").alias("place"))).when(F.col("store_id").isNotNull(), F.struct(F.lit(0).alias("kind"), F.concat(F.lit("Store "), F.col("store_id").cast("string")).alias("place")))
+    rows = ctx.table("inventory").groupBy(by.alias("by")).agg(F.count_if(out).alias("stockout"), F.count_if(risk).alias("at_risk"), F.count_if(~out & ~risk).alias("healthy"), F.count("*").alias("n")).where("by IS NOT NULL")
+    kind = ctx.table("inventory").agg(F.max((F.col("location").isNotNull()).cast("int")).alias("kind"))
+    rows = rows.select("by.*", "stockout", "at_risk", "healthy", "n").join(F.broadcast(kind), "kind")  # one row
+    return rows.orderBy(F.desc("n"), "place").limit(limit).drop("n", "kind")
 
 
 def po_fulfilment(ctx: Context) -> DataFrame:
@@ -243,9 +245,235 @@ def recovered_this_month(ctx: Context, limit: int = 200) -> DataFrame:
     return rows.orderBy(F.desc("revenue_recovered"), "investigation_id").limit(limit).select("investigation_id", "outcome_type", "revenue_recovered")
 
 
-def watched(ctx: Context, user_id: int) -> DataFrame:
-    """A user's watches with the investigation's state and the next due action."""
-    from .investigations import watch_snapshot
+# Periods
 
-    w = ctx.table("watches").where(F.col("user_id") == user_id).select(F.col("id").alias("watch_id"), "investigation_id", "mode")
-    return w.join(watch_snapshot(ctx).select("investigation_id", "status", "overdue", F.col("next_due").cast("date").alias("next_due")), "investigation_id", "left")
+
+def available_range(ctx: Context) -> DataFrame:
+    """The first day with data and the day of the clock; without data the last 30 days."""
+    firsts = [ctx.table(t).agg(F.min(c).cast("date").alias("first")) for t, c in (("anomalies", "detected_at"), ("investigations", "opened_at"), ("outcomes", "recorded_at"), ("sales", "date"))]
+    today = F.lit(ctx.now).cast("date")
+    row = firsts[0].unionByName(firsts[1]).unionByName(firsts[2]).unionByName(firsts[3]).agg(F.min("first").alias("first"))
+    return row.select(F.coalesce("first", F.date_sub(today, 30)).alias("first"), today.alias("last"))
+
+
+def clamped_range(ctx: Context, requests: DataFrame) -> DataFrame:
+    """``requests`` (first, last; null for open) within the available range; the whole range where nothing is left of one."""
+    r = available_range(ctx).select(F.col("first").alias("a"), F.col("last").alias("z"))
+    rows = requests.crossJoin(F.broadcast(r))  # one row
+    first, last = F.greatest(F.coalesce("first", "a"), "a"), F.least(F.coalesce("last", "z"), "z")
+    return rows.select(F.when(first > last, F.col("a")).otherwise(first).alias("first"), F.when(first > last, F.col("z")).otherwise(last).alias("last"))
+
+
+def presets(ctx: Context) -> DataFrame:
+    """The periods on offer: last 7, 30 and 90 days, month and year to date, all; none begins before the data."""
+    day = F.col("last")
+    starts = {"7d": F.date_sub(day, 7), "30d": F.date_sub(day, 30), "90d": F.date_sub(day, 90), "mtd": F.trunc(day, "month"), "ytd": F.trunc(day, "year"), "all": F.col("first")}
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("preset"), F.greatest(v, F.col("first")).alias("from")) for k, v in starts.items()))).alias("p")
+    return available_range(ctx).select(each, F.col("last").alias("to")).select("p.*", "to")
+
+
+def _within(c: str, first, last) -> Column:
+    return F.col(c).cast("date").between(F.lit(first), F.lit(last))
+
+
+def period_times(ctx: Context, first, last) -> DataFrame:
+    """Average hours to the first action taken and to resolutions made in a period; negative ones don't count."""
+    i = ctx.table("investigations")
+    acted = ctx.table("actions").where(_within("created_at", first, last)).groupBy(F.col("investigation_id").alias("id")).agg(F.min("created_at").alias("acted"))
+    h = hours_between(F.col("acted"), F.col("opened_at"))
+    a = i.join(acted, "id").agg(F.round(F.avg(F.when(h >= 0, h)), 1).alias("hours_to_action"))
+    h = hours_between(F.col("resolved_at"), F.col("opened_at"))
+    return a.crossJoin(i.where(_within("resolved_at", first, last)).agg(F.round(F.avg(F.when(h >= 0, h)), 1).alias("hours_to_resolution")))
+
+
+def recovery_report(ctx: Context, first, last) -> DataFrame:
+    """Figures of the outcomes recorded in a period, in one row."""
+    o = ctx.table("outcomes").where(_within("recorded_at", first, last))
+    money_ = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    row = o.agg(money_("revenue_at_risk").alias("at_risk"), money_("revenue_recovered").alias("recovered"), money_("action_cost").alias("cost"), F.count_if("was_false_positive").alias("false_positives"))
+    done = ctx.table("investigations").where(F.col("status").isin("resolved", "closed") & _within("resolved_at", first, last)).agg(F.count("*").alias("resolved"))
+    return row.crossJoin(done).select("at_risk", "recovered", pct(F.col("recovered"), F.col("at_risk")).alias("recovery_rate"), (F.col("recovered") - F.col("cost")).alias("net_impact"), "resolved", "false_positives")
+
+
+def investigation_report(ctx: Context, first, last) -> DataFrame:
+    """Figures of the investigations opened in a period, in one row."""
+    h = hours_between(F.col("resolved_at"), F.col("opened_at"))
+    over = F.col("status").isin("resolved", "closed")
+    row = ctx.table("investigations").where(_within("opened_at", first, last)).agg(
+        F.count("*").alias("opened"), F.count_if(F.col("status").isin("open", "in_progress")).alias("open"), F.count_if(over).alias("resolved"), F.round(F.avg(F.when(h >= 0, h)), 1).alias("hours_to_resolution"), F.coalesce(F.sum("revenue_at_risk"), F.lit(0)).alias("at_risk")
+    )
+    return row.withColumn("resolution_rate", pct(F.col("resolved"), F.col("opened")))
+
+
+def anomaly_report(ctx: Context, first, last) -> DataFrame:
+    """Figures of the anomalies detected in a period, in one row."""
+    row = ctx.table("anomalies").where(_within("detected_at", first, last)).agg(
+        F.count("*").alias("detected"), F.count_if(F.col("severity") == "high").alias("high"), F.count("investigation_id").alias("correlated"), F.count("dismissed_at").alias("dismissed"), F.count_if("is_false_positive").alias("false_positives")
+    )
+    return row.withColumn("false_positive_rate", pct(F.col("false_positives"), F.col("detected")))
+
+
+def health_report(ctx: Context, first, last) -> DataFrame:
+    """The state of the data now, and what was detected and opened in a period, in one row."""
+    from .health import overall
+
+    a = ctx.table("anomalies").where(_within("detected_at", first, last)).agg(F.count("*").alias("anomalies"))
+    i = ctx.table("investigations").where(_within("opened_at", first, last)).agg(F.count("*").alias("investigations"), F.count_if(F.col("status").isin("resolved", "closed")).alias("resolved"))
+    row = overall(ctx).select("score", "datasets", "n_warnings").crossJoin(a).crossJoin(i)
+    return row.select("score", "datasets", "n_warnings", "anomalies", "investigations", pct(F.col("resolved"), F.col("investigations")).alias("resolution_rate"))
+
+
+# Where the money figures come from
+
+
+def breakdown_headlines(ctx: Context) -> DataFrame:
+    """The figure behind each money card, and the number of rows it comes from."""
+    i = ctx.table("investigations").where(F.col("status").isin("open", "in_progress"))
+    o = ctx.table("outcomes")
+    month = (F.col("recorded_at").cast("date") >= F.trunc(F.lit(ctx.now).cast("date"), "month")) & (F.col("revenue_recovered") > 0)
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("double")
+    risk = i.agg(zero(F.sum("revenue_at_risk")).alias("revenue_at_risk"), F.count("*").alias("n_revenue_at_risk"))
+    rest = o.agg(
+        zero(F.sum(F.when(month, F.col("revenue_recovered")))).alias("recovered_mtd"), F.count_if(month).alias("n_recovered_mtd"), zero(F.sum("revenue_at_risk")).alias("outcome_at_risk"), F.count("revenue_at_risk").alias("n_outcome_at_risk"),
+        zero(F.sum("revenue_recovered")).alias("observed_recovery"), F.count_if(F.col("revenue_recovered") > 0).alias("n_observed_recovery"), F.count_if("was_false_positive").alias("n_false_positives"),
+    )
+    row = risk.crossJoin(rest)  # rows of one
+    rate = pct(F.col("observed_recovery"), F.col("outcome_at_risk"))
+    return row.selectExpr("*").withColumn("rate", rate).selectExpr(
+        "stack(6, 'revenue_at_risk', revenue_at_risk, n_revenue_at_risk, 'recovered_mtd', recovered_mtd, n_recovered_mtd, 'outcome_at_risk', outcome_at_risk, n_outcome_at_risk, 'observed_recovery', observed_recovery, n_observed_recovery,"
+        " 'recovery_rate', rate, n_outcome_at_risk, 'false_positives', cast(n_false_positives as double), n_false_positives) AS (metric, value, n)"
+    )
+
+
+def outcome_breakdown(ctx: Context, metric: str, limit: int = 200) -> DataFrame:
+    """The outcomes behind a card, the largest amounts first (for false positives the latest)."""
+    o = ctx.table("outcomes")
+    by = {"outcome_at_risk": ("revenue_at_risk IS NOT NULL", "revenue_at_risk"), "observed_recovery": ("revenue_recovered > 0", "revenue_recovered"), "recovery_rate": ("revenue_at_risk IS NOT NULL", "revenue_recovered"), "false_positives": ("was_false_positive", "recorded_at")}
+    where, order = by[metric]
+    i = ctx.table("investigations").select(F.col("id").alias("investigation_id"), "title", F.col("primary_sku").alias("sku"))
+    rows = o.where(where).orderBy(F.desc_nulls_first(order), "investigation_id").limit(limit)
+    return rows.join(i, "investigation_id", "left").select("investigation_id", F.coalesce("title", F.concat(F.lit("Investigation #"), F.col("investigation_id").cast("string"))).alias("title"), "sku", "outcome_type", "revenue_at_risk", "revenue_recovered")
+
+
+# Lists
+
+
+def action_rows(ctx: Context, tab: str = "all", search: str = "", kind: str | None = None, assignee: int | None = None, priority: str | None = None, sort: str = "due_at", descending: bool = False, page: int = 1, size: int = 25) -> DataFrame:
+    """A page of actions under a tab, with filters and a sort column, and the state of their deadline."""
+    live, due, day = ~F.col("status").isin("completed", "cancelled"), F.col("due_at").cast("timestamp_ntz"), F.col("due_at").cast("date")
+    today = F.lit(ctx.now).cast("date")
+    week = F.next_day(F.date_sub(today, 1), "SUN")
+    tabs = {"all": F.lit(True), "overdue": live & (due < ctx.clock()), "due_today": live & (day == today), "due_week": live & day.between(today, week), "in_progress": F.col("status") == "in_progress", "completed": F.col("status") == "completed"}
+    i = ctx.table("investigations").select(F.col("id").alias("investigation_id"), F.col("title").alias("i_title"))
+    rows = ctx.table("actions").join(i, "investigation_id").where(tabs[tab] & (F.col("title").ilike(f"%{search}%") | F.col("i_title").ilike(f"%{search}%")))
+    for column, value in (("action_type", kind), ("assignee_id", assignee), ("priority", priority)):
+        rows = rows if value is None else rows.where(F.col(column) == value)
+    left = hours_between(F.col("due_at"), ctx.clock())
+    sla = F.when(~live | F.col("due_at").isNull(), "none").when(left < 0, "overdue").when(left < 24, "at_risk").otherwise("on_track")
+    by = priority_rank(F.col("priority")) if sort == "priority" else F.col(sort)
+    return rows.orderBy(by.desc() if descending else by.asc(), "id").offset((page - 1) * size).limit(size).select("id", "title", "action_type", "status", "priority", sla.alias("sla"))
+
+
+def anomaly_page(ctx: Context, severity: str | None = None, rule: str | None = None, sku: str = "", dismissed: bool | None = False, page: int = 1, size: int = 25) -> DataFrame:
+    """A page of anomalies, severities in the order of the alphabet, then the newest."""
+    rows = ctx.table("anomalies")
+    if dismissed is not None:
+        rows = rows.where(F.col("dismissed_at").isNotNull() if dismissed else F.col("dismissed_at").isNull())
+    for column, value in (("severity", severity), ("rule_type", rule)):
+        rows = rows if value is None else rows.where(F.col(column) == value)
+    rows = rows.where(F.col("sku").ilike(f"%{sku}%")) if sku else rows
+    return rows.orderBy("severity", F.desc("detected_at"), "id").offset((page - 1) * size).limit(size).select("id", "rule_type", "severity", "sku")
+
+
+def audit_list(ctx: Context, event: str | None = None, actor: int | None = None, period: str | None = None) -> DataFrame:
+    """Audit entries, the newest first, by event, actor and period (today, 7d, 30d), with actor and channel named."""
+    at = F.col("created_at").cast("timestamp_ntz")
+    since = {"today": F.lit(ctx.now).cast("date").cast("timestamp_ntz"), "7d": ctx.clock(24 * 7), "30d": ctx.clock(24 * 30)}.get(period)
+    rows = ctx.table("audit")
+    rows = rows if since is None else rows.where(at >= since)
+    rows = rows if event is None else rows.where(F.col("event_type") == event)
+    rows = rows if actor is None else rows.where(F.col("user_id") == actor)
+    u = ctx.table("users").select(F.col("id").alias("user_id"), "name")
+    channel = F.when(F.get_json_object("new_value", "$.source") == "email", "Email").otherwise("-")
+    return rows.join(u, "user_id", "left").orderBy(F.desc("created_at"), "id").select("id", "event_type", F.coalesce("name", F.lit("System")).alias("actor"), channel.alias("channel"), "investigation_id")
+
+
+def audit_appended(audit: DataFrame, entries: DataFrame, now: Column) -> DataFrame:
+    """The audit log with ``entries`` (without id and time) at its end; ids go on from the last in each partition's stretch."""
+    last = audit.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
+    new = entries.withColumn("part", F.monotonically_increasing_id()).crossJoin(F.broadcast(last))  # one row
+    return audit.unionByName(new.withColumns({"id": F.col("last") + 1 + F.col("part"), "created_at": now}).drop("part", "last"), allowMissingColumns=True)
+
+
+def investigation_detail(ctx: Context, factors: int = 5) -> DataFrame:
+    """What the page of an investigation says: supporting evidence, contributing factors, impact, cause, last completed action."""
+    from .evidence import shown_values
+
+    shown = ctx.table("evidence").join(shown_values(ctx), "id")
+    supports = F.transform(F.sort_array(F.collect_list(F.when(F.col("direction") == "supports", F.struct("id", F.concat("label", F.lit(": "), "shown").alias("t"))))), lambda x: x.t)
+    neutral = F.sort_array(F.collect_list(F.when(F.col("direction") == "context", F.struct("id", F.col("label").alias("t")))))
+    e = shown.groupBy("investigation_id").agg(F.array_join(supports, ", ").alias("evidence"), F.transform(neutral, lambda x: x.t).alias("labels"))
+    said = F.sort_array(F.collect_list(F.when(F.col("description") != "", F.struct("id", F.col("description").alias("t")))))
+    a = ctx.table("anomalies").where("investigation_id IS NOT NULL").groupBy("investigation_id").agg(F.transform(said, lambda x: x.t).alias("descriptions"))
+    done = ctx.table("actions").groupBy("investigation_id").agg(F.coalesce(F.max_by(F.when(F.col("status") == "completed", F.col("title")), F.when(F.col("status") == "completed", F.col("id"))), F.max_by("title", "id")).alias("last_action"))
+    rows = ctx.table("investigations").withColumnRenamed("id", "investigation_id").join(e, "investigation_id", "left").join(a, "investigation_id", "left").join(done, "investigation_id", "left")
+    none = F.array().cast("array<string>")
+    found = F.slice(F.array_distinct(F.concat(F.coalesce("descriptions", none), F.coalesce("labels", none))), 1, factors)
+    cause = F.when(F.col("ai_confidence") == "established", "CAUSE ESTABLISHED").when(F.col("ai_confidence") == "probable", "CAUSE PROBABLE").when(F.col("ai_confidence") == "suspected", "UNDER INVESTIGATION").otherwise("PENDING ANALYSIS")
+    impact = F.when(F.coalesce(F.col("revenue_at_risk"), F.lit(0)) != 0, F.concat(F.lit("Estimated revenue at risk: $"), F.format_number(F.col("revenue_at_risk").cast("double"), 2), F.lit("."))).otherwise("Revenue impact not yet quantified.")
+    return rows.select(
+        "investigation_id", F.coalesce(F.nullif(F.col("evidence"), F.lit("")), F.lit("No supporting evidence collected yet.")).alias("evidence_text"),
+        F.when(F.size(found) > 0, F.array_join(found, "; ")).otherwise("Multiple correlated signals detected across the investigation window.").alias("factors_text"), impact.alias("impact_text"), cause.alias("cause_label"), "last_action",
+    )
+
+
+def detection_rows(ctx: Context, limit: int = 10) -> DataFrame:
+    """Up to ``limit`` rows of evidence of each investigation; those without any show what their primary anomaly's context holds."""
+    from .evidence import shown_values
+    from .metrics import primary_anomaly
+
+    w = Window.partitionBy("investigation_id").orderBy("id")
+    e = ctx.table("evidence").join(shown_values(ctx), "id").withColumn("k", F.row_number().over(w)).where(F.col("k") <= limit).select("investigation_id", "k", "label", F.col("shown").alias("value"))
+    first = primary_anomaly(ctx).select(F.col("anomaly_id").alias("id"))
+    a = ctx.table("anomalies").where("context IS NOT NULL").join(first, "id", "left_semi").join(e.select("investigation_id"), "investigation_id", "left_anti")
+    pairs = F.explode(F.map_entries(F.from_json("context", "map<string,string>"))).alias("p")
+    a = a.select("investigation_id", pairs).select("investigation_id", F.initcap(F.replace(F.col("p.key"), F.lit("_"), F.lit(" "))).alias("label"), F.col("p.value").alias("value"))
+    return e.unionByName(a.withColumn("k", F.row_number().over(Window.partitionBy("investigation_id").orderBy("label"))))
+
+
+# Exports: fixed columns, labels joined in.
+
+
+def export_anomalies(ctx: Context) -> DataFrame:
+    label = F.initcap(F.replace(F.col("rule_type"), F.lit("_"), F.lit(" ")))
+    minute = lambda c: F.coalesce(F.date_format(c, "yyyy-MM-dd HH:mm"), F.lit(""))
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return ctx.table("anomalies").select(
+        F.col("id").alias("ID"), F.col("severity").alias("Severity"), label.alias("Rule"), text("sku").alias("SKU"), text("description").alias("Description"), F.coalesce("investigation_status", F.lit("not_started")).alias("Investigation Status"),
+        text("action_notes").alias("Action Notes"), text("resolution_notes").alias("Resolution Notes"), minute("detected_at").alias("Detected At"), minute("resolved_at").alias("Resolved At"),
+    )
+
+
+def export_investigations(ctx: Context) -> DataFrame:
+    team = ctx.table("teams").select(F.col("id").alias("assigned_team_id"), F.col("name").alias("Team"))
+    o = ctx.table("outcomes").select(F.col("investigation_id").alias("id"), F.col("revenue_recovered").alias("Observed Recovery"))
+    rows = ctx.table("investigations").join(team, "assigned_team_id", "left").join(o, "id", "left")
+    return rows.select(F.col("id").alias("ID"), F.col("title").alias("Title"), F.col("status").alias("Status"), F.col("priority").alias("Priority"), F.col("primary_sku").alias("SKU"), "Team", F.col("revenue_at_risk").alias("Revenue at Risk"), "Observed Recovery", F.date_format("opened_at", "yyyy-MM-dd HH:mm:ss").alias("Opened At"))
+
+
+def export_actions(ctx: Context) -> DataFrame:
+    words = lambda c: F.initcap(F.replace(F.col(c), F.lit("_"), F.lit(" ")))
+    i = ctx.table("investigations").select(F.col("id").alias("investigation_id"), F.col("title").alias("Investigation"))
+    u = ctx.table("users").select(F.col("id").alias("assignee_id"), F.col("name").alias("assignee"))
+    left = hours_between(F.col("due_at"), ctx.clock())
+    sla = F.when(~F.col("status").isin(*ACTIVE_ACTIONS) | F.col("due_at").isNull(), "none").when(left < 0, "overdue").when(left < 24, "at_risk").otherwise("on_track")
+    rows = ctx.table("actions").join(i, "investigation_id", "left").join(u, "assignee_id", "left")
+    return rows.select(
+        F.col("id").alias("ID"), F.col("title").alias("Title"), words("action_type").alias("Type"), F.coalesce("Investigation", F.lit("—")).alias("Investigation"), words("priority").alias("Priority"), words("status").alias("Status"),
+        F.coalesce("assignee", F.lit("Unassigned")).alias("Assigned To"), F.coalesce(F.date_format("due_at", "yyyy-MM-dd HH:mm:ss"), F.lit("—")).alias("Due At"), sla.alias("SLA Status"),
+    )
+
+
+def notified(ids: DataFrame) -> DataFrame:
+    """Users to notify: each once, none that is null or zero."""
+    return ids.where("user_id IS NOT NULL AND user_id <> 0").select("user_id").distinct()

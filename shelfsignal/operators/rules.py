@@ -312,21 +312,46 @@ def location_proliferation(ctx: Context) -> DataFrame:
 REGISTRY: dict[str, Callable[[Context], DataFrame]] = {name: globals()[name] for name in RULES}
 
 
+COLUMNS = "tenant_id long, rule_type string, severity string, sku string, store_id long, revenue_impact double, context string"
+
+
+def _uniform(ctx: Context, name: str, rows: DataFrame) -> DataFrame:
+    """Detections of a rule in the one schema; what is particular to it is JSON."""
+    figures = [c for c in rows.columns if c not in ("sku", "store_id", "severity")]
+    impact = F.col("revenue_impact").cast("double") if "revenue_impact" in figures else F.lit(None).cast("double")
+    return rows.select(
+        F.lit(ctx.tenant_id).cast("long").alias("tenant_id"), F.lit(name).alias("rule_type"), "severity", F.col("sku").cast("string").alias("sku"), F.col("store_id").cast("long").alias("store_id"), impact.alias("revenue_impact"), F.to_json(F.struct(*figures)).alias("context")
+    )
+
+
+def enabled(ctx: Context) -> list[str]:
+    """Rules that the tenant has not switched off (settings: rule_type, enabled); without settings all. One row a rule at most."""
+    if "rule_settings" not in ctx.tables:
+        return list(REGISTRY)
+    off = {r["rule_type"] for r in ctx.table("rule_settings").where("NOT enabled").select("rule_type").distinct().limit(len(REGISTRY)).collect()}
+    return [name for name in REGISTRY if name not in off]
+
+
 def detect(ctx: Context, names: list[str] | None = None, extra: dict[str, Callable[[Context], DataFrame]] | None = None) -> DataFrame:
-    """Detections of all rules, or of ``names`` and ``extra`` ones, in one schema; disabled rules are those left out."""
-    rules = {n: REGISTRY[n] for n in (REGISTRY if names is None else names)} | (extra or {})
-    out = None
+    """Detections of all enabled rules, or of ``names`` and ``extra`` ones, in one schema."""
+    rules = {n: REGISTRY[n] for n in (enabled(ctx) if names is None else names)} | (extra or {})
+    out = ctx.table("sales").sparkSession.createDataFrame([], COLUMNS)
     for name, rule in rules.items():
-        rows = rule(ctx)
-        figures = [c for c in rows.columns if c not in ("sku", "store_id", "severity")]
-        impact = F.col("revenue_impact").cast("double") if "revenue_impact" in figures else F.lit(None).cast("double")
-        rows = rows.select(
-            F.lit(ctx.tenant_id).cast("long").alias("tenant_id"), F.lit(name).alias("rule_type"), "severity", F.col("sku").cast("string").alias("sku"), F.col("store_id").cast("long").alias("store_id"), impact.alias("revenue_impact"), F.to_json(F.struct(*figures)).alias("context")
-        )
-        out = rows if out is None else out.unionByName(rows)
+        out = out.unionByName(_uniform(ctx, name, rule(ctx)))
     return out
 
 
+def run(ctx: Context, write: Callable[[str, DataFrame], None], names: list[str] | None = None, extra: dict[str, Callable[[Context], DataFrame]] | None = None) -> dict[str, str]:
+    """Each rule in a job of its own, its detections handed to ``write``; a rule that fails leaves the others alone. Returns the errors by rule."""
+    rules, failed = {n: REGISTRY[n] for n in (enabled(ctx) if names is None else names)} | (extra or {}), {}
+    for name, rule in rules.items():
+        try:
+            write(name, _uniform(ctx, name, rule(ctx)))
+        except Exception as e:  # noqa: BLE001  whatever it is, the other rules go on
+            failed[name] = str(e)
+    return failed
+
+
 def as_of(ctx: Context, day: dt.date) -> Context:
     """The same tables at another day."""
     return Context(ctx.tables, day, ctx.now, ctx.tenant_id, ctx.thresholds)

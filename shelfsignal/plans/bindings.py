@@ -29,9 +29,11 @@ VIEWS: dict[str, str] = {
     "net_sales": "SELECT tenant_id, transaction_id, date, sku, category, location, store_id, quantity, unit_price, total_amount FROM all_sales WHERE NOT is_return",
     "returns": "SELECT tenant_id, date, sku, location, store_id, quantity, total_amount AS value FROM all_sales WHERE is_return",
     "part_sales": """
-        SELECT CAST(1 AS BIGINT) AS tenant_id, CAST(o_orderdate AS DATE) AS date, CAST(l_partkey AS STRING) AS sku, CAST(l_quantity AS DECIMAL(12,2)) AS quantity,
+        SELECT CAST(1 AS BIGINT) AS tenant_id, CAST(o_orderdate AS DATE) AS date, CAST(l_partkey AS STRING) AS sku, concat('L', l_partkey % 25) AS location, l_partkey % 25 AS store_id, CAST(l_quantity AS DECIMAL(12,2)) AS quantity,
                l_extendedprice / l_quantity AS unit_price, CAST(l_extendedprice AS DECIMAL(12,2)) AS total_amount
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
+    "brand_sales": """
+        SELECT tenant_id, transaction_id, date, category AS sku, location, store_id % 5 AS store_id, quantity, unit_price, total_amount FROM all_sales""",
     "products": """
         SELECT CAST(1 AS BIGINT) AS tenant_id, min(p_partkey) AS id, concat(p_brand, '/', p_type) AS sku, min(p_name) AS name, p_type AS category, p_brand AS subcategory,
                round(avg(p_retailprice), 4) AS selling_price, round(avg(p_retailprice * CASE WHEN p_size % 10 = 0 THEN 1.1 ELSE 0.6 END), 4) AS unit_cost,
@@ -75,7 +77,8 @@ VIEWS: dict[str, str] = {
                CASE WHEN event_id % 10 < 5 THEN 'low' WHEN event_id % 10 < 8 THEN 'medium' ELSE 'high' END AS severity, CAST(user_id AS STRING) AS sku, user_id % 25 AS store_id,
                CAST(value AS DECIMAL(18,2)) AS revenue_impact, ts AS detected_at, CASE WHEN event_type = 'error' THEN ts + INTERVAL '5' MINUTE END AS dismissed_at,
                event_type = 'error' AND event_id % 2 = 0 AS is_false_positive, CASE WHEN event_id % 3 = 0 THEN NULL ELSE user_id END AS investigation_id,
-               CASE WHEN event_id % 4 = 0 THEN NULL ELSE ts END AS notified_at
+               CASE WHEN event_id % 4 = 0 THEN NULL ELSE ts END AS notified_at, CASE WHEN event_id % 5 = 0 THEN NULL ELSE concat('Seen ', event_id % 8) END AS description, concat(chr(123), '"units_sold":', event_id % 100, ',"window_days":', event_id % 30, chr(125)) AS context,
+               CASE WHEN event_id % 6 = 0 THEN NULL ELSE 'detected' END AS investigation_status, CAST(NULL AS STRING) AS action_notes, CASE WHEN event_id % 9 = 0 THEN 'done' END AS resolution_notes, CASE WHEN event_id % 9 = 0 THEN ts + INTERVAL '3' HOUR END AS resolved_at
         FROM events""",
     "investigations": """
         SELECT CAST(1 AS BIGINT) AS tenant_id, user_id AS id, concat('Investigation ', user_id) AS title, CASE user_id % 4 WHEN 0 THEN 'open' WHEN 1 THEN 'in_progress' WHEN 2 THEN 'resolved' ELSE 'closed' END AS status,
@@ -105,7 +108,7 @@ VIEWS: dict[str, str] = {
         SELECT CAST(1 AS BIGINT) AS tenant_id, event_id AS id, user_id AS investigation_id, event_id AS anomaly_id,
                CASE event_id % 5 WHEN 0 THEN 'sales' WHEN 1 THEN 'inventory' WHEN 2 THEN 'purchase_orders' WHEN 3 THEN 'products' ELSE 'stores' END AS source, concat('Label ', event_id % 12) AS label,
                CASE WHEN event_id % 4 = 0 THEN NULL ELSE CAST(value AS DECIMAL(18,2)) END AS value_numeric, CASE WHEN event_id % 8 = 0 THEN 'text' END AS value_text, CASE WHEN event_id % 2 = 0 THEN 'units' END AS unit,
-               CASE event_id % 3 WHEN 0 THEN 'supports' WHEN 1 THEN 'contradicts' ELSE 'neutral' END AS direction, CASE (event_id % 7) % 3 WHEN 0 THEN 'strong' WHEN 1 THEN 'moderate' ELSE 'weak' END AS strength, ts AS observed_at
+               CASE event_id % 6 WHEN 0 THEN 'supports' WHEN 1 THEN 'contradicts' WHEN 3 THEN 'supports' WHEN 4 THEN 'contradicts' WHEN 2 THEN 'context' ELSE 'neutral' END AS direction, CASE (event_id % 7) % 3 WHEN 0 THEN 'strong' WHEN 1 THEN 'moderate' ELSE 'weak' END AS strength, ts AS observed_at
         FROM events WHERE event_type = 'click'""",
     "suppressions": f"""
         SELECT CAST(1 AS BIGINT) AS tenant_id, CAST(n_nationkey AS BIGINT) AS id, CASE n_nationkey % 4 WHEN 0 THEN 'rule' WHEN 1 THEN 'rule_store' WHEN 2 THEN 'rule_sku' ELSE 'rule_store_sku' END AS scope_type,
@@ -119,18 +122,50 @@ VIEWS: dict[str, str] = {
         FROM region""",
     "escalation_rules": """
         SELECT CAST(1 AS BIGINT) AS tenant_id, CAST(r_regionkey AS BIGINT) AS id, CASE r_regionkey WHEN 0 THEN 'priority_threshold' WHEN 1 THEN 'time_open' WHEN 2 THEN 'unassigned' WHEN 3 THEN 'no_action' ELSE 'time_open' END AS trigger_type,
-               CASE r_regionkey WHEN 0 THEN 'critical' WHEN 1 THEN '600' WHEN 2 THEN '24' WHEN 3 THEN '48' ELSE '48' END AS trigger_value, CASE WHEN r_regionkey IN (1, 3) THEN 'medium' END AS min_priority, CAST(r_regionkey AS BIGINT) AS sort_order
+               CASE r_regionkey WHEN 0 THEN 'critical' WHEN 1 THEN '600' WHEN 2 THEN '24' WHEN 3 THEN '48' ELSE '48' END AS trigger_value, CASE WHEN r_regionkey IN (1, 3) THEN 'medium' END AS min_priority, CAST(r_regionkey AS BIGINT) AS sort_order,
+               CASE r_regionkey WHEN 0 THEN 'elevate_priority' WHEN 1 THEN 'reassign_team' WHEN 2 THEN 'reassign_user' WHEN 3 THEN 'elevate_priority' ELSE 'notify_lead' END AS escalation_action,
+               CASE WHEN r_regionkey = 1 THEN CAST(2 AS BIGINT) END AS target_team_id, CASE WHEN r_regionkey = 2 THEN CAST(5 AS BIGINT) END AS target_user_id
         FROM region""",
     "escalation_events": "SELECT CAST(1 AS BIGINT) AS tenant_id, user_id AS investigation_id, CAST(min(event_id) % 5 AS BIGINT) AS rule_id, TIMESTAMP '2024-01-30 12:00:00' AS fired_at FROM events WHERE user_id % 10 = 0 GROUP BY user_id",
     "users": "SELECT CAST(1 AS BIGINT) AS tenant_id, c_custkey AS id, c_name AS name, concat(lower(c_mktsegment), '.', c_custkey, '@example.com') AS email, c_custkey % 20 = 0 AS is_admin FROM customer",
     "watches": """
-        SELECT CAST(1 AS BIGINT) AS tenant_id, user_id AS id, user_id AS investigation_id, user_id % 7 AS user_id, CASE user_id % 3 WHEN 0 THEN 'until_resolved' WHEN 1 THEN 'until_date' ELSE 'always' END AS mode,
-               CASE WHEN user_id % 3 = 1 THEN TIMESTAMP '2024-01-20 00:00:00' END AS until_date, 'open' AS last_status, 'low' AS last_priority, CAST(user_id % 3 AS BIGINT) AS last_completed, CAST(0 AS BIGINT) AS last_overdue,
-               CAST(100 AS DECIMAL(18,2)) AS last_at_risk, CAST(user_id % 2 AS BIGINT) AS last_escalations
-        FROM events WHERE user_id % 3 <> 2 OR user_id % 5 = 0 GROUP BY user_id""",
+        SELECT CAST(1 AS BIGINT) AS tenant_id, uid AS id, uid AS investigation_id, CASE WHEN uid % 4 = 0 THEN NULL ELSE uid % 7 END AS user_id, CASE WHEN uid % 4 = 0 THEN uid % 3 END AS team_id,
+               CASE uid % 3 WHEN 0 THEN 'until_resolved' WHEN 1 THEN 'until_date' ELSE 'indefinite' END AS mode, CASE WHEN uid % 3 = 1 AND uid % 2 = 0 THEN TIMESTAMP '2024-01-20 00:00:00' WHEN uid % 3 = 1 THEN TIMESTAMP '2024-02-20 00:00:00' END AS until_date,
+               uid % 13 <> 12 AS active, CASE uid % 5 WHEN 0 THEN split('status_change,comment,overdue', ',') WHEN 1 THEN split('recovery,material_impact_change,comment,action_taken', ',') END AS triggers,
+               'open' AS last_status, 'low' AS last_priority, CAST(0 AS BIGINT) AS last_actions, CAST(uid % 3 AS BIGINT) AS last_completed, CAST(0 AS BIGINT) AS last_overdue,
+               CAST(uid % 2 AS BIGINT) AS last_escalations, CAST(100 * (uid % 9) AS DECIMAL(18,2)) AS last_at_risk, CAST(uid % 50 AS DECIMAL(18,2)) AS last_recovered
+        FROM (SELECT DISTINCT user_id AS uid FROM events WHERE user_id % 3 <> 2 OR user_id % 5 = 0)""",
+    "watch_ledger": """
+        SELECT user_id AS watch_id, CASE user_id % 2 WHEN 0 THEN 'escalation:1' ELSE 'status_change:open->in_progress' END AS signature, TIMESTAMP '2024-01-05 00:00:00' AS sent_at FROM events WHERE user_id % 5 = 0 GROUP BY user_id
+        UNION ALL SELECT user_id, concat('comment:', event_id), ts FROM events WHERE event_type = 'signup' AND event_id % 3 = 0""",
+    "teams": "SELECT CAST(1 AS BIGINT) AS tenant_id, CAST(r_regionkey AS BIGINT) AS id, concat('Team ', r_name) AS name, r_regionkey IN (1, 3) AS is_default FROM region",
+    "team_members": "SELECT CAST(1 AS BIGINT) AS tenant_id, c_custkey % 3 AS team_id, c_custkey AS user_id FROM customer WHERE c_custkey <= 20",
     "cases": f"""
         SELECT CAST(1 AS BIGINT) AS tenant_id, min(p_partkey) AS case_id, concat(p_brand, '/', p_type) AS sku, {_T} - CAST(20 + min(p_partkey) % 40 AS INTEGER) AS detected_on,
                {_T} - CAST(20 + min(p_partkey) % 40 - 18 - min(p_partkey) % 7 AS INTEGER) AS done_on FROM part GROUP BY p_brand, p_type""",
+    "case_outcomes": """
+        SELECT min(p_partkey) AS investigation_id, CASE WHEN min(p_partkey) % 2 = 0 THEN 'monitoring' ELSE 'partial_recovery' END AS outcome_state, CASE WHEN min(p_partkey) % 3 = 0 THEN 12.5E0 END AS observed_recovery,
+               'not_attempted' AS attribution_status, 'insufficient' AS evidence_strength, TIMESTAMP '2001-07-30 00:00:00' AS next_measurement_at
+        FROM part WHERE p_size % 2 = 0 GROUP BY p_brand, p_type""",
+    "rule_settings": f"SELECT CAST(1 AS BIGINT) AS tenant_id, {_RULE.format('n_nationkey')} AS rule_type, n_nationkey % 9 <> 0 AS enabled FROM nation",
+    "audit": """
+        SELECT CAST(1 AS BIGINT) AS tenant_id, event_id AS id, user_id AS investigation_id, CASE WHEN user_id % 4 = 0 THEN NULL ELSE user_id END AS user_id,
+               CASE event_id % 3 WHEN 0 THEN 'comment_added' WHEN 1 THEN 'status_changed' ELSE 'outcome_measured' END AS event_type, ts AS created_at, CASE WHEN event_id % 2 = 0 THEN concat(chr(123), '"source":"email"', chr(125)) WHEN event_id % 5 = 0 THEN concat(chr(123), '"source":"web"', chr(125)) END AS new_value
+        FROM events WHERE event_type = 'view'""",
+    "imports": """
+        SELECT CAST(1 AS BIGINT) AS tenant_id, event_id AS id, CASE event_id % 6 WHEN 0 THEN 'sales' WHEN 1 THEN 'inventory' WHEN 2 THEN 'products' WHEN 3 THEN 'returns' WHEN 4 THEN 'stores' ELSE 'purchase_orders' END AS data_type,
+               CASE event_id % 5 WHEN 0 THEN 'importing' WHEN 1 THEN 'completed' WHEN 2 THEN 'completed_with_errors' WHEN 3 THEN 'failed' ELSE 'mapping_review' END AS status, CAST(NULL AS STRING) AS error_message,
+               CASE WHEN event_id % 11 = 0 THEN CAST(0 AS BIGINT) ELSE CAST(floor(value * 10) AS BIGINT) END AS total_rows, CAST(floor(value * 7) AS BIGINT) + event_id % 40 AS process_cursor, CAST(floor(value * 6) AS BIGINT) AS imported_rows, event_id % 9 AS failed_rows,
+               CASE WHEN event_id % 3 = 0 THEN TIMESTAMP '2024-01-30 23:55:00' ELSE ts END AS updated_at
+        FROM events WHERE event_type IN ('purchase', 'signup')""",
+    "imported_sales": "SELECT l_orderkey % 1500 + 1 AS import_id, concat(l_orderkey, '-', l_linenumber) AS transaction_id, CAST(l_quantity AS DECIMAL(12,2)) AS quantity FROM lineitem",
+    "inbound_mail": """
+        SELECT concat('m', c_custkey % 40) AS message_id, CASE WHEN c_custkey % 17 = 0 THEN 'nobody' ELSE concat(c_name, ' <', c_mktsegment, '.', c_custkey, CASE WHEN c_custkey % 13 = 0 THEN '@elsewhere.com>' ELSE '@example.com>' END) END AS sender,
+               CASE WHEN c_custkey % 5 = 0 THEN 'inbox@in.example.com' ELSE concat('Desk <desk@x.org>, reply+', c_custkey % 30, '-abc', c_custkey % 30, '@in.example.com') END AS recipient, CASE WHEN c_custkey % 10 = 0 THEN concat('Re: [INV-', c_custkey % 30, '-abc', c_custkey % 30, '] x') ELSE 'hello' END AS subject,
+               concat(CASE WHEN c_custkey % 7 = 0 THEN '' ELSE concat(' text ', c_custkey, chr(13)) END, chr(10), CASE c_custkey % 4 WHEN 0 THEN '> old' WHEN 1 THEN 'On Monday X wrote:' WHEN 2 THEN 'From: a@b.c' ELSE '-- original message --' END, chr(10), 'tail') AS body
+        FROM customer WHERE c_custkey <= 600""",
+    "email_tokens": "SELECT concat(c_custkey, '-abc', c_custkey) AS token, c_custkey AS investigation_id, CAST(1 AS BIGINT) AS tenant_id FROM customer WHERE c_custkey < 25",
+    "mail_posted": "SELECT c_custkey AS investigation_id, concat('m', c_custkey) AS message_id FROM customer WHERE c_custkey < 10",
     "comments": """
         SELECT CAST(1 AS BIGINT) AS tenant_id, event_id AS id, user_id AS author_id, user_id AS investigation_id,
                concat('Please look @Building.', user_id, ' and @furniture.', event_id % 97, ' asap, mail x@y') AS body

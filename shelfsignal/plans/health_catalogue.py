@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from ..operators import health, metrics
+import datetime as dt
+
+from ..operators import health, metrics, reports
 from .operations_catalogue import NOW, OPEN, hours, pct
 from .registry import Catalogue, r
 
@@ -95,3 +97,9 @@ CAT.add(
     metrics.action_quality,
     "SELECT count(*) FILTER (WHERE status = 'completed') AS completed, count(*) FILTER (WHERE status = 'cancelled') AS cancelled, count(*) FILTER (WHERE status = 'in_progress') AS in_progress, count(*) FILTER (WHERE status IN ('unassigned', 'assigned', 'acknowledged')) AS open, (SELECT count(*) FROM outcomes WHERE outcome_state IN ('observed_recovery', 'partial_recovery')) AS completed_with_recovery FROM actions",
 )
+CAT.add(
+    "report_health",
+    lambda c: reports.health_report(c, dt.date(2024, 1, 5), dt.date(2024, 1, 25)),
+    f"SELECT {r('h.score')} AS score, h.datasets, h.n_warnings, a.n AS anomalies, i.n AS investigations, {r(pct('i.done', 'i.n'))} AS resolution_rate FROM (SELECT round(avg(score) + 1e-9, 1) AS score, count(*) AS datasets, CAST(sum(len(w)) AS BIGINT) AS n_warnings FROM ({_ALL})) h, (SELECT count(*) AS n FROM anomalies WHERE CAST(detected_at AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-25') a, (SELECT count(*) AS n, count(*) FILTER (WHERE status IN ('resolved', 'closed')) AS done FROM investigations WHERE CAST(opened_at AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-25') i",
+    **_PART,
+)

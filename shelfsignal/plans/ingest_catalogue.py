@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources import files, imports
+from ..sources import files, imports, mail
 from ..streaming.ingest import hourly_counts
-from .bindings import load
+from .bindings import NOW, load
 from .registry import Catalogue, r, tidy
 
 CAT = Catalogue()
@@ -21,8 +21,8 @@ _CHECK = f"""SELECT _order, TRY_CAST(date AS DATE) AS date, sku, {_NUM.format('q
 
 def _rows(spark, sf_dir):
     raw = spark.sql(_RAW.replace("FROM lineitem", "FROM {lineitem}"), lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
-    named = raw.withColumnsRenamed({"date": "Sale Date", "sku": "Item", "quantity": "Qty", "unit_price": "Price"})
-    mapping = {h: m[0] for h, m in imports.map_headers(["Sale Date", "Item", "Qty", "Price"], "sales").items()}
+    named = raw.withColumnsRenamed({"date": "Sale Date", "sku": "Item Code", "quantity": "Qty", "unit_price": "Price"})
+    mapping = {h: m[0] for h, m in imports.map_headers(["Sale Date", "Item Code", "Qty", "Price"], "sales").items()}
     return imports.validate(imports.apply_map(named, mapping), "sales")
 
 
@@ -66,20 +66,143 @@ def _resolved(spark, sf_dir):
 _add(
     "dimension_resolution",
     _resolved,
-    """WITH k AS (SELECT id, name FROM stores WHERE id % 3 <> 0), m AS (SELECT location AS name, row_number() OVER (ORDER BY location) + (SELECT max(id) FROM k) AS id FROM (SELECT DISTINCT location FROM sales WHERE location NOT IN (SELECT name FROM k)))
+    """WITH k AS (SELECT id, name FROM stores WHERE id % 3 <> 0), m AS (SELECT location AS name, row_number() OVER (ORDER BY md5(location)) + (SELECT max(id) FROM k) AS id FROM (SELECT DISTINCT location FROM sales WHERE location NOT IN (SELECT name FROM k)))
     SELECT s.location, coalesce(k.id, m.id) AS location_id, count(*) AS rows FROM sales s LEFT JOIN k ON s.location = k.name LEFT JOIN m ON s.location = m.name GROUP BY 1, 2""",
 )
 
 
+#: Headers that are an alias to the letter, the field and dataset they stand for, and one that is like no alias.
+_HEADERS = [("Item No", "sales", "sku"), ("trans date", "sales", "date"), ("Channel", "sales", "location"), ("units-sold", "sales", "quantity"), ("MSRP", "products", "selling_price"), ("UPC", "products", "barcode"), ("qty recv", "purchase_orders", "qty_received"), ("est. arrival", "purchase_orders", None), ("Lead Days", "suppliers", "lead_time_days"), ("territory", "stores", "region"), ("Permission", "users", "role"), ("safety_stock", "inventory", "reorder_point"), ("quantity", "returns", "quantity")]
+
+
 def _header_map(spark, sf_dir):
-    headers = ["Sale Date", "Item Code", "Qty Sold", "Store Name", "Unit Price", "Net Amt", "zzz"]
-    return spark.createDataFrame([(h, *imports.map_header(h, "sales")) for h in headers], "header string, field string, confidence double")
+    return spark.createDataFrame([(h, d, *imports.map_header(h, d)) for h, d, f in _HEADERS if f], "header string, dataset string, field string, confidence double")
 
 
-_add("fuzzy_header_map", _header_map, None)
+_add("fuzzy_header_map", _header_map, "SELECT * FROM (VALUES " + ", ".join(f"('{h}', '{d}', '{f}', 1.0::DOUBLE)" for h, d, f in _HEADERS if f) + ") AS h(header, dataset, field, confidence)")
 _add(
     "feed_file_match",
     lambda s, d: files.matching(load(s, d, "suppliers").select(F.concat(F.lit("Sales_"), "id", F.when(F.col("id") % 2 == 0, ".CSV").otherwise(".xlsx")).alias("name")), "sales_*.csv"),
     "SELECT 'Sales_' || id || '.CSV' AS name FROM suppliers WHERE id % 2 = 0",
 )
 _add("hourly_event_counts", lambda s, d: hourly_counts(s.read.parquet(f"{d}/events.parquet")).withColumn("hour", F.date_format("hour", "yyyy-MM-dd HH")), f"SELECT strftime(ts, '%Y-%m-%d %H') AS hour, event_type, count(*) AS events, {r('sum(CAST(value AS DECIMAL(18,2)))')} AS value FROM events GROUP BY 1, 2")
+
+
+# Rows of every dataset. A raw table of text is made of the driver's rows; the oracle reads it with plain casts.
+_B = "CASE WHEN {0} % 13 = 0 THEN '' ELSE {1} END"
+_TABLES = {
+    "inventory": "SELECT p_partkey AS _order, " + _B.format("p_partkey", "CAST(p_partkey AS STRING)") + " AS sku, concat('L', p_partkey % 25) AS location, CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN '0' ELSE CAST(p_size AS STRING) END AS on_hand_qty, CASE p_partkey % 3 WHEN 0 THEN '0' ELSE concat(CAST(p_size AS STRING), ' pcs') END AS reorder_point, CASE WHEN p_partkey % 17 = 0 THEN 'soon' ELSE '2001-07-31' END AS as_of_date FROM part",
+    "purchase_orders": "SELECT l_orderkey * 10 + l_linenumber AS _order, " + _B.format("l_orderkey", "concat('PO-', CAST(l_orderkey AS STRING))") + " AS po_number, " + _B.format("l_suppkey", "concat(' S', CAST(l_suppkey AS STRING), ' ')") + " AS supplier, CAST(l_partkey AS STRING) AS sku, CASE WHEN l_orderkey % 19 = 0 THEN 'n/a' ELSE CAST(CAST(l_quantity AS INTEGER) AS STRING) END AS qty_ordered, CASE WHEN l_orderkey % 23 = 0 THEN '31.31.2001' ELSE CAST(CAST(l_shipdate AS DATE) AS STRING) END AS order_date, CASE WHEN l_linenumber % 2 = 0 THEN '' ELSE CAST(CAST(l_quantity AS INTEGER) AS STRING) END AS qty_received, '' AS received_date FROM lineitem",
+    "returns": "SELECT l_orderkey * 10 + l_linenumber AS _order, CAST(CAST(l_shipdate AS DATE) AS STRING) AS date, CAST(l_partkey AS STRING) AS sku, CASE WHEN l_orderkey % 19 = 0 THEN '' ELSE CAST(CAST(l_quantity AS INTEGER) AS STRING) END AS quantity, CASE l_linenumber % 3 WHEN 0 THEN '' ELSE CAST(CAST(floor(l_extendedprice) AS INTEGER) AS STRING) END AS value, ' late ' AS reason FROM lineitem WHERE l_returnflag = 'R'",
+    "products": "SELECT p_partkey AS _order, CAST(p_partkey AS STRING) AS sku, " + _B.format("p_partkey", "concat(' ', p_name)") + " AS name, p_type AS category, CASE WHEN p_partkey % 7 = 0 THEN '0' ELSE CAST(p_size AS STRING) END AS unit_cost, concat('$', CAST(p_size * 2 AS STRING)) AS selling_price FROM part",
+    "stores": "SELECT n_nationkey AS _order, " + _B.format("n_nationkey", "n_name") + " AS name, concat(' C', CAST(n_nationkey AS STRING)) AS code, '' AS city FROM nation",
+    "suppliers": "SELECT s_suppkey AS _order, " + _B.format("s_suppkey", "s_name") + " AS name, CASE WHEN s_suppkey % 2 = 0 THEN '14 days' ELSE '' END AS lead_time_days, concat('x', CAST(s_suppkey AS STRING), '@y.org') AS contact_email FROM supplier",
+    "users": "SELECT c_custkey AS _order, c_name AS name, CASE c_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'no address' ELSE concat(' USER', CAST(c_custkey AS STRING), '@Example.com ') END AS email, CASE c_custkey % 3 WHEN 0 THEN 'Admin' WHEN 1 THEN 'clerk' ELSE 'tenant_admin' END AS role FROM customer",
+}
+
+
+def _typed(name):
+    table = _TABLES[name].rsplit("FROM ", 1)[1].split()[0]
+
+    def run(spark, sf_dir):
+        sql = _TABLES[name].replace(f"FROM {table}", f"FROM {{{table}}}")
+        raw = spark.sql(sql, **{table: spark.read.parquet(f"{sf_dir}/{table}.parquet")})
+        fields = [c for c in raw.columns if c != "_order"]
+        return imports.validate(imports.apply_map(raw, {c: c for c in fields}), name)
+
+    return run
+
+
+def _num(c: str) -> str:
+    return f"CASE WHEN {c} NOT IN ('', '0') THEN {_NUM.format(c)} END"
+
+
+def _any(c: str) -> str:
+    return f"nullif(trim({c}), '')"
+
+
+def _first(*checks: str) -> str:
+    return f"coalesce({', '.join(checks)}) AS error"
+
+
+def _required(*fields: str) -> list[str]:
+    return [f"CASE WHEN coalesce({f}, '') IN ('', '0') THEN 'Missing required field: {f}' END" for f in fields]
+
+
+def _bad_date(c: str) -> str:
+    return f"CASE WHEN {c} <> '' AND TRY_CAST({c} AS DATE) IS NULL THEN 'Invalid date: {c}' END"
+
+
+def _bad_number(c: str) -> str:
+    return f"CASE WHEN {_NUM.format(c)} IS NULL THEN 'Invalid number: {c}' END"
+
+
+_WANT = {
+    "inventory": f"_order, {_any('sku')} AS sku, location, {r('coalesce(' + _NUM.format('on_hand_qty') + ', 0)')} AS on_hand_qty, {r(_num('reorder_point'))} AS reorder_point, TRY_CAST(as_of_date AS DATE) AS as_of_date, {_first(*_required('sku'), _bad_date('as_of_date'))}",
+    "purchase_orders": f"_order, {_any('po_number')} AS po_number, {_any('supplier')} AS supplier, sku, {r(_NUM.format('qty_ordered'))} AS qty_ordered, TRY_CAST(order_date AS DATE) AS order_date, {r(_num('qty_received'))} AS qty_received, CAST(NULL AS DATE) AS received_date, {_first(*_required('po_number', 'supplier', 'sku'), _bad_number('qty_ordered'), _bad_date('order_date'))}",
+    "returns": f"_order, TRY_CAST(date AS DATE) AS date, sku, {r(_NUM.format('quantity'))} AS quantity, {r(_num('value'))} AS value, 'late' AS reason, {_first(*_required('sku', 'quantity'))}",
+    "products": f"_order, sku, {_any('name')} AS name, category, {r(_num('unit_cost'))} AS unit_cost, {r(_num('selling_price'))} AS selling_price, {_first(*_required('sku', 'name'))}",
+    "stores": f"_order, {_any('name')} AS name, trim(code) AS code, CAST(NULL AS VARCHAR) AS city, {_first(*_required('name'))}",
+    "suppliers": f"_order, {_any('name')} AS name, {r(_num('lead_time_days'))} AS lead_time_days, contact_email, {_first(*_required('name'))}",
+    "users": f"_order, name, lower({_any('email')}) AS email, role, lower(trim(role)) IN ('admin', 'tenant_admin') AS is_admin, {_first(*_required('email'), chr(67) + 'ASE WHEN trim(email) NOT LIKE ' + chr(39) + '%@%.%' + chr(39) + ' THEN ' + chr(39) + 'Invalid e-mail' + chr(39) + ' END')}",
+}
+for _name in _TABLES:
+    _add(f"validate_{_name}_rows", _typed(_name), f"SELECT {_WANT[_name]} FROM ({_TABLES[_name]})")
+
+
+# Ledgers of imports
+_imports = lambda s, d: load(s, d, "imports")
+_add("import_progress", lambda s, d: _imports(s, d).select("id", imports.progress(F.col("process_cursor"), F.col("total_rows")).alias("pct")), "SELECT id, CAST(CASE WHEN total_rows > 0 THEN least(100, round(process_cursor / CAST(total_rows AS DOUBLE) * 100)) WHEN process_cursor > 0 THEN 100 ELSE 0 END AS BIGINT) AS pct FROM imports")
+_add("stuck_imports", lambda s, d: imports.recover_stuck(_imports(s, d), F.lit(NOW).cast("timestamp_ntz")).groupBy("status").agg(F.count("*").alias("n")), "SELECT CASE WHEN status = 'importing' AND updated_at < TIMESTAMP '2024-01-30 23:50:00' THEN 'failed' ELSE status END AS status, count(*) AS n FROM imports GROUP BY 1")
+_CAN = "data_type IN ('sales', 'inventory', 'returns', 'purchase_orders') AND status IN ('completed', 'completed_with_errors')"
+_add("rollback_eligible", lambda s, d: _imports(s, d).select("id", imports.can_roll_back().alias("eligible")), f"SELECT id, {_CAN} AS eligible FROM imports")
+
+
+def _undone(spark, sf_dir, cancel):
+    facts, ledger = imports.rolled_back(load(spark, sf_dir, "imported_sales"), _imports(spark, sf_dir), _imports(spark, sf_dir).where("id % 4 = 1").select("id"), cancel)
+    left = facts.groupBy("import_id").agg(F.count("*").alias("rows"))
+    return ledger.select("id", "status", "error_message").join(left, F.col("id") == F.col("import_id"), "left").select("id", "status", "error_message", F.coalesce("rows", F.lit(0)).alias("rows"))
+
+
+def _undone_sql(hit: str) -> str:
+    return f"""SELECT i.id, CASE WHEN {hit} THEN 'rolled_back' ELSE i.status END AS status, CASE WHEN {hit} THEN CASE WHEN data_type IN ('sales', 'inventory', 'returns', 'purchase_orders') THEN 'Rolled back — ' || coalesce(n, 0) || ' row(s) removed.' ELSE 'Import cancelled.' END END AS error_message,
+      CASE WHEN {hit} AND data_type IN ('sales', 'inventory', 'returns', 'purchase_orders') THEN 0 ELSE coalesce(n, 0) END AS rows FROM imports i LEFT JOIN (SELECT import_id, count(*) AS n FROM imported_sales GROUP BY 1) f ON f.import_id = i.id"""
+
+
+_add("import_rollback", lambda s, d: _undone(s, d, False), _undone_sql(f"(id % 4 = 1 AND {_CAN})"))
+_add("import_cancel", lambda s, d: _undone(s, d, True), _undone_sql("(id % 4 = 1)"))
+
+
+def _again(spark, sf_dir):
+    """Rejected rows, a third of them mended, as an import's; the ledger after a retry."""
+    raw = spark.sql(_RAW.replace("FROM lineitem", "FROM {lineitem}"), lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    bad = imports.validate(raw, "sales").where("error IS NOT NULL").select("_order")
+    mended = raw.join(bad, "_order", "left_semi").withColumn("import_id", F.col("_order") % 50).withColumn("quantity", F.when(F.col("_order") % 3 == 0, "5").otherwise(F.col("quantity")))
+    good, still = imports.retried(mended, "sales")
+    return imports.after_retry(_imports(spark, sf_dir), good, still).select("id", "status", "imported_rows", "failed_rows")
+
+
+_MENDED = f"SELECT _order, date, sku, CASE WHEN _order % 3 = 0 THEN '5' ELSE quantity END AS quantity, unit_price FROM ({_RAW}) WHERE _order IN (SELECT _order FROM ({_CHECK}) WHERE error IS NOT NULL)"
+_AGAIN = f"SELECT _order % 50 AS import_id, count(*) FILTER (WHERE error IS NULL) AS g, count(*) FILTER (WHERE error IS NOT NULL) AS b FROM ({_CHECK.replace(_RAW, _MENDED)}) GROUP BY 1"
+_add("import_retry", _again, f"SELECT i.id, CASE WHEN a.import_id IS NULL THEN i.status WHEN a.b = 0 THEN 'completed' ELSE 'completed_with_errors' END AS status, i.imported_rows + coalesce(a.g, 0) AS imported_rows, CASE WHEN a.import_id IS NULL THEN i.failed_rows ELSE a.b END AS failed_rows FROM imports i LEFT JOIN ({_AGAIN}) a ON a.import_id = i.id")
+_add("run_figures", lambda s, d: imports.run_figures(load(s, d, "runs")).select("id", "success_rate", "seconds", "successful"), f"SELECT id, {r('CASE WHEN rows_processed <> 0 THEN round(CAST(rows_imported AS DOUBLE) * 100 / rows_processed + 1e-9, 1) END')} AS success_rate, 420 AS seconds, status = 'completed' AND rows_failed = 0 AS successful FROM runs")
+_add(
+    "sales_upsert",
+    lambda s, d: imports.upsert(load(s, d, "sales").select("transaction_id", "quantity").groupBy("transaction_id").agg(F.max("quantity").alias("quantity")), _rows(s, d).where("error IS NULL").select(F.concat("sku", F.lit("-1")).alias("transaction_id"), F.col("quantity").cast("decimal(12,2)").alias("quantity"), F.struct("_order", "date", "quantity").alias("_order")), ["transaction_id"]),
+    f"""WITH n AS (SELECT sku || '-1' AS transaction_id, CAST(quantity AS DECIMAL(12,2)) AS quantity, row_number() OVER (PARTITION BY sku ORDER BY _order DESC, date DESC, quantity DESC) AS k FROM ({_CHECK}) WHERE error IS NULL)
+    SELECT transaction_id, {r('max(quantity)')} AS quantity FROM sales WHERE transaction_id NOT IN (SELECT transaction_id FROM n) GROUP BY 1 UNION ALL SELECT transaction_id, {r('quantity')} FROM n WHERE k = 1""",
+)
+
+
+# Mail
+def _mail(spark, sf_dir):
+    get = lambda name: load(spark, sf_dir, name)
+    return mail.comments(get("inbound_mail"), get("email_tokens"), get("users"), get("mail_posted"))
+
+
+_MAIL = r"""SELECT message_id, lower(nullif(regexp_extract(sender, '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}', 0), '')) AS sender, coalesce(nullif(regexp_extract(recipient, '\+([A-Za-z0-9\-]+)@', 1), ''), nullif(regexp_extract(subject, '\[INV-([A-Za-z0-9\-]+)\]', 1), '')) AS token,
+    trim(regexp_replace(split_part(replace(body, chr(13), ''), chr(10), 1), '^\s+', '')) AS line, body FROM inbound_mail"""
+_READ = f"""SELECT m.*, t.investigation_id, u.id AS author_id, CASE WHEN m.token IS NULL THEN 'no reply token found' WHEN t.token IS NULL THEN 'invalid token' WHEN m.sender IS NULL THEN 'no sender address' WHEN u.id IS NULL THEN 'sender is not a user of this tenant' WHEN m.line = '' THEN 'empty message body' WHEN p.message_id IS NOT NULL THEN 'already posted' END AS reason
+    FROM ({_MAIL}) m LEFT JOIN email_tokens t ON t.token = m.token LEFT JOIN users u ON lower(u.email) = m.sender LEFT JOIN mail_posted p ON p.message_id = m.message_id AND p.investigation_id = t.investigation_id"""
+_add("mail_comments", lambda s, d: _mail(s, d)[0].groupBy("investigation_id", "message_id", "source").agg(F.count("*").alias("n"), F.count_if(F.col("body").rlike(r"^text \d+$")).alias("whole")), f"SELECT investigation_id, message_id, 'email' AS source, 1 AS n, 1 AS whole FROM ({_READ}) WHERE reason IS NULL GROUP BY 1, 2")
+_add("mail_ignored", lambda s, d: _mail(s, d)[1].groupBy("reason").agg(F.count("*").alias("n")), f"SELECT reason, count(*) AS n FROM ({_READ}) WHERE reason IS NOT NULL GROUP BY 1")

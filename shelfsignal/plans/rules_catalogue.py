@@ -26,6 +26,7 @@ def _compare(days: int) -> str:
 
 CAT.add("baseline_daily_sales", baselines.daily_sales, f"SELECT sku, {_STATS} FROM {_DAILY}")
 CAT.add("baseline_daily_sales_store", lambda c: baselines.daily_sales(c, True), f"SELECT sku, store_id, {_STATS} FROM {_STORE}")
+CAT.add("baseline_daily_sales_store_category", lambda c: baselines.daily_sales(c, True), f"SELECT sku, store_id, {_STATS} FROM {_STORE.replace('FROM sales', 'FROM brand_sales')}", sales="brand_sales")
 CAT.add("baseline_unit_price", baselines.unit_price, f"SELECT sku, {_STATS} FROM {_PRICE}")
 CAT.add("baseline_location_qty", baselines.location_quantity, f"SELECT sku, {_STATS} FROM {_PLACE}")
 CAT.add(

@@ -48,16 +48,27 @@ BASELINE_DAYS, BASELINE_SAMPLES, BASELINE_STDDEV = 90, 7, 0.001
 
 # Canonical fields of each dataset; required ones come first, up to the bar.
 DATASETS: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
-    "sales": (("date", "sku", "quantity"), ("transaction_id", "location", "unit_price", "total_amount", "discount", "payment_method")),
-    "returns": (("date", "sku", "quantity"), ("location", "value", "reason", "return_id")),
-    "inventory": (("sku",), ("location", "on_hand_qty", "reorder_point", "as_of_date", "on_order_qty", "inventory_value")),
-    "purchase_orders": (("po_number", "supplier", "sku", "qty_ordered", "order_date"), ("qty_received", "unit_cost", "expected_date", "received_date", "location")),
+    "sales": (("date", "sku", "quantity"), ("product_name", "location", "unit_price", "total_amount", "transaction_id", "discount", "payment_method")),
+    "returns": (("date", "sku", "quantity"), ("return_id", "value", "location", "reason")),
+    "inventory": (("sku",), ("product_name", "location", "on_hand_qty", "reorder_point", "as_of_date", "on_order_qty", "inventory_value")),
+    "purchase_orders": (("po_number", "supplier", "sku", "qty_ordered", "order_date"), ("product_name", "qty_received", "unit_cost", "expected_date", "received_date", "location", "open_qty", "late_days", "fill_rate")),
     "products": (("sku", "name"), ("category", "subcategory", "unit_cost", "selling_price", "supplier", "barcode", "brand", "pack_size")),
-    "stores": (("name",), ("code", "address", "city", "country", "region", "format")),
-    "suppliers": (("name",), ("code", "lead_time_days", "contact_email", "type", "specialization")),
+    "stores": (("name",), ("code", "format", "address", "city", "region", "country")),
+    "suppliers": (("name",), ("code", "lead_time_days", "contact_email", "contact_phone", "type", "specialization")),
     "users": (("name", "email"), ("role",)),
 }
+# The fields of each dataset in the order in which headers are held against them.
+FIELD_ORDER: dict[str, tuple[str, ...]] = {
+    "sales": ("date", "sku", "product_name", "location", "quantity", "unit_price", "total_amount", "transaction_id", "discount", "payment_method"),
+    "inventory": ("sku", "product_name", "location", "on_hand_qty", "reorder_point", "as_of_date", "on_order_qty", "inventory_value"),
+    "products": ("sku", "name", "category", "subcategory", "unit_cost", "selling_price", "supplier", "barcode", "brand", "pack_size"),
+    "stores": ("name", "code", "format", "address", "city", "region", "country"),
+    "suppliers": ("name", "code", "lead_time_days", "contact_email", "contact_phone", "type", "specialization"),
+    "users": ("name", "email", "role"),
+    "returns": ("return_id", "date", "sku", "quantity", "value", "location", "reason"),
+    "purchase_orders": ("po_number", "supplier", "sku", "product_name", "qty_ordered", "qty_received", "unit_cost", "order_date", "expected_date", "received_date", "location", "open_qty", "late_days", "fill_rate"),
+}
 DATES = frozenset({"date", "as_of_date", "order_date", "expected_date", "received_date"})
-NUMBERS = frozenset({"quantity", "unit_price", "total_amount", "discount", "value", "on_hand_qty", "reorder_point", "on_order_qty", "inventory_value", "qty_ordered", "qty_received", "unit_cost", "selling_price", "lead_time_days"})
+NUMBERS = frozenset({"quantity", "unit_price", "total_amount", "discount", "value", "on_hand_qty", "reorder_point", "on_order_qty", "inventory_value", "qty_ordered", "qty_received", "unit_cost", "selling_price", "lead_time_days", "open_qty", "late_days", "fill_rate"})
 REQUIRED_NUMBERS = frozenset({"quantity", "qty_ordered"})
 ADMIN_ROLES = ("admin", "tenant_admin", "tenant admin", "administrator", "manager")

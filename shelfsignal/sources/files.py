@@ -6,7 +6,8 @@ import fnmatch
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,14 +21,15 @@ _BOM = "﻿"
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """Rows of delimited files as text: header trimmed and without a byte-order mark, short rows padded, blank rows left out.
 
-    ``_order`` rises with the rows' order. Quoted line breaks are allowed, so
-    that a file is one split; many files are read in parallel.
+    ``_order`` rises with the rows' order: file by name, place of the split,
+    row; it does not depend on how the files were dealt. Quoted line breaks are
+    allowed, so that a file is one split; many files are read in parallel.
     """
     raw = spark.read.option("header", True).option("inferSchema", False).option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE").csv(path)
     names = [c.replace(_BOM, "").strip() for c in raw.columns]
-    df = raw.toDF(*names)
-    filled = [F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in names]
-    df = df.select(*filled, F.monotonically_increasing_id().alias("_order"))
+    filled = [F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(n) for c, n in zip(raw.columns, names, strict=True)]
+    order = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("row"))
+    df = raw.select(*filled, order.alias("_order"))
     return df.where(F.greatest(*(F.length(F.trim(F.col(f"`{c}`"))) for c in names), F.lit(0)) > 0)
 
 
@@ -127,12 +129,12 @@ def read_sheets(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(run, "file string, order long, cells array<string>")
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """One headed CSV file in the folder ``path``; for exports of list views, which are bounded by their filters."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
+    """Headed CSV files in the folder ``path``, as many as ``df`` has partitions; one file only where it is asked for."""
+    (df.coalesce(1) if one_file else df).write.mode("overwrite").option("header", True).csv(path)
 
 
-def workbook(sheets: dict[str, tuple[list[str], list[tuple]]]) -> bytes:
+def workbook(sheets: dict[str, tuple[list[str], Iterable[tuple]]]) -> bytes:
     """An XLSX file of small tables, the summary first: names of up to 31 characters, headers frozen."""
     from xml.sax.saxutils import escape
 
@@ -155,11 +157,21 @@ def workbook(sheets: dict[str, tuple[list[str], list[tuple]]]) -> bytes:
         z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name="{escape(n)}" sheetId="{i}" r:id="r{i}"/>' for i, n in enumerate(names, 1)) + "</sheets></workbook>")
         z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{package}">' + "".join(f'<Relationship Id="r{i}" Type="{rel}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(names) + 1)) + "</Relationships>")
         for i, (header, rows) in enumerate(sheets.values(), 1):
-            body = "".join(f"<row>{''.join(map(cell, row))}</row>" for row in [header, *rows])
-            z.writestr(f"xl/worksheets/sheet{i}.xml", f'<worksheet xmlns="{main}"><sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" state="frozen"/></sheetView></sheetViews><sheetData>{body}</sheetData></worksheet>')
+            with z.open(f"xl/worksheets/sheet{i}.xml", "w") as sheet:
+                sheet.write(f'<worksheet xmlns="{main}"><sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" state="frozen"/></sheetView></sheetViews><sheetData>'.encode())
+                for row in chain([header], rows):
+                    sheet.write(f"<row>{''.join(map(cell, row))}</row>".encode())
+                sheet.write(b"</sheetData></worksheet>")
     return out.getvalue()
 
 
-def report(sheets: dict[str, DataFrame], rows: int = 10_000) -> bytes:
-    """A workbook of report tables, of at most ``rows`` rows each: reports are bounded by their filters."""
-    return workbook({name: (df.columns, [tuple(r) for r in df.limit(rows).collect()]) for name, df in sheets.items()})
+#: Fixed value: the rows that a sheet of a workbook may hold below its header.
+SHEET_ROWS = 1_048_575
+
+
+def report(sheets: dict[str, DataFrame], rows: int = SHEET_ROWS) -> bytes:
+    """A workbook of report tables. One with more than ``rows`` rows is an error, as a sheet can't hold it: export it with ``write_csv``."""
+    for name, df in sheets.items():
+        if df.limit(rows + 1).count() > rows:
+            raise ValueError(f"{name} has more than {rows} rows; write it with write_csv")
+    return workbook({name: (df.columns, map(tuple, df.toLocalIterator())) for name, df in sheets.items()})

@@ -9,34 +9,44 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import is_blank, number, parsed_date
-from ..schema import ADMIN_ROLES, DATASETS, DATES, NUMBERS, REQUIRED_NUMBERS
+from ..schema import ADMIN_ROLES, DATASETS, DATES, FIELD_ORDER, NUMBERS, REQUIRED_NUMBERS
 
-# Other names under which files give a field.
+# The names under which files give a field.
 ALIASES: dict[str, tuple[str, ...]] = {
-    "date": ("date", "sale_date", "transaction_date", "txn_date", "day"),
-    "sku": ("sku", "item", "item_code", "product_code", "article", "product_id"),
-    "quantity": ("quantity", "qty", "units", "units_sold", "qty_sold"),
-    "transaction_id": ("transaction_id", "txn_id", "receipt", "receipt_no", "order_id"),
-    "location": ("location", "store", "store_name", "branch", "outlet", "warehouse"),
-    "unit_price": ("unit_price", "price", "selling_price", "rate"),
-    "total_amount": ("total_amount", "total", "amount", "net_amount", "revenue"),
-    "on_hand_qty": ("on_hand_qty", "on_hand", "stock", "stock_on_hand", "qty_on_hand", "onhand"),
-    "reorder_point": ("reorder_point", "reorder_level", "min_stock", "rop"),
-    "as_of_date": ("as_of_date", "as_of", "snapshot_date", "stock_date"),
-    "po_number": ("po_number", "po", "po_no", "purchase_order"),
-    "supplier": ("supplier", "vendor", "supplier_name", "vendor_name"),
-    "qty_ordered": ("qty_ordered", "ordered_qty", "order_qty", "quantity_ordered"),
-    "qty_received": ("qty_received", "received_qty", "quantity_received"),
-    "unit_cost": ("unit_cost", "cost", "cost_price", "purchase_price"),
-    "order_date": ("order_date", "po_date", "ordered_on"),
-    "expected_date": ("expected_date", "due_date", "eta", "delivery_date"),
-    "received_date": ("received_date", "receipt_date", "received_on"),
-    "name": ("name", "title", "full_name", "description"),
-    "email": ("email", "e_mail", "mail", "email_address"),
-    "role": ("role", "user_role", "access"),
-    "value": ("value", "return_value", "refund", "refund_amount"),
-    "reason": ("reason", "return_reason", "comment"),
-    "category": ("category", "department", "product_category"),
+    "date": ("date", "transaction_date", "sale_date", "order_date", "txn_date", "trans_date"),
+    "sku": ("sku", "item_code", "product_code", "product_id", "item_id", "article_number", "item_no"),
+    "product_name": ("product_name", "product", "item_name", "description", "item_description", "name"),
+    "location": ("location", "store", "store_id", "outlet", "channel", "region", "site", "branch"),
+    "quantity": ("quantity", "qty", "units", "qty_sold", "units_sold", "sales_qty", "amount_sold"),
+    "unit_price": ("unit_price", "price", "selling_price", "retail_price", "unit_retail", "price_each"),
+    "total_amount": ("total_amount", "total", "revenue", "sales", "net_sales", "gross_sales", "total_sales", "amount"),
+    "transaction_id": ("transaction_id", "txn_id", "trans_id", "receipt_no", "receipt_number", "order_id"),
+    "on_hand_qty": ("on_hand_qty", "on_hand", "qty_on_hand", "stock", "stock_qty", "inventory", "qty_available", "available"),
+    "reorder_point": ("reorder_point", "reorder_level", "min_stock", "min_qty", "safety_stock"),
+    "as_of_date": ("as_of_date", "as_of", "snapshot_date", "report_date", "effective_date", "date"),
+    "category": ("category", "dept", "department", "class", "product_class", "product_type"),
+    "subcategory": ("subcategory", "sub_category", "subclass", "sub_class", "sub_dept", "subdivision"),
+    "unit_cost": ("unit_cost", "cost", "cost_price", "purchase_price", "landed_cost", "cogs"),
+    "selling_price": ("selling_price", "retail", "sale_price", "list_price", "msrp", "rrp"),
+    "supplier": ("supplier", "vendor", "vendor_name", "supplier_name", "manufacturer", "brand"),
+    "barcode": ("barcode", "upc", "ean", "gtin", "barcode_number", "upc_code"),
+    "po_number": ("po_number", "po_no", "po_num", "purchase_order", "order_number", "po_ref"),
+    "qty_ordered": ("qty_ordered", "ordered_qty", "order_qty", "quantity_ordered", "qty_order"),
+    "qty_received": ("qty_received", "received_qty", "quantity_received", "qty_recv", "received"),
+    "order_date": ("order_date", "po_date", "created_date", "placed_date", "purchase_date"),
+    "expected_date": ("expected_date", "due_date", "promised_date", "eta", "delivery_date", "est_arrival"),
+    "received_date": ("received_date", "receipt_date", "arrival_date", "delivery_received", "actual_receipt"),
+    "name": ("name", "product_name", "item_name", "description", "product_description", "title", "store_name", "supplier_name", "vendor_name", "full_name"),
+    "code": ("code", "store_code", "store_no", "store_number", "supplier_code", "vendor_code", "location_code", "site_code"),
+    "address": ("address", "street", "street_address", "address_line", "addr"),
+    "city": ("city", "town", "municipality"),
+    "region": ("region", "state", "province", "area", "territory", "zone", "district"),
+    "country": ("country", "country_code", "nation"),
+    "lead_time_days": ("lead_time_days", "lead_time", "leadtime", "lead_days", "delivery_days", "contracted_lead_time"),
+    "contact_email": ("contact_email", "email", "supplier_email", "vendor_email", "contact_mail", "e_mail"),
+    "contact_phone": ("contact_phone", "phone", "telephone", "tel", "supplier_phone", "vendor_phone", "mobile", "contact_number"),
+    "email": ("email", "e_mail", "login", "user_email", "username", "mail"),
+    "role": ("role", "user_role", "access_level", "permission", "access", "type"),
 }
 
 
@@ -64,7 +74,7 @@ def similarity(a: str, b: str) -> float:
 def map_header(header: str, dataset: str) -> tuple[str | None, float]:
     """The field of ``dataset`` that a file's header means, and the confidence; none under one half."""
     plain = re.sub(r"[^a-z0-9]", "_", header.strip().lower())
-    fields = [*DATASETS[dataset][0], *DATASETS[dataset][1]]
+    fields = FIELD_ORDER[dataset]
     if plain in fields:
         return plain, 1.0
     best, score = None, 0.0
@@ -134,12 +144,24 @@ def reject_groups(rejects: DataFrame) -> DataFrame:
     return rejects.groupBy(message.alias("error")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "error")
 
 
+def numbered(names: DataFrame, name: str, first: DataFrame, id_: str) -> DataFrame:
+    """``names`` (distinct) with ids that follow the one in ``first`` (one row), in the order of their md5.
+
+    The first two digits deal the names over 256 groups; each is numbered on
+    its own, and what comes before a group is a sum over 256 counts.
+    """
+    rows = names.withColumn("_md5", F.md5(F.col(name).cast("binary"))).withColumn("_group", F.substring("_md5", 1, 2))
+    before = rows.groupBy("_group").agg(F.count("*").alias("_n"))
+    before = before.select("_group", (F.sum("_n").over(Window.orderBy("_group")) - F.col("_n")).alias("_before"))  # 256 rows
+    rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy("_group").orderBy("_md5"))).join(F.broadcast(before), "_group")
+    return rows.crossJoin(F.broadcast(first.toDF("_first"))).select((F.col("_first") + F.col("_before") + F.col("_k")).cast("long").alias(id_), name)
+
+
 def resolve_dimension(rows: DataFrame, members: DataFrame, key: str, name: str = "name", id_: str = "id") -> tuple[DataFrame, DataFrame]:
     """``rows`` with ``key``_id by trimmed exact name, and the members with the missing ones added."""
     wanted = rows.select(F.trim(F.col(key)).alias(name)).where(F.length(name) > 0).distinct()
     missing = wanted.join(members.select(name), name, "left_anti")
-    last = members.agg(F.coalesce(F.max(id_), F.lit(0)).alias("last"))
-    added = missing.crossJoin(last).select((F.col("last") + F.row_number().over(Window.orderBy(name))).cast("long").alias(id_), name)  # new names of one file
+    added = numbered(missing, name, members.agg(F.coalesce(F.max(id_), F.lit(0))), id_)
     everyone = members.select(id_, name).unionByName(added)
     ids = everyone.select(F.col(name).alias("_name"), F.col(id_).alias(f"{key}_id"))
     return rows.join(ids, F.trim(F.col(key)) == F.col("_name"), "left").drop("_name"), everyone
@@ -153,11 +175,66 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], order: str
     return kept.unionByName(last, allowMissingColumns=True)
 
 
+# Datasets that imports insert into, the only ones that can be rolled back, and the states of a committed import.
+INSERTED = ("sales", "inventory", "returns", "purchase_orders")
+COMMITTED = ("completed", "completed_with_errors")
+
+
 def rollback(facts: DataFrame, import_id: int) -> DataFrame:
     """Facts without those of an import."""
     return facts.where(F.col("import_id").isNull() | (F.col("import_id") != import_id))
 
 
+def rolled_back(facts: DataFrame, imports: DataFrame, ids: DataFrame, cancel: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Facts without the rows of the imports ``ids``, and the ledger after it.
+
+    Only committed imports of inserted datasets are undone; ``cancel`` takes
+    any import, and of master data leaves what was written.
+    """
+    chosen = imports.join(ids.select("id"), "id", "left_semi")
+    chosen = chosen if cancel else chosen.where(can_roll_back())
+    gone = chosen.where(F.col("data_type").isin(*INSERTED)).select(F.col("id").alias("import_id"))
+    removed = facts.join(gone, "import_id", "left_semi").groupBy("import_id").agg(F.count("*").alias("removed"))
+    note = chosen.select("id").withColumn("hit", F.lit(True)).join(removed.withColumnRenamed("import_id", "id"), "id", "left")
+    said = F.when(F.col("data_type").isin(*INSERTED), F.concat(F.lit("Rolled back — "), F.coalesce("removed", F.lit(0)).cast("string"), F.lit(" row(s) removed."))).otherwise("Import cancelled.")
+    ledger = imports.join(note, "id", "left")
+    ledger = ledger.withColumns({"status": F.when(F.col("hit"), "rolled_back").otherwise(F.col("status")), "error_message": F.when(F.col("hit"), said).otherwise(F.col("error_message"))})
+    return facts.join(gone, "import_id", "left_anti"), ledger.drop("hit", "removed")
+
+
+def can_roll_back() -> Column:
+    """Whether an import (data_type, status) can be rolled back."""
+    return F.col("data_type").isin(*INSERTED) & F.col("status").isin(*COMMITTED)
+
+
+def retried(rejects: DataFrame, dataset: str) -> tuple[DataFrame, DataFrame]:
+    """Rejected rows (import_id and the mapped fields) that are good now, and those that still fail, with their new error."""
+    keep = rejects.withColumn("_order", F.struct("import_id", "_order"))
+    good, bad = split_valid(validate(keep, dataset))
+    out = lambda df: df.withColumn("import_id", F.col("_order.import_id")).withColumn("_order", F.col("_order._order"))
+    return out(good), out(bad)
+
+
+def after_retry(imports: DataFrame, good: DataFrame, bad: DataFrame) -> DataFrame:
+    """The ledger after a retry: imported and failed rows, and the state that what remains gives."""
+    n = good.groupBy("import_id").agg(F.count("*").alias("n_good")).join(bad.groupBy("import_id").agg(F.count("*").alias("n_bad")), "import_id", "full").withColumnRenamed("import_id", "id")
+    rows, bad_ = imports.join(n, "id", "left"), F.coalesce("n_bad", F.lit(0))
+    hit = F.col("n_good").isNotNull() | F.col("n_bad").isNotNull()
+    return rows.withColumns(
+        {
+            "imported_rows": F.col("imported_rows") + F.coalesce("n_good", F.lit(0)), "failed_rows": F.when(hit, bad_).otherwise(F.col("failed_rows")),
+            "status": F.when(hit, F.when(bad_ == 0, "completed").otherwise("completed_with_errors")).otherwise(F.col("status")),
+        }
+    ).drop("n_good", "n_bad")
+
+
+def run_figures(runs: DataFrame) -> DataFrame:
+    """Success rate in percent and duration in seconds of each run."""
+    rate = F.round(F.try_divide(F.col("rows_imported").cast("double") * 100, F.nullif(F.col("rows_processed"), F.lit(0)).cast("double")) + F.lit(1e-9), 1)
+    took = F.abs(F.unix_micros(F.col("completed_at").cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp"))) / F.lit(1e6)
+    return runs.withColumns({"success_rate": rate, "seconds": F.floor(took), "successful": (F.col("status") == "completed") & (F.col("rows_failed") == 0)})
+
+
 def run_ledger(checked: DataFrame, data_type: str) -> DataFrame:
     """One row for the run: status, counts, score, and up to 20 rejected samples by order."""
     bad = F.col("error").isNotNull()
@@ -172,7 +249,7 @@ def progress(cursor: Column, total: Column) -> Column:
     return F.when(total > 0, F.least(F.lit(100), F.round(cursor / total * 100))).otherwise(F.when(cursor > 0, 100).otherwise(0)).cast("int")
 
 
-def recover_stuck(imports: DataFrame, now: Column, minutes: int = 15) -> DataFrame:
+def recover_stuck(imports: DataFrame, now: Column, minutes: int = 10) -> DataFrame:
     """Imports that were running and have not moved for ``minutes`` become failed."""
     stuck = (F.col("status") == "importing") & (F.col("updated_at") < now - F.make_interval(mins=F.lit(minutes)))
     return imports.withColumn("status", F.when(stuck, "failed").otherwise(F.col("status")))

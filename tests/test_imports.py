@@ -36,7 +36,7 @@ def test_users(spark):
     assert got[0].email == "ann@x.org" and got[0].is_admin and got[0].error is None and got[1].error == "Invalid e-mail"
 
 
-@pytest.mark.parametrize(("header", "field"), [("Sale Date", "date"), ("QTY", "quantity"), ("sku", "sku"), ("Store Name", "location"), ("qqqq", None)])
+@pytest.mark.parametrize(("header", "field"), [("Sale Date", "date"), ("QTY", "quantity"), ("sku", "sku"), ("Store", "location"), ("Store Name", "product_name"), ("item no", "sku"), ("qqqq", None)])
 def test_header_mapping(header, field):
     assert imports.map_header(header, "sales")[0] == field
 

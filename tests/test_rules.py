@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 
 from shelfsignal.context import Context
-from shelfsignal.operators import investigations, reports, rules, state
+from shelfsignal.operators import investigations, outcomes, reports, rules, state
 
 T = dt.date(2024, 3, 31)
 NOW = dt.datetime(2024, 3, 31, 12)
@@ -71,8 +71,33 @@ def test_upsert_is_idempotent(spark):
 
 
 def test_outcome_states(spark):
-    w = spark.createDataFrame([(100.0, 10.0, 95.0, 9), (100.0, 10.0, 12.0, 9), (100.0, 10.0, 10.0, 9), (0.0, 1.0, 1.0, 9), (100.0, 10.0, 95.0, 1)], "baseline double, during double, observed double, elapsed long")
-    assert [r.outcome_state for r in investigations.outcome_states(w).collect()] == ["observed_recovery", "partial_recovery", "no_material_change", "insufficient_evidence", "monitoring"]
+    rows = [
+        (1, "a", 100.0, 10.0, 95.0, 14, False), (2, "a", 100.0, 10.0, 50.0, 14, False), (3, "a", 100.0, 10.0, 10.5, 14, False), (4, "a", 0.0, 0.0, 0.0, 1, True), (5, "a", 100.0, 10.0, 95.0, 2, True),
+        (6, "a", 100.0, 10.0, 95.0, 5, True), (7, "a", 100.0, 10.0, 50.0, 5, True), (8, "a", 100.0, 10.0, 10.0, 5, True), (9, "a", 0.0, 10.0, 50.0, 14, False), (10, None, 100.0, 10.0, 95.0, 14, False),
+    ]
+    w = spark.createDataFrame(rows, "case_id int, sku string, baseline double, during double, observed double, elapsed int, monitoring boolean")
+    got = [r.outcome_state for r in outcomes.states(w).orderBy("case_id").collect()]
+    assert got == ["observed_recovery", "partial_recovery", "no_material_change", "insufficient_evidence", "monitoring", "observed_recovery", "monitoring", "monitoring", "partial_recovery", "insufficient_evidence"]
+
+
+def test_a_failing_rule_leaves_the_others_alone(spark):
+    from shelfsignal.plans.bindings import context
+
+    def broken(ctx):
+        raise ValueError("no such column")
+
+    seen = {}
+    failed = rules.run(context(spark, "/root/testdata/sf0.001"), lambda name, rows: seen.update({name: rows.count()}), ["stockout_risk", "dead_stock"], {"broken": broken})
+    assert set(seen) == {"stockout_risk", "dead_stock"} and set(failed) == {"broken"} and "no such column" in failed["broken"]
+
+
+def test_rules_that_are_switched_off(spark):
+    from shelfsignal.plans.bindings import context
+
+    c = context(spark, "/root/testdata/sf0.001")
+    on = rules.enabled(c)
+    off = {r.rule_type for r in c.table("rule_settings").where("NOT enabled").collect()}
+    assert off and set(on) == set(rules.REGISTRY) - off
 
 
 def test_narration_parsing(spark):
