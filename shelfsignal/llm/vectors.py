@@ -1,22 +1,31 @@
 """Near-duplicate vectors: a robust-pruned flat graph over overlapping shards.
 
 Exact copies become one weighted class. Centroids are fitted on a bounded
-sample (``FIT`` rows a centroid, ``CENTROIDS`` at most, those of the smallest
-hash of vec_id); every class goes to its ``overlap`` nearest ones. A cluster
-of more than ``SHARD`` classes is cut into blocks, and each two blocks make a
-shard: any two members of a cluster meet in some task, and no task holds more
-than ``SHARD`` of them. In each shard a flat graph is built: a node's nearest
-and some random others, robustly pruned to ``DEGREE`` (a candidate goes if a
-chosen neighbour is closer to it, by ``ALPHA``, than the node). Adjacency
-lists are united over all shards. Then every class searches in its shards: a
-greedy search from the shard's medoid and the class's own node keeps ``BEAM``
-candidates, then expands everything in a range wider than the threshold until
-nothing new turns up. What it finds is verified in double precision.
+sample (``FIT`` rows a centroid, those of the smallest hash of vec_id), one for
+about ``MEMBERS`` classes; every class goes to its ``overlap`` nearest ones.
+Where that takes more than ``CENTROIDS`` of them, the nearest cells of a coarse
+level have centroids of their own, fitted and looked up cell by cell in tasks,
+so that clusters stay as small however many vectors there are. A cluster of
+more than ``SHARD`` classes (a dense group) is cut into blocks, and each two
+blocks make a shard: any two members of a cluster meet in some task, and no
+task holds more than ``SHARD`` of them.
+
+In each shard a flat graph is built in ``ROUNDS`` rounds from a random one:
+every node searches for itself, greedily, and what it came across is robustly
+pruned to ``DEGREE`` neighbours (a candidate goes if a chosen neighbour is
+closer to it, by ``ALPHA``, than the node); edges are taken in both directions.
+Adjacency lists are united over all shards. Then every class searches in its
+shards: a greedy search from the shard's medoid and the class's own node keeps
+``BEAM`` candidates, then expands everything in a range wider than the
+threshold until nothing new turns up. Only nodes that a search comes across
+are compared. What it finds is verified in double precision.
 
 A pair that meets in several shards counts in the first one only, so shards
 return a count and a local component for each member, never pairs. Recall is
-audited with ``AUDIT`` classes against all others by brute force; while it is
-below ``RECALL`` the whole is repeated with a larger overlap.
+audited by brute force: ``AUDIT`` classes, a random sample by hash, against all
+others. While it is below ``RECALL`` the whole is repeated with a larger
+overlap; if it stays below ``LEAST`` at the largest one, that is an error. The
+figure is logged.
 
 Defined cases: a vector that is null, empty, zero, or has a null or non-finite
 component links with nothing; vectors of different length never link; a null
@@ -26,6 +35,8 @@ vec_id are one vector for components, each with its own copies and links.
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -35,8 +46,11 @@ from pyspark.sql import functions as F
 from .common import bounded_sample, connected_components, stage, tune
 
 SHARD, MEMBERS, CENTROIDS, FIT = 2000, 700, 8192, 8
-DEGREE, NEAREST, RANDOM, ALPHA, BEAM, SLACK = 24, 48, 16, 1.2, 16, 0.08
-AUDIT, RECALL, OVERLAP = 256, 0.97, 2
+DEGREE, NEAREST, ROUNDS, ALPHA, BEAM, SLACK = 24, 48, 2, 1.2, 16, 0.08
+AUDIT, RECALL, LEAST, OVERLAP, MOST_OVERLAP = 2048, 0.97, 0.9, 2, 16
+_log = logging.getLogger(__name__)
+#: Members of a coarse cell that are looked up in one run of rows.
+RUN = 20_000
 
 
 def matrix(column) -> np.ndarray:
@@ -59,72 +73,116 @@ def fit_centroids(x: np.ndarray, count: int, rounds: int = 5) -> np.ndarray:
     return c
 
 
-def prune(x: np.ndarray, seed: int = 1) -> np.ndarray:
-    """Robustly pruned neighbours (nodes x DEGREE) in the exact order of distance; -1 fills up."""
-    n = len(x)
-    out = np.full((n, DEGREE), -1, np.int64)
-    if n < 2:
-        return out
-    rng = np.random.default_rng(seed)
-    k = min(NEAREST, n - 1)
-    for a in range(0, n, 512):
-        rows = np.arange(a, min(n, a + 512))
-        s = x[rows] @ x.T
-        s[np.arange(len(rows)), rows] = -np.inf
-        near = np.argpartition(-s, k - 1, axis=1)[:, :k]
-        cand = np.concatenate([near, rng.integers(0, n, (len(rows), RANDOM))], axis=1)
-        d = np.maximum(0, 2 - 2 * np.take_along_axis(s, cand, axis=1))
-        d[cand == rows[:, None]] = np.inf
-        order = np.argsort(d, axis=1, kind="stable")
-        cand, d = np.take_along_axis(cand, order, axis=1), np.take_along_axis(d, order, axis=1)
-        between = np.maximum(0, 2 - 2 * np.einsum("nid,njd->nij", x[cand], x[cand], optimize=True)) if len(rows) * cand.shape[1] ** 2 < 3e6 else None
-        open_ = np.isfinite(d)
-        for r in range(DEGREE):
-            some = open_.any(axis=1)
-            if not some.any():
-                break
-            pick = open_.argmax(axis=1)
-            at = np.arange(len(rows))
-            out[rows[some], r] = cand[at, pick][some]
-            to = between[at, pick] if between is not None else np.maximum(0, 2 - 2 * np.einsum("nd,njd->nj", x[cand[at, pick]], x[cand]))
-            open_ &= ~(ALPHA**2 * to <= d)
-            open_[at, pick] = False
-            open_ &= cand != cand[at, pick][:, None]
+class Walk:
+    """Searches of several nodes at once; ``s`` holds the similarities to the nodes they came across, others are -inf."""
+
+    def __init__(self, x: np.ndarray, flat: np.ndarray, queries: np.ndarray):
+        self.x, self.flat, self.queries = x, flat, queries
+        self.s = np.full((len(queries), len(x)), -np.inf, np.float32)
+        self.done = np.zeros(self.s.shape, bool)
+        self.compared = 0
+
+    def see(self, row: np.ndarray, node: np.ndarray) -> None:
+        key = np.unique(row * len(self.x) + node)
+        row, node = key // len(self.x), key % len(self.x)
+        new = np.isneginf(self.s[row, node])
+        row, node = row[new], node[new]
+        self.compared += len(row)
+        for i in range(0, len(row), 1 << 16):
+            r, c = row[i : i + (1 << 16)], node[i : i + (1 << 16)]
+            self.s[r, c] = np.einsum("nd,nd->n", self.x[self.queries[r]], self.x[c])
+
+    def expand(self, row: np.ndarray, node: np.ndarray) -> None:
+        self.done[row, node] = True
+        for i in range(0, len(row), 1 << 14):
+            r, c = row[i : i + (1 << 14)], node[i : i + (1 << 14)]
+            self.see(np.repeat(r, self.flat.shape[1]), self.flat[c].ravel())
+
+    def greedy(self, entry: int) -> None:
+        """From ``entry`` and the queries' own nodes to the best ``BEAM`` nodes that can be reached."""
+        at = np.arange(len(self.queries))
+        self.see(np.concatenate([at, at]), np.concatenate([np.full(len(at), entry), self.queries]))
+        width = min(BEAM, len(self.x))
+        while True:
+            best = np.argpartition(-self.s, width - 1, axis=1)[:, :width]
+            live = np.isfinite(np.take_along_axis(self.s, best, axis=1)) & ~np.take_along_axis(self.done, best, axis=1)
+            if not live.any():
+                return
+            self.expand(np.repeat(at, live.sum(axis=1)), best[live])
+
+    def range(self, least: float) -> None:
+        """Everything at or above ``least`` that can be reached through such nodes."""
+        while True:
+            row, node = np.nonzero((self.s >= least) & ~self.done)
+            if not len(row):
+                return
+            self.expand(row, node)
+
+
+def medoid(x: np.ndarray) -> int:
+    return int((x @ x.mean(axis=0)).argmax())
+
+
+def prune(x: np.ndarray, rows: np.ndarray, cand: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Robustly pruned neighbours (rows x DEGREE) among candidates with their similarities (-inf: none); -1 fills up."""
+    out = np.full((len(rows), DEGREE), -1, np.int64)
+    order = np.argsort(-s, axis=1, kind="stable")
+    cand, s = np.take_along_axis(cand, order, axis=1), np.take_along_axis(s, order, axis=1)
+    far = np.maximum(0, 2 - 2 * s.astype(float))
+    open_, at = np.isfinite(s) & (cand != rows[:, None]), np.arange(len(rows))
+    for r in range(DEGREE):
+        some = open_.any(axis=1)
+        if not some.any():
+            break
+        pick = cand[at, open_.argmax(axis=1)]
+        out[some, r] = pick[some]
+        between = np.maximum(0, 2 - 2 * np.einsum("nd,njd->nj", x[pick], x[cand]))
+        open_ &= (ALPHA**2 * between > far) & (cand != pick[:, None])
+    return out
+
+
+def both_ways(graph: np.ndarray) -> np.ndarray:
+    """Neighbours and those that have a node as theirs, up to twice as many; a node itself fills up."""
+    n, degree = graph.shape
+    src, dst = np.repeat(np.arange(n), degree), graph.ravel()
+    src, dst = src[dst >= 0], dst[dst >= 0]
+    a, b = np.concatenate([src, dst]), np.concatenate([dst, src])
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], b[order]
+    place = np.arange(len(a)) - np.searchsorted(a, a)
+    out = np.repeat(np.arange(n)[:, None], 2 * degree, axis=1)
+    out[a[place < 2 * degree], place[place < 2 * degree]] = b[place < 2 * degree]
     return out
 
 
+def build(x: np.ndarray, chunk: int = 256, seed: int = 1) -> np.ndarray:
+    """A graph (nodes x 2 DEGREE) in which every node searches for its neighbours, the first time in a random one."""
+    n, entry = len(x), medoid(x)
+    flat = np.random.default_rng(seed).integers(0, n, (n, DEGREE))
+    for _ in range(ROUNDS):
+        graph = np.empty((n, DEGREE), np.int64)
+        for a in range(0, n, chunk):
+            rows = np.arange(a, min(n, a + chunk))
+            walk = Walk(x, flat, rows)
+            walk.greedy(entry)
+            k = min(NEAREST, n)
+            near = np.argpartition(-walk.s, k - 1, axis=1)[:, :k]
+            graph[rows] = prune(x, rows, near, np.take_along_axis(walk.s, near, axis=1))
+        flat = both_ways(graph)
+    return flat
+
+
 def search(x: np.ndarray, graph: np.ndarray, threshold: float, chunk: int = 256) -> np.ndarray:
-    """Boolean (nodes x nodes): which nodes each node's search finds at or above ``threshold``; never itself."""
+    """Boolean (nodes x nodes): which nodes each node's search finds at or above ``threshold``, about; never itself."""
     n = len(x)
-    found = np.zeros((n, n), bool)
-    mean = x.mean(axis=0)
-    medoid = int((x @ mean).argmax())
+    found, entry = np.zeros((n, n), bool), medoid(x)
     flat = np.where(graph < 0, np.arange(n)[:, None], graph)
     for a in range(0, n, chunk):
-        q = np.arange(a, min(n, a + chunk))
-        s = (x[q] @ x.T).astype(np.float32)
-        at = np.arange(len(q))
-        seen, done = np.zeros((len(q), n), bool), np.zeros((len(q), n), bool)
-        seen[at, medoid] = seen[at, q] = True
-        for _ in range(2 * BEAM):
-            score = np.where(seen, s, -np.inf)
-            w = min(BEAM, n)
-            best = np.argpartition(-score, w - 1, axis=1)[:, :w]
-            live = np.take_along_axis(seen & ~done, best, axis=1)
-            if not live.any():
-                break
-            row, node = np.repeat(at, live.sum(axis=1)), best[live]
-            done[row, node] = True
-            seen[np.repeat(row, flat.shape[1]), flat[node].ravel()] = True
-        wide = s >= threshold - SLACK
-        while True:
-            row, node = np.nonzero(seen & wide & ~done)
-            if not len(row):
-                break
-            done[row, node] = True
-            for i in range(0, len(row), 1 << 18):
-                seen[np.repeat(row[i : i + (1 << 18)], flat.shape[1]), flat[node[i : i + (1 << 18)]].ravel()] = True
-        found[q] = seen & wide
+        rows = np.arange(a, min(n, a + chunk))
+        walk = Walk(x, flat, rows)
+        walk.greedy(entry)
+        walk.range(threshold - SLACK)
+        found[rows] = walk.s >= threshold - 1e-4
     found |= found.T
     np.fill_diagonal(found, False)
     return found
@@ -151,9 +209,11 @@ def _assigned(centroids: dict[int, np.ndarray], overlap: int):
 def _graph(table):
     table = table.sort_by("id")
     ids = table["id"].to_numpy()
-    near = prune(matrix(table["v"]))
-    row, _ = np.nonzero(near >= 0)
-    return pa.table({"src": ids[row], "dst": ids[near[near >= 0]]})
+    if len(ids) < 2:
+        return pa.table({"src": ids[:0], "dst": ids[:0]})
+    flat = build(matrix(table["v"]))
+    row, col = np.nonzero(flat != np.arange(len(ids))[:, None])
+    return pa.table({"src": ids[row], "dst": ids[flat[row, col]]})
 
 
 def _searched(percent: int):
@@ -210,10 +270,8 @@ def _audited(sample: pd.DataFrame, percent: int):
 
 
 def audit(classes: DataFrame, found: DataFrame, percent: int, size: int = AUDIT) -> float:
-    """Share of the links of ``size`` classes, compared with all classes, that ``found`` (id, links) counts; 1 if there are none."""
-    linked = bounded_sample(classes.join(found.where("links > 0"), "id", "left_semi"), size // 2, "id")
-    any_ = bounded_sample(classes, size // 2, "id")
-    sample = linked.unionByName(any_).dropDuplicates(["id"]).select("id", "v").toPandas()  # ``size`` rows
+    """Share of the links of ``size`` random classes, compared with all classes, that ``found`` (id, links) counts; 1 if there are none."""
+    sample = bounded_sample(classes, size, "id").select("id", "v").toPandas()  # ``size`` rows
     if sample.empty:
         return 1.0
     true = classes.mapInArrow(_audited(sample, percent), "id long, links long").groupBy("id").agg(F.sum("links").alias("true"))
@@ -221,24 +279,73 @@ def audit(classes: DataFrame, found: DataFrame, percent: int, size: int = AUDIT)
     return row["hit"] / row["all"] if row["all"] else 1.0
 
 
-def _linked(classes: DataFrame, percent: int, overlap: int) -> DataFrame:
-    """(id, links, root) for each class in each of its shards."""
+def _cell(key, table):
+    """The centroids of a coarse cell, fitted on a sample of it."""
+    x = matrix(table["v"])
+    c = fit_centroids(x, max(1, min(len(x), len(x) // FIT)))
+    return pa.table({"cell": pa.array([key[0].as_py()], pa.int64()), "c": pa.array([c.ravel().tolist()], pa.list_(pa.float64()))})
+
+
+def _within(overlap: int):
+    """Rows come sorted by (cell, run, role): the cell's centroids first, then its members, which get their nearest ones."""
+
+    def run(batches):
+        key, c = None, None
+        for batch in batches:
+            cells, runs, roles = (batch.column(k).to_numpy() for k in ("cell", "run", "role"))
+            edge = np.flatnonzero(np.concatenate([[True], (cells[1:] != cells[:-1]) | (runs[1:] != runs[:-1]) | (roles[1:] != roles[:-1]) | (roles[1:] == 0)]))
+            for i, j in zip(edge, [*edge[1:], len(batch)], strict=True):
+                part = batch.slice(i, j - i)
+                if roles[i] == 0:
+                    key, c = (cells[i], runs[i]), np.array(part.column("v")[0].as_py())
+                    continue
+                x = matrix(part.column("v"))
+                near = np.argsort(-(x @ c.reshape(-1, x.shape[1]).T), axis=1, kind="stable")[:, :overlap] if (cells[i], runs[i]) == key else np.zeros((len(x), 1), np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, near.size + 1, near.shape[1], dtype=np.int32)), pa.array(near.ravel() + (int(cells[i]) << 20)))
+                yield pa.RecordBatch.from_arrays([part.column("id"), lists], names=["id", "near"])
+
+    return run
+
+
+def _finer(coarse: DataFrame, wanted: int, overlap: int) -> DataFrame:
+    """(id, c): the clusters of each class within its coarse cells (id, v, cell), about ``wanted`` in a cell."""
+    some = bounded_sample(coarse, FIT * wanted, "id", by="cell")
+    fitted = stage(some.groupBy("cell").applyInArrow(_cell, "cell long, c array<double>"), "fitted")
+    runs = stage(coarse.groupBy("cell").agg(F.ceil(F.count("*") / RUN).cast("long").alias("runs")), "runs")
+    rows = coarse.join(runs, "cell").select("cell", F.expr("pmod(xxhash64(id, 5), runs)").alias("run"), F.lit(1).alias("role"), "id", F.col("v").cast("array<double>").alias("v"))
+    heads = fitted.join(runs, "cell").select("cell", F.explode(F.expr("sequence(0L, runs - 1)")).alias("run"), F.lit(0).alias("role"), F.lit(None).cast("long").alias("id"), F.col("c").alias("v"))
+    both = rows.unionByName(heads).repartition("cell", "run").sortWithinPartitions("cell", "run", "role")
+    return both.mapInArrow(_within(overlap), "id long, near array<long>").select("id", F.explode("near").alias("c"))
+
+
+def _spread(classes: DataFrame, overlap: int) -> DataFrame:
+    """(id, c): the clusters of each class."""
     dims = {r["d"]: r["n"] for r in classes.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(64).collect()}
-    centroids = {}
+    centroids, fine = {}, {}
     for dim, n in dims.items():
-        count = int(min(CENTROIDS, max(1, n // MEMBERS)))
+        count = max(1, n // MEMBERS)
+        if count > CENTROIDS:  # as many cells as each has centroids
+            fine[dim] = -(-count // (count := int(np.ceil(count**0.5))))
         if count > 1:
             some = bounded_sample(classes.where(F.size("v") == dim), max(2000, FIT * count), "id").select("v").toPandas()
             centroids[dim] = fit_centroids(matrix(pa.array(list(some["v"]))), count)
     kind = classes.schema["v"].dataType.simpleString()
     near = stage(classes.mapInArrow(_assigned(centroids, overlap), f"id long, w long, v {kind}, near array<long>"), "near")
-    spread = near.select("id", F.explode("near").alias("c"))
+    spread = near.where(~F.size("v").isin(*fine)).select("id", F.explode("near").alias("c")) if fine else near.select("id", F.explode("near").alias("c"))
+    for dim, wanted in fine.items():
+        spread = spread.unionByName(_finer(near.where(F.size("v") == dim).select("id", "v", F.explode("near").alias("cell")), wanted, overlap))
+    return stage(spread, "spread")
+
+
+def _linked(classes: DataFrame, percent: int, overlap: int) -> DataFrame:
+    """(id, links, root) for each class in each of its shards."""
+    spread = _spread(classes, overlap)
     blocks = spread.groupBy("c").agg(F.when(F.count("*") > SHARD, F.ceil(F.count("*") / (SHARD / 2))).otherwise(1).cast("long").alias("blocks"))
     spread = spread.join(stage(blocks, "blocks"), "c").withColumn("b", F.expr("pmod(xxhash64(id, 3), blocks)"))
     other = F.expr("if(blocks = 1, array(0L), filter(sequence(0L, blocks - 1), x -> x <> b))")
-    spread = spread.withColumn("o", F.explode(other)).withColumn("shard", F.expr("c * 1000000000 + if(blocks = 1, 0L, least(b, o) * 30000 + greatest(b, o))"))
+    spread = spread.withColumn("o", F.explode(other)).withColumn("shard", F.expr("xxhash64(c, if(blocks = 1, 0L, least(b, o)), if(blocks = 1, 0L, greatest(b, o)))"))
     shards = stage(spread.groupBy("id").agg(F.collect_set("shard").alias("shards")), "shards")
-    members = stage(near.drop("near").join(shards, "id").withColumn("shard", F.explode("shards")), "members")
+    members = stage(classes.join(shards, "id").withColumn("shard", F.explode("shards")), "members")
     edges = members.select("shard", "id", "v").groupBy("shard").applyInArrow(_graph, "src long, dst long")
     lists = stage(edges.groupBy("src").agg(F.collect_set("dst").alias("neighbours")), "lists")
     rows = members.join(lists, members.id == lists.src, "left").drop("src")
@@ -259,8 +366,12 @@ def near_duplicates(vectors: DataFrame, percent: int = 90, overlap: int = OVERLA
     while True:
         local = stage(_linked(classes, percent, overlap), "local")
         found = stage(local.groupBy("id").agg(F.sum("links").alias("links")), "links")
-        if overlap >= 16 or audit(classes, found, percent) >= RECALL:
+        recall = audit(classes, found, percent)
+        _log.info("recall %.4f of links with an overlap of %d", recall, overlap)
+        if recall >= RECALL or overlap >= MOST_OVERLAP and recall >= LEAST:
             break
+        if overlap >= MOST_OVERLAP:
+            raise RuntimeError(f"a recall of {recall:.3f} only, with an overlap of {overlap}")
         overlap *= 2
     same = rows.where("ok").join(whole, ["x", "y"]).where("vec_id <> id").select(F.col("vec_id").alias("u"), F.col("id").alias("v"))
     roots = connected_components(local.where("id <> root").select(F.col("id").alias("u"), F.col("root").alias("v")).union(same))

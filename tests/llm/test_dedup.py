@@ -300,7 +300,10 @@ def test_repeats_in_a_slab(width):
 # Vectors
 
 
-def test_vectors(spark, monkeypatch):
+@pytest.mark.parametrize("most", [8192, 3])
+def test_vectors(spark, monkeypatch, most):
+    """With one level of centroids and with two."""
+    monkeypatch.setattr(vectors, "CENTROIDS", most)
     rng = np.random.default_rng(4)
     base = rng.standard_normal((150, 24))
     near = np.concatenate([base[rng.integers(0, 20, 250)] + 0.08 * rng.standard_normal((250, 24)), np.repeat(base[:1], 120, axis=0) + 0.06 * rng.standard_normal((120, 24))])
@@ -325,3 +328,45 @@ def test_vectors(spark, monkeypatch):
     assert by[1005].component_id == by[1006].component_id == 1005 and by[1006].n_links == 1
     assert by[None].component_id is None and by[None].kept
     assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
+
+
+def test_a_search_compares_what_it_meets():
+    """The graph finds the links of a shard without comparing all pairs of it."""
+    rng = np.random.default_rng(7)
+    base = rng.standard_normal((300, 32))
+    x = np.concatenate([base, base[:150] + 0.1 * rng.standard_normal((150, 32)), rng.standard_normal((1050, 32))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph = vectors.build(x)
+    found = vectors.search(x, graph, 0.9)
+    true = x @ x.T >= 0.9
+    np.fill_diagonal(true, False)
+    assert true.sum() >= 300 and (found & true).sum() >= 0.97 * true.sum() and not (found & (x @ x.T < 0.89)).any()
+    walk = vectors.Walk(x, graph, np.arange(256))
+    walk.greedy(vectors.medoid(x))
+    walk.range(0.82)
+    assert walk.compared < 0.7 * 256 * len(x)
+    assert np.allclose(walk.s[np.isfinite(walk.s)], (x[:256] @ x.T)[np.isfinite(walk.s)], atol=1e-5)
+
+
+def test_pruned_neighbours():
+    """Against the rule step by step: the nearest candidate stays, and what is nearer to it than to the node goes."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((40, 4))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    s = (x @ x.T).astype(np.float32)
+    got = vectors.prune(x, np.arange(40), np.repeat(np.arange(40)[None], 40, axis=0), s)
+    far = lambda a, b: max(0.0, 2 - 2 * float(x[a] @ x[b]))
+    for i in range(40):
+        left, want = sorted((j for j in range(40) if j != i), key=lambda j: -s[i, j]), []
+        while left and len(want) < vectors.DEGREE:
+            want.append(left.pop(0))
+            left = [j for j in left if vectors.ALPHA**2 * far(want[-1], j) > max(0.0, 2 - 2 * float(s[i, j]))]
+        assert [j for j in got[i] if j >= 0] == want
+
+
+def test_recall_too_low_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "audit", lambda *a: 0.5)
+    monkeypatch.setattr(vectors, "MOST_OVERLAP", 2)
+    rows = [(i, [1.0, float(i)]) for i in range(5)]
+    with pytest.raises(RuntimeError, match="recall"):
+        vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
