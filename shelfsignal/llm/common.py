@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,12 +34,43 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
     Cuts the lineage with files that outlive an executor, and lets several
     consumers read a result that is computed once. The files stay, as the
-    result is lazy; clear the folder ``stages`` there when jobs have ended.
+    result is lazy, unless ``scratch`` ends; clear the folder ``stages`` there
+    when jobs have ended.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stages/{name}-{uuid.uuid4().hex}"
+    if _made:
+        _made[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+_made: list[list[str]] = []
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Removes the files of frames that ``stage`` returned, once what was made of them has been written."""
+    for df in frames:
+        _remove(df.sparkSession, _paths.pop(df))
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Removes at its end what ``stage`` wrote within it: for steps whose result has been written elsewhere by then."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for path in _made.pop():
+            _remove(spark, path)
 
 
 def unused(df: DataFrame, name: str) -> str:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import maybe_broadcast, stage, tune, unused
+from .common import discard, maybe_broadcast, stage, tune, unused
 from .textvec import _CHUNK, buffers, mix, word_hashes, word_spans
 
 SENTENCES, WORDS = 3, 20
@@ -106,39 +106,46 @@ def spans(data: np.ndarray, offsets: np.ndarray, sentences: int, words: int):
     return doc, value.view(np.int64), start[first] - begin, rest - begin
 
 
-def _spans(sentences: int, words: int):
+def _spans(sentences: int, words: int, text: int):
+    """Spans as (h, key columns, at): the text stands in column ``text``; at holds the first byte and the one after the span, 32 bits each."""
+
     def run(batches):
         for batch in batches:
-            data, offsets = buffers(batch.column(2))
-            ids, versions, i = batch.column(0), batch.column(1), 0
+            data, offsets = buffers(batch.column(text))
+            keys, i = batch.columns[:text], 0
             while i < len(batch):
                 j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + 2 * _CHUNK, "right")) - 1)
                 doc, value, a, z = spans(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], sentences, words)
                 row = pa.array(doc + i)
-                yield pa.RecordBatch.from_arrays([pa.array(value), ids.take(row), versions.take(row), pa.array(a.astype(np.int32)), pa.array(z.astype(np.int32))], names=["h", "doc_id", "version", "a", "z"])
+                yield pa.RecordBatch.from_arrays([pa.array(value), *(k.take(row) for k in keys), pa.array((a << 32) | z)], names=["h", *batch.schema.names[:text], "at"])
                 i = j
 
     return run
 
 
-def versions(docs: DataFrame) -> DataFrame:
-    """``docs`` and, last, a column that tells the texts of one doc_id apart: 0 where there is one row of it, else a hash of the text."""
-    again, version = unused(docs, "again"), unused(docs, "version")
-    several = docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias(again)).agg(F.count("*").alias("n")).where("n > 1").select(again)
-    several = maybe_broadcast(stage(several, "several"))
-    return docs.join(several, F.col("doc_id").cast("long") == F.col(again), "left").withColumn(version, F.when(F.col(again).isNotNull(), F.xxhash64("text")).otherwise(0)).drop(again)
+def versions(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``docs`` with the key of a document: doc_id as a long, and where doc_ids are repeated a column that tells their texts apart (0 where there is one row of it, else a hash of the text)."""
+    key, again, version = unused(docs, "key"), unused(docs, "again"), unused(docs, "version")
+    docs = docs.withColumn(key, F.col("doc_id").cast("long"))
+    several = stage(docs.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(again)).agg(F.count("*").alias("n")).where("n > 1").select(again), "several")
+    if several.isEmpty():
+        return docs, [key]
+    own = F.when(F.col(again).isNotNull(), F.xxhash64("text")).otherwise(0)
+    return docs.join(maybe_broadcast(several), F.col(key) == F.col(again), "left").withColumn(version, own).drop(again), [key, version]
 
 
-def repeated_spans(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS) -> DataFrame:
-    """(doc_id, version, a, z) in bytes of every span that is not the first of its kind, for ``docs`` (doc_id, version, text)."""
+def repeated_spans(docs: DataFrame, keys: list[str], sentences: int = SENTENCES, words: int = WORDS) -> DataFrame:
+    """(keys, at) of every span that is not the first of its kind, for ``docs`` (keys, text); at: its first byte and the one after it, 32 bits each."""
     tune(docs.sparkSession)
-    docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "version", F.col("text").cast("string").alias("text"))
-    found = stage(docs.mapInArrow(_spans(sentences, words), "h long, doc_id long, version long, a int, z int"), "spans")
-    several = stage(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "several")
-    found = stage(found.join(several, "h", "left_semi"), "met")
-    at = F.struct("doc_id", "version", "a")
+    docs = docs.where(F.col(keys[0]).isNotNull()).select(*keys, F.col("text").cast("string").alias("text"))
+    names = [f"k{i}" for i in range(len(keys))]
+    all_ = stage(docs.toDF(*names, "text").mapInArrow(_spans(sentences, words, len(keys)), f"h long, {', '.join(f'{n} long' for n in names)}, at long"), "spans")
+    several = stage(all_.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "several")
+    found = stage(all_.join(several, "h", "left_semi"), "met")
+    discard(all_, several)
+    at = F.struct(*names, "at")
     first = found.groupBy("h").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first <> last").select("h", "first")
-    return found.join(stage(first, "repeated"), "h").where(at != F.col("first")).select("doc_id", "version", "a", "z")
+    return found.join(stage(first, "repeated"), "h").where(at != F.col("first")).select(*names, "at").toDF(*keys, "at")
 
 
 def _cut(schema: T.StructType, text: int):
@@ -149,11 +156,12 @@ def _cut(schema: T.StructType, text: int):
                 n = 0
                 if value is not None and cuts:
                     raw, parts, at = value.encode(), [], 0
-                    for c in sorted(cuts, key=lambda c: (c["a"], c["z"])):
-                        if c["z"] > at:
-                            parts.append(raw[at : max(at, c["a"])])
-                            n += c["z"] - max(at, c["a"])
-                            at = c["z"]
+                    for c in sorted(cuts):
+                        a, z = c >> 32, c & 0xFFFFFFFF
+                        if z > at:
+                            parts.append(raw[at : max(at, a)])
+                            n += z - max(at, a)
+                            at = z
                     value = b"".join([*parts, raw[at:]]).decode()
                 out.append(value)
                 gone.append(n)
@@ -168,9 +176,10 @@ def remove_repeats(docs: DataFrame, sentences: int = SENTENCES, words: int = WOR
     """``docs`` with the repeated sentences taken out of text, and n_removed (bytes)."""
     docs = docs.drop("n_removed").withColumn("text", F.col("text").cast("string"))
     schema = T.StructType([*docs.schema.fields, T.StructField("n_removed", T.LongType())])
-    rows = versions(docs)
-    version, id_, own, cuts = rows.columns[-1], unused(rows, "id"), unused(rows, "own"), unused(rows, "cuts")
-    found = repeated_spans(rows.select("doc_id", F.col(version).alias("version"), "text"), sentences, words)
-    found = found.groupBy(F.col("doc_id").alias(id_), F.col("version").alias(own)).agg(F.collect_set(F.struct("a", "z")).alias(cuts))
-    rows = rows.join(stage(found, "cuts"), (F.col("doc_id").cast("long") == F.col(id_)) & (F.col(version) == F.col(own)), "left").drop(id_, own, version)
+    rows, keys = versions(docs)
+    found = repeated_spans(rows.select(*keys, "text"), keys, sentences, words)
+    own, cuts = [unused(rows, f"own{i}") for i in range(len(keys))], unused(rows, "cuts")
+    found = stage(found.groupBy(*(F.col(k).alias(o) for k, o in zip(keys, own, strict=True))).agg(F.collect_set("at").alias(cuts)), "cuts")
+    same = [F.col(k) == F.col(o) for k, o in zip(keys, own, strict=True)]
+    rows = rows.join(found, same, "left").drop(*own, *keys)
     return rows.mapInArrow(_cut(schema, docs.columns.index("text")), schema)
