@@ -17,7 +17,7 @@ component aren't compared again, and leaders leave the bucket after the round.
 Pairs whose set sizes rule the similarity out aren't made, nor those whose
 sketches do by their concentration bound: one bit of each coordinate makes a
 signature, and a pair at the threshold differs in more bits than allowed with a
-chance of 1e-11, a small part of what the bands miss.
+fiftieth of the chance that the bands miss it.
 What is in mixed buckets after the first round moves to narrower ones: a
 bucket for each of the rarest shingles of a text, so many of them that two
 texts at the similarity must share one (prefix filtering, exact), early enough
@@ -84,12 +84,17 @@ def signature(sketches: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1).view(np.uint64)
 
 
-def most_different(percent: int, chance: float = 1e-11) -> int:
-    """Bits in which signatures of sets at ``percent`` similarity may differ: more of them have at most this ``chance`` (binomial tail)."""
+def missed(percent: int) -> float:
+    """The chance that sets at ``percent`` similarity share no band."""
+    return (1 - (percent / 100) ** ROWS) ** BANDS
+
+
+def most_different(percent: int) -> int:
+    """Bits in which signatures of sets at ``percent`` similarity may differ: more of them have a fiftieth of the chance of ``missed`` at most (binomial tail)."""
     p, bits, tail = (1 - percent / 100) / 2, COORDS, 0.0
     while bits > 0:
         tail += comb(COORDS, bits) * p**bits * (1 - p) ** (COORDS - bits)
-        if tail > chance:
+        if tail > missed(percent) / 50:
             break
         bits -= 1
     return bits
