@@ -1,10 +1,12 @@
 """Chat formatting with cumulative-snapshot collapse, in DataFrame operations only.
 
 A log may hold a conversation many times, each time with more turns. A turn's
-rank is its place in its conversation; the prefix hash at rank k is the
-exclusive or of two 64-bit hashes of (rank, role, text) over ranks 1 to k,
-rolled on within blocks of ``BLOCK`` ranks and over the blocks' sums, so that
-no window holds more than a block of a conversation. A conversation is a
+rank is its place in its conversation: turns are range-partitioned in order,
+counted within each partition, and moved on by the counts before it, so that
+no window holds more of a conversation than a partition does, however many
+turns are null or alike. The prefix hash at rank k is the exclusive or of two
+64-bit hashes of (rank, role, text) over ranks 1 to k, rolled on within blocks
+of ``BLOCK`` ranks and over the blocks' sums. A conversation is a
 snapshot if its last prefix hash is a proper prefix hash of another one: an
 anti-join takes these out. Of equal conversations the smallest id stays.
 
@@ -32,14 +34,15 @@ def turns(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
     rows = conversations.where("conv_id IS NOT NULL").select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     )
-    rows = rows.distinct().withColumn("span", F.floor(F.col("turn") / block))
-    mine = rows.withColumn("k", F.row_number().over(Window.partitionBy("conv_id", "span").orderBy(F.asc_nulls_first("turn"), "role", "text")))
+    order = [F.asc_nulls_first("turn"), F.asc("role"), F.asc("text")]
+    dealt = stage(rows.distinct(), "distinct").repartitionByRange("conv_id", *order).withColumn("span", F.spark_partition_id())
+    mine = stage(dealt, "dealt").withColumn("k", F.row_number().over(Window.partitionBy("conv_id", "span").orderBy(*order)))
     mine = stage(mine, "ranked")
     whole = Window.partitionBy("conv_id")
-    before = whole.orderBy(F.asc_nulls_first("span")).rowsBetween(Window.unboundedPreceding, -1)
+    before = whole.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
     spans = mine.groupBy("conv_id", "span").agg(F.count("*").alias("m"))
     spans = spans.select("conv_id", "span", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("skip"), F.sum("m").over(whole).alias("n"))
-    mine = mine.alias("l").join(spans.alias("r"), F.expr("l.conv_id = r.conv_id AND l.span <=> r.span")).select("l.conv_id", "role", "text", (F.col("k") + F.col("skip")).alias("rank"), "n")
+    mine = mine.alias("l").join(spans.alias("r"), F.expr("l.conv_id = r.conv_id AND l.span = r.span")).select("l.conv_id", "role", "text", (F.col("k") + F.col("skip")).alias("rank"), "n")
     mine = mine.withColumn("part", F.floor((F.col("rank") - 1) / block)).withColumn("x", F.xxhash64("rank", "role", "text")).withColumn("y", F.xxhash64("text", "role", "rank", F.lit(7)))
     mine = stage(mine, "turns")
     parts = mine.groupBy("conv_id", "part").agg(F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
