@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -167,6 +168,19 @@ def test_long_conversations_are_rolled_in_blocks(spark):
     assert {r[0] for r in got} == {1, 5}
 
 
+def test_many_turns_without_a_number(spark):
+    """Null and equal turns of one conversation, over several partitions, go by role and text."""
+    duckdb = pytest.importorskip("duckdb")
+    rng = random.Random(2)
+    rows = [(1, None if i % 3 else 7, rng.choice(["user", "bot", None]), f"t{rng.randrange(500)}") for i in range(600)] + [(2, None, "user", f"t{i}") for i in range(40)] + [(3, None, "user", f"t{i}") for i in range(55)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    got = sorted(map(tuple, chat.format_chats(df, block=8).collect()))
+    c = duckdb.connect()
+    c.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    c.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    assert got == sorted(c.sql(chat.SQL.replace("1024", "8")).fetchall())
+
+
 # Quality
 
 
@@ -247,6 +261,87 @@ def test_names_open_sentences_and_numbers_are_dense(spark):
     assert {r.doc_id: r.item_ids for r in got if r.contaminated} == {1: [1], 2: [2]}
 
 
+def template_tokens(text):
+    """(word, form, form with names at the start of sentences) of every token, one at a time."""
+    raw, out, before, was_number = (text or "").encode(), [], None, False
+    punct = bytes(b for b in range(33, 127) if not chr(b).isalnum())
+    for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw):
+        opens = before is None or raw[before - 1 : before] in (b".", b"!", b"?", b":") or b"\n" in raw[before : m.start()]
+        before, token = m.end(), m[0].strip(punct)
+        if not token:
+            continue
+        low = bytes(c | 32 if 65 <= c <= 90 else c for c in token)
+        number = any(48 <= c <= 57 for c in token) and all(48 <= c <= 57 or c in punct for c in token)
+        upper = sum(65 <= c <= 90 for c in token)
+        capital = 65 <= token[0] <= 90 and upper == 1 or token[0] == 0xC3 and 0x80 <= token[1] <= 0x9E and upper == 0
+        title = capital and len(token) > 1 and not number
+        form = "NUM" if number else "UNIT" if was_number and low.decode("utf-8", "replace") in decontam.UNITS else "NAME" if title and not opens else low
+        out.append((low, form, "NAME" if title and form == low else form))
+        was_number = number
+    return out
+
+
+def template_windows(text, lengths):
+    """(variant, length, place, key, slots) of every window."""
+    t = template_tokens(text)
+    for n in lengths:
+        for at in range(len(t) - n + 1):
+            w = t[at : at + n]
+            plain = 2 * sum(a != b for a, b, _ in w) > n
+            slots = lambda k, w=w: tuple(x[0] if x[0] != x[k] else None for x in w)
+            yield 0, n, at, (n, *((("plain", a) if plain else b) for a, b, _ in w)), slots(1)
+            used = sum(a != c for a, _, c in w)
+            if any(b != c for _, b, c in w) and 2 * used <= n and n - used >= 4:
+                yield 1, n, at, (n, *(c for _, _, c in w)), slots(2)
+            if n == 8 and 2 * used > n:
+                first = at if used < n else max((i for i in range(at) if t[i][0] == t[i][2]), default=-1)
+                if 0 <= first and at - first <= 64:
+                    yield 2, n, at, ("dense", *(c for _, _, c in t[first : at + n])), slots(2)
+
+
+def contaminated_brute(docs, items):
+    lengths = {i: [min(8, len(template_tokens(t)))] for i, t in items if template_tokens(t)}
+    out = {}
+    for d, text in docs:
+        mine = list(template_windows(text, sorted({n for v in lengths.values() for n in v})))
+        for i, item in items:
+            theirs = list(template_windows(item, lengths.get(i, [])))
+            hit = set()
+            aligned = {}
+            for v, n, place, key, slots in mine:
+                for iv, _, iplace, ikey, islots in theirs:
+                    if key == ikey:
+                        for level in range(max(v, iv), 3):
+                            at, pairs = aligned.setdefault((place - iplace, level), (set(), set()))
+                            at.add((iplace, n))
+                            pairs.update((a, b) for a, b in zip(islots, slots, strict=True) if a is not None or b is not None)
+            for (_, level), (at, pairs) in aligned.items():
+                if len({a for a, _ in pairs}) == len(pairs) and (level < 2 or len(at) >= 3):
+                    hit |= at
+            if theirs and len(hit) / len({(n, p) for _, n, p, _, _ in theirs}) >= 0.5:
+                out.setdefault(d, []).append(i)
+    return out
+
+
+def test_decontamination_against_brute_force(spark):
+    rng = random.Random(14)
+    words = [f"{a}{b}" for a in ("lo", "mi", "ra", "te", "su") for b in ("ba", "ne", "ko", "ri")]
+    names, units = ["Anna", "Boris", "Émile", "Zoe"], ["km", "hours", "kg"]
+
+    def template(n):
+        kinds = [rng.choice(["w", "w", "w", "w", "n", "u", "N", "."]) for _ in range(n)]
+        fixed = [rng.choice(words) for _ in range(n)]
+        return lambda r: " ".join({"w": w, ".": w + ".", "n": str(r.randint(1, 40)), "u": f"{r.randint(2, 90)} {r.choice(units)}", "N": r.choice(names)}[k] for k, w in zip(kinds, fixed, strict=True))
+
+    shapes = [template(rng.choice([3, 7, 9, 14, 22])) for _ in range(10)] + [lambda r: "compute " + " ".join(str(r.randint(1, 30)) for _ in range(12)) + " now"]
+    items = [(i, f(rng)) for i, f in enumerate(shapes)] + [(50, ""), (51, None), (52, "!!!")]
+    prose = lambda n: " ".join(rng.choice(words).capitalize() + rng.choice([".", "", ","]) if rng.random() < 0.2 else rng.choice(words) for _ in range(n))
+    docs = [(i, f"{prose(rng.randint(0, 12))} {rng.choice([rng.choice(items)[1] or '', rng.choice(shapes)(rng), prose(9)])} {prose(rng.randint(0, 12))}") for i in range(60)] + [(90, None), (91, "")]
+    want = contaminated_brute(docs, items)
+    got = decontam.report(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r.doc_id: r.item_ids for r in got if r.contaminated} == {d: sorted(v) for d, v in want.items()} and len(want) > 10
+
+
 # Language ID
 
 
@@ -324,3 +419,26 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     want = {i: t for i, t in docs if item not in t}
     got = {r.doc_id: r.text for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert got == want
+
+
+def test_every_stage_takes_odd_tables(spark, tmp_path):
+    """Repeated and null ids, null, empty and long texts, ties, clashing columns; and an empty table."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(21)
+    words = ["größe", "übung", "straße", "tür", "öl", "ärger", "mühe", "schön"]
+    prose = lambda n: " ".join(rng.choice(words) + rng.choice(["", "", ",", "."]) for _ in range(n))
+    shared = prose(60) + "."
+    rows = [(i, prose(rng.randint(20, 60)), "de") for i in range(60)]
+    rows += [(7, f"{prose(9)}. {shared}", "de"), (7, f"ü. {shared} {prose(12)}", "de"), (8, shared, "de"), (8, shared, "de"), (None, shared, "de"), (None, None, None), (109, None, "de"), (110, "", None), (111, prose(20_000), "de"), (112, "🙂" * 3000, None)]
+    names = "doc_id long, text string, lang string, n_chars long, source string, _id int, _gone int, gone int, h int, n int, k int, version int, cuts int, _k int, id int, again int"
+    for folder, some in (("full", rows), ("none", [])):
+        where = f"{tmp_path}/{folder}"
+        spark.createDataFrame([(*r, len(r[1] or ""), "s", *range(11)) for r in some], names).write.parquet(f"{where}/documents.parquet")
+        spark.createDataFrame([(1, None)], "item_id long, text string").write.parquet(f"{where}/benchmark.parquet")
+        docs = spark.read.parquet(f"{where}/documents.parquet")
+        for name, function in corpus_pipeline.STAGES[:-1]:
+            assert function(spark, docs, where).columns == docs.columns, name
+        got = corpus_pipeline.run(spark, where).collect()
+        assert bool(got) == bool(some) and all(len(r.ids) == r.n_tokens for r in got)
+        ids = {r.doc_id for r in got}
+        assert not some or ({111, None} <= ids and not {109, 110} & ids), ids
