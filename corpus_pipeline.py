@@ -8,11 +8,13 @@ encoding and decoding. Each stage is written as Parquet and read again.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfsignal.llm import bpe, decontam, langid, minhash, sentences
-from shelfsignal.llm.common import stage
+from shelfsignal.llm.common import scratch, shared_dir
 from shelfsignal.llm.queries import tokenizer
 
 
@@ -55,5 +57,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, function in STAGES:
-        docs = stage(function(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark):  # what a stage's operator wrote on its way goes once the stage is written
+            path = f"{shared_dir(spark)}/pipeline/{name}-{uuid.uuid4().hex}"
+            found = function(spark, docs, sf_dir)
+            found.write.option("compression", "zstd").parquet(path)
+        docs = spark.read.schema(found.schema).parquet(path)
     return docs
