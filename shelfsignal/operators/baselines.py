@@ -20,10 +20,16 @@ def _stats(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return out.where((F.col("sample_count") >= BASELINE_SAMPLES) & (F.col("stddev") >= BASELINE_STDDEV))
 
 
+def _sold(ctx: Context) -> DataFrame:
+    """Units of the last 90 days by SKU, store, location and day: the one exchange that all unit baselines are summed up from."""
+    q = F.col("quantity")
+    return _recent(ctx).groupBy("sku", "store_id", "location", "date").agg(F.sum("quantity").alias("units"), F.sum(F.when(q > 0, q)).alias("sold"))
+
+
 def daily_sales(ctx: Context, by_store: bool = False) -> DataFrame:
     """Units per selling day and SKU (and store), of positive quantities in the last 90 days."""
     keys = ["sku", "store_id"] if by_store else ["sku"]
-    days = _recent(ctx).where(F.col("quantity") > 0).dropna(subset=keys).groupBy(*keys, "date").agg(F.sum("quantity").alias("units"))
+    days = _sold(ctx).where("sold IS NOT NULL").dropna(subset=keys).groupBy(*keys, "date").agg(F.sum("sold").alias("units"))
     return _stats(days, keys, "units")
 
 
@@ -34,7 +40,7 @@ def unit_price(ctx: Context) -> DataFrame:
 
 def location_quantity(ctx: Context) -> DataFrame:
     """90-day units per SKU and location; locations are the samples."""
-    places = _recent(ctx).where("location IS NOT NULL").groupBy("sku", "location").agg(F.sum("quantity").alias("units"))
+    places = _sold(ctx).where("location IS NOT NULL").groupBy("sku", "location").agg(F.sum("units").alias("units"))
     return _stats(places, ["sku"], "units")
 
 

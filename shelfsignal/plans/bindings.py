@@ -32,6 +32,7 @@ VIEWS: dict[str, str] = {
         SELECT CAST(1 AS BIGINT) AS tenant_id, CAST(o_orderdate AS DATE) AS date, CAST(l_partkey AS STRING) AS sku, concat('L', l_partkey % 25) AS location, l_partkey % 25 AS store_id, CAST(l_quantity AS DECIMAL(12,2)) AS quantity,
                l_extendedprice / l_quantity AS unit_price, CAST(l_extendedprice AS DECIMAL(12,2)) AS total_amount
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
+    "early_sales": "SELECT * FROM part_sales WHERE date < DATE '1995-04-01'",
     "brand_sales": """
         SELECT tenant_id, transaction_id, date, category AS sku, location, store_id % 5 AS store_id, quantity, unit_price, total_amount FROM all_sales""",
     "products": """

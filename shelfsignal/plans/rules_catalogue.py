@@ -109,6 +109,8 @@ CAT.add(
     f"SELECT sku, store_id, 'low' AS severity, {r('on_hand_qty')} AS on_hand_qty, 30::BIGINT AS days_without_sales FROM (SELECT *, row_number() OVER (PARTITION BY sku ORDER BY id) AS k FROM inventory WHERE on_hand_qty > 0) WHERE k = 1 AND sku NOT IN (SELECT sku FROM part_sales WHERE date >= {T} - 30)",
     **_PART,
 )
+_PHANTOM = f"SELECT sku, store_id, 'medium' AS severity, {r('on_hand_qty')} AS on_hand_qty, location FROM (SELECT *, row_number() OVER (PARTITION BY sku ORDER BY on_hand_qty DESC, id) AS k FROM inventory WHERE on_hand_qty > 0) WHERE k = 1 AND sku NOT IN (SELECT sku FROM {{}})"
+CAT.add("rule_phantom_inventory_early", rules.phantom_inventory, _PHANTOM.format("early_sales"), sales="early_sales", products="part_products")
 CAT.add(
     "rule_phantom_inventory",
     rules.phantom_inventory,
