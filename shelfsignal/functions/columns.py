@@ -71,6 +71,6 @@ def money(c: Column) -> Column:
 
 
 def short_money(c: Column) -> Column:
-    """$950, $1.2K, $3.4M."""
+    """$950, $1.2K, $3.45M."""
     c = c.cast("double")
-    return F.when(c >= 1e6, F.format_string("$%.1fM", c / 1e6)).when(c >= 1e3, F.format_string("$%.1fK", c / 1e3)).otherwise(F.format_string("$%.0f", c))
+    return F.when(c >= 1e6, F.format_string("$%.2fM", c / 1e6)).when(c >= 1e3, F.format_string("$%.1fK", c / 1e3)).otherwise(F.format_string("$%.0f", c))

@@ -35,6 +35,15 @@ def suppression_counts(ctx: Context) -> DataFrame:
     return suppression_matches(ctx).groupBy("suppression_id").agg(F.count("*").alias("matched"))
 
 
+def suppressions_counted(ctx: Context) -> DataFrame:
+    """The suppressions after a run: matches added, and when the last one was."""
+    n = suppression_counts(ctx).withColumnRenamed("suppression_id", "id")
+    rows = ctx.table("suppressions").join(n, "id", "left")
+    hit = F.col("matched").isNotNull()
+    last = F.col("last_matched_at").cast("timestamp_ntz") if "last_matched_at" in rows.columns else F.lit(None).cast("timestamp_ntz")
+    return rows.withColumns({"match_count": F.coalesce("match_count", F.lit(0)) + F.coalesce("matched", F.lit(0)), "last_matched_at": F.when(hit, ctx.clock()).otherwise(last)}).drop("matched")
+
+
 def correlation_groups(ctx: Context) -> DataFrame:
     """Unsuppressed candidates by SKU (null-safe): the newest open investigation of the last seven days, or a new one."""
     a = candidates(ctx).join(suppression_matches(ctx), F.col("id") == F.col("anomaly_id"), "left_anti")

@@ -89,9 +89,24 @@ def kpi_trends(ctx: Context, days: int = 7) -> DataFrame:
 
 
 def top_drivers(ctx: Context, limit: int = 5) -> DataFrame:
-    rows = ctx.table("anomalies").where("dismissed_at IS NULL").groupBy("rule_type").agg(F.count("*").alias("anomalies"))
-    rows = rows.withColumn("total", F.sum("anomalies").over(Window.partitionBy()))  # one row a rule
-    return rows.withColumn("share", pct(F.col("anomalies"), F.col("total"))).orderBy(F.desc("anomalies"), "rule_type").limit(limit).drop("total")
+    """The rules with most open anomalies, and their share of what these rules have together."""
+    rows = ctx.table("anomalies").where("dismissed_at IS NULL").groupBy("rule_type").agg(F.count("*").alias("anomalies")).orderBy(F.desc("anomalies"), "rule_type").limit(limit)
+    return rows.withColumn("share", pct(F.col("anomalies"), F.sum("anomalies").over(Window.partitionBy())))  # ``limit`` rows
+
+
+def insights(ctx: Context) -> DataFrame:
+    """The rule that recurs most and the one seen most this month among open anomalies, a row each."""
+    live, day = ctx.table("anomalies").where("dismissed_at IS NULL"), F.col("detected_at").cast("date")
+    month = F.trunc(F.lit(ctx.now).cast("date"), "month")
+    first = lambda rows, name: rows.groupBy("rule_type").agg(F.count("*").alias("anomalies")).orderBy(F.desc("anomalies"), "rule_type").limit(1).select(F.lit(name).alias("insight"), "rule_type", "anomalies")
+    return first(live.where("ai_is_recurring"), "recurring").unionByName(first(live.where(day >= month), "this_month"))
+
+
+def pending_actions(ctx: Context, statuses: tuple[str, ...] = ("pending",), limit: int = 6) -> DataFrame:
+    """The oldest actions of open investigations in one of ``statuses``; nothing writes the default one any more."""
+    i = ctx.table("investigations").where(F.col("status").isin("open", "in_progress")).select(F.col("id").alias("investigation_id"))
+    rows = ctx.table("actions").where(F.col("status").isin(*statuses)).join(i, "investigation_id", "left_semi")
+    return rows.orderBy("created_at", "id").limit(limit).select("id", "investigation_id", "title", "status")
 
 
 def _active() -> Column:
@@ -131,16 +146,20 @@ def action_page(ctx: Context, search: str, page: int = 1, size: int = 25) -> Dat
     return rows.select("id", "title", "status", "priority")
 
 
-def investigation_page(ctx: Context, status: str | None = "open", priority: str | None = None, rule: str | None = None, search: str = "", page: int = 1, size: int = 25) -> DataFrame:
-    """A page of investigations by revenue at risk, unknown first; ``open`` takes in_progress too, ``high_critical`` both."""
-    rows = ctx.table("investigations").where(F.col("title").ilike(f"%{search}%") | F.col("primary_sku").ilike(f"%{search}%"))
+def investigation_page(ctx: Context, status: str | None = "open", priority: str | None = None, rule: str | None = None, search: str = "", store: int | None = None, sort: str = "revenue_at_risk", descending: bool = True, page: int = 1, size: int = 25) -> DataFrame:
+    """A page of investigations; ``open`` takes in_progress too, ``high_critical`` both; by priority the most urgent come first."""
+    like = lambda c: F.coalesce(F.col(c).ilike(f"%{search}%"), F.lit(False))
+    rows = ctx.table("investigations").where(like("title") | like("primary_sku") | like("description"))
     if status:
         rows = rows.where(F.col("status").isin("open", "in_progress") if status == "open" else F.col("status") == status)
     if priority:
         rows = rows.where(F.col("priority").isin("high", "critical") if priority == "high_critical" else F.col("priority") == priority)
+    if store is not None:
+        rows = rows.where(F.col("primary_store_id") == store)
     if rule:
         rows = rows.join(ctx.table("anomalies").where(F.col("rule_type") == rule).select(F.col("investigation_id").alias("id")), "id", "left_semi")
-    return rows.orderBy(F.desc_nulls_first("revenue_at_risk"), "id").offset((page - 1) * size).limit(size).select("id", "title", "status", "priority", "revenue_at_risk")
+    by = F.desc(priority_rank(F.col("priority"))) if sort == "priority" else F.desc_nulls_first(sort) if descending else F.asc_nulls_last(sort)
+    return rows.orderBy(by, "id").offset((page - 1) * size).limit(size).select("id", "title", "status", "priority", "revenue_at_risk")
 
 
 def anomaly_list(ctx: Context, limit: int = 50) -> DataFrame:
@@ -186,6 +205,50 @@ def sales_list(ctx: Context, location: str, first, last) -> DataFrame:
     return ctx.table("sales").where((F.col("location") == location) & F.col("date").between(F.lit(first), F.lit(last))).select("date", "sku", "quantity", "total_amount")
 
 
+def filtered(rows: DataFrame, date: str | None = None, first=None, last=None, **equal) -> DataFrame:
+    """Rows of a list view: inclusive bounds of a date, and columns that must have a value where one is given."""
+    if date and first is not None:
+        rows = rows.where(F.col(date) >= F.lit(first))
+    if date and last is not None:
+        rows = rows.where(F.col(date) <= F.lit(last))
+    for column, value in equal.items():
+        rows = rows if value is None else rows.where(F.col(column) == value)
+    return rows
+
+
+def choices(rows: DataFrame, column: str) -> DataFrame:
+    """What a list can be filtered by."""
+    return rows.where(F.col(column).isNotNull()).select(column).distinct()
+
+
+def order_list(ctx: Context, supplier: str | None = None, first=None, last=None) -> DataFrame:
+    return filtered(ctx.table("purchase_orders"), "order_date", first, last, supplier=supplier).select("po_number", "supplier", "sku", "order_date", "qty_ordered", "qty_received")
+
+
+def return_list(ctx: Context, location: str | None = None, first=None, last=None) -> DataFrame:
+    return filtered(ctx.table("returns"), "date", first, last, location=location).select("date", "sku", "location", "quantity", "value")
+
+
+def inventory_list(ctx: Context, location: str | None = None, low: bool = False) -> DataFrame:
+    rows = filtered(ctx.table("inventory"), location=location)
+    return (rows.where("reorder_point > 0 AND on_hand_qty <= reorder_point") if low else rows).select("sku", "location", "on_hand_qty", "reorder_point", "as_of_date")
+
+
+def product_list(ctx: Context, category: str | None = None) -> DataFrame:
+    return filtered(ctx.table("products"), category=category).select("sku", "name", "category", "unit_cost", "selling_price")
+
+
+# What only administrators may do.
+GATED = ("manage_users", "manage_imports", "dismiss_anomalies", "change_thresholds", "reassign", "close", "change_status", "record_outcomes", "view_audit")
+
+
+def access(ctx: Context, tenant_id: int) -> DataFrame:
+    """Whether each user sees the tenant, their role there, and whether what is gated is open to them; exports are to all."""
+    admin, chief = F.coalesce("is_admin", F.lit(False)), F.coalesce("is_super_admin", F.lit(False))
+    role = F.when(chief, "Super Admin").when(admin, "Tenant Admin").otherwise("User")
+    return ctx.table("users").select("id", (chief | (F.col("tenant_id") == tenant_id)).alias("sees"), role.alias("role"), (chief | admin).alias("gated"), F.lit(True).alias("exports"))
+
+
 def record_key(keys: DataFrame) -> DataFrame:
     """The id in a JSON key, in it or in its data; other keys pass."""
     return keys.withColumn("record_id", F.coalesce(F.get_json_object("key", "$.id"), F.get_json_object("key", "$.data.id"), F.col("key")))
@@ -213,7 +276,7 @@ def money_series(ctx: Context, days: int = 30) -> DataFrame:
 
 
 def top_alert_store(ctx: Context, days: int = 14) -> DataFrame:
-    rows = ctx.table("anomalies").where((F.col("detected_at").cast("timestamp_ntz") >= ctx.clock(24 * days)) & F.col("store_id").isNotNull()).groupBy("store_id").agg(F.count("*").alias("anomalies"))
+    rows = ctx.table("anomalies").where(F.col("dismissed_at").isNull() & (F.col("detected_at").cast("timestamp_ntz") >= ctx.clock(24 * days)) & F.col("store_id").isNotNull()).groupBy("store_id").agg(F.count("*").alias("anomalies"))
     return rows.orderBy(F.desc("anomalies"), "store_id").limit(1)
 
 

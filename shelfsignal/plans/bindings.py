@@ -79,7 +79,8 @@ VIEWS: dict[str, str] = {
                CAST(value AS DECIMAL(18,2)) AS revenue_impact, ts AS detected_at, CASE WHEN event_type = 'error' THEN ts + INTERVAL '5' MINUTE END AS dismissed_at,
                event_type = 'error' AND event_id % 2 = 0 AS is_false_positive, CASE WHEN event_id % 3 = 0 THEN NULL ELSE user_id END AS investigation_id,
                CASE WHEN event_id % 4 = 0 THEN NULL ELSE ts END AS notified_at, CASE WHEN event_id % 5 = 0 THEN NULL ELSE concat('Seen ', event_id % 8) END AS description, concat(chr(123), '"units_sold":', event_id % 100, ',"window_days":', event_id % 30, chr(125)) AS context,
-               CASE WHEN event_id % 6 = 0 THEN NULL ELSE 'detected' END AS investigation_status, CAST(NULL AS STRING) AS action_notes, CASE WHEN event_id % 9 = 0 THEN 'done' END AS resolution_notes, CASE WHEN event_id % 9 = 0 THEN ts + INTERVAL '3' HOUR END AS resolved_at
+               CASE WHEN event_id % 6 = 0 THEN NULL ELSE 'detected' END AS investigation_status, CAST(NULL AS STRING) AS action_notes, CASE WHEN event_id % 9 = 0 THEN 'done' END AS resolution_notes, CASE WHEN event_id % 9 = 0 THEN ts + INTERVAL '3' HOUR END AS resolved_at,
+               event_id % 4 = 1 AS ai_is_recurring
         FROM events""",
     "investigations": """
         SELECT CAST(1 AS BIGINT) AS tenant_id, user_id AS id, concat('Investigation ', user_id) AS title, CASE user_id % 4 WHEN 0 THEN 'open' WHEN 1 THEN 'in_progress' WHEN 2 THEN 'resolved' ELSE 'closed' END AS status,
@@ -89,7 +90,7 @@ VIEWS: dict[str, str] = {
                CASE WHEN user_id % 6 = 0 THEN NULL ELSE max(ts) - INTERVAL '2' DAY END AS narrated_at,
                CASE user_id % 11 WHEN 0 THEN TIMESTAMP '2024-02-03 00:00:00' WHEN 1 THEN TIMESTAMP '2024-01-15 00:00:00' END AS snoozed_until,
                CASE WHEN user_id % 6 = 0 THEN NULL WHEN user_id % 3 = 1 THEN 'established' WHEN user_id % 3 = 2 THEN 'probable' ELSE 'suspected' END AS ai_confidence,
-               CASE WHEN user_id % 5 < 2 THEN NULL ELSE CAST(user_id % 4 AS BIGINT) END AS assigned_team_id
+               CASE WHEN user_id % 5 < 2 THEN NULL ELSE CAST(user_id % 4 AS BIGINT) END AS assigned_team_id, CASE WHEN user_id % 3 = 0 THEN concat('About ', user_id) END AS description
         FROM events GROUP BY user_id""",
     "actions": """
         SELECT CAST(1 AS BIGINT) AS tenant_id, event_id AS id, user_id AS investigation_id, concat('Action ', event_id) AS title,
@@ -128,7 +129,7 @@ VIEWS: dict[str, str] = {
                CASE WHEN r_regionkey = 1 THEN CAST(2 AS BIGINT) END AS target_team_id, CASE WHEN r_regionkey = 2 THEN CAST(5 AS BIGINT) END AS target_user_id
         FROM region""",
     "escalation_events": "SELECT CAST(1 AS BIGINT) AS tenant_id, user_id AS investigation_id, CAST(min(event_id) % 5 AS BIGINT) AS rule_id, TIMESTAMP '2024-01-30 12:00:00' AS fired_at FROM events WHERE user_id % 10 = 0 GROUP BY user_id",
-    "users": "SELECT CAST(1 AS BIGINT) AS tenant_id, c_custkey AS id, c_name AS name, concat(lower(c_mktsegment), '.', c_custkey, '@example.com') AS email, c_custkey % 20 = 0 AS is_admin FROM customer",
+    "users": "SELECT CAST(1 AS BIGINT) AS tenant_id, c_custkey AS id, c_name AS name, concat(lower(c_mktsegment), '.', c_custkey, '@example.com') AS email, c_custkey % 20 = 0 AS is_admin, c_custkey % 50 = 7 AS is_super_admin FROM customer",
     "watches": """
         SELECT CAST(1 AS BIGINT) AS tenant_id, uid AS id, uid AS investigation_id, CASE WHEN uid % 4 = 0 THEN NULL ELSE uid % 7 END AS user_id, CASE WHEN uid % 4 = 0 THEN uid % 3 END AS team_id,
                CASE uid % 3 WHEN 0 THEN 'until_resolved' WHEN 1 THEN 'until_date' ELSE 'indefinite' END AS mode, CASE WHEN uid % 3 = 1 AND uid % 2 = 0 THEN TIMESTAMP '2024-01-20 00:00:00' WHEN uid % 3 = 1 THEN TIMESTAMP '2024-02-20 00:00:00' END AS until_date,
@@ -160,6 +161,14 @@ VIEWS: dict[str, str] = {
                CASE WHEN event_id % 3 = 0 THEN TIMESTAMP '2024-01-30 23:55:00' ELSE ts END AS updated_at
         FROM events WHERE event_type IN ('purchase', 'signup')""",
     "imported_sales": "SELECT l_orderkey % 1500 + 1 AS import_id, concat(l_orderkey, '-', l_linenumber) AS transaction_id, CAST(l_quantity AS DECIMAL(12,2)) AS quantity FROM lineitem",
+    "connections": "SELECT CAST(1 AS BIGINT) AS tenant_id, CAST(r_regionkey AS BIGINT) AS id, r_regionkey <> 4 AS active FROM region",
+    "feeds": """
+        SELECT CAST(n_nationkey AS BIGINT) AS id, CAST(n_regionkey AS BIGINT) AS connection_id, CASE n_nationkey % 3 WHEN 0 THEN ' in/ ' WHEN 1 THEN 'out' ELSE '' END AS remote_path, CASE n_nationkey % 4 WHEN 0 THEN 'Sales_*.csv' WHEN 1 THEN '' WHEN 2 THEN 'stock_??.xlsx' ELSE '*.csv' END AS pattern,
+               CASE n_nationkey % 2 WHEN 0 THEN 'sales' ELSE 'inventory' END AS data_type, n_nationkey % 7 <> 3 AS enabled
+        FROM nation""",
+    "remote_files": """
+        SELECT p_partkey % 5 AS connection_id, concat(CASE p_partkey % 3 WHEN 0 THEN 'in/' WHEN 1 THEN 'out/' ELSE '' END, CASE p_partkey % 4 WHEN 0 THEN 'SALES_' WHEN 1 THEN 'stock_' ELSE 'other+' END, p_partkey % 100, CASE p_partkey % 2 WHEN 0 THEN '.CSV' ELSE '.xlsx' END) AS path FROM part WHERE p_partkey <= 300""",
+    "taken_files": "SELECT p_partkey % 5 AS connection_id, concat('in/SALES_', p_partkey % 100, '.CSV') AS path FROM part WHERE p_partkey <= 60",
     "inbound_mail": """
         SELECT concat('m', c_custkey % 40) AS message_id, CASE WHEN c_custkey % 17 = 0 THEN 'nobody' ELSE concat(c_name, ' <', c_mktsegment, '.', c_custkey, CASE WHEN c_custkey % 13 = 0 THEN '@elsewhere.com>' ELSE '@example.com>' END) END AS sender,
                CASE WHEN c_custkey % 5 = 0 THEN 'inbox@in.example.com' ELSE concat('Desk <desk@x.org>, reply+', c_custkey % 30, '-abc', c_custkey % 30, '@in.example.com') END AS recipient, CASE WHEN c_custkey % 10 = 0 THEN concat('Re: [INV-', c_custkey % 30, '-abc', c_custkey % 30, '] x') ELSE 'hello' END AS subject,

@@ -206,3 +206,20 @@ _READ = f"""SELECT m.*, t.investigation_id, u.id AS author_id, CASE WHEN m.token
     FROM ({_MAIL}) m LEFT JOIN email_tokens t ON t.token = m.token LEFT JOIN users u ON lower(u.email) = m.sender LEFT JOIN mail_posted p ON p.message_id = m.message_id AND p.investigation_id = t.investigation_id"""
 _add("mail_comments", lambda s, d: _mail(s, d)[0].groupBy("investigation_id", "message_id", "source").agg(F.count("*").alias("n"), F.count_if(F.col("body").rlike(r"^text \d+$")).alias("whole")), f"SELECT investigation_id, message_id, 'email' AS source, 1 AS n, 1 AS whole FROM ({_READ}) WHERE reason IS NULL GROUP BY 1, 2")
 _add("mail_ignored", lambda s, d: _mail(s, d)[1].groupBy("reason").agg(F.count("*").alias("n")), f"SELECT reason, count(*) AS n FROM ({_READ}) WHERE reason IS NOT NULL GROUP BY 1")
+
+
+# Feeds
+_due = lambda s, d: files.due_files(load(s, d, "remote_files").distinct(), load(s, d, "connections"), load(s, d, "feeds"), load(s, d, "taken_files"))
+_DUE = """SELECT f.connection_id, c.tenant_id, min(e.id) AS feed_id, f.path, f.filename FROM (SELECT DISTINCT connection_id, path, string_split(path, '/')[-1] AS filename, CASE WHEN path LIKE '%/%' THEN string_split(path, '/')[1] ELSE '.' END AS folder FROM remote_files) f JOIN connections c ON c.id = f.connection_id AND c.active
+    JOIN feeds e ON e.connection_id = f.connection_id AND e.enabled AND f.folder = CASE trim(e.remote_path) WHEN 'in/' THEN 'in' WHEN '' THEN '.' ELSE trim(e.remote_path) END AND lower(f.filename) GLOB CASE e.pattern WHEN '' THEN '*' ELSE lower(e.pattern) END
+    WHERE NOT EXISTS (SELECT 1 FROM taken_files t WHERE t.connection_id = f.connection_id AND t.path = f.path) GROUP BY 1, 2, 4, 5"""
+_add("feed_due_files", lambda s, d: _due(s, d).drop("data_type"), _DUE)
+
+
+def _polled(spark, sf_dir):
+    taken = _due(spark, sf_dir).select("connection_id", "feed_id", "path", "filename", F.when(F.length("filename") % 5 == 0, 0).otherwise(9).alias("size"), F.lit(4).alias("import_id"), F.when(F.col("filename").like("other%"), "bad header").alias("error"))
+    ledger = load(spark, sf_dir, "taken_files").distinct().withColumn("status", F.lit("imported"))
+    return files.poll_ledger(ledger, taken, F.lit(NOW).cast("timestamp_ntz")).groupBy("status", "error").agg(F.count("*").alias("n"))
+
+
+_add("feed_ledger", _polled, f"SELECT CASE WHEN error IS NULL THEN 'imported' ELSE 'failed' END AS status, error, count(*) AS n FROM (SELECT CASE WHEN length(filename) % 5 = 0 THEN 'Empty or unreadable remote file.' WHEN filename LIKE 'other%' THEN 'bad header' END AS error FROM ({_DUE}) UNION ALL SELECT NULL FROM (SELECT DISTINCT * FROM taken_files)) GROUP BY 1, 2")

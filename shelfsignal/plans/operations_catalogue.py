@@ -63,6 +63,7 @@ _SUP = f"""SELECT a.id AS anomaly_id, min(s.id) AS suppression_id FROM (SELECT *
 CAT.add("correlation_candidates", lambda c: investigations.candidates(c).select("id", "rule_type", "sku"), "SELECT id, rule_type, sku FROM anomalies WHERE dismissed_at IS NULL AND investigation_id IS NULL")
 CAT.add("suppression_match", investigations.suppression_matches, _SUP)
 CAT.add("suppression_counts", investigations.suppression_counts, f"SELECT suppression_id, count(*) AS matched FROM ({_SUP}) GROUP BY suppression_id")
+CAT.add("suppressions_counted", lambda c: investigations.suppressions_counted(c).select("id", "match_count", F.col("last_matched_at").isNotNull().alias("matched")), f"SELECT s.id, s.match_count + coalesce(m.n, 0) AS match_count, m.n IS NOT NULL AS matched FROM suppressions s LEFT JOIN (SELECT suppression_id, count(*) AS n FROM ({_SUP}) GROUP BY 1) m ON m.suppression_id = s.id")
 CAT.add("expired_suppressions", lambda c: investigations.expired_suppressions(c).select("id", "rule_type"), f"SELECT id, rule_type FROM suppressions WHERE active AND expires_at <= {NOW}")
 CAT.add(
     "correlation_groups",
@@ -315,7 +316,10 @@ CAT.add(
 )
 CAT.add("investigation_overview", reports.investigation_overview, f"SELECT count(*) FILTER (WHERE status = 'open') AS open, count(*) FILTER (WHERE status = 'in_progress') AS in_progress, count(*) FILTER (WHERE {OPEN} AND priority IN ('high', 'critical')) AS urgent, {r(f'sum(revenue_at_risk) FILTER (WHERE {OPEN})')} AS at_risk, {r(f'avg(' + hours(NOW, 'opened_at') + f') FILTER (WHERE {OPEN})')} AS avg_open_hours FROM investigations")
 CAT.add("kpi_trends", reports.kpi_trends, f"SELECT c AS current, p AS previous, {r('CASE WHEN p > 0 THEN round(abs(c - p) / CAST(p AS DOUBLE) * 100 + 1e-9, 1) END')} AS change_pct, CASE WHEN c > p THEN 'up' WHEN c < p THEN 'down' ELSE 'flat' END AS direction FROM (SELECT count(*) FILTER (WHERE detected_at >= {NOW} - INTERVAL 7 DAY) AS c, count(*) FILTER (WHERE detected_at >= {NOW} - INTERVAL 14 DAY AND detected_at < {NOW} - INTERVAL 7 DAY) AS p FROM anomalies)")
-CAT.add("top_drivers", reports.top_drivers, f"SELECT rule_type, n AS anomalies, {r(pct('n', 't'))} AS share FROM (SELECT rule_type, count(*) AS n, sum(count(*)) OVER () AS t FROM anomalies WHERE dismissed_at IS NULL GROUP BY 1) ORDER BY n DESC, rule_type LIMIT 5")
+CAT.add("top_drivers", reports.top_drivers, f"SELECT rule_type, n AS anomalies, {r(pct('n', 'sum(n) OVER ()'))} AS share FROM (SELECT rule_type, count(*) AS n FROM anomalies WHERE dismissed_at IS NULL GROUP BY 1 ORDER BY n DESC, rule_type LIMIT 5)")
+_TOP = "SELECT rule_type, count(*) AS anomalies FROM anomalies WHERE dismissed_at IS NULL AND {} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1"
+CAT.add("insights", reports.insights, f"SELECT 'recurring' AS insight, * FROM ({_TOP.format('ai_is_recurring')}) UNION ALL SELECT 'this_month', * FROM ({_TOP.format('CAST(detected_at AS DATE) >= DATE ' + chr(39) + '2024-01-01' + chr(39))})")
+CAT.add("pending_actions", lambda c: reports.pending_actions(c, ("pending", "assigned")), f"SELECT id, investigation_id, title, status FROM actions WHERE status IN ('pending', 'assigned') AND investigation_id IN (SELECT id FROM investigations WHERE {OPEN}) ORDER BY created_at, id LIMIT 6")
 CAT.add("sla_compliance", reports.sla_compliance, f"SELECT CASE WHEN h < 0 THEN 'overdue' WHEN h < 24 THEN 'at_risk' ELSE 'on_track' END AS sla, count(*) AS actions FROM (SELECT {hours('due_at', NOW)} AS h FROM actions WHERE {ACTIVE}) GROUP BY 1")
 CAT.add("action_tab_counts", reports.action_counts, f"SELECT count(*) FILTER (WHERE {ACTIVE} AND due_at < {NOW}) AS overdue, count(*) FILTER (WHERE {ACTIVE} AND CAST(due_at AS DATE) = DATE '2024-01-31') AS due_today, count(*) FILTER (WHERE {ACTIVE} AND due_at >= {NOW} AND due_at < {NOW} + INTERVAL 7 DAY) AS due_week, count(*) FILTER (WHERE status = 'in_progress') AS in_progress, count(*) FILTER (WHERE status = 'completed' AND date_trunc('month', completed_at) = DATE '2024-01-01') AS completed_this_month FROM actions")
 CAT.add("actions_by_type", reports.actions_by_type, "SELECT action_type, count(*) AS actions FROM actions GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8")
@@ -339,7 +343,7 @@ CAT.add(
     reports.money_series,
     f"SELECT d.day, {r('coalesce(a, 0)')} AS at_risk, {r('coalesce(b, 0)')} AS recovered FROM (SELECT CAST(unnest(generate_series(DATE '2024-01-02', DATE '2024-01-31', INTERVAL 1 DAY)) AS DATE) AS day) d LEFT JOIN (SELECT CAST(opened_at AS DATE) AS day, sum(revenue_at_risk) AS a FROM investigations GROUP BY 1) i ON i.day = d.day LEFT JOIN (SELECT CAST(recorded_at AS DATE) AS day, sum(revenue_recovered) AS b FROM outcomes GROUP BY 1) o ON o.day = d.day",
 )
-CAT.add("top_alert_store", reports.top_alert_store, f"SELECT store_id, count(*) AS anomalies FROM anomalies WHERE detected_at >= {NOW} - INTERVAL 14 DAY AND store_id IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1")
+CAT.add("top_alert_store", reports.top_alert_store, f"SELECT store_id, count(*) AS anomalies FROM anomalies WHERE dismissed_at IS NULL AND detected_at >= {NOW} - INTERVAL 14 DAY AND store_id IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1")
 CAT.add("recent_urgent_investigations", reports.recent_urgent, f"SELECT id, priority, status FROM investigations WHERE {OPEN} AND priority IN ('high', 'critical') ORDER BY opened_at DESC, id LIMIT 6")
 CAT.add("anomaly_dossier", reports.dossier, "SELECT a.id, a.rule_type, i.title, i.status, coalesce(e.n, 0) AS pieces, o.outcome_type FROM anomalies a LEFT JOIN investigations i ON a.investigation_id = i.id LEFT JOIN (SELECT investigation_id, count(*) AS n FROM evidence GROUP BY 1) e ON e.investigation_id = a.investigation_id LEFT JOIN outcomes o ON o.investigation_id = a.investigation_id")
 CAT.add("related_anomalies", reports.related_anomalies, "SELECT id, related_id, r FROM (SELECT a.id, b.id AS related_id, row_number() OVER (PARTITION BY a.id ORDER BY b.detected_at DESC, b.id) AS r FROM (SELECT * FROM anomalies WHERE dismissed_at IS NULL AND severity = 'high') a JOIN anomalies b ON a.sku = b.sku AND a.id <> b.id) WHERE r <= 5")
@@ -451,9 +455,16 @@ CAT.add(
 )
 CAT.add("notified_users", lambda c: reports.notified(c.table("watches").select(F.when(F.col("id") % 5 == 0, 0).otherwise(F.col("user_id")).alias("user_id"))), "SELECT DISTINCT user_id FROM watches WHERE user_id IS NOT NULL AND user_id <> 0 AND id % 5 <> 0")
 CAT.add("record_keys", lambda c: reports.record_key(c.table("audit").select(F.when(F.col("id") % 3 == 0, F.concat(F.lit('{"id":'), F.col("id"), F.lit("}"))).when(F.col("id") % 3 == 1, F.concat(F.lit('{"data":{"id":'), F.col("id"), F.lit("}}"))).otherwise(F.col("id").cast("string")).alias("key"))).select("record_id"), "SELECT CAST(id AS VARCHAR) AS record_id FROM audit")
-CAT.add("short_money", lambda c: c.table("investigations").select("id", short_money(F.coalesce(F.col("revenue_at_risk"), F.lit(0)).cast("double") * F.when(F.col("id") % 3 == 0, 1000).otherwise(1)).alias("shown")), "SELECT id, CASE WHEN v >= 1e6 THEN printf('$%.1fM', v / 1e6) WHEN v >= 1e3 THEN printf('$%.1fK', v / 1e3) ELSE printf('$%.0f', v) END AS shown FROM (SELECT id, CAST(coalesce(revenue_at_risk, 0) AS DOUBLE) * CASE WHEN id % 3 = 0 THEN 1000 ELSE 1 END AS v FROM investigations)")
+CAT.add("short_money", lambda c: c.table("investigations").select("id", short_money(F.coalesce(F.col("revenue_at_risk"), F.lit(0)).cast("double") * F.when(F.col("id") % 3 == 0, 1000).otherwise(1)).alias("shown")), "SELECT id, CASE WHEN v >= 1e6 THEN printf('$%.2fM', v / 1e6) WHEN v >= 1e3 THEN printf('$%.1fK', v / 1e3) ELSE printf('$%.0f', v) END AS shown FROM (SELECT id, CAST(coalesce(revenue_at_risk, 0) AS DOUBLE) * CASE WHEN id % 3 = 0 THEN 1000 ELSE 1 END AS v FROM investigations)")
 CAT.add(
     "narration_replies",
     lambda c: investigations.parse_narration(c.table("investigations").select("id", F.concat(F.lit('```json\n{"summary":"s'), F.col("id"), F.lit('","confidence":"'), F.when(F.col("id") % 2 == 0, "HIGH").otherwise("sure"), F.lit('"}\n```')).alias("reply"))).select("id", "summary", "confidence"),
     "SELECT id, 's' || id AS summary, CASE WHEN id % 2 = 0 THEN 'high' ELSE 'unknown' END AS confidence FROM investigations",
 )
+CAT.add("investigation_list_by_priority", lambda c: reports.investigation_page(c, None, None, None, "about", 6, "priority"), f"SELECT id, title, status, priority, {r('revenue_at_risk')} AS revenue_at_risk FROM investigations i WHERE (title ILIKE '%about%' OR primary_sku ILIKE '%about%' OR description ILIKE '%about%') AND primary_store_id = 6 ORDER BY {PRI.format('priority')} DESC, id LIMIT 25")
+CAT.add("order_list", lambda c: reports.order_list(c, "Supplier#000000007", dt.date(1999, 1, 1), dt.date(2000, 12, 31)), f"SELECT po_number, supplier, sku, order_date, {r('qty_ordered')} AS qty_ordered, {r('qty_received')} AS qty_received FROM purchase_orders WHERE supplier = 'Supplier#000000007' AND order_date BETWEEN DATE '1999-01-01' AND DATE '2000-12-31'")
+CAT.add("return_list", lambda c: reports.return_list(c, "NATION_7", dt.date(2001, 1, 1), None), f"SELECT date, sku, location, {r('quantity')} AS quantity, {r('value')} AS value FROM returns WHERE location = 'NATION_7' AND date >= DATE '2001-01-01'")
+CAT.add("inventory_list_low", lambda c: reports.inventory_list(c, "L7", True), f"SELECT sku, location, {r('on_hand_qty')} AS on_hand_qty, {r('reorder_point')} AS reorder_point, as_of_date FROM inventory WHERE location = 'L7' AND reorder_point > 0 AND on_hand_qty <= reorder_point")
+CAT.add("product_list", lambda c: reports.product_list(c, "ECONOMY"), f"SELECT sku, name, category, {r('unit_cost')} AS unit_cost, {r('selling_price')} AS selling_price FROM products WHERE category = 'ECONOMY'")
+CAT.add("location_choices", lambda c: reports.choices(c.table("inventory"), "location"), "SELECT DISTINCT location FROM inventory WHERE location IS NOT NULL")
+CAT.add("user_access", lambda c: reports.access(c, 1), "SELECT id, true AS sees, CASE WHEN is_super_admin THEN 'Super Admin' WHEN is_admin THEN 'Tenant Admin' ELSE 'User' END AS role, is_admin OR is_super_admin AS gated, true AS exports FROM users")

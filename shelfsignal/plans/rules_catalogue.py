@@ -27,6 +27,21 @@ def _compare(days: int) -> str:
 CAT.add("baseline_daily_sales", baselines.daily_sales, f"SELECT sku, {_STATS} FROM {_DAILY}")
 CAT.add("baseline_daily_sales_store", lambda c: baselines.daily_sales(c, True), f"SELECT sku, store_id, {_STATS} FROM {_STORE}")
 CAT.add("baseline_daily_sales_store_category", lambda c: baselines.daily_sales(c, True), f"SELECT sku, store_id, {_STATS} FROM {_STORE.replace('FROM sales', 'FROM brand_sales')}", sales="brand_sales")
+def _merged(c):
+    """Old rows of prices, half of them with new statistics, and new rows of daily sales."""
+    from pyspark.sql import functions as F
+
+    price = baselines.compute(c).where("metric = 'unit_price'")
+    old = price.withColumns({"mean": F.lit(1.0), "stddev": F.lit(1.0), "sample_count": F.lit(7).cast("long"), "sensitivity_multiplier": F.lit(3.0), "fp_count": F.lit(5).cast("long")})
+    new = price.where("length(sku) % 2 = 0").unionByName(baselines.compute(c).where("metric = 'location_qty'"))
+    return baselines.merge(old, new).select("metric", "sku", "mean", "sample_count", "sensitivity_multiplier", "fp_count")
+
+
+CAT.add(
+    "baseline_merge",
+    _merged,
+    f"SELECT 'unit_price' AS metric, sku, {r('CASE WHEN length(sku) % 2 = 0 THEN mean ELSE 1 END')} AS mean, CASE WHEN length(sku) % 2 = 0 THEN n ELSE 7 END AS sample_count, 3.0::DOUBLE AS sensitivity_multiplier, 5 AS fp_count FROM {_PRICE} UNION ALL SELECT 'location_qty', sku, {r('mean')}, n, 2.0::DOUBLE, 0 FROM {_PLACE}",
+)
 CAT.add("baseline_unit_price", baselines.unit_price, f"SELECT sku, {_STATS} FROM {_PRICE}")
 CAT.add("baseline_location_qty", baselines.location_quantity, f"SELECT sku, {_STATS} FROM {_PLACE}")
 CAT.add(

@@ -10,7 +10,7 @@ from collections.abc import Iterable, Iterator
 from itertools import chain
 from xml.etree import ElementTree
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader
@@ -53,6 +53,29 @@ def new_files(files: DataFrame, ledger: DataFrame) -> DataFrame:
     return files.join(ledger.select("connection_id", "path"), ["connection_id", "path"], "left_anti")
 
 
+def due_files(files: DataFrame, connections: DataFrame, feeds: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Files to take in: each of a connection's enabled feeds' folders and patterns, but no (connection, path) that the ledger has, failed ones included.
+
+    ``files``: connection_id, path; ``feeds``: id, connection_id, remote_path,
+    pattern, data_type, enabled; a file that several feeds want goes to the
+    first of them.
+    """
+    f = feeds.where("enabled").join(connections.where("active").select(F.col("id").alias("connection_id"), "tenant_id"), "connection_id")
+    f = f.select("connection_id", "tenant_id", F.col("id").alias("feed_id"), "data_type", F.coalesce(F.nullif(F.regexp_replace(F.trim("remote_path"), "/+$", ""), F.lit("")), F.lit(".")).alias("folder"), F.coalesce(F.nullif(F.trim("pattern"), F.lit("")), F.lit("*")).alias("pattern"))
+    folder = F.coalesce(F.nullif(F.regexp_extract("path", r"^(.*)/[^/]*$", 1), F.lit("")), F.lit("."))
+    rows = new_files(files, ledger).withColumns({"folder": folder, "filename": F.substring_index("path", "/", -1)}).join(f, ["connection_id", "folder"])
+    like = F.regexp_replace(F.regexp_replace(F.regexp_replace("pattern", r"([.+^$(){}|\\\[\]])", r"\\$1"), r"\*", ".*"), r"\?", ".")
+    rows = rows.withColumn("like", F.concat(F.lit("(?is)^"), like, F.lit("$"))).where(F.regexp_like("filename", F.col("like")))
+    return rows.groupBy("connection_id", "tenant_id", "path", "filename").agg(F.min_by(F.struct("feed_id", "data_type"), "feed_id").alias("f")).select("connection_id", "tenant_id", "f.feed_id", "f.data_type", "path", "filename")
+
+
+def poll_ledger(ledger: DataFrame, taken: DataFrame, now: Column) -> DataFrame:
+    """The ledger with the files taken (connection_id, feed_id, path, filename, size, import_id, error): imported, or failed with the reason; empty ones fail."""
+    error = F.when(F.coalesce("size", F.lit(0)) == 0, "Empty or unreadable remote file.").otherwise(F.substring("error", 1, 500))
+    rows = taken.withColumns({"error": error, "status": F.when(error.isNull(), "imported").otherwise("failed"), "import_id": F.when(error.isNull(), F.col("import_id")), "processed_at": now})
+    return ledger.unionByName(rows, allowMissingColumns=True)
+
+
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 
 

@@ -163,3 +163,15 @@ def test_order_of_rows_over_files(spark, tmp_path):
     rows = files.read_csv(spark, str(tmp_path)).repartition(4)
     assert rows.columns == ["SKU", "Qty", "_order"] and rows.count() == 15
     assert imports.upsert(table(spark, "SKU string, Qty string"), rows, ["SKU"]).collect()[0].Qty == "24"
+
+
+def test_polled_files(spark):
+    feeds = table(spark, "id long, connection_id long, remote_path string, pattern string, data_type string, enabled boolean", [(1, 1, " in/ ", "sales_*.csv", "sales", True), (2, 1, "in", "", "inventory", True), (3, 1, None, "a?.csv", "sales", True), (4, 2, "in", "*", "sales", True), (5, 1, "in", "*", "sales", False)])
+    connections = table(spark, "id long, tenant_id long, active boolean", [(1, 9, True), (2, 9, False)])
+    there = table(spark, "connection_id long, path string", [(1, "in/Sales_1.CSV"), (1, "in/old.csv"), (1, "in/x.csv"), (1, "ab.csv"), (1, "abc.csv"), (1, "out/sales_1.csv"), (2, "in/y.csv"), (1, "in/a+b.csv")])
+    due = files.due_files(there, connections, feeds, table(spark, "connection_id long, path string, status string", [(1, "in/old.csv", "failed")]))
+    assert {(r.path, r.feed_id, r.data_type) for r in due.collect()} == {("in/Sales_1.CSV", 1, "sales"), ("in/x.csv", 2, "inventory"), ("in/a+b.csv", 2, "inventory"), ("ab.csv", 3, "sales")}
+    taken = due.select("connection_id", "feed_id", "path", "filename", F.when(F.col("path") == "ab.csv", 0).otherwise(5).alias("size"), F.lit(8).alias("import_id"), F.when(F.col("path") == "in/x.csv", "boom").alias("error"))
+    ledger = files.poll_ledger(table(spark, "connection_id long, path string, status string", [(1, "in/old.csv", "failed")]), taken, F.lit(NOW))
+    assert {r.path: (r.status, r.error, r.import_id) for r in ledger.where("processed_at IS NOT NULL").collect()} == {"in/Sales_1.CSV": ("imported", None, 8), "in/x.csv": ("failed", "boom", None), "in/a+b.csv": ("imported", None, 8), "ab.csv": ("failed", "Empty or unreadable remote file.", None)}
+    assert files.due_files(there, connections, feeds, ledger).count() == 0
