@@ -121,6 +121,48 @@ def test_gradients():
         assert abs((up - down) / 2e-4 - grad[k][i]) < 1e-3 * max(1, abs(grad[k][i]))
 
 
+def test_network_step_by_step():
+    """Against the equations of the recurrent network, one number at a time."""
+    import math
+
+    net, rng = htmlnet.Network(), np.random.default_rng(8)
+    pages = [rng.standard_normal((n, htmlnet.WIDTH)).astype(np.float32) * 0.3 for n in (5, 3, 1)]
+    got = net.label(pages)
+    sigmoid = lambda v: 1 / (1 + math.exp(-v))
+    H = htmlnet.HIDDEN
+    for x, p in zip(pages, got, strict=True):
+        states = {}
+        for d in "fb":
+            h, c = [0.0] * H, [0.0] * H
+            for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
+                gate = [float(net.p[f"c{d}"][k]) + float(x[t] @ net.p[f"W{d}"][:, k]) + sum(h[j] * float(net.p[f"U{d}"][j, k]) for j in range(H)) for k in range(4 * H)]
+                c = [sigmoid(gate[H + k]) * c[k] + sigmoid(gate[k]) * math.tanh(gate[3 * H + k]) for k in range(H)]
+                h = [sigmoid(gate[2 * H + k]) * math.tanh(c[k]) for k in range(H)]
+                states[d, t] = h
+        for t in range(len(x)):
+            z = [*states["f", t], *states["b", t], *x[t].tolist()]
+            assert abs(sigmoid(sum(a * float(b) for a, b in zip(z, net.p["V"][:, 0], strict=True)) + float(net.p["v"][0])) - p[t]) < 1e-4
+
+
+def test_pages_of_other_hands(spark):
+    """Layouts written down by hand, as common publishing systems make them, with names that the generator has not."""
+    text = lambda n, k: " ".join(f"{w}{k}" for w in ("the river keeps rising while farmers wait for news about their fields and nobody knows when it will stop because the forecast changes every hour").split()[:n]) + "."
+    pages = {
+        1: (f'<body><div id="masthead"><a href="/">Daily</a></div><ul class="main-nav"><li><a href="/a">News</a><li><a href="/b">Sport</a></ul><article class="hentry"><h1>{text(5, 1)}</h1><p>{text(24, 1)}</p><p>{text(20, 2)}</p></article><aside class="widget-area"><h3>Popular</h3><a href="/c">{text(4, 3)}</a></aside><footer>&copy; 2024 Daily</footer></body>', [text(5, 1), text(24, 1), text(20, 2)]),
+        2: (f'<body><nav class="breadcrumb"><a href="/">Home</a> <a href="/x">Docs</a></nav><main><h2>{text(4, 4)}</h2><p>{text(22, 4)}</p><ul><li>{text(8, 5)}</li><li>{text(9, 6)}</li></ul></main><div class="cookie-notice"><p>We use cookies.</p><button>Accept</button></div></body>', [text(4, 4), text(22, 4), text(8, 5), text(9, 6)]),
+        3: (f'<body><header class="site-header"><p>Blog</p></header><div class="post-content"><p>{text(24, 7)}</p><blockquote><p>{text(12, 8)}</p></blockquote><p>{text(21, 9)}</p></div><div id="comments"><h3>2 comments</h3><div class="comment"><p>{text(9, 1)}</p></div></div><form><label>Mail</label><input><button>Go</button></form></body>', [text(24, 7), text(12, 8), text(21, 9)]),
+    }
+    rows = [(i, "u", h) for i, (h, _) in pages.items()] + [(100 + i, "u", h) for i, h in enumerate(f"<article><p>{text(20, i)}</p></article>" for i in range(20))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text.split("\n") for r in htmlnet.extract(df, htmlnet.learn(df)).collect()}
+    right = total = 0
+    for i, (h, want) in pages.items():
+        for b in htmlnet.blocks(h):
+            right += (b[0] in got[i]) == (b[0] in want)
+            total += 1
+    assert right / total > 0.9, {i: got[i] for i in pages}
+
+
 def test_extraction_on_layouts_it_has_not_seen(spark):
     layouts, rows, want = htmlnet.Layouts([f"word{i}" for i in range(300)], seed=99), [], {}
     for i in range(60):
