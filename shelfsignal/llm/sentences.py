@@ -17,7 +17,8 @@ is removed with the white space after it.
 A span's hashes are counted before the shuffle; a hash that a third of all rows
 share is one row of each task there. Only spans of hashes met twice go on, and
 the first is found among these. Its occurrences meet only in a join
-that can be split.
+that can be split. Texts that lose nothing are not shuffled while those that
+do are few enough for a list of their keys.
 
 Defined cases: null text stays null, a text without a repeated span stays as
 it is, a text all of whose sentences go becomes empty. Rows of one doc_id
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, maybe_broadcast, stage, tune, unused
+from .common import BROADCAST_ROWS, discard, maybe_broadcast, stage, tune, unused
 from .textvec import _CHUNK, buffers, mix, word_hashes, word_spans
 
 SENTENCES, WORDS = 3, 20
@@ -181,5 +182,9 @@ def remove_repeats(docs: DataFrame, sentences: int = SENTENCES, words: int = WOR
     own, cuts = [unused(rows, f"own{i}") for i in range(len(keys))], unused(rows, "cuts")
     found = stage(found.groupBy(*(F.col(k).alias(o) for k, o in zip(keys, own, strict=True))).agg(F.collect_set("at").alias(cuts)), "cuts")
     same = [F.col(k) == F.col(o) for k, o in zip(keys, own, strict=True)]
-    rows = rows.join(found, same, "left").drop(*own, *keys)
-    return rows.mapInArrow(_cut(schema, docs.columns.index("text")), schema)
+    cut = lambda df: df.drop(*own, *keys).mapInArrow(_cut(schema, docs.columns.index("text")), schema)
+    if found.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        return cut(rows.join(found, same, "left"))
+    few = F.broadcast(found.select(*own))  # texts that keep all their sentences stay where they are
+    whole = rows.join(few, same, "left_anti").drop(*keys).withColumn("n_removed", F.lit(0).cast("long"))
+    return whole.unionByName(cut(rows.join(few, same, "left_semi").join(found, same)))
