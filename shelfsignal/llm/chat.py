@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import discard, stage
 
 BLOCK = 1024
 
@@ -35,9 +35,10 @@ def turns(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     )
     order = [F.asc_nulls_first("turn"), F.asc("role"), F.asc("text")]
-    dealt = stage(rows.distinct(), "distinct").repartitionByRange("conv_id", *order).withColumn("span", F.spark_partition_id())
-    mine = stage(dealt, "dealt").withColumn("k", F.row_number().over(Window.partitionBy("conv_id", "span").orderBy(*order)))
-    mine = stage(mine, "ranked")
+    once = stage(rows.distinct(), "distinct")
+    dealt = once.repartitionByRange("conv_id", *order).withColumn("span", F.spark_partition_id())
+    ranked = mine = stage(dealt.withColumn("k", F.row_number().over(Window.partitionBy("conv_id", "span").orderBy(*order))), "ranked")
+    discard(once)
     whole = Window.partitionBy("conv_id")
     before = whole.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
     spans = mine.groupBy("conv_id", "span").agg(F.count("*").alias("m"))
@@ -45,6 +46,7 @@ def turns(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
     mine = mine.alias("l").join(spans.alias("r"), F.expr("l.conv_id = r.conv_id AND l.span = r.span")).select("l.conv_id", "role", "text", (F.col("k") + F.col("skip")).alias("rank"), "n")
     mine = mine.withColumn("part", F.floor((F.col("rank") - 1) / block)).withColumn("x", F.xxhash64("rank", "role", "text")).withColumn("y", F.xxhash64("text", "role", "rank", F.lit(7)))
     mine = stage(mine, "turns")
+    discard(ranked)
     parts = mine.groupBy("conv_id", "part").agg(F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
     before = whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("conv_id", "part", F.coalesce(F.bit_xor("x").over(before), F.lit(0)).alias("px"), F.coalesce(F.bit_xor("y").over(before), F.lit(0)).alias("py"))
