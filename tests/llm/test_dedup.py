@@ -164,7 +164,10 @@ def sentence_brute(rows, least=3, words=20):
     return out
 
 
-def test_sentence_spans(spark):
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_sentence_spans(spark, monkeypatch, few):
+    """With texts that stay where they are, and with all of them shuffled."""
+    monkeypatch.setattr(sentences, "BROADCAST_ROWS", few)
     rng = random.Random(5)
     word = lambda: "".join(rng.choices("abcdé", k=rng.randint(1, 6)))
     prose = lambda n: " ".join(word() + rng.choice(["", "", ".", ",", "\n"]) for _ in range(n)) + "."
