@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontam, htmlnet, langid, minhash, quality, sentences, suffixes, vectors
+from . import bpe, chat, codes, decontam, htmlnet, langid, minhash, packing, quality, sentences, spelling, suffixes, vectors
 
 
 def tokenizer() -> str:
@@ -16,6 +16,13 @@ def tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def word_tokenizer() -> str:
+    """The path of the vocabulary by which sequences are packed."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -63,6 +70,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.learn(docs)).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), word_tokenizer())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -76,6 +95,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality,
         op9_decontaminate,
         op10_language_id,
+        op11_spelling_variants,
+        op12_vector_codes,
+        op13_best_fit_packing,
     )
 }
-SQL: dict[str, str] = {"op5_chat_format": chat.SQL}
+SQL: dict[str, str] = {"op5_chat_format": chat.SQL, "op12_vector_codes": codes.SQL}
