@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schema import PRIORITIES, SEVERITIES
+from ..schema import PRIORITIES, RULE_LABELS, SEVERITIES
+from .dates import natural_date
 
 
 def ratio(a: Column, b: Column, scale: float = 1.0) -> Column:
@@ -37,6 +38,24 @@ def priority_name(rank: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, PRIORITIES)), rank.cast("int"))
 
 
+def words(c: Column) -> Column:
+    """A key as it is shown: underscores are spaces, words begin with a capital."""
+    return F.initcap(F.replace(c, F.lit("_"), F.lit(" ")))
+
+
+def rule_label(c: Column) -> Column:
+    """What a rule is called; an unknown one by its key."""
+    labels = F.create_map(*(F.lit(x) for pair in RULE_LABELS.items() for x in pair))
+    return F.coalesce(F.try_element_at(labels, c), c)
+
+
+def sla_level(status: Column, due: Column, now: Column) -> Column:
+    """The state of an action's deadline: none without one or once it is over, then overdue, critical under 4 hours, warning under a day, ok."""
+    left = hours_between(due, now)
+    live = ~F.coalesce(status, F.lit("")).isin("completed", "cancelled")
+    return F.when(~live | due.isNull(), "none").when(left < 0, "overdue").when(left < 4, "critical").when(left < 24, "warning").otherwise("ok")
+
+
 def impact_severity(impact: Column) -> Column:
     return F.when(impact >= 10000, "high").when(impact >= 2000, "medium").otherwise("low")
 
@@ -61,9 +80,9 @@ def is_blank(c: Column, strict_zero: bool = False) -> Column:
 DATE_FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd", "MM/dd/yyyy", "dd-MM-yyyy", "dd.MM.yyyy", "yyyyMMdd", "d MMM yyyy", "MMM d, yyyy")
 
 
-def parsed_date(c: Column) -> Column:
-    """The date that the first fitting format reads; null if none does."""
-    return F.coalesce(*(F.try_to_timestamp(F.trim(c), F.lit(f)) for f in DATE_FORMATS)).cast("date")
+def parsed_date(c: Column, today: Column | None = None) -> Column:
+    """The date that the first fitting format reads, else what the text means in words; null if it means none."""
+    return F.coalesce(F.coalesce(*(F.try_to_timestamp(F.trim(c), F.lit(f)) for f in DATE_FORMATS)).cast("date"), natural_date(c, today))
 
 
 def money(c: Column) -> Column:

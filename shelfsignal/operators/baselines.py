@@ -20,16 +20,44 @@ def _stats(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return out.where((F.col("sample_count") >= BASELINE_SAMPLES) & (F.col("stddev") >= BASELINE_STDDEV))
 
 
-def _sold(ctx: Context) -> DataFrame:
-    """Units of the last 90 days by SKU, store, location and day: the one exchange that all unit baselines are summed up from."""
+def _daily(ctx: Context) -> DataFrame:
+    """Units of the last 90 days by SKU, store, location and day, dealt by SKU: what all unit baselines are summed up from.
+
+    The first exchange adds up on the map side, so a frequent SKU has no more
+    than a row a day and place when it is dealt by SKU.
+    """
     q = F.col("quantity")
-    return _recent(ctx).groupBy("sku", "store_id", "location", "date").agg(F.sum("quantity").alias("units"), F.sum(F.when(q > 0, q)).alias("sold"))
+    rows = _recent(ctx).where("sku IS NOT NULL").groupBy("sku", "store_id", "location", "date").agg(F.sum("quantity").alias("units"), F.sum(F.when(q > 0, q)).alias("sold"))
+    return rows.repartition("sku")
+
+
+#: The groupings of one pass: their samples are days of a SKU, days of a SKU at a store, locations of a SKU.
+_SETS = ("sku", "store", "location")
+
+
+def units(ctx: Context) -> DataFrame:
+    """All unit baselines in one pass: kind (of ``_SETS``), sku, store_id, mean, stddev and sample_count.
+
+    One scan and one exchange of raw rows; each daily row stands for itself in
+    up to three groupings, and since all keys hold the SKU by which rows are
+    dealt, samples and their statistics need no further exchange.
+    """
+    no_day, no_store, no_place = F.lit(None).cast("date"), F.lit(None).cast("long"), F.lit(None).cast("string")
+    one = lambda kind, when, day, store, place, value: F.when(when, F.struct(F.lit(kind).alias("kind"), day.alias("day"), store.cast("long").alias("store_id"), place.cast("string").alias("place"), value.alias("v")))
+    sold, store, place, day = F.col("sold"), F.col("store_id"), F.col("location"), F.col("date")
+    sets = [
+        one("sku", sold.isNotNull() & day.isNotNull(), day, no_store, no_place, sold), one("store", sold.isNotNull() & store.isNotNull(), day, store, no_place, sold),
+        one("location", place.isNotNull(), no_day, no_store, place, F.col("units")),
+    ]
+    rows = _daily(ctx).select("sku", F.explode(F.array_compact(F.array(*sets))).alias("x")).select("sku", "x.*")
+    samples = rows.groupBy("sku", "kind", "store_id", "place", "day").agg(F.sum("v").alias("v"))
+    return _stats(samples, ["sku", "kind", "store_id"], "v")
 
 
 def daily_sales(ctx: Context, by_store: bool = False) -> DataFrame:
     """Units per selling day and SKU (and store), of positive quantities in the last 90 days."""
     keys = ["sku", "store_id"] if by_store else ["sku"]
-    days = _sold(ctx).where("sold IS NOT NULL").dropna(subset=keys).groupBy(*keys, "date").agg(F.sum("sold").alias("units"))
+    days = _recent(ctx).where("quantity > 0").dropna(subset=keys).groupBy(*keys, "date").agg(F.sum("quantity").alias("units"))
     return _stats(days, keys, "units")
 
 
@@ -40,24 +68,21 @@ def unit_price(ctx: Context) -> DataFrame:
 
 def location_quantity(ctx: Context) -> DataFrame:
     """90-day units per SKU and location; locations are the samples."""
-    places = _sold(ctx).where("location IS NOT NULL").groupBy("sku", "location").agg(F.sum("units").alias("units"))
+    places = _recent(ctx).where("location IS NOT NULL").groupBy("sku", "location").agg(F.sum("quantity").alias("units"))
     return _stats(places, ["sku"], "units")
 
 
+# Which rules each kind of baseline serves, and the metric it is kept under.
+_SERVES = {"sku": (("sales_spike", "sales_drop"), "daily_qty"), "store": (("sales_spike", "sales_drop"), "daily_qty"), "location": (("store_outlier",), "location_qty")}
+
+
 def compute(ctx: Context) -> DataFrame:
     """All baselines: rule_type, metric, sku, store_id, mean, stddev, sample_count."""
-    rows = []
-    for by_store in (False, True):
-        days = daily_sales(ctx, by_store)
-        days = days if by_store else days.withColumn("store_id", F.lit(None).cast("long"))
-        rows.append(days.withColumn("rule_type", F.explode(F.array(F.lit("sales_spike"), F.lit("sales_drop")))).withColumn("metric", F.lit("daily_qty")))
-    rows.append(unit_price(ctx).withColumns({"store_id": F.lit(None).cast("long"), "rule_type": F.lit("price_anomaly"), "metric": F.lit("unit_price")}))
-    rows.append(location_quantity(ctx).withColumns({"store_id": F.lit(None).cast("long"), "rule_type": F.lit("store_outlier"), "metric": F.lit("location_qty")}))
+    rules = F.create_map(*(x for kind, (names, metric) in _SERVES.items() for x in (F.lit(kind), F.struct(F.array(*map(F.lit, names)).alias("rules"), F.lit(metric).alias("metric")))))
+    rows = units(ctx).withColumn("serves", rules[F.col("kind")]).withColumns({"rule_type": F.explode("serves.rules"), "metric": F.col("serves.metric")})
+    prices = unit_price(ctx).withColumns({"store_id": F.lit(None).cast("long"), "rule_type": F.lit("price_anomaly"), "metric": F.lit("unit_price")})
     columns = ["rule_type", "metric", "sku", "store_id", "mean", "stddev", "sample_count"]
-    out = rows[0].select(columns)
-    for r in rows[1:]:
-        out = out.unionByName(r.select(columns))
-    return out
+    return rows.select(columns).unionByName(prices.select(columns))
 
 
 def merge(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -62,8 +62,9 @@ def evidence_strength(ctx: Context) -> DataFrame:
 
 
 def evidence_label(ctx: Context) -> DataFrame:
-    """Strong with three strong, or one strong and three supporting; moderate with one strong or two supporting."""
-    strong, supports = F.count_if(F.col("strength") == "strong"), F.count_if(F.col("direction") == "supports")
+    """Of the supporting pieces: strong with three strong ones, or one of three and more; moderate with one strong or two."""
+    supporting = F.col("direction") == "supports"
+    strong, supports = F.count_if(supporting & (F.col("strength") == "strong")), F.count_if(supporting)
     rows = ctx.table("evidence").groupBy("investigation_id").agg(strong.alias("strong"), supports.alias("supports"))
     label = F.when((F.col("strong") >= 3) | ((F.col("strong") >= 1) & (F.col("supports") >= 3)), "Strong").when((F.col("strong") >= 1) | (F.col("supports") >= 2), "Moderate").otherwise("Insufficient")
     return rows.withColumn("label", label)
@@ -88,7 +89,7 @@ def noisy_rules(ctx: Context, detections: int = 5, rate: float = 30) -> DataFram
 
 
 def noisy_skus(ctx: Context, limit: int = 10) -> DataFrame:
-    return ctx.table("anomalies").where("sku IS NOT NULL").groupBy("sku").agg(F.count("*").alias("anomalies")).orderBy(F.desc("anomalies"), "sku").limit(limit)
+    return ctx.table("anomalies").where("sku IS NOT NULL").groupBy("sku").agg(F.count("*").alias("anomalies"), F.count_if("is_false_positive").alias("false_positives")).orderBy(F.desc("anomalies"), "sku").limit(limit)
 
 
 def quality_score(ctx: Context, least: int = 20) -> DataFrame:
@@ -136,12 +137,12 @@ def response_times(ctx: Context) -> DataFrame:
 
 
 def primary_anomaly(ctx: Context) -> DataFrame:
-    """Each investigation's worst anomaly, the newest of equals, with the hours its priority allows."""
+    """Each investigation's worst anomaly, the first of equals, with the hours its priority allows; the number names the year it was opened."""
     from ..functions.columns import severity_rank
 
-    w = Window.partitionBy("investigation_id").orderBy(F.desc(severity_rank(F.col("severity"))), F.desc("detected_at"), "id")
+    w = Window.partitionBy("investigation_id").orderBy(F.desc(F.coalesce(severity_rank(F.col("severity")), F.lit(1))), "id")
     a = ctx.table("anomalies").where("investigation_id IS NOT NULL").withColumn("_r", F.row_number().over(w)).where("_r = 1")
-    i = ctx.table("investigations").select(F.col("id").alias("i_id"), "priority")
+    i = ctx.table("investigations").select(F.col("id").alias("i_id"), "priority", F.coalesce(F.year("opened_at"), F.lit(ctx.now.year)).alias("opened_year"))
     rank = priority_rank(F.col("priority"))
     hours = F.when(rank == 4, 2).when(rank == 3, 4).when(rank == 2, 8).otherwise(24)
-    return a.join(i, F.col("investigation_id") == F.col("i_id")).select(F.format_string("INV-%d-%06d", F.lit(ctx.now.year), F.col("investigation_id")).alias("display_id"), "rule_type", "severity", F.col("id").alias("anomaly_id"), hours.cast("long").alias("sla_hours"))
+    return a.join(i, F.col("investigation_id") == F.col("i_id")).select(F.format_string("INV-%d-%06d", F.col("opened_year"), F.col("investigation_id")).alias("display_id"), "rule_type", "severity", F.col("id").alias("anomaly_id"), hours.cast("long").alias("sla_hours"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..context import Context
+from ..functions.ranges import interval_join, pruned
 
 # Days of monitoring after an action, days before anything is concluded, the share of the baseline that
 # counts as recovered and the uplift over the low that counts in part, and the states after which nothing is measured again.
@@ -29,17 +30,18 @@ def candidates(ctx: Context) -> DataFrame:
 
 def windows(ctx: Context, sales: str = "sales") -> DataFrame:
     """Daily revenue before, during and after, for ``cases``: case_id, sku, the day of detection and of the latest completed action."""
-    cases = ctx.table("cases")
-    det, done = F.col("detected_on"), F.col("done_on")
+    cases = ctx.table("cases").withColumns({"w_from": F.date_sub("detected_on", 35), "w_to": F.date_add("done_on", MONITORING)})
+    det, done, end = F.col("detected_on"), F.col("done_on"), F.least(ctx.day(), F.col("w_to"))
     amount = F.coalesce(F.col("total_amount").cast("double"), F.col("quantity").cast("double") * F.coalesce("unit_price", F.lit(0.0)))
-    daily = ctx.table(sales).groupBy("sku", "date").agg(F.sum(amount).alias("amount"))
-    near = (cases.sku == daily.sku) & daily.date.between(F.date_sub(cases.detected_on, 35), F.date_add(cases.done_on, MONITORING))
-    rows = cases.join(daily, near, "left").drop(daily.sku)
-    end = F.least(ctx.day(), F.date_add(done, MONITORING))
-    per = lambda a, z: F.when(F.datediff(z, a) > 0, F.coalesce(F.sum(F.when(F.col("date").between(a, z), F.col("amount"))), F.lit(0.0)) / F.greatest(F.lit(1), F.datediff(z, a))).otherwise(F.lit(0.0))
-    return rows.groupBy("case_id", "sku", "detected_on", "done_on").agg(
-        _round(per(F.date_sub(det, 35), F.date_sub(det, 8)), 4).alias("baseline"), _round(per(F.date_sub(det, 7), done), 4).alias("during"), _round(per(done, end), 4).alias("observed"),
-        F.greatest(F.lit(1), F.datediff(end, done)).cast("long").alias("elapsed"), (F.date_add(done, MONITORING) > ctx.day()).alias("monitoring"),
+    daily = pruned(ctx.table(sales), cases, "w_from", "w_to", "date").groupBy("sku", "date").agg(F.sum(amount).alias("amount"))
+    near = interval_join(cases.select("case_id", "sku", "detected_on", "done_on", "w_from", "w_to"), daily, "sku", "w_from", "w_to", "date")
+    within = lambda a, z: F.sum(F.when(F.col("date").between(a, z), F.col("amount")))
+    spans = {"baseline": (F.date_sub(det, 35), F.date_sub(det, 8)), "during": (F.date_sub(det, 7), done), "observed": (done, end)}
+    sums = near.groupBy("case_id").agg(*(within(a, z).alias(f"s_{name}") for name, (a, z) in spans.items()))
+    per = lambda name, a, z: F.when(F.datediff(z, a) > 0, F.coalesce(f"s_{name}", F.lit(0.0)) / F.datediff(z, a)).otherwise(F.lit(0.0))
+    return cases.join(sums, "case_id", "left").select(
+        "case_id", "sku", "detected_on", "done_on", *(_round(per(name, a, z), 4).alias(name) for name, (a, z) in spans.items()),
+        F.greatest(F.lit(1), F.datediff(end, done)).cast("long").alias("elapsed"), (F.col("w_to") > ctx.day()).alias("monitoring"),
     )
 
 
@@ -85,6 +87,27 @@ def feedback(anomalies: DataFrame, records: DataFrame, now: Column) -> DataFrame
     return rows.withColumns({"is_false_positive": F.col("is_false_positive") | F.coalesce("fp", F.lit(False)), "dismissed_at": F.when(F.col("fp"), now).otherwise(F.col("dismissed_at").cast("timestamp_ntz"))}).drop("fp")
 
 
+def record(ctx: Context, records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Outcomes, investigations and anomalies after an analyst's ``records``, one for each investigation.
+
+    What was at risk is taken from the investigation where a record leaves it
+    out; a recovery that is entered is written to the investigation too; a
+    false positive dismisses the investigation's anomalies once: not where the
+    outcome says that its rules have been told.
+    """
+    old, i = ctx.table("outcomes"), ctx.table("investigations")
+    at_risk = i.select(F.col("id").alias("investigation_id"), F.col("revenue_at_risk").alias("_estimate"))
+    entered = F.col("revenue_at_risk") if "revenue_at_risk" in records.columns else F.lit(None)
+    r = records.join(at_risk, "investigation_id").withColumn("revenue_at_risk", F.coalesce(entered, F.col("_estimate"))).drop("_estimate").withColumn("recorded_at", ctx.clock())
+    told = old.where("rule_feedback_sent").select("investigation_id") if "rule_feedback_sent" in old.columns else old.select("investigation_id").limit(0)
+    fresh = r.where(F.coalesce("was_false_positive", F.lit(False))).join(told, "investigation_id", "left_anti")
+    after = recorded(old, r).join(fresh.select("investigation_id", F.lit(True).alias("_sent")), "investigation_id", "left")
+    sent = F.coalesce("_sent", F.col("rule_feedback_sent") if "rule_feedback_sent" in old.columns else F.lit(False), F.lit(False))
+    back = r.where("observed_recovery IS NOT NULL").select(F.col("investigation_id").alias("id"), F.col("observed_recovery").alias("_back"))
+    cases = i.join(back, "id", "left").withColumn("observed_recovery", F.coalesce("_back", "observed_recovery") if "observed_recovery" in i.columns else F.col("_back")).drop("_back")
+    return after.withColumn("rule_feedback_sent", sent).drop("_sent"), cases, feedback(ctx.table("anomalies"), fresh, ctx.clock())
+
+
 def net_impact(ctx: Context) -> DataFrame:
     """Recovered less cost, and the recovery rate; null without a recovery or anything at risk."""
     o = ctx.table("outcomes")

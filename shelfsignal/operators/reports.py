@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..context import Context
-from ..functions.columns import hours_between, priority_rank, severity_rank
-from ..schema import ACTIVE_ACTIONS, SEVERITIES
+from ..functions.columns import hours_between, priority_rank, rule_label, severity_rank, sla_level, words
+from ..schema import SEVERITIES
 from .metrics import pct
 
 
@@ -41,12 +43,12 @@ def inventory_health(ctx: Context, limit: int = 10) -> DataFrame:
 
 
 def po_fulfilment(ctx: Context) -> DataFrame:
-    open_ = F.col("received_date").isNull()
-    rows = ctx.table("purchase_orders").agg(
-        F.count_if(open_).alias("open"), F.count_if(open_ & (F.col("expected_date") < ctx.day())).alias("overdue"), F.count_if(F.trunc("received_date", "month") == F.trunc(ctx.day(), "month")).alias("received_this_month"),
-        F.sum(F.col("qty_received")).alias("got"), F.sum(F.col("qty_ordered")).alias("ordered"),
-    )
-    return rows.select("open", "overdue", "received_this_month", F.round(F.col("got").cast("double") / F.col("ordered").cast("double") * 100, 0).alias("fulfilment_pct"))
+    """Open, late and received orders, and the share of all orders that has been received; 0 without orders."""
+    open_, got = F.col("received_date").isNull(), F.count("received_date")
+    rate = F.when(F.count("*") > 0, F.round(got.cast("double") / F.count("*") * 100, 0)).otherwise(0.0)
+    return ctx.table("purchase_orders").agg(
+        F.count_if(open_).alias("open"), F.count_if(open_ & (F.col("expected_date") < ctx.day())).alias("overdue"), F.count_if(F.col("received_date") >= F.trunc(ctx.day(), "month")).alias("received_this_month"), rate.alias("fulfilment_pct")
+    )
 
 
 def anomaly_trend(ctx: Context, days: int = 30) -> DataFrame:
@@ -58,34 +60,64 @@ def anomaly_trend(ctx: Context, days: int = 30) -> DataFrame:
 
 
 def anomalies_by_store(ctx: Context, days: int = 30) -> DataFrame:
-    rows = ctx.table("anomalies").where(F.col("detected_at").cast("timestamp_ntz") >= ctx.clock(24 * days)).groupBy("store_id").agg(F.count("*").alias("anomalies"))
-    return rows.join(ctx.table("stores").select(F.col("id").alias("store_id"), "name"), "store_id").select("name", "anomalies")
+    """Anomalies of the last ``days`` by the number of their store, whether it has a row or not."""
+    rows = ctx.table("anomalies").where((F.col("detected_at").cast("timestamp_ntz") >= ctx.clock(24 * days)) & F.col("store_id").isNotNull())
+    return rows.groupBy(F.concat(F.lit("Store "), F.col("store_id").cast("string")).alias("name")).agg(F.count("*").alias("anomalies"))
 
 
 def overview(ctx: Context) -> DataFrame:
-    """Row counts, low stock and a banner, in one row; each count is one row before they are joined."""
-    one = lambda table, name, where="true": ctx.table(table).where(where).agg(F.count("*").alias(name))
-    row = one("products", "products")
-    for table, name, where in (("stores", "stores", "true"), ("suppliers", "suppliers", "true"), ("sales", "sales", "true"), ("inventory", "low_stock", "reorder_point > 0 AND on_hand_qty <= reorder_point"), ("anomalies", "open_anomalies", "dismissed_at IS NULL"), ("anomalies", "high_anomalies", "dismissed_at IS NULL AND severity = 'high'")):
-        row = row.crossJoin(one(table, name, where))
-    return row.withColumn("banner", F.when(F.col("high_anomalies") > 0, "danger").when(F.col("open_anomalies") > 0, "warning").otherwise("success"))
+    """Row counts, levels at their reorder point, imports under way, open anomalies and what is said of them, in one row.
+
+    Each table is aggregated to one row before they are joined.
+    """
+    count = lambda table, **of: ctx.table(table).agg(*(F.count_if(F.expr(where)).alias(name) for name, where in of.items()))
+    row = count("products", products="true").crossJoin(count("sales", sales="true"))
+    row = row.crossJoin(count("inventory", inventory="true", low_stock="on_hand_qty <= reorder_point")).crossJoin(count("stores", stores="true")).crossJoin(count("purchase_orders", purchase_orders="true"))
+    row = row.crossJoin(count("imports", pending_imports="status IN ('uploaded', 'mapping_review', 'importing')"))
+    live = "dismissed_at IS NULL"
+    row = row.crossJoin(count("anomalies", open_anomalies=live, high_anomalies=f"{live} AND severity = 'high'", medium_anomalies=f"{live} AND severity = 'medium'"))
+    high, medium, any_ = F.col("high_anomalies"), F.col("medium_anomalies"), F.col("open_anomalies")
+    said = lambda n, kind: F.concat(n.cast("string"), F.lit(f" {kind} severity"))
+    return row.withColumns(
+        {
+            "banner": F.when(high > 0, said(high, "high")).when(medium > 0, said(medium, "medium")).when(any_ > 0, said(any_, "low")).otherwise("No open anomalies"),
+            "colour": F.when(high > 0, "danger").when(medium > 0, "warning").when(any_ > 0, "info").otherwise("success"),
+        }
+    )
 
 
-def investigation_overview(ctx: Context) -> DataFrame:
-    open_ = F.col("status").isin("open", "in_progress")
+def investigation_overview(ctx: Context, days: int = 7) -> DataFrame:
+    """Open, running, critical and high ones, those resolved in the last ``days``, and how long open ones have been open."""
+    open_, at = F.col("status").isin("open", "in_progress"), F.col("resolved_at").cast("timestamp_ntz")
     hours = hours_between(ctx.clock(), F.col("opened_at"))
     return ctx.table("investigations").agg(
-        F.count_if(F.col("status") == "open").alias("open"), F.count_if(F.col("status") == "in_progress").alias("in_progress"), F.count_if(open_ & F.col("priority").isin("high", "critical")).alias("urgent"), F.sum(F.when(open_, F.col("revenue_at_risk"))).alias("at_risk"), F.avg(F.when(open_, hours)).alias("avg_open_hours")
-    )
+        F.count_if(F.col("status") == "open").alias("open"), F.count_if(F.col("status") == "in_progress").alias("in_progress"), F.count_if(open_ & (F.col("priority") == "critical")).alias("critical"), F.count_if(open_ & (F.col("priority") == "high")).alias("high"),
+        F.count_if((F.col("status") == "resolved") & (at >= ctx.clock(24 * days))).alias("recently_resolved"), F.round(F.avg(F.when(open_, hours)), 1).alias("avg_open_hours"),
+    )
+
 
+def kpi_trends(ctx: Context, days: int = 7, waiting: tuple[str, ...] = ("pending",), late_hours: float = 48) -> DataFrame:
+    """The dashboard's five figures, each with the one that it is held against, the change in percent and its direction.
 
-def kpi_trends(ctx: Context, days: int = 7) -> DataFrame:
-    """Detections of the last window against the one before."""
-    t = F.col("detected_at").cast("timestamp_ntz")
-    row = ctx.table("anomalies").agg(F.count_if(t >= ctx.clock(24 * days)).alias("current"), F.count_if((t >= ctx.clock(48 * days)) & (t < ctx.clock(24 * days))).alias("previous"))
-    change = F.when(F.col("previous") > 0, F.round(F.abs(F.col("current") - F.col("previous")) / F.col("previous") * 100 + 1e-9, 1))
-    way = F.when(F.col("current") > F.col("previous"), "up").when(F.col("current") < F.col("previous"), "down").otherwise("flat")
-    return row.withColumns({"change_pct": change, "direction": way})
+    Money at risk, open and urgent investigations are held against those opened
+    in the window before the last one, recovery of this month against the last
+    month's; late actions (in one of ``waiting``, which nothing writes any
+    more) stand alone. Without an earlier figure there is no change.
+    """
+    opened, open_, urgent = F.col("opened_at").cast("timestamp_ntz"), F.col("status").isin("open", "in_progress"), F.col("priority").isin("high", "critical")
+    before = (opened >= ctx.clock(48 * days)) & (opened < ctx.clock(24 * days))
+    number_ = lambda c: F.coalesce(c, F.lit(0)).cast("double")
+    risk = lambda where: number_(F.sum(F.when(where, F.col("revenue_at_risk"))))
+    i = ctx.table("investigations")
+    row = i.agg(risk(open_).alias("a"), risk(before).alias("b"), number_(F.count_if(open_)).alias("c"), number_(F.count_if(before)).alias("d"), number_(F.count_if(open_ & urgent)).alias("e"), number_(F.count_if(before & urgent)).alias("f"))
+    late = ctx.table("actions").where(F.col("status").isin(*waiting) & (F.col("created_at").cast("timestamp_ntz") < ctx.clock(late_hours)))
+    late = late.join(i.where(open_).select(F.col("id").alias("investigation_id")), "investigation_id", "left_semi").agg(number_(F.count("*")).alias("g"))
+    month, day = F.trunc(F.lit(ctx.now).cast("date"), "month"), F.col("recorded_at").cast("date")
+    back = lambda where: number_(F.sum(F.when(where, F.col("revenue_recovered"))))
+    money_ = ctx.table("outcomes").agg(back(day >= month).alias("h"), back((day >= F.add_months(month, -1)) & (day < month)).alias("i"))
+    rows = row.crossJoin(late).crossJoin(money_).selectExpr("stack(5, 'revenue_at_risk', a, b, 'open_investigations', c, d, 'high_priority', e, f, 'overdue_actions', g, cast(null as double), 'recovered_mtd', h, i) AS (kpi, value, previous)")  # rows of one
+    change = F.when(F.col("previous") != 0, F.round((F.col("value") - F.col("previous")) / F.abs("previous") * 100 + F.signum(F.col("value") - F.col("previous")) * 1e-9, 1))
+    return rows.withColumns({"change_pct": F.abs(change), "direction": F.when(change > 0, "up").when(change < 0, "down").otherwise("flat")})
 
 
 def top_drivers(ctx: Context, limit: int = 5) -> DataFrame:
@@ -110,39 +142,48 @@ def pending_actions(ctx: Context, statuses: tuple[str, ...] = ("pending",), limi
 
 
 def _active() -> Column:
-    return F.col("status").isin(*ACTIVE_ACTIONS)
+    return ~F.col("status").isin("completed", "cancelled")
+
+
+def _due_tabs(ctx: Context) -> dict[str, Column]:
+    """Which actions are under each tab; a week ends on its Sunday."""
+    due, day, today = F.col("due_at").cast("timestamp_ntz"), F.col("due_at").cast("date"), F.lit(ctx.now).cast("date")
+    return {
+        "all": F.lit(True), "overdue": _active() & (due < ctx.clock()), "due_today": _active() & (day == today), "due_week": _active() & day.between(today, F.next_day(F.date_sub(today, 1), "SUN")),
+        "in_progress": F.col("status") == "in_progress", "completed": F.col("status") == "completed",
+    }
 
 
 def sla_compliance(ctx: Context) -> DataFrame:
+    """Active actions with a deadline: overdue, at risk within a day, on track."""
     left = hours_between(F.col("due_at"), ctx.clock())
     state = F.when(left < 0, "overdue").when(left < 24, "at_risk").otherwise("on_track")
-    return ctx.table("actions").where(_active()).groupBy(state.alias("sla")).agg(F.count("*").alias("actions"))
+    return ctx.table("actions").where(_active() & F.col("due_at").isNotNull()).groupBy(state.alias("sla")).agg(F.count("*").alias("actions"))
 
 
 def action_counts(ctx: Context) -> DataFrame:
-    """Counts of the tabs of an action list."""
-    due, now = F.col("due_at").cast("timestamp_ntz"), ctx.clock()
-    today = F.col("due_at").cast("date") == F.lit(ctx.now).cast("date")
+    """Counts of the tabs of an action list (all: the active ones), and of those completed this month."""
     month = F.trunc(F.col("completed_at").cast("date"), "month") == F.trunc(F.lit(ctx.now).cast("date"), "month")
-    return ctx.table("actions").agg(
-        F.count_if(_active() & (due < now)).alias("overdue"), F.count_if(_active() & today).alias("due_today"), F.count_if(_active() & (due >= now) & (due < ctx.clock(-24 * 7))).alias("due_week"), F.count_if(F.col("status") == "in_progress").alias("in_progress"), F.count_if((F.col("status") == "completed") & month).alias("completed_this_month")
-    )
+    tabs = _due_tabs(ctx) | {"all": _active(), "completed_this_month": (F.col("status") == "completed") & month}
+    return ctx.table("actions").agg(*(F.count_if(where).alias(tab) for tab, where in tabs.items()))
 
 
 def actions_by_type(ctx: Context, limit: int = 8) -> DataFrame:
-    return ctx.table("actions").groupBy("action_type").agg(F.count("*").alias("actions")).orderBy(F.desc("actions"), "action_type").limit(limit)
+    """The kinds of active actions that are most frequent."""
+    return ctx.table("actions").where(_active()).groupBy("action_type").agg(F.count("*").alias("actions")).orderBy(F.desc("actions"), "action_type").limit(limit)
 
 
 def upcoming_deadlines(ctx: Context, days: int = 3, limit: int = 8) -> DataFrame:
+    """The active actions that are due soonest, or were, within ``days``."""
     due = F.col("due_at").cast("timestamp_ntz")
-    return ctx.table("actions").where(_active() & (due >= ctx.clock()) & (due <= ctx.clock(-24 * days))).orderBy("due_at", "id").limit(limit).select("id", "action_type", "priority")
+    return ctx.table("actions").where(_active() & (due <= ctx.clock(-24 * days))).orderBy("due_at", "id").limit(limit).select("id", "action_type", "priority")
 
 
 def action_page(ctx: Context, search: str, page: int = 1, size: int = 25) -> DataFrame:
-    """A page of active actions whose title, or investigation's title, has ``search``, by priority and due time."""
+    """A page of active actions whose title, description or investigation's title has ``search``, by priority and due time."""
     i = ctx.table("investigations").select(F.col("id").alias("investigation_id"), F.col("title").alias("i_title"))
-    rows = ctx.table("actions").join(i, "investigation_id").where(_active() & (F.col("title").ilike(f"%{search}%") | F.col("i_title").ilike(f"%{search}%")))
-    rows = rows.orderBy(F.desc(priority_rank(F.col("priority"))), F.asc("due_at"), F.asc("id")).offset((page - 1) * size).limit(size)
+    rows = ctx.table("actions").join(i, "investigation_id").where(_active() & reduce(Column.__or__, (F.coalesce(F.col(c).ilike(f"%{search}%"), F.lit(False)) for c in ("title", "description", "i_title"))))
+    rows = rows.orderBy(F.desc(priority_rank(F.col("priority"))), F.asc_nulls_last("due_at"), F.asc("id")).offset((page - 1) * size).limit(size)
     return rows.select("id", "title", "status", "priority")
 
 
@@ -172,6 +213,20 @@ def digest(ctx: Context, severities: tuple[str, ...] = ("high",)) -> DataFrame:
     return ctx.table("anomalies").where(F.col("dismissed_at").isNull() & F.col("notified_at").isNull() & F.col("severity").isin(*severities)).select("id", "rule_type", "severity", "sku")
 
 
+def digests(tenants: DataFrame, anomalies: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """What each tenant with an address is told: its open anomalies of the severities that it wants and was not told of, the worst and newest first; and all anomalies with those marked as told.
+
+    ``tenants``: id, notification_email, notify_on_high, notify_on_medium.
+    """
+    wants = F.array_compact(F.array(F.when(F.col("notify_on_high"), "high"), F.when(F.col("notify_on_medium"), "medium")))
+    t = tenants.where("notification_email IS NOT NULL").select(F.col("id").alias("tenant_id"), "notification_email", wants.alias("_wants"))
+    rows = anomalies.where("dismissed_at IS NULL AND notified_at IS NULL").join(t, "tenant_id").where(F.array_contains("_wants", F.col("severity")))
+    place = F.row_number().over(Window.partitionBy("tenant_id").orderBy(F.desc(severity_rank(F.col("severity"))), F.desc("detected_at"), "id"))
+    told = rows.select("tenant_id", "notification_email", "id", "rule_type", "severity", "sku", place.alias("place"))
+    marked = anomalies.join(rows.select("id", F.lit(True).alias("_told")), "id", "left")
+    return told, marked.withColumn("notified_at", F.when(F.col("_told"), now).otherwise(F.col("notified_at").cast("timestamp_ntz"))).drop("_told")
+
+
 def count_by(df: DataFrame, field: str) -> DataFrame:
     return df.groupBy(F.coalesce(F.col(field).cast("string"), F.lit("unknown")).alias(field)).agg(F.count("*").alias("n"))
 
@@ -422,19 +477,21 @@ def outcome_breakdown(ctx: Context, metric: str, limit: int = 200) -> DataFrame:
 
 
 def action_rows(ctx: Context, tab: str = "all", search: str = "", kind: str | None = None, assignee: int | None = None, priority: str | None = None, sort: str = "due_at", descending: bool = False, page: int = 1, size: int = 25) -> DataFrame:
-    """A page of actions under a tab, with filters and a sort column, and the state of their deadline."""
-    live, due, day = ~F.col("status").isin("completed", "cancelled"), F.col("due_at").cast("timestamp_ntz"), F.col("due_at").cast("date")
-    today = F.lit(ctx.now).cast("date")
-    week = F.next_day(F.date_sub(today, 1), "SUN")
-    tabs = {"all": F.lit(True), "overdue": live & (due < ctx.clock()), "due_today": live & (day == today), "due_week": live & day.between(today, week), "in_progress": F.col("status") == "in_progress", "completed": F.col("status") == "completed"}
+    """A page of actions under a tab, with filters and a sort column, and the state of their deadline.
+
+    ``search`` looks into title, description and the investigation's title. By
+    priority the most urgent come first, whatever the direction; other columns
+    have nulls last, or first where descending.
+    """
     i = ctx.table("investigations").select(F.col("id").alias("investigation_id"), F.col("title").alias("i_title"))
-    rows = ctx.table("actions").join(i, "investigation_id").where(tabs[tab] & (F.col("title").ilike(f"%{search}%") | F.col("i_title").ilike(f"%{search}%")))
+    like = lambda c: F.coalesce(F.col(c).ilike(f"%{search}%"), F.lit(False))
+    rows = ctx.table("actions").join(i, "investigation_id").where(_due_tabs(ctx)[tab])
+    rows = rows.where(like("title") | like("description") | like("i_title")) if search else rows
     for column, value in (("action_type", kind), ("assignee_id", assignee), ("priority", priority)):
         rows = rows if value is None else rows.where(F.col(column) == value)
-    left = hours_between(F.col("due_at"), ctx.clock())
-    sla = F.when(~live | F.col("due_at").isNull(), "none").when(left < 0, "overdue").when(left < 24, "at_risk").otherwise("on_track")
-    by = priority_rank(F.col("priority")) if sort == "priority" else F.col(sort)
-    return rows.orderBy(by.desc() if descending else by.asc(), "id").offset((page - 1) * size).limit(size).select("id", "title", "action_type", "status", "priority", sla.alias("sla"))
+    by = F.desc(F.coalesce(priority_rank(F.col("priority")), F.lit(1))) if sort == "priority" else F.desc_nulls_first(sort) if descending else F.asc_nulls_last(sort)
+    sla = sla_level(F.col("status"), F.col("due_at"), ctx.clock())
+    return rows.orderBy(by, "id").offset((page - 1) * size).limit(size).select("id", "title", "action_type", "status", "priority", sla.alias("sla"))
 
 
 def anomaly_page(ctx: Context, severity: str | None = None, rule: str | None = None, sku: str = "", dismissed: bool | None = False, page: int = 1, size: int = 25) -> DataFrame:
@@ -508,7 +565,7 @@ def detection_rows(ctx: Context, limit: int = 10) -> DataFrame:
 
 
 def export_anomalies(ctx: Context) -> DataFrame:
-    label = F.initcap(F.replace(F.col("rule_type"), F.lit("_"), F.lit(" ")))
+    label = rule_label(F.col("rule_type"))
     minute = lambda c: F.coalesce(F.date_format(c, "yyyy-MM-dd HH:mm"), F.lit(""))
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     return ctx.table("anomalies").select(
@@ -525,18 +582,42 @@ def export_investigations(ctx: Context) -> DataFrame:
 
 
 def export_actions(ctx: Context) -> DataFrame:
-    words = lambda c: F.initcap(F.replace(F.col(c), F.lit("_"), F.lit(" ")))
     i = ctx.table("investigations").select(F.col("id").alias("investigation_id"), F.col("title").alias("Investigation"))
     u = ctx.table("users").select(F.col("id").alias("assignee_id"), F.col("name").alias("assignee"))
-    left = hours_between(F.col("due_at"), ctx.clock())
-    sla = F.when(~F.col("status").isin(*ACTIVE_ACTIONS) | F.col("due_at").isNull(), "none").when(left < 0, "overdue").when(left < 24, "at_risk").otherwise("on_track")
-    rows = ctx.table("actions").join(i, "investigation_id", "left").join(u, "assignee_id", "left")
+    t = ctx.table("teams").select(F.col("id").alias("assigned_team_id"), F.col("name").alias("team"))
+    sla = sla_level(F.col("status"), F.col("due_at"), ctx.clock())
+    rows = ctx.table("actions").join(i, "investigation_id", "left").join(u, "assignee_id", "left").join(t, "assigned_team_id", "left")
     return rows.select(
-        F.col("id").alias("ID"), F.col("title").alias("Title"), words("action_type").alias("Type"), F.coalesce("Investigation", F.lit("—")).alias("Investigation"), words("priority").alias("Priority"), words("status").alias("Status"),
-        F.coalesce("assignee", F.lit("Unassigned")).alias("Assigned To"), F.coalesce(F.date_format("due_at", "yyyy-MM-dd HH:mm:ss"), F.lit("—")).alias("Due At"), sla.alias("SLA Status"),
+        F.col("id").alias("ID"), F.col("title").alias("Title"), words(F.col("action_type")).alias("Type"), F.coalesce("Investigation", F.lit("—")).alias("Investigation"), words(F.col("priority")).alias("Priority"), words(F.col("status")).alias("Status"),
+        F.coalesce("assignee", "team", F.lit("Unassigned")).alias("Assigned To"), F.coalesce(F.date_format("due_at", "yyyy-MM-dd HH:mm:ss"), F.lit("—")).alias("Due At"), sla.alias("SLA Status"),
     )
 
 
 def notified(ids: DataFrame) -> DataFrame:
     """Users to notify: each once, none that is null or zero."""
     return ids.where("user_id IS NOT NULL AND user_id <> 0").select("user_id").distinct()
+
+
+def breakdown_components(ctx: Context) -> DataFrame:
+    """The figures that each money card is made of: metric, component, value."""
+    open_ = F.col("status").isin("open", "in_progress")
+    number_ = lambda c: F.coalesce(c, F.lit(0)).cast("double")
+    risk = F.coalesce(F.col("revenue_at_risk"), F.lit(0))
+    i = ctx.table("investigations").agg(number_(F.count_if(open_)).alias("open"), number_(F.count_if(open_ & (risk > 0))).alias("estimated"), number_(F.sum(F.when(open_, risk))).alias("at_risk"), number_(F.count_if(F.col("status").isin("resolved", "closed"))).alias("resolved"))
+    month = F.col("recorded_at").cast("date") >= F.trunc(F.lit(ctx.now).cast("date"), "month")
+    o = ctx.table("outcomes").agg(
+        number_(F.count_if(month & (F.col("revenue_recovered") > 0))).alias("month"), number_(F.sum(F.when(month, F.col("revenue_recovered")))).alias("month_recovered"), number_(F.count("*")).alias("outcomes"), number_(F.sum("revenue_at_risk")).alias("outcome_risk"),
+        number_(F.sum("revenue_recovered")).alias("recovered"), number_(F.count_if("was_false_positive")).alias("false"),
+    )
+    # The components of each card, in order.
+    parts = {
+        "revenue_at_risk": {"Open / in-progress investigations": "open", "With a revenue-at-risk estimate": "estimated", "Total revenue at risk": "at_risk"},
+        "recovered_mtd": {"Outcomes recorded this month": "month", "Total observed recovery": "month_recovered"},
+        "outcome_at_risk": {"Recorded outcomes": "outcomes", "Total revenue at risk": "outcome_risk"},
+        "observed_recovery": {"Total revenue at risk": "outcome_risk", "Total observed recovery": "recovered", "Investigations resolved": "resolved"},
+        "recovery_rate": {"Total observed recovery": "recovered", "Total revenue at risk": "outcome_risk", "Recovery rate": "rate"},
+        "false_positives": {"Investigations closed as false positive": "false"},
+    }
+    row = i.crossJoin(o).withColumn("rate", pct(F.col("recovered"), F.col("outcome_risk")))  # rows of one
+    each = [F.struct(F.lit(m).alias("metric"), F.lit(label).alias("component"), F.col(c).cast("double").alias("value")) for m, of in parts.items() for label, c in of.items()]
+    return row.select(F.explode(F.array(*each)).alias("x")).select("x.*")

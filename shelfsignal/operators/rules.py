@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..context import Context
 from ..functions.columns import impact_severity, ratio
+from ..functions.ranges import interval_join, pruned
 from ..schema import RULES, SENSITIVITY
 from . import baselines
 
@@ -189,9 +190,9 @@ def inventory_shrinkage(ctx: Context) -> DataFrame:
     pick = lambda c, r: F.max(F.when(F.col("_r") == r, F.col(c))).alias(f"{c}{r}")
     pairs = two.groupBy("sku", "location").agg(*(pick(c, r) for c in ("on_hand_qty", "as_of_date", "store_id") for r in (1, 2)))
     pairs = pairs.where("on_hand_qty2 > 0 AND on_hand_qty1 < on_hand_qty2")
-    span = ctx.table("inventory").agg(F.min("as_of_date").alias("first"), F.max("as_of_date").alias("last"))
-    daily = ctx.table("sales").crossJoin(F.broadcast(span)).where("date BETWEEN first AND last").groupBy("sku", "date").agg(F.sum("quantity").alias("q"))  # one row
-    sold = pairs.join(daily, "sku").where("date BETWEEN as_of_date2 AND as_of_date1").groupBy("sku", "location").agg(F.sum("q").cast("double").alias("sold"))
+    spans = pairs.select("sku", "location", "as_of_date1", "as_of_date2")
+    daily = pruned(ctx.table("sales"), spans, "as_of_date2", "as_of_date1", "date").groupBy("sku", "date").agg(F.sum("quantity").alias("q"))
+    sold = interval_join(spans, daily, "sku", "as_of_date2", "as_of_date1", "date").groupBy("sku", "location").agg(F.sum("q").cast("double").alias("sold"))
     rows = pairs.join(sold, ["sku", "location"], "left").withColumns({"prev_qty": F.col("on_hand_qty2").cast("double"), "latest_qty": F.col("on_hand_qty1").cast("double"), "sales_in_period": F.coalesce("sold", F.lit(0.0))})
     rows = rows.withColumn("unexplained", F.col("prev_qty") - F.col("sales_in_period") - F.col("latest_qty")).withColumn("shrinkage_pct", F.col("unexplained") / F.col("prev_qty") * 100)
     rows = rows.where((F.col("unexplained") > 0) & (F.col("shrinkage_pct") >= ctx.threshold("inventory_shrinkage", "pct")))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
+import hmac
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +17,11 @@ NOW = dt.datetime(2024, 1, 31)
 _T = "DATE '2001-08-01'"
 _RULE = "CASE {} " + " ".join(f"WHEN {i} THEN '{r}'" for i, r in enumerate(RULES)) + " END"
 
+#: The key that signs reply tokens here, and the signatures of the numbers that the mails name.
+MAIL_KEY = b"inbox"
+SIGNED = {n: hmac.new(MAIL_KEY, str(n).encode(), hashlib.sha256).hexdigest()[:16] for n in range(30)}
+_SIGNED = "CASE c_custkey % 30 " + " ".join(f"WHEN {n} THEN '{n}-{s}'" for n, s in SIGNED.items()) + " END"
+
 SOURCES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 #: Canonical name -> query over the sources and over canonical tables named before.
@@ -97,14 +104,15 @@ VIEWS: dict[str, str] = {
                CASE event_id % 9 WHEN 0 THEN 'reorder' WHEN 1 THEN 'transfer' WHEN 2 THEN 'markdown' WHEN 3 THEN 'supplier_contact' WHEN 4 THEN 'price_change' WHEN 5 THEN 'recount' WHEN 6 THEN 'investigate' WHEN 7 THEN 'escalate' ELSE 'other' END AS action_type,
                CASE event_id % 7 WHEN 0 THEN 'unassigned' WHEN 1 THEN 'assigned' WHEN 2 THEN 'acknowledged' WHEN 3 THEN 'in_progress' WHEN 4 THEN 'blocked' WHEN 5 THEN 'completed' ELSE 'cancelled' END AS status,
                CASE event_id % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' ELSE 'critical' END AS priority, CASE WHEN event_id % 10 = 0 THEN NULL ELSE event_id % 10 END AS assignee_id,
-               ts AS created_at, ts + INTERVAL '72' HOUR AS due_at, CASE WHEN event_id % 7 = 5 THEN ts + INTERVAL '20' HOUR END AS completed_at
+               ts AS created_at, CASE WHEN event_id % 13 = 0 THEN NULL ELSE ts + INTERVAL '72' HOUR END AS due_at, CASE WHEN event_id % 7 = 5 THEN ts + INTERVAL '20' HOUR END AS completed_at,
+               CASE WHEN event_id % 5 = 0 THEN concat('Call back ', event_id % 10) END AS description, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id % 7 END AS assigned_team_id
         FROM events WHERE event_type = 'purchase'""",
     "outcomes": """
         SELECT CAST(1 AS BIGINT) AS tenant_id, user_id AS investigation_id, sum(CAST(value AS DECIMAL(18,2))) AS revenue_at_risk,
                CASE WHEN user_id % 6 = 0 THEN NULL ELSE sum(CASE WHEN event_type = 'purchase' THEN CAST(value AS DECIMAL(18,2)) ELSE 0 END) END AS revenue_recovered,
                CAST(user_id % 50 AS DECIMAL(18,2)) AS action_cost, CASE user_id % 5 WHEN 0 THEN 'false_positive' WHEN 1 THEN 'resolved' WHEN 2 THEN 'partially_resolved' WHEN 3 THEN 'unresolved' ELSE 'monitoring' END AS outcome_type,
                CASE user_id % 7 WHEN 0 THEN 'observed_recovery' WHEN 1 THEN 'partial_recovery' WHEN 2 THEN 'no_material_change' WHEN 3 THEN 'insufficient_evidence' ELSE 'monitoring' END AS outcome_state,
-               user_id % 5 = 0 AS was_false_positive, CASE WHEN user_id % 3 = 0 THEN TIMESTAMP '2024-02-01 00:00:00' END AS next_measurement_at, max(ts) AS recorded_at
+               CASE user_id % 7 WHEN 0 THEN 'sales_rebound' WHEN 1 THEN 'manual_estimate' WHEN 2 THEN 'other_way' END AS recovery_method, user_id % 5 = 0 AS was_false_positive, CASE WHEN user_id % 3 = 0 THEN TIMESTAMP '2024-02-01 00:00:00' END AS next_measurement_at, max(ts) AS recorded_at
         FROM events WHERE user_id % 2 = 0 GROUP BY user_id""",
     "evidence": """
         SELECT CAST(1 AS BIGINT) AS tenant_id, event_id AS id, user_id AS investigation_id, event_id AS anomaly_id,
@@ -169,13 +177,15 @@ VIEWS: dict[str, str] = {
     "remote_files": """
         SELECT p_partkey % 5 AS connection_id, concat(CASE p_partkey % 3 WHEN 0 THEN 'in/' WHEN 1 THEN 'out/' ELSE '' END, CASE p_partkey % 4 WHEN 0 THEN 'SALES_' WHEN 1 THEN 'stock_' ELSE 'other+' END, p_partkey % 100, CASE p_partkey % 2 WHEN 0 THEN '.CSV' ELSE '.xlsx' END) AS path FROM part WHERE p_partkey <= 300""",
     "taken_files": "SELECT p_partkey % 5 AS connection_id, concat('in/SALES_', p_partkey % 100, '.CSV') AS path FROM part WHERE p_partkey <= 60",
-    "inbound_mail": """
+    "inbound_mail": f"""
         SELECT concat('m', c_custkey % 40) AS message_id, CASE WHEN c_custkey % 17 = 0 THEN 'nobody' ELSE concat(c_name, ' <', c_mktsegment, '.', c_custkey, CASE WHEN c_custkey % 13 = 0 THEN '@elsewhere.com>' ELSE '@example.com>' END) END AS sender,
-               CASE WHEN c_custkey % 5 = 0 THEN 'inbox@in.example.com' ELSE concat('Desk <desk@x.org>, reply+', c_custkey % 30, '-abc', c_custkey % 30, '@in.example.com') END AS recipient, CASE WHEN c_custkey % 10 = 0 THEN concat('Re: [INV-', c_custkey % 30, '-abc', c_custkey % 30, '] x') ELSE 'hello' END AS subject,
+               CASE WHEN c_custkey % 5 = 0 THEN 'inbox@in.example.com' WHEN c_custkey % 11 = 0 THEN concat('reply+', c_custkey % 30, '-0123456789abcdef@in.example.com') ELSE concat('Desk <desk@x.org>, reply+', {_SIGNED}, '@in.example.com') END AS recipient, CASE WHEN c_custkey % 10 = 0 THEN concat('Re: [INV-', {_SIGNED}, '] x') ELSE 'hello' END AS subject,
                concat(CASE WHEN c_custkey % 7 = 0 THEN '' ELSE concat(' text ', c_custkey, chr(13)) END, chr(10), CASE c_custkey % 4 WHEN 0 THEN '> old' WHEN 1 THEN 'On Monday X wrote:' WHEN 2 THEN 'From: a@b.c' ELSE '-- original message --' END, chr(10), 'tail') AS body
         FROM customer WHERE c_custkey <= 600""",
-    "email_tokens": "SELECT concat(c_custkey, '-abc', c_custkey) AS token, c_custkey AS investigation_id, CAST(1 AS BIGINT) AS tenant_id FROM customer WHERE c_custkey < 25",
+    "mail_cases": "SELECT c_custkey AS id, CAST(1 AS BIGINT) AS tenant_id FROM customer WHERE c_custkey < 25",
     "mail_posted": "SELECT c_custkey AS investigation_id, concat('m', c_custkey) AS message_id FROM customer WHERE c_custkey < 10",
+    "comment_users": "SELECT event_id AS comment_id, event_id % 50 AS user_id FROM events WHERE event_type = 'signup' AND event_id % 4 = 0",
+    "comment_teams": "SELECT event_id AS comment_id, event_id % 9 AS team_id FROM events WHERE event_type = 'signup' AND event_id % 3 = 0",
     "comments": """
         SELECT CAST(1 AS BIGINT) AS tenant_id, event_id AS id, user_id AS author_id, user_id AS investigation_id,
                concat('Please look @Building.', user_id, ' and @furniture.', event_id % 97, ' asap, mail x@y') AS body
@@ -216,4 +226,5 @@ def context(spark: SparkSession, sf_dir: str, thresholds: dict[str, dict[str, fl
     """The canonical tables for tenant 1; ``renamed`` lets one canonical name stand for another table, as products="part_products"."""
     names = {name: name for name in VIEWS} | renamed
     tables = {name: (lambda view=view: load(spark, sf_dir, view)) for name, view in names.items()}
+    tables |= {name: (lambda name=name: spark.read.parquet(f"{sf_dir}/{name}.parquet")) for name in SOURCES if name not in tables}
     return Context(tables, AS_OF, NOW, 1, thresholds or {})

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..sources import files, imports, mail
 from ..streaming.ingest import hourly_counts
-from .bindings import NOW, load
+from .bindings import MAIL_KEY, NOW, SIGNED, load
 from .registry import Catalogue, r, tidy
 
 CAT = Catalogue()
@@ -75,11 +75,34 @@ _add(
 _HEADERS = [("Item No", "sales", "sku"), ("trans date", "sales", "date"), ("Channel", "sales", "location"), ("units-sold", "sales", "quantity"), ("MSRP", "products", "selling_price"), ("UPC", "products", "barcode"), ("qty recv", "purchase_orders", "qty_received"), ("est. arrival", "purchase_orders", None), ("Lead Days", "suppliers", "lead_time_days"), ("territory", "stores", "region"), ("Permission", "users", "role"), ("safety_stock", "inventory", "reorder_point"), ("quantity", "returns", "quantity")]
 
 
+_NAMED = [h for h in _HEADERS if h[2]]
+
+
 def _header_map(spark, sf_dir):
-    return spark.createDataFrame([(h, d, *imports.map_header(h, d)) for h, d, f in _HEADERS if f], "header string, dataset string, field string, confidence double")
+    """Each part's number picks one of some headers; they are mapped as a column, dataset by dataset."""
+    parts = load(spark, sf_dir, "part_products").select((F.col("sku").cast("long") % len(_NAMED)).alias("k"))
+    pick = F.element_at(F.array(*(F.struct(F.lit(h).alias("header"), F.lit(d).alias("dataset")) for h, d, _ in _NAMED)), (F.col("k") + 1).cast("int"))
+    return imports.map_header_rows(parts.select(pick.alias("x")).select("x.*")).groupBy("header", "dataset", "field", "confidence").agg(F.count("*").alias("rows"))
+
+
+_add(
+    "fuzzy_header_map",
+    _header_map,
+    "SELECT header, dataset, field, 1.0::DOUBLE AS confidence, count(*) AS rows FROM part_products JOIN (VALUES " + ", ".join(f"({i}, '{h}', '{d}', '{f}')" for i, (h, d, f) in enumerate(_NAMED)) + f") AS h(k, header, dataset, field) ON h.k = CAST(sku AS BIGINT) % {len(_NAMED)} GROUP BY ALL",
+)
+
+
+def _header_scores(spark, sf_dir):
+    """Headers that no list has: names of fields with a letter taken out or put in, and a part's brand behind some."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    names = F.array(*map(F.lit, ("Sale Date", "Item Code", "Quantity", "Unit Price", "Location Name", "Transaction Ref", "Discount Pct", "Payment", "Zebra")))
+    name, at = F.element_at(names, (F.col("p_partkey") % 9 + 1).cast("int")), (F.col("p_size") % 7 + 2).cast("int")
+    changed = F.when(F.col("p_size") % 3 == 0, F.concat(F.substring(name, F.lit(1), at), F.substring(name, at + 2, F.lit(99)))).when(F.col("p_size") % 3 == 1, F.concat(F.substring(name, F.lit(1), at), F.lit("x"), F.substring(name, at + 1, F.lit(99)))).otherwise(F.concat(name, F.lit(" "), "p_brand"))
+    return imports.map_header_rows(p.select(changed.alias("header"), F.lit("sales").alias("dataset"))).groupBy("header", "dataset", "field", "confidence").agg(F.count("*").alias("rows"))
 
 
-_add("fuzzy_header_map", _header_map, "SELECT * FROM (VALUES " + ", ".join(f"('{h}', '{d}', '{f}', 1.0::DOUBLE)" for h, d, f in _HEADERS if f) + ") AS h(header, dataset, field, confidence)")
+#: SQL has no such similarity of texts; tested against a plain one.
+_add("fuzzy_header_scores", _header_scores, None)
 _add(
     "feed_file_match",
     lambda s, d: files.matching(load(s, d, "suppliers").select(F.concat(F.lit("Sales_"), "id", F.when(F.col("id") % 2 == 0, ".CSV").otherwise(".xlsx")).alias("name")), "sales_*.csv"),
@@ -174,36 +197,51 @@ _add("import_cancel", lambda s, d: _undone(s, d, True), _undone_sql("(id % 4 = 1
 
 
 def _again(spark, sf_dir):
-    """Rejected rows, a third of them mended, as an import's; the ledger after a retry."""
+    """Rejected rows, a third of them mended, as an import's; the ledger after a retry of two fifths of them."""
     raw = spark.sql(_RAW.replace("FROM lineitem", "FROM {lineitem}"), lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
     bad = imports.validate(raw, "sales").where("error IS NOT NULL").select("_order")
     mended = raw.join(bad, "_order", "left_semi").withColumn("import_id", F.col("_order") % 50).withColumn("quantity", F.when(F.col("_order") % 3 == 0, "5").otherwise(F.col("quantity")))
-    good, still = imports.retried(mended, "sales")
-    return imports.after_retry(_imports(spark, sf_dir), good, still).select("id", "status", "imported_rows", "failed_rows")
+    chosen = F.col("_order") % 5 < 2
+    good, still = imports.retried(mended.where(chosen), "sales")
+    return imports.after_retry(_imports(spark, sf_dir), good, still, mended.where(~chosen)).select("id", "status", "imported_rows", "failed_rows")
 
 
 _MENDED = f"SELECT _order, date, sku, CASE WHEN _order % 3 = 0 THEN '5' ELSE quantity END AS quantity, unit_price FROM ({_RAW}) WHERE _order IN (SELECT _order FROM ({_CHECK}) WHERE error IS NOT NULL)"
-_AGAIN = f"SELECT _order % 50 AS import_id, count(*) FILTER (WHERE error IS NULL) AS g, count(*) FILTER (WHERE error IS NOT NULL) AS b FROM ({_CHECK.replace(_RAW, _MENDED)}) GROUP BY 1"
+_AGAIN = f"SELECT _order % 50 AS import_id, count(*) FILTER (WHERE error IS NULL AND _order % 5 < 2) AS g, count(*) FILTER (WHERE error IS NOT NULL OR _order % 5 >= 2) AS b FROM ({_CHECK.replace(_RAW, _MENDED)}) GROUP BY 1 HAVING count(*) FILTER (WHERE _order % 5 < 2) > 0"
 _add("import_retry", _again, f"SELECT i.id, CASE WHEN a.import_id IS NULL THEN i.status WHEN a.b = 0 THEN 'completed' ELSE 'completed_with_errors' END AS status, i.imported_rows + coalesce(a.g, 0) AS imported_rows, CASE WHEN a.import_id IS NULL THEN i.failed_rows ELSE a.b END AS failed_rows FROM imports i LEFT JOIN ({_AGAIN}) a ON a.import_id = i.id")
 _add("run_figures", lambda s, d: imports.run_figures(load(s, d, "runs")).select("id", "success_rate", "seconds", "successful"), f"SELECT id, {r('CASE WHEN rows_processed <> 0 THEN round(CAST(rows_imported AS DOUBLE) * 100 / rows_processed + 1e-9, 1) END')} AS success_rate, 420 AS seconds, status = 'completed' AND rows_failed = 0 AS successful FROM runs")
+def _sales_upserted(spark, sf_dir):
+    """Sold rows with their number, and an import's, of which a fifth has none, an empty one or a zero."""
+    old = load(spark, sf_dir, "sales").select("transaction_id", "quantity").groupBy("transaction_id").agg(F.max("quantity").alias("quantity"))
+    old = old.unionByName(old.where("quantity = 7").select(F.lit(None).cast("string").alias("transaction_id"), "quantity"))
+    key = F.when(F.col("_order") % 15 == 0, F.lit(None)).when(F.col("_order") % 15 == 5, "").when(F.col("_order") % 15 == 10, "0").otherwise(F.concat("sku", F.lit("-1")))
+    new = _rows(spark, sf_dir).where("error IS NULL").select(key.alias("transaction_id"), F.col("quantity").cast("decimal(12,2)").alias("quantity"), F.struct("_order", "date", "quantity").alias("_order"))
+    return imports.upsert(old, new, ["transaction_id"])
+
+
 _add(
     "sales_upsert",
-    lambda s, d: imports.upsert(load(s, d, "sales").select("transaction_id", "quantity").groupBy("transaction_id").agg(F.max("quantity").alias("quantity")), _rows(s, d).where("error IS NULL").select(F.concat("sku", F.lit("-1")).alias("transaction_id"), F.col("quantity").cast("decimal(12,2)").alias("quantity"), F.struct("_order", "date", "quantity").alias("_order")), ["transaction_id"]),
-    f"""WITH n AS (SELECT sku || '-1' AS transaction_id, CAST(quantity AS DECIMAL(12,2)) AS quantity, row_number() OVER (PARTITION BY sku ORDER BY _order DESC, date DESC, quantity DESC) AS k FROM ({_CHECK}) WHERE error IS NULL)
-    SELECT transaction_id, {r('max(quantity)')} AS quantity FROM sales WHERE transaction_id NOT IN (SELECT transaction_id FROM n) GROUP BY 1 UNION ALL SELECT transaction_id, {r('quantity')} FROM n WHERE k = 1""",
+    _sales_upserted,
+    f"""WITH n AS (SELECT CASE WHEN _order % 15 = 0 THEN NULL WHEN _order % 15 = 5 THEN '' WHEN _order % 15 = 10 THEN '0' ELSE sku || '-1' END AS transaction_id, CAST(quantity AS DECIMAL(12,2)) AS quantity, _order, date FROM ({_CHECK}) WHERE error IS NULL),
+    k AS (SELECT *, row_number() OVER (PARTITION BY transaction_id ORDER BY _order DESC, date DESC, quantity DESC) AS k FROM n WHERE transaction_id NOT IN ('', '0')),
+    o AS (SELECT transaction_id, max(quantity) AS quantity FROM sales GROUP BY 1)
+    SELECT transaction_id, {r('quantity')} AS quantity FROM o WHERE transaction_id NOT IN (SELECT transaction_id FROM k) UNION ALL SELECT NULL, {r('quantity')} FROM o WHERE quantity = 7
+    UNION ALL SELECT transaction_id, {r('quantity')} FROM k WHERE k = 1 UNION ALL SELECT transaction_id, {r('quantity')} FROM n WHERE transaction_id IS NULL OR transaction_id IN ('', '0')""",
 )
 
 
 # Mail
 def _mail(spark, sf_dir):
     get = lambda name: load(spark, sf_dir, name)
-    return mail.comments(get("inbound_mail"), get("email_tokens"), get("users"), get("mail_posted"))
+    return mail.comments(get("inbound_mail"), get("mail_cases"), get("users"), get("mail_posted"), MAIL_KEY)
 
 
 _MAIL = r"""SELECT message_id, lower(nullif(regexp_extract(sender, '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}', 0), '')) AS sender, coalesce(nullif(regexp_extract(recipient, '\+([A-Za-z0-9\-]+)@', 1), ''), nullif(regexp_extract(subject, '\[INV-([A-Za-z0-9\-]+)\]', 1), '')) AS token,
     trim(regexp_replace(split_part(replace(body, chr(13), ''), chr(10), 1), '^\s+', '')) AS line, body FROM inbound_mail"""
-_READ = f"""SELECT m.*, t.investigation_id, u.id AS author_id, CASE WHEN m.token IS NULL THEN 'no reply token found' WHEN t.token IS NULL THEN 'invalid token' WHEN m.sender IS NULL THEN 'no sender address' WHEN u.id IS NULL THEN 'sender is not a user of this tenant' WHEN m.line = '' THEN 'empty message body' WHEN p.message_id IS NOT NULL THEN 'already posted' END AS reason
-    FROM ({_MAIL}) m LEFT JOIN email_tokens t ON t.token = m.token LEFT JOIN users u ON lower(u.email) = m.sender LEFT JOIN mail_posted p ON p.message_id = m.message_id AND p.investigation_id = t.investigation_id"""
+_SIGNATURES = ", ".join(f"({n}, '{n}-{signature}')" for n, signature in SIGNED.items())
+_READ = f"""SELECT m.*, i.id AS investigation_id, u.id AS author_id, CASE WHEN m.token IS NULL THEN 'no reply token found' WHEN t.token IS NULL THEN 'invalid token' WHEN i.id IS NULL THEN 'investigation not found' WHEN m.sender IS NULL THEN 'no sender address' WHEN u.id IS NULL THEN 'sender is not a user of this tenant'
+      WHEN m.line = '' THEN 'empty message body' WHEN p.message_id IS NOT NULL THEN 'already posted' END AS reason
+    FROM ({_MAIL}) m LEFT JOIN (VALUES {_SIGNATURES}) t(number, token) ON t.token = m.token LEFT JOIN mail_cases i ON i.id = t.number LEFT JOIN users u ON lower(u.email) = m.sender LEFT JOIN mail_posted p ON p.message_id = m.message_id AND p.investigation_id = i.id"""
 _add("mail_comments", lambda s, d: _mail(s, d)[0].groupBy("investigation_id", "message_id", "source").agg(F.count("*").alias("n"), F.count_if(F.col("body").rlike(r"^text \d+$")).alias("whole")), f"SELECT investigation_id, message_id, 'email' AS source, 1 AS n, 1 AS whole FROM ({_READ}) WHERE reason IS NULL GROUP BY 1, 2")
 _add("mail_ignored", lambda s, d: _mail(s, d)[1].groupBy("reason").agg(F.count("*").alias("n")), f"SELECT reason, count(*) AS n FROM ({_READ}) WHERE reason IS NOT NULL GROUP BY 1")
 

@@ -18,6 +18,8 @@ ACTIVE = "status IN ('unassigned', 'assigned', 'acknowledged', 'in_progress', 'b
 SEV = "CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END"
 PRI = "CASE {} WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END"
 NAME = "CASE {} WHEN 4 THEN 'critical' WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END"
+#: What a rule is called, by SQL: words of its key, but for five.
+_LABEL = "CASE {0} WHEN 'po_overdue' THEN 'PO Overdue' WHEN 'sku_master_drift' THEN 'SKU Master Drift' WHEN 'slow_moving_capital' THEN 'Slow-Moving Capital' WHEN 'multi_location_imbalance' THEN 'Multi-Location Imbalance' WHEN 'duplicate_transaction_ids' THEN 'Duplicate Transaction IDs' ELSE array_to_string(list_transform(string_split({0}, '_'), lambda x: upper(x[1]) || lower(x[2:])), ' ') END"
 _PART = {"sales": "part_sales", "products": "part_products"}
 
 
@@ -67,11 +69,11 @@ CAT.add("suppressions_counted", lambda c: investigations.suppressions_counted(c)
 CAT.add("expired_suppressions", lambda c: investigations.expired_suppressions(c).select("id", "rule_type"), f"SELECT id, rule_type FROM suppressions WHERE active AND expires_at <= {NOW}")
 CAT.add(
     "correlation_groups",
-    investigations.correlation_groups,
+    lambda c: investigations.correlation_groups(c).drop("first_store_id"),
     f"""WITH c AS (SELECT * FROM anomalies WHERE dismissed_at IS NULL AND investigation_id IS NULL AND id NOT IN (SELECT anomaly_id FROM ({_SUP}))),
     g AS (SELECT sku, count(*) AS n, arg_min(rule_type, id) AS rule, arg_min(store_id, id) AS sid, max({SEV}) AS worst, sum(revenue_impact) AS impact FROM c GROUP BY sku),
     o AS (SELECT primary_sku, arg_max(id, (opened_at, id)) AS iid FROM investigations WHERE {OPEN} AND opened_at >= {NOW} - INTERVAL 7 DAY GROUP BY primary_sku)
-    SELECT g.sku, o.iid AS investigation_id, CASE WHEN o.iid IS NULL THEN concat_ws(' \u2014 ', array_to_string(list_transform(string_split(rule, '_'), lambda x: upper(x[1]) || lower(x[2:])), ' '), 'SKU ' || g.sku, '@ ' || p.name) END AS new_title, CASE WHEN o.iid IS NULL THEN (SELECT min(id) FROM teams WHERE is_default) END AS team_id,
+    SELECT g.sku, o.iid AS investigation_id, CASE WHEN o.iid IS NULL THEN concat_ws(' \u2014 ', {_LABEL.format('rule')}, 'SKU ' || g.sku, '@ ' || p.name) END AS new_title, CASE WHEN o.iid IS NULL THEN (SELECT min(id) FROM teams WHERE is_default) END AS team_id,
       CASE worst WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS priority, n AS anomalies, {r('coalesce(impact, 0)')} AS revenue_at_risk FROM g LEFT JOIN o ON g.sku IS NOT DISTINCT FROM o.primary_sku LEFT JOIN stores p ON p.id = g.sid""",
 )
 CAT.add(
@@ -83,7 +85,7 @@ CAT.add(
 CAT.add(
     "investigation_rollup",
     investigations.rollup,
-    f"SELECT i.id, a.n AS anomaly_count, {r('a.v')} AS revenue_at_risk, {NAME.format('greatest(a.w, ' + PRI.format('i.priority') + ')')} AS priority FROM investigations i JOIN (SELECT investigation_id, count(*) AS n, sum(revenue_impact) AS v, max({SEV}) AS w FROM anomalies WHERE investigation_id IS NOT NULL AND dismissed_at IS NULL GROUP BY 1) a ON i.id = a.investigation_id",
+    f"SELECT i.id, a.n AS anomaly_count, {r('a.v')} AS revenue_at_risk, {NAME.format('greatest(a.w, ' + PRI.format('i.priority') + ')')} AS priority FROM investigations i JOIN (SELECT investigation_id, count(*) AS n, coalesce(sum(revenue_impact), 0) AS v, max({SEV}) AS w FROM anomalies WHERE investigation_id IS NOT NULL GROUP BY 1) a ON i.id = a.investigation_id",
 )
 CAT.add(
     "narration_candidates",
@@ -112,8 +114,8 @@ _FIRED = f"""SELECT investigation_id, rule_id, trigger_type, priority, assigned_
 CAT.add("escalation_matches", lambda c: investigations.escalation_matches(c).drop("assigned_at"), f"SELECT investigation_id, rule_id, trigger_type, priority FROM ({_FIRED})")
 CAT.add(
     "escalation_effects",
-    lambda c: investigations.escalation_effects(c).select("investigation_id", "rule_id", "escalation_action", "to_team_id", "to_user_id", "from_priority", "to_priority", F.col("assigned_at").isNotNull().alias("assigned")),
-    f"""SELECT f.investigation_id, f.rule_id, x.escalation_action, CASE WHEN x.escalation_action = 'reassign_team' THEN x.target_team_id END AS to_team_id, CASE WHEN x.escalation_action = 'reassign_user' THEN x.target_user_id END AS to_user_id, f.priority AS from_priority,
+    lambda c: investigations.escalation_effects(c).select("investigation_id", "rule_id", "escalation_action", "to_team_id", "to_user_id", "from_priority", "to_priority", "notice", F.col("assigned_at").isNotNull().alias("assigned")),
+    f"""SELECT f.investigation_id, f.rule_id, x.escalation_action, x.target_team_id AS to_team_id, x.target_user_id AS to_user_id, CASE WHEN x.escalation_action = 'notify_lead' THEN 'NOTIFY LEAD: investigation #' || f.investigation_id || ' — Investigation ' || f.investigation_id END AS notice, f.priority AS from_priority,
       CASE WHEN x.escalation_action = 'elevate_priority' THEN {NAME.format('least(4, ' + PRI.format('f.priority') + ' + 1)')} ELSE f.priority END AS to_priority, f.assigned_at IS NOT NULL OR (x.escalation_action = 'reassign_team' AND x.target_team_id IS NOT NULL) OR (x.escalation_action = 'reassign_user' AND x.target_user_id IS NOT NULL) AS assigned FROM ({_FIRED}) f JOIN escalation_rules x ON x.id = f.rule_id""",
 )
 _LIVE = f"active AND (mode <> 'until_date' OR until_date IS NULL OR until_date > {NOW})"
@@ -217,7 +219,7 @@ CAT.add("outcome_feedback", lambda c: outcomes.feedback(c.table("anomalies"), _r
 CAT.add("outcome_net_impact", outcomes.net_impact, f"SELECT investigation_id, {r('revenue_recovered - coalesce(action_cost, 0)')} AS net_impact, {r('CASE WHEN revenue_at_risk > 0 THEN CAST(revenue_recovered AS DOUBLE) / CAST(revenue_at_risk AS DOUBLE) * 100 END')} AS recovery_rate FROM outcomes")
 CAT.add(
     "bulk_action_result",
-    lambda c: investigations.bulk(c.table("users").select("id"), c.table("investigations")),
+    lambda c: investigations.bulk_counts(investigations.bulk(c, c.table("users").select("id"), "dismiss", 5)[1]),
     "SELECT count(*) FILTER (WHERE id IN (SELECT id FROM investigations)) AS succeeded, count(*) FILTER (WHERE id NOT IN (SELECT id FROM investigations)) AS failed FROM users",
 )
 CAT.add("mention_resolution", investigations.mentions, _MENTION)
@@ -275,13 +277,13 @@ _COLLECTED = f"""SELECT investigation_id, anomaly_id, 'Daily sales last 14 days'
     UNION ALL SELECT investigation_id, anomaly_id, 'Distinct SKUs in sales vs product master', CASE WHEN (SELECT count(DISTINCT sku) FROM part_sales) > (SELECT count(*) FROM part_products) THEN 'supports' ELSE 'contradicts' END, NULL FROM {_IN} WHERE rule_type = 'sku_master_drift'"""
 CAT.add("evidence_collected", lambda c: evidence.collected(c).select("investigation_id", "anomaly_id", "label", "direction", F.col("value_numeric").alias("value")), f"SELECT investigation_id, anomaly_id, label, direction, {r('value')} AS value FROM ({_COLLECTED})", **_PART)
 CAT.add("evidence_strongest", evidence.strongest, "SELECT investigation_id, k, label, strength FROM (SELECT *, row_number() OVER (PARTITION BY investigation_id ORDER BY CASE strength WHEN 'strong' THEN 3 WHEN 'moderate' THEN 2 ELSE 1 END DESC, id) AS k FROM evidence) WHERE k <= 4")
-CAT.add("evidence_strength", metrics.evidence_label, "SELECT investigation_id, a AS strong, s AS supports, CASE WHEN a >= 3 OR (a >= 1 AND s >= 3) THEN 'Strong' WHEN a >= 1 OR s >= 2 THEN 'Moderate' ELSE 'Insufficient' END AS label FROM (SELECT investigation_id, count(*) FILTER (WHERE strength = 'strong') AS a, count(*) FILTER (WHERE direction = 'supports') AS s FROM evidence GROUP BY 1)")
+CAT.add("evidence_strength", metrics.evidence_label, "SELECT investigation_id, a AS strong, s AS supports, CASE WHEN a >= 3 OR (a >= 1 AND s >= 3) THEN 'Strong' WHEN a >= 1 OR s >= 2 THEN 'Moderate' ELSE 'Insufficient' END AS label FROM (SELECT investigation_id, count(*) FILTER (WHERE strength = 'strong' AND direction = 'supports') AS a, count(*) FILTER (WHERE direction = 'supports') AS s FROM evidence GROUP BY 1)")
 
 # Rules and recovery
 _PERF = f"SELECT rule_type, count(*) AS detections, count(dismissed_at) AS dismissed, count(*) FILTER (WHERE is_false_positive) AS false_positives, count(DISTINCT investigation_id) AS investigations, {r(pct('count(*) FILTER (WHERE is_false_positive)', 'count(*)'))} AS fp_rate FROM anomalies GROUP BY 1"
 CAT.add("quality_rule_performance", metrics.rule_performance, _PERF)
 CAT.add("quality_noisy_rules", lambda c: metrics.noisy_rules(c, 5, 10), f"SELECT rule_type, detections, fp_rate FROM ({_PERF}) WHERE detections >= 5 AND fp_rate >= 10")
-CAT.add("quality_noisy_skus", metrics.noisy_skus, "SELECT sku, count(*) AS anomalies FROM anomalies WHERE sku IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+CAT.add("quality_noisy_skus", lambda c: metrics.noisy_skus(c).drop("false_positives"), "SELECT sku, count(*) AS anomalies FROM anomalies WHERE sku IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
 _MONEY = f"count(*) AS outcomes, {r('coalesce(sum(revenue_at_risk), 0)')} AS at_risk, {r('coalesce(sum(revenue_recovered), 0)')} AS recovered"
 CAT.add(
     "recovery_summary",
@@ -299,32 +301,60 @@ CAT.add(
 CAT.add(
     "primary_anomaly",
     metrics.primary_anomaly,
-    f"SELECT printf('INV-2024-%06d', investigation_id) AS display_id, rule_type, severity, id AS anomaly_id, CASE {PRI.format('p')} WHEN 4 THEN 2 WHEN 3 THEN 4 WHEN 2 THEN 8 ELSE 24 END::BIGINT AS sla_hours FROM (SELECT a.*, i.priority AS p, row_number() OVER (PARTITION BY investigation_id ORDER BY {SEV} DESC, detected_at DESC, a.id) AS k FROM anomalies a JOIN (SELECT id AS iid, priority FROM investigations) i ON a.investigation_id = i.iid) WHERE k = 1",
+    f"SELECT printf('INV-%d-%06d', opened_year, investigation_id) AS display_id, rule_type, severity, id AS anomaly_id, CASE {PRI.format('p')} WHEN 4 THEN 2 WHEN 3 THEN 4 WHEN 2 THEN 8 ELSE 24 END::BIGINT AS sla_hours FROM (SELECT a.*, i.priority AS p, i.opened_year, row_number() OVER (PARTITION BY investigation_id ORDER BY {SEV} DESC, a.id) AS k FROM anomalies a JOIN (SELECT id AS iid, priority, year(opened_at) AS opened_year FROM investigations) i ON a.investigation_id = i.iid) WHERE k = 1",
 )
 
 # Widgets, lists, reports
 CAT.add("sales_trend_30d", reports.sales_trend, f"SELECT d.day, {r('coalesce(v, 0)')} AS revenue, {r('coalesce(u, 0)')} AS units FROM (SELECT CAST(unnest(generate_series({T} - 30, {T}, INTERVAL 1 DAY)) AS DATE) AS day) d LEFT JOIN (SELECT date, sum(total_amount) AS v, sum(quantity) FILTER (WHERE quantity > 0) AS u FROM sales WHERE date >= {T} - 30 GROUP BY 1) s ON s.date = d.day")
 CAT.add("top_skus", reports.top_skus, f"SELECT sku, {r('sum(total_amount)')} AS revenue FROM sales WHERE date >= {T} - 30 AND quantity > 0 GROUP BY 1 ORDER BY sum(total_amount) DESC, 1 LIMIT 10")
 CAT.add("inventory_health_by_location", reports.inventory_health, "SELECT location AS place, count(*) FILTER (WHERE on_hand_qty <= 0) AS stockout, count(*) FILTER (WHERE on_hand_qty > 0 AND reorder_point IS NOT NULL AND on_hand_qty <= reorder_point) AS at_risk, count(*) FILTER (WHERE on_hand_qty > 0 AND (reorder_point IS NULL OR on_hand_qty > reorder_point)) AS healthy FROM inventory GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 10")
-CAT.add("po_fulfilment", reports.po_fulfilment, f"SELECT count(*) FILTER (WHERE received_date IS NULL) AS open, count(*) FILTER (WHERE received_date IS NULL AND expected_date < {T}) AS overdue, count(*) FILTER (WHERE date_trunc('month', received_date) = date_trunc('month', {T})) AS received_this_month, {r('round(CAST(sum(qty_received) AS DOUBLE) / CAST(sum(qty_ordered) AS DOUBLE) * 100, 0)')} AS fulfilment_pct FROM purchase_orders")
+CAT.add(
+    "po_fulfilment",
+    reports.po_fulfilment,
+    f"SELECT count(*) FILTER (WHERE received_date IS NULL) AS open, count(*) FILTER (WHERE received_date IS NULL AND expected_date < {T}) AS overdue, count(*) FILTER (WHERE received_date >= date_trunc('month', {T})) AS received_this_month, {r('round(100.0 * count(received_date) / count(*), 0)')} AS fulfilment_pct FROM purchase_orders",
+)
 CAT.add("anomaly_trend_30d", reports.anomaly_trend, "SELECT d.day, coalesce(low, 0) AS low, coalesce(medium, 0) AS medium, coalesce(high, 0) AS high FROM (SELECT CAST(unnest(generate_series(DATE '2024-01-02', DATE '2024-01-31', INTERVAL 1 DAY)) AS DATE) AS day) d LEFT JOIN (SELECT CAST(detected_at AS DATE) AS day, count(*) FILTER (WHERE severity = 'low') AS low, count(*) FILTER (WHERE severity = 'medium') AS medium, count(*) FILTER (WHERE severity = 'high') AS high FROM anomalies GROUP BY 1) a ON a.day = d.day")
-CAT.add("anomalies_by_store", reports.anomalies_by_store, f"SELECT s.name, count(*) AS anomalies FROM anomalies a JOIN stores s ON a.store_id = s.id WHERE detected_at >= {NOW} - INTERVAL 30 DAY GROUP BY 1")
+CAT.add("anomalies_by_store", reports.anomalies_by_store, f"SELECT 'Store ' || store_id AS name, count(*) AS anomalies FROM anomalies WHERE store_id IS NOT NULL AND detected_at >= {NOW} - INTERVAL 30 DAY GROUP BY 1")
 CAT.add(
     "overview_counts",
     reports.overview,
-    "SELECT *, CASE WHEN high_anomalies > 0 THEN 'danger' WHEN open_anomalies > 0 THEN 'warning' ELSE 'success' END AS banner FROM (SELECT (SELECT count(*) FROM products) AS products, (SELECT count(*) FROM stores) AS stores, (SELECT count(*) FROM suppliers) AS suppliers, (SELECT count(*) FROM sales) AS sales, (SELECT count(*) FROM inventory WHERE reorder_point > 0 AND on_hand_qty <= reorder_point) AS low_stock, (SELECT count(*) FROM anomalies WHERE dismissed_at IS NULL) AS open_anomalies, (SELECT count(*) FROM anomalies WHERE dismissed_at IS NULL AND severity = 'high') AS high_anomalies)",
+    """SELECT *, CASE WHEN high_anomalies > 0 THEN high_anomalies || ' high severity' WHEN medium_anomalies > 0 THEN medium_anomalies || ' medium severity' WHEN open_anomalies > 0 THEN open_anomalies || ' low severity' ELSE 'No open anomalies' END AS banner,
+      CASE WHEN high_anomalies > 0 THEN 'danger' WHEN medium_anomalies > 0 THEN 'warning' WHEN open_anomalies > 0 THEN 'info' ELSE 'success' END AS colour FROM (SELECT (SELECT count(*) FROM products) AS products, (SELECT count(*) FROM sales) AS sales, (SELECT count(*) FROM inventory) AS inventory,
+      (SELECT count(*) FROM inventory WHERE reorder_point IS NOT NULL AND on_hand_qty <= reorder_point) AS low_stock, (SELECT count(*) FROM stores) AS stores, (SELECT count(*) FROM purchase_orders) AS purchase_orders, (SELECT count(*) FROM imports WHERE status IN ('uploaded', 'mapping_review', 'importing')) AS pending_imports,
+      (SELECT count(*) FROM anomalies WHERE dismissed_at IS NULL) AS open_anomalies, (SELECT count(*) FROM anomalies WHERE dismissed_at IS NULL AND severity = 'high') AS high_anomalies, (SELECT count(*) FROM anomalies WHERE dismissed_at IS NULL AND severity = 'medium') AS medium_anomalies)""",
+)
+CAT.add(
+    "investigation_overview",
+    reports.investigation_overview,
+    f"""SELECT count(*) FILTER (WHERE status = 'open') AS open, count(*) FILTER (WHERE status = 'in_progress') AS in_progress, count(*) FILTER (WHERE {OPEN} AND priority = 'critical') AS critical, count(*) FILTER (WHERE {OPEN} AND priority = 'high') AS high,
+      count(*) FILTER (WHERE status = 'resolved' AND resolved_at >= {NOW} - INTERVAL 7 DAY) AS recently_resolved, {r(f'round(avg({hours(NOW, "opened_at")}) FILTER (WHERE {OPEN}), 1)')} AS avg_open_hours FROM investigations""",
+)
+_WAS = f"opened_at >= {NOW} - INTERVAL 14 DAY AND opened_at < {NOW} - INTERVAL 7 DAY"
+_HOT = "priority IN ('high', 'critical')"
+CAT.add(
+    "kpi_trends",
+    lambda c: reports.kpi_trends(c, waiting=("pending", "assigned")),
+    f"""SELECT kpi, {r('v')} AS value, {r('p')} AS previous, {r('CASE WHEN p <> 0 THEN round(abs(v - p) / abs(p) * 100 + 1e-9, 1) END')} AS change_pct, CASE WHEN p = 0 OR p IS NULL OR round(abs(v - p) / abs(p) * 100 + 1e-9, 1) = 0 THEN 'flat' WHEN v > p THEN 'up' ELSE 'down' END AS direction FROM (
+      SELECT 'revenue_at_risk' AS kpi, CAST(coalesce(sum(revenue_at_risk) FILTER (WHERE {OPEN}), 0) AS DOUBLE) AS v, CAST(coalesce(sum(revenue_at_risk) FILTER (WHERE {_WAS}), 0) AS DOUBLE) AS p FROM investigations
+      UNION ALL SELECT 'open_investigations', count(*) FILTER (WHERE {OPEN}), count(*) FILTER (WHERE {_WAS}) FROM investigations UNION ALL SELECT 'high_priority', count(*) FILTER (WHERE {OPEN} AND {_HOT}), count(*) FILTER (WHERE {_WAS} AND {_HOT}) FROM investigations
+      UNION ALL SELECT 'overdue_actions', count(*), NULL FROM actions WHERE status IN ('pending', 'assigned') AND created_at < {NOW} - INTERVAL 48 HOUR AND investigation_id IN (SELECT id FROM investigations WHERE {OPEN})
+      UNION ALL SELECT 'recovered_mtd', coalesce(sum(revenue_recovered) FILTER (WHERE recorded_at >= DATE '2024-01-01'), 0), coalesce(sum(revenue_recovered) FILTER (WHERE recorded_at >= DATE '2023-12-01' AND recorded_at < DATE '2024-01-01'), 0) FROM outcomes)""",
 )
-CAT.add("investigation_overview", reports.investigation_overview, f"SELECT count(*) FILTER (WHERE status = 'open') AS open, count(*) FILTER (WHERE status = 'in_progress') AS in_progress, count(*) FILTER (WHERE {OPEN} AND priority IN ('high', 'critical')) AS urgent, {r(f'sum(revenue_at_risk) FILTER (WHERE {OPEN})')} AS at_risk, {r(f'avg(' + hours(NOW, 'opened_at') + f') FILTER (WHERE {OPEN})')} AS avg_open_hours FROM investigations")
-CAT.add("kpi_trends", reports.kpi_trends, f"SELECT c AS current, p AS previous, {r('CASE WHEN p > 0 THEN round(abs(c - p) / CAST(p AS DOUBLE) * 100 + 1e-9, 1) END')} AS change_pct, CASE WHEN c > p THEN 'up' WHEN c < p THEN 'down' ELSE 'flat' END AS direction FROM (SELECT count(*) FILTER (WHERE detected_at >= {NOW} - INTERVAL 7 DAY) AS c, count(*) FILTER (WHERE detected_at >= {NOW} - INTERVAL 14 DAY AND detected_at < {NOW} - INTERVAL 7 DAY) AS p FROM anomalies)")
 CAT.add("top_drivers", reports.top_drivers, f"SELECT rule_type, n AS anomalies, {r(pct('n', 'sum(n) OVER ()'))} AS share FROM (SELECT rule_type, count(*) AS n FROM anomalies WHERE dismissed_at IS NULL GROUP BY 1 ORDER BY n DESC, rule_type LIMIT 5)")
 _TOP = "SELECT rule_type, count(*) AS anomalies FROM anomalies WHERE dismissed_at IS NULL AND {} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1"
 CAT.add("insights", reports.insights, f"SELECT 'recurring' AS insight, * FROM ({_TOP.format('ai_is_recurring')}) UNION ALL SELECT 'this_month', * FROM ({_TOP.format('CAST(detected_at AS DATE) >= DATE ' + chr(39) + '2024-01-01' + chr(39))})")
 CAT.add("pending_actions", lambda c: reports.pending_actions(c, ("pending", "assigned")), f"SELECT id, investigation_id, title, status FROM actions WHERE status IN ('pending', 'assigned') AND investigation_id IN (SELECT id FROM investigations WHERE {OPEN}) ORDER BY created_at, id LIMIT 6")
-CAT.add("sla_compliance", reports.sla_compliance, f"SELECT CASE WHEN h < 0 THEN 'overdue' WHEN h < 24 THEN 'at_risk' ELSE 'on_track' END AS sla, count(*) AS actions FROM (SELECT {hours('due_at', NOW)} AS h FROM actions WHERE {ACTIVE}) GROUP BY 1")
-CAT.add("action_tab_counts", reports.action_counts, f"SELECT count(*) FILTER (WHERE {ACTIVE} AND due_at < {NOW}) AS overdue, count(*) FILTER (WHERE {ACTIVE} AND CAST(due_at AS DATE) = DATE '2024-01-31') AS due_today, count(*) FILTER (WHERE {ACTIVE} AND due_at >= {NOW} AND due_at < {NOW} + INTERVAL 7 DAY) AS due_week, count(*) FILTER (WHERE status = 'in_progress') AS in_progress, count(*) FILTER (WHERE status = 'completed' AND date_trunc('month', completed_at) = DATE '2024-01-01') AS completed_this_month FROM actions")
-CAT.add("actions_by_type", reports.actions_by_type, "SELECT action_type, count(*) AS actions FROM actions GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8")
-CAT.add("upcoming_deadlines", reports.upcoming_deadlines, f"SELECT id, action_type, priority FROM actions WHERE {ACTIVE} AND due_at BETWEEN {NOW} AND {NOW} + INTERVAL 3 DAY ORDER BY due_at, id LIMIT 8")
-CAT.add("action_list_page", lambda c: reports.action_page(c, "investigation 1", 2, 10), f"SELECT a.id, a.title, a.status, a.priority FROM actions a JOIN (SELECT id AS iid, title AS t FROM investigations) i ON a.investigation_id = i.iid WHERE {ACTIVE.replace('status', 'a.status')} AND (a.title ILIKE '%investigation 1%' OR i.t ILIKE '%investigation 1%') ORDER BY {PRI.format('a.priority')} DESC, a.due_at, a.id LIMIT 10 OFFSET 10")
+CAT.add("sla_compliance", reports.sla_compliance, f"SELECT CASE WHEN h < 0 THEN 'overdue' WHEN h < 24 THEN 'at_risk' ELSE 'on_track' END AS sla, count(*) AS actions FROM (SELECT {hours('due_at', NOW)} AS h FROM actions WHERE {_UNDONE} AND due_at IS NOT NULL) GROUP BY 1")
+_WEEK = "CAST(due_at AS DATE) BETWEEN DATE '2024-01-31' AND DATE '2024-02-04'"
+CAT.add(
+    "action_tab_counts",
+    reports.action_counts,
+    f"""SELECT count(*) FILTER (WHERE {_UNDONE}) AS "all", count(*) FILTER (WHERE {_UNDONE} AND due_at < {NOW}) AS overdue, count(*) FILTER (WHERE {_UNDONE} AND CAST(due_at AS DATE) = DATE '2024-01-31') AS due_today, count(*) FILTER (WHERE {_UNDONE} AND {_WEEK}) AS due_week, count(*) FILTER (WHERE status = 'in_progress') AS in_progress,
+      count(*) FILTER (WHERE status = 'completed') AS completed, count(*) FILTER (WHERE status = 'completed' AND date_trunc('month', completed_at) = DATE '2024-01-01') AS completed_this_month FROM actions""",
+)
+CAT.add("actions_by_type", reports.actions_by_type, f"SELECT action_type, count(*) AS actions FROM actions WHERE {_UNDONE} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8")
+CAT.add("upcoming_deadlines", reports.upcoming_deadlines, f"SELECT id, action_type, priority FROM actions WHERE {_UNDONE} AND due_at <= {NOW} + INTERVAL 3 DAY ORDER BY due_at, id LIMIT 8")
+CAT.add("action_list_page", lambda c: reports.action_page(c, "back 5", 2, 10), f"SELECT a.id, a.title, a.status, a.priority FROM actions a JOIN (SELECT id AS iid, title AS t FROM investigations) i ON a.investigation_id = i.iid WHERE {ACTIVE.replace('status', 'a.status')} AND (a.title ILIKE '%back 5%' OR coalesce(a.description ILIKE '%back 5%', false) OR i.t ILIKE '%back 5%') ORDER BY {PRI.format('a.priority')} DESC, a.due_at, a.id LIMIT 10 OFFSET 10")
 CAT.add("investigation_list_page", lambda c: reports.investigation_page(c, "open", "high_critical", "sales_drop", "investigation"), f"SELECT id, title, status, priority, {r('revenue_at_risk')} AS revenue_at_risk FROM investigations i WHERE {OPEN} AND priority IN ('high', 'critical') AND title ILIKE '%investigation%' AND EXISTS (SELECT 1 FROM anomalies a WHERE a.investigation_id = i.id AND a.rule_type = 'sales_drop') ORDER BY i.revenue_at_risk DESC NULLS FIRST, id LIMIT 25")
 CAT.add("anomaly_list", reports.anomaly_list, f"SELECT id, rule_type, severity, sku FROM anomalies WHERE dismissed_at IS NULL ORDER BY {SEV} DESC, detected_at DESC, id LIMIT 50")
 CAT.add("anomaly_digest", lambda c: reports.digest(c, ("high", "medium")), "SELECT id, rule_type, severity, sku FROM anomalies WHERE dismissed_at IS NULL AND notified_at IS NULL AND severity IN ('high', 'medium')")
@@ -407,13 +437,14 @@ for _metric, _where, _order in (("outcome_at_risk", "revenue_at_risk IS NOT NULL
         lambda c, m=_metric: reports.outcome_breakdown(c, m),
         f"SELECT o.investigation_id, coalesce(i.title, 'Investigation #' || o.investigation_id) AS title, i.primary_sku AS sku, o.outcome_type, {r('o.revenue_at_risk')} AS revenue_at_risk, {r('o.revenue_recovered')} AS revenue_recovered FROM (SELECT * FROM outcomes o WHERE {_where} ORDER BY {_order} DESC NULLS FIRST, investigation_id LIMIT 200) o LEFT JOIN (SELECT id, title, primary_sku FROM investigations) i ON i.id = o.investigation_id",
     )
-_SLA = f"CASE WHEN NOT {_UNDONE.replace('status', 'a.status')} OR a.due_at IS NULL THEN 'none' WHEN {hours('a.due_at', NOW)} < 0 THEN 'overdue' WHEN {hours('a.due_at', NOW)} < 24 THEN 'at_risk' ELSE 'on_track' END"
+_SLA = f"CASE WHEN NOT {_UNDONE.replace('status', 'a.status')} OR a.due_at IS NULL THEN 'none' WHEN {hours('a.due_at', NOW)} < 0 THEN 'overdue' WHEN {hours('a.due_at', NOW)} < 4 THEN 'critical' WHEN {hours('a.due_at', NOW)} < 24 THEN 'warning' ELSE 'ok' END"
 _ACT = f"SELECT a.id, a.title, a.action_type, a.status, a.priority, {_SLA} AS sla FROM actions a JOIN (SELECT id AS iid, title AS t FROM investigations) i ON a.investigation_id = i.iid"
 for _tab, _where in {
     "all": "true", "overdue": f"{_UNDONE} AND due_at < {NOW}", "due_today": f"{_UNDONE} AND CAST(due_at AS DATE) = {_TODAY}", "due_week": f"{_UNDONE} AND CAST(due_at AS DATE) BETWEEN {_TODAY} AND DATE '2024-02-04'", "in_progress": "status = 'in_progress'", "completed": "status = 'completed'",
 }.items():
-    CAT.add(f"action_tab_{_tab}", lambda c, t=_tab: reports.action_rows(c, t), f"{_ACT} WHERE {_where.replace('status', 'a.status').replace('due_at', 'a.due_at')} ORDER BY a.due_at NULLS FIRST, a.id LIMIT 25")
-CAT.add("action_list_filtered", lambda c: reports.action_rows(c, "all", "action", "reorder", None, "high", "priority", True), f"{_ACT} WHERE a.title ILIKE '%action%' AND a.action_type = 'reorder' AND a.priority = 'high' ORDER BY {PRI.format('a.priority')} DESC, a.id LIMIT 25")
+    CAT.add(f"action_tab_{_tab}", lambda c, t=_tab: reports.action_rows(c, t), f"{_ACT} WHERE {_where.replace('status', 'a.status').replace('due_at', 'a.due_at')} ORDER BY a.due_at NULLS LAST, a.id LIMIT 25")
+CAT.add("action_list_filtered", lambda c: reports.action_rows(c, "all", "call back 5", None, 5, None, "priority", False), f"{_ACT} WHERE (a.title ILIKE '%call back 5%' OR a.description ILIKE '%call back 5%' OR i.t ILIKE '%call back 5%') AND a.assignee_id = 5 ORDER BY {PRI.format('a.priority')} DESC, a.id LIMIT 25")
+CAT.add("action_list_latest", lambda c: reports.action_rows(c, "all", "action", "reorder", None, "low", "due_at", True), f"{_ACT} WHERE a.title ILIKE '%action%' AND a.action_type = 'reorder' AND a.priority = 'low' ORDER BY a.due_at DESC NULLS FIRST, a.id LIMIT 25")
 CAT.add("anomaly_page", lambda c: reports.anomaly_page(c, rule="sales_drop", sku="1"), "SELECT id, rule_type, severity, sku FROM anomalies WHERE dismissed_at IS NULL AND rule_type = 'sales_drop' AND sku ILIKE '%1%' ORDER BY severity, detected_at DESC, id LIMIT 25")
 CAT.add("audit_list", lambda c: reports.audit_list(c, "status_changed", None, "30d"), f"SELECT a.id, a.event_type, coalesce(u.name, 'System') AS actor, CASE WHEN a.new_value ->> '$.source' = 'email' THEN 'Email' ELSE '-' END AS channel, a.investigation_id FROM audit a LEFT JOIN (SELECT id AS uid, name FROM users) u ON u.uid = a.user_id WHERE a.event_type = 'status_changed' AND a.created_at >= {NOW} - INTERVAL 30 DAY")
 CAT.add(
@@ -436,30 +467,30 @@ CAT.add(
     "detection_rows",
     reports.detection_rows,
     f"""WITH e AS (SELECT investigation_id, k, label, {_SHOWN} AS value FROM (SELECT *, row_number() OVER (PARTITION BY investigation_id ORDER BY id) AS k FROM evidence) WHERE k <= 10),
-    p AS (SELECT * FROM (SELECT a.*, row_number() OVER (PARTITION BY investigation_id ORDER BY {SEV} DESC, detected_at DESC, a.id) AS k FROM anomalies a JOIN (SELECT id AS iid FROM investigations) i ON a.investigation_id = i.iid) WHERE k = 1 AND investigation_id NOT IN (SELECT investigation_id FROM e))
+    p AS (SELECT * FROM (SELECT a.*, row_number() OVER (PARTITION BY investigation_id ORDER BY {SEV} DESC, a.id) AS k FROM anomalies a JOIN (SELECT id AS iid FROM investigations) i ON a.investigation_id = i.iid) WHERE k = 1 AND investigation_id NOT IN (SELECT investigation_id FROM e))
     SELECT investigation_id, k, label, value FROM e UNION ALL SELECT investigation_id, 1, 'Units Sold', context ->> '$.units_sold' FROM p UNION ALL SELECT investigation_id, 2, 'Window Days', context ->> '$.window_days' FROM p""",
 )
 _WORDS = "array_to_string(list_transform(string_split({}, '_'), lambda x: upper(x[1]) || lower(x[2:])), ' ')"
 CAT.add(
     "export_anomalies",
     reports.export_anomalies,
-    f"""SELECT id AS "ID", severity AS "Severity", {_WORDS.format('rule_type')} AS "Rule", coalesce(sku, '') AS "SKU", coalesce(description, '') AS "Description", coalesce(investigation_status, 'not_started') AS "Investigation Status", coalesce(action_notes, '') AS "Action Notes", coalesce(resolution_notes, '') AS "Resolution Notes",
+    f"""SELECT id AS "ID", severity AS "Severity", {_LABEL.format('rule_type')} AS "Rule", coalesce(sku, '') AS "SKU", coalesce(description, '') AS "Description", coalesce(investigation_status, 'not_started') AS "Investigation Status", coalesce(action_notes, '') AS "Action Notes", coalesce(resolution_notes, '') AS "Resolution Notes",
       coalesce(strftime(detected_at, '%Y-%m-%d %H:%M'), '') AS "Detected At", coalesce(strftime(resolved_at, '%Y-%m-%d %H:%M'), '') AS "Resolved At" FROM anomalies""",
 )
 CAT.add("export_investigations", reports.export_investigations, f"""SELECT i.id AS "ID", i.title AS "Title", i.status AS "Status", i.priority AS "Priority", i.primary_sku AS "SKU", t.name AS "Team", {r('i.revenue_at_risk')} AS "Revenue at Risk", {r('o.revenue_recovered')} AS "Observed Recovery", strftime(i.opened_at, '%Y-%m-%d %H:%M:%S') AS "Opened At" FROM investigations i LEFT JOIN teams t ON t.id = i.assigned_team_id LEFT JOIN outcomes o ON o.investigation_id = i.id""")
 CAT.add(
     "export_actions",
     reports.export_actions,
-    f"""SELECT a.id AS "ID", a.title AS "Title", {_WORDS.format('a.action_type')} AS "Type", coalesce(i.title, '—') AS "Investigation", {_WORDS.format('a.priority')} AS "Priority", {_WORDS.format('a.status')} AS "Status", coalesce(u.name, 'Unassigned') AS "Assigned To", coalesce(strftime(a.due_at, '%Y-%m-%d %H:%M:%S'), '—') AS "Due At", {_SLA} AS "SLA Status"
-      FROM actions a LEFT JOIN investigations i ON i.id = a.investigation_id LEFT JOIN users u ON u.id = a.assignee_id""",
+    f"""SELECT a.id AS "ID", a.title AS "Title", {_WORDS.format('a.action_type')} AS "Type", coalesce(i.title, '—') AS "Investigation", {_WORDS.format('a.priority')} AS "Priority", {_WORDS.format('a.status')} AS "Status", coalesce(u.name, t.name, 'Unassigned') AS "Assigned To", coalesce(strftime(a.due_at, '%Y-%m-%d %H:%M:%S'), '—') AS "Due At", {_SLA} AS "SLA Status"
+      FROM actions a LEFT JOIN investigations i ON i.id = a.investigation_id LEFT JOIN users u ON u.id = a.assignee_id LEFT JOIN teams t ON t.id = a.assigned_team_id""",
 )
 CAT.add("notified_users", lambda c: reports.notified(c.table("watches").select(F.when(F.col("id") % 5 == 0, 0).otherwise(F.col("user_id")).alias("user_id"))), "SELECT DISTINCT user_id FROM watches WHERE user_id IS NOT NULL AND user_id <> 0 AND id % 5 <> 0")
 CAT.add("record_keys", lambda c: reports.record_key(c.table("audit").select(F.when(F.col("id") % 3 == 0, F.concat(F.lit('{"id":'), F.col("id"), F.lit("}"))).when(F.col("id") % 3 == 1, F.concat(F.lit('{"data":{"id":'), F.col("id"), F.lit("}}"))).otherwise(F.col("id").cast("string")).alias("key"))).select("record_id"), "SELECT CAST(id AS VARCHAR) AS record_id FROM audit")
 CAT.add("short_money", lambda c: c.table("investigations").select("id", short_money(F.coalesce(F.col("revenue_at_risk"), F.lit(0)).cast("double") * F.when(F.col("id") % 3 == 0, 1000).otherwise(1)).alias("shown")), "SELECT id, CASE WHEN v >= 1e6 THEN printf('$%.2fM', v / 1e6) WHEN v >= 1e3 THEN printf('$%.1fK', v / 1e3) ELSE printf('$%.0f', v) END AS shown FROM (SELECT id, CAST(coalesce(revenue_at_risk, 0) AS DOUBLE) * CASE WHEN id % 3 = 0 THEN 1000 ELSE 1 END AS v FROM investigations)")
 CAT.add(
     "narration_replies",
-    lambda c: investigations.parse_narration(c.table("investigations").select("id", F.concat(F.lit('```json\n{"summary":"s'), F.col("id"), F.lit('","confidence":"'), F.when(F.col("id") % 2 == 0, "HIGH").otherwise("sure"), F.lit('"}\n```')).alias("reply"))).select("id", "summary", "confidence"),
-    "SELECT id, 's' || id AS summary, CASE WHEN id % 2 = 0 THEN 'high' ELSE 'unknown' END AS confidence FROM investigations",
+    lambda c: investigations.parse_narration(c.table("investigations").select("id", F.concat(F.lit('```json\n{"summary":"s'), F.col("id"), F.lit('","confidence":"'), F.expr("element_at(array('established', 'probable', 'suspected', 'Probable', 'high', 'unknown'), cast(id % 6 + 1 AS int))"), F.lit('"}\n```')).alias("reply"))).select("id", "summary", "confidence"),
+    "SELECT id, 's' || id AS summary, CASE id % 6 WHEN 0 THEN 'established' WHEN 1 THEN 'probable' WHEN 2 THEN 'suspected' ELSE 'unknown' END AS confidence FROM investigations",
 )
 CAT.add("investigation_list_by_priority", lambda c: reports.investigation_page(c, None, None, None, "about", 6, "priority"), f"SELECT id, title, status, priority, {r('revenue_at_risk')} AS revenue_at_risk FROM investigations i WHERE (title ILIKE '%about%' OR primary_sku ILIKE '%about%' OR description ILIKE '%about%') AND primary_store_id = 6 ORDER BY {PRI.format('priority')} DESC, id LIMIT 25")
 CAT.add("order_list", lambda c: reports.order_list(c, "Supplier#000000007", dt.date(1999, 1, 1), dt.date(2000, 12, 31)), f"SELECT po_number, supplier, sku, order_date, {r('qty_ordered')} AS qty_ordered, {r('qty_received')} AS qty_received FROM purchase_orders WHERE supplier = 'Supplier#000000007' AND order_date BETWEEN DATE '1999-01-01' AND DATE '2000-12-31'")

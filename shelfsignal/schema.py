@@ -57,6 +57,37 @@ DATASETS: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
     "suppliers": (("name",), ("code", "lead_time_days", "contact_email", "contact_phone", "type", "specialization")),
     "users": (("name", "email"), ("role",)),
 }
+# What the rules are called.
+RULE_LABELS: dict[str, str] = {
+    "sales_spike": "Sales Spike",
+    "sales_drop": "Sales Drop",
+    "demand_seasonality_breach": "Demand Seasonality Breach",
+    "cannibalization_signal": "Cannibalization Signal",
+    "return_rate_spike": "Return Rate Spike",
+    "channel_mix_shift": "Channel Mix Shift",
+    "stockout_risk": "Stockout Risk",
+    "safety_stock_breach": "Safety Stock Breach",
+    "dead_stock": "Dead Stock",
+    "phantom_inventory": "Phantom Inventory",
+    "multi_location_imbalance": "Multi-Location Imbalance",
+    "reorder_point_staleness": "Reorder Point Staleness",
+    "inventory_shrinkage": "Inventory Shrinkage",
+    "po_overdue": "PO Overdue",
+    "receiving_discrepancy": "Receiving Discrepancy",
+    "supplier_lead_time_drift": "Supplier Lead Time Drift",
+    "cost_spike": "Cost Spike",
+    "price_anomaly": "Price Anomaly",
+    "margin_erosion": "Margin Erosion",
+    "discount_signal": "Discount Signal",
+    "revenue_concentration_risk": "Revenue Concentration Risk",
+    "slow_moving_capital": "Slow-Moving Capital",
+    "store_outlier": "Store Outlier",
+    "import_frequency_gap": "Import Frequency Gap",
+    "duplicate_transaction_ids": "Duplicate Transaction IDs",
+    "sku_master_drift": "SKU Master Drift",
+    "location_proliferation": "Location Proliferation",
+}
+
 # The fields of each dataset in the order in which headers are held against them.
 FIELD_ORDER: dict[str, tuple[str, ...]] = {
     "sales": ("date", "sku", "product_name", "location", "quantity", "unit_price", "total_amount", "transaction_id", "discount", "payment_method"),

@@ -15,22 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
-_BOM = "﻿"
-
-
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of delimited files as text: header trimmed and without a byte-order mark, short rows padded, blank rows left out.
+from .delimited import read_csv  # noqa: F401  one of the readers of files
 
-    ``_order`` rises with the rows' order: file by name, place of the split,
-    row; it does not depend on how the files were dealt. Quoted line breaks are
-    allowed, so that a file is one split; many files are read in parallel.
-    """
-    raw = spark.read.option("header", True).option("inferSchema", False).option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE").csv(path)
-    names = [c.replace(_BOM, "").strip() for c in raw.columns]
-    filled = [F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(n) for c, n in zip(raw.columns, names, strict=True)]
-    order = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("row"))
-    df = raw.select(*filled, order.alias("_order"))
-    return df.where(F.greatest(*(F.length(F.trim(F.col(f"`{c}`"))) for c in names), F.lit(0)) > 0)
+_BOM = "﻿"
 
 
 def head(df: DataFrame, rows: int = 10) -> dict:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import is_blank, number, parsed_date
 from ..schema import ADMIN_ROLES, DATASETS, DATES, FIELD_ORDER, NUMBERS, REQUIRED_NUMBERS
@@ -90,22 +92,37 @@ def map_headers(headers: list[str], dataset: str) -> dict[str, tuple[str | None,
     return {h: map_header(h, dataset) for h in headers}
 
 
+def map_header_rows(rows: DataFrame) -> DataFrame:
+    """``rows`` (header, dataset and more) with the field that each header means and the confidence; each distinct header is looked at once."""
+    kinds = "header string, dataset string, field string, confidence double"
+
+    def run(batches):
+        for pdf in batches:
+            found = [map_header(h, d) if h is not None and d in FIELD_ORDER else (None, 0.0) for h, d in zip(pdf["header"], pdf["dataset"], strict=True)]
+            yield pdf.assign(field=[f for f, _ in found], confidence=[c for _, c in found])
+
+    each = rows.select("header", "dataset").distinct().mapInPandas(run, kinds)
+    return rows.join(each, [rows.header.eqNullSafe(each.header), rows.dataset.eqNullSafe(each.dataset)], "left").select(*(rows[c] for c in rows.columns), each.field, each.confidence)
+
+
 def apply_map(rows: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
     """Mapped columns under their field names, empty ones null; ``_order`` passes."""
     columns = [F.nullif(F.col(f"`{h}`"), F.lit("")).alias(f) for h, f in mapping.items() if f]
     return rows.select(*columns, *(c for c in ("_order",) if c in rows.columns))
 
 
-def validate(rows: DataFrame, dataset: str, strict_zero: bool = False) -> DataFrame:
+def validate(rows: DataFrame, dataset: str, strict_zero: bool = False, today: Column | None = None) -> DataFrame:
     """Typed columns of ``dataset`` and ``error``, the first thing wrong with a row, null for a good one.
 
     Required fields must be there (the text "0" counts as missing unless
-    ``strict_zero``), dates and required numbers must be readable. An optional
+    ``strict_zero``), dates (words such as "yesterday" only where ``today`` is
+    given) and required numbers must be readable. An optional
     number that is missing or unreadable is null; so is "0" unless
     ``strict_zero``. A missing on_hand_qty is zero.
     """
     required, optional = DATASETS[dataset]
     there = [f for f in (*required, *optional) if f in rows.columns]
+    rows = rows.withColumns({f"_at_{f}": parsed_date(F.col(f), today) for f in there if f in DATES})  # read once, used twice
     errors: list[Column] = []
     for f in required:
         missing = is_blank(F.col(f), strict_zero) if f in there else F.lit(True)
@@ -114,8 +131,8 @@ def validate(rows: DataFrame, dataset: str, strict_zero: bool = False) -> DataFr
     for f in there:
         c = F.col(f)
         if f in DATES:
-            out.append(parsed_date(c).alias(f))
-            errors.append(F.when(c.isNotNull() & (c != "") & parsed_date(c).isNull(), F.lit(f"Invalid date: {f}")))
+            out.append(F.col(f"_at_{f}").alias(f))
+            errors.append(F.when(c.isNotNull() & (c != "") & F.col(f"_at_{f}").isNull(), F.lit(f"Invalid date: {f}")))
         elif f == "on_hand_qty":
             out.append(F.coalesce(number(c), F.lit(0.0)).alias(f))
         elif f in REQUIRED_NUMBERS:
@@ -133,6 +150,14 @@ def validate(rows: DataFrame, dataset: str, strict_zero: bool = False) -> DataFr
     return rows.select(*out, *extra, *keep, F.coalesce(*errors).alias("error"))
 
 
+def foreign_users(checked: DataFrame, users: DataFrame, tenant_id: int) -> DataFrame:
+    """Checked rows of users; good ones whose address belongs to a user of another tenant become rejects."""
+    other = users.where(F.col("tenant_id") != tenant_id).select(F.lower("email").alias("_email")).distinct()
+    rows = checked.join(other, F.col("email") == F.col("_email"), "left")
+    said = F.concat(F.lit("user '"), F.col("email"), F.lit("' already exists under a different tenant."))
+    return rows.withColumn("error", F.coalesce("error", F.when(F.col("_email").isNotNull(), said))).drop("_email")
+
+
 def split_valid(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Good rows, and rejects with their error."""
     return checked.where("error IS NULL").drop("error"), checked.where("error IS NOT NULL")
@@ -168,11 +193,17 @@ def resolve_dimension(rows: DataFrame, members: DataFrame, key: str, name: str =
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], order: str = "_order") -> DataFrame:
-    """Existing rows, those with a key of ``incoming`` replaced by its last row of the key."""
+    """Existing rows, those with a key of ``incoming`` replaced by its last row of the key.
+
+    Incoming rows without a key (a part of it null, empty or the text "0") are
+    new ones, each of them; existing ones without a key stay.
+    """
+    text = {f.name for f in incoming.schema.fields if isinstance(f.dataType, T.StringType)}
+    there = reduce(lambda a, b: a & b, (~is_blank(F.col(k)) if k in text else F.col(k).isNotNull() for k in keys))
     w = Window.partitionBy(*keys).orderBy(F.desc(order))
-    last = incoming.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", order)
+    last = incoming.where(there).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", order)
     kept = existing.join(last.select(*keys), keys, "left_anti")
-    return kept.unionByName(last, allowMissingColumns=True)
+    return kept.unionByName(last, allowMissingColumns=True).unionByName(incoming.where(~there).drop(order), allowMissingColumns=True)
 
 
 # Datasets that imports insert into, the only ones that can be rolled back, and the states of a committed import.
@@ -215,9 +246,15 @@ def retried(rejects: DataFrame, dataset: str) -> tuple[DataFrame, DataFrame]:
     return out(good), out(bad)
 
 
-def after_retry(imports: DataFrame, good: DataFrame, bad: DataFrame) -> DataFrame:
-    """The ledger after a retry: imported and failed rows, and the state that what remains gives."""
-    n = good.groupBy("import_id").agg(F.count("*").alias("n_good")).join(bad.groupBy("import_id").agg(F.count("*").alias("n_bad")), "import_id", "full").withColumnRenamed("import_id", "id")
+def after_retry(imports: DataFrame, good: DataFrame, bad: DataFrame, untried: DataFrame | None = None) -> DataFrame:
+    """The ledger after a retry: imported and failed rows, and the state that what remains gives.
+
+    ``untried`` holds the rejects (import_id) that were not retried; with those
+    that failed again they are what remains of an import that had a retry.
+    """
+    each = [good.select("import_id", F.lit(1).alias("g"), F.lit(0).alias("b"), F.lit(1).alias("tried")), bad.select("import_id", F.lit(0).alias("g"), F.lit(1).alias("b"), F.lit(1).alias("tried"))]
+    each += [] if untried is None else [untried.select("import_id", F.lit(0).alias("g"), F.lit(1).alias("b"), F.lit(0).alias("tried"))]
+    n = reduce(DataFrame.unionByName, each).groupBy(F.col("import_id").alias("id")).agg(F.sum("g").alias("n_good"), F.sum("b").alias("n_bad"), F.max("tried").alias("tried")).where("tried = 1").drop("tried")
     rows, bad_ = imports.join(n, "id", "left"), F.coalesce("n_bad", F.lit(0))
     hit = F.col("n_good").isNotNull() | F.col("n_bad").isNotNull()
     return rows.withColumns(
@@ -236,10 +273,10 @@ def run_figures(runs: DataFrame) -> DataFrame:
 
 
 def run_ledger(checked: DataFrame, data_type: str) -> DataFrame:
-    """One row for the run: status, counts, score, and up to 20 rejected samples by order."""
+    """One row for the run: status, counts, score, and up to 20 rejected samples, the first by order, with their row."""
     bad = F.col("error").isNotNull()
     row = checked.agg(F.count("*").alias("rows_processed"), F.count_if(~bad).alias("rows_imported"), F.count_if(bad).alias("rows_rejected"))
-    samples = checked.where(bad).orderBy("_order").limit(20).agg(F.collect_list("error").alias("samples"))
+    samples = checked.where(bad).orderBy("_order").limit(20).select(F.struct(F.col("_order").alias("row"), "error").alias("s")).agg(F.sort_array(F.collect_list("s")).alias("samples"))
     status = F.when(F.col("rows_rejected") == 0, "completed").when(F.col("rows_imported") == 0, "failed").otherwise("partial")
     score = F.when(F.col("rows_processed") > 0, F.round(F.col("rows_imported") / F.col("rows_processed") * 100, 2)).otherwise(100.0)
     return row.crossJoin(samples).select(F.lit(data_type).alias("data_type"), status.alias("status"), "rows_processed", "rows_imported", "rows_rejected", score.alias("validation_score"), "samples")

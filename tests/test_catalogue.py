@@ -14,8 +14,9 @@ from shelfsignal.plans.health_catalogue import CAT as HEALTH  # noqa: E402
 from shelfsignal.plans.ingest_catalogue import CAT as INGEST  # noqa: E402
 from shelfsignal.plans.operations_catalogue import CAT as OPERATIONS  # noqa: E402
 from shelfsignal.plans.rules_catalogue import CAT as RULES  # noqa: E402
+from shelfsignal.plans.state_catalogue import CAT as STATE  # noqa: E402
 
-CATALOGUES = (RULES, OPERATIONS, HEALTH, INGEST)
+CATALOGUES = (RULES, OPERATIONS, HEALTH, INGEST, STATE)
 ORACLES = {name: sql for c in CATALOGUES for name, sql in c.oracle().items()}
 QUERIES = {name: query for c in CATALOGUES for name, query in c.queries.items()}
 

@@ -101,13 +101,12 @@ def test_rules_that_are_switched_off(spark):
 
 
 def test_narration_parsing(spark):
-    rows = spark.createDataFrame([('```json\n{"summary": "s", "confidence": "High"}\n```',), ("nothing",), ('x {"summary": "t", "confidence": "sure"} y',)], "reply string")
-    assert [(r.summary, r.confidence) for r in investigations.parse_narration(rows).collect()] == [("s", "high"), (None, "unknown"), ("t", "unknown")]
+    replies = ['```json\n{"summary": "s", "confidence": "established"}\n```', "nothing", 'x {"summary": "t", "confidence": "Probable"} y', '```JSON {"summary": "u", "confidence": "suspected"}', '{"summary": "v", "confidence": "high"}', '{"summary": "w", "confidence": "probable"}']
+    rows = spark.createDataFrame([(x,) for x in replies], "reply string").coalesce(1)
+    assert [(r.summary, r.confidence) for r in investigations.parse_narration(rows).collect()] == [("s", "established"), (None, "unknown"), ("t", "unknown"), ("u", "suspected"), ("v", "unknown"), ("w", "probable")]
 
 
 def test_bulk_and_record_keys(spark):
-    ids = spark.createDataFrame([(1,), (2,), (3,)], "id long")
-    assert tuple(investigations.bulk(ids, spark.createDataFrame([(1,), (9,)], "id long")).first()) == (1, 2)
     keys = spark.createDataFrame([('{"id": 5}',), ('{"data": {"id": 6}}',), ("7",)], "key string")
     assert [r.record_id for r in reports.record_key(keys).collect()] == ["5", "6", "7"]
 

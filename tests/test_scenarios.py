@@ -1,6 +1,8 @@
 """Scenarios of single tenants, step by step: health, outcomes, quality, watches, imports, mail."""
 
 import datetime as dt
+import hashlib
+import hmac
 
 import pytest
 from pyspark.sql import functions as F
@@ -127,6 +129,15 @@ def test_rejected_rows_are_retried(spark):
     assert sorted((r.import_id, r._order) for r in good.collect()) == [(1, 1), (2, 1)] and [(r.import_id, r.error) for r in bad.collect()] == [(1, "Missing required field: quantity")]
     ledger = table(spark, "id long, status string, imported_rows long, failed_rows long", [(1, "completed_with_errors", 5, 2), (2, "completed_with_errors", 3, 1), (3, "failed", 0, 4)])
     assert sorted(map(tuple, imports.after_retry(ledger, good, bad).select("id", "status", "imported_rows", "failed_rows").collect())) == [(1, "completed_with_errors", 6, 1), (2, "completed", 4, 0), (3, "failed", 0, 4)]
+    untried = table(spark, "import_id long, sku string", [(1, "D"), (2, "E"), (2, "F"), (3, "G")])  # what nobody retried still counts
+    assert sorted(map(tuple, imports.after_retry(ledger, good, bad, untried).select("id", "status", "imported_rows", "failed_rows").collect())) == [(1, "completed_with_errors", 6, 2), (2, "completed_with_errors", 4, 2), (3, "failed", 0, 4)]
+
+
+def test_rows_without_a_key_are_all_kept(spark):
+    old = table(spark, "transaction_id string, q int", [("a", 1), (None, 2), ("b", 3)])
+    new = table(spark, "transaction_id string, q int, _order int", [(None, 4, 1), (None, 5, 2), ("", 6, 3), ("", 7, 4), ("0", 8, 5), ("a", 9, 6), ("a", 10, 7), (None, 5, 8)])
+    got = sorted(map(tuple, imports.upsert(old, new, ["transaction_id"]).collect()), key=repr)
+    assert got == sorted([("a", 10), ("b", 3), (None, 2), (None, 4), (None, 5), (None, 5), ("", 6), ("", 7), ("0", 8)], key=repr)
 
 
 def test_new_members_are_numbered_without_gaps(spark):
@@ -143,11 +154,27 @@ def test_replies_by_mail(spark):
         ("m8", "ann@x.org", "reply+7-abc@in.org", "", "seen"), (None, "ann@x.org", "reply+7-abc@in.org", "", "no id"), (None, "ann@x.org", "reply+7-abc@in.org", "", None),
     ]
     inbox = table(spark, "message_id string, sender string, recipient string, subject string, body string", rows)
-    tokens, users = table(spark, "token string, investigation_id long, tenant_id long", [("7-abc", 7, 1)]), table(spark, "id long, tenant_id long, email string", [(5, 1, "Ann@x.org"), (6, 2, "eve@y.org")])
-    new, ignored = mail.comments(inbox, tokens, users, table(spark, "investigation_id long, message_id string", [(7, "m8"), (8, "m2")]))
+    signature = hmac.new(b"k", b"7", hashlib.sha256).hexdigest()[:16]
+    inbox = inbox.withColumns({c: F.replace(c, F.lit("7-abc"), F.lit(f"7-{signature}")) for c in ("recipient", "subject")})
+    cases, users = table(spark, "id long, tenant_id long", [(7, 1)]), table(spark, "id long, tenant_id long, email string", [(5, 1, "Ann@x.org"), (9, 1, "ANN@x.org"), (6, 2, "eve@y.org")])
+    new, ignored = mail.comments(inbox, cases, users, table(spark, "investigation_id long, message_id string", [(7, "m8"), (8, "m2")]), b"k")
+    assert {r.author_id for r in new.collect()} == {5}
     got = {r.message_id: r.body for r in new.collect()}
     assert new.count() == 3 and got["m1"] in ("hello \nworld", "hello again") and got["m2"] == "one" and got[None] == "no id"
     assert {r.message_id: r.reason for r in ignored.collect()} == {"m3": "no reply token found", "m4": "invalid token", "m5": "sender is not a user of this tenant", "m6": "no sender address", "m7": "empty message body", "m8": "already posted", None: "empty message body"}
+    none, ignored = mail.comments(inbox, cases.where("id = 0"), users, table(spark, "investigation_id long, message_id string"), b"k")
+    assert none.count() == 0 and "investigation not found" in {r.reason for r in ignored.collect()}
+
+
+@pytest.mark.parametrize("key", [b"k", b"", b"x" * 64, bytes(range(256)), b"inbound"])
+def test_tokens_are_signed(spark, key):
+    n = 1000
+    rows = {r.id: r for r in spark.range(n).select("id", mail.signed(F.col("id"), key).alias("token")).collect()}
+    assert all(r.token == f"{i}-{hmac.new(key, str(i).encode(), hashlib.sha256).hexdigest()[:16]}" for i, r in rows.items())
+    made = table(spark, "id long, token string", [(i, r.token) for i, r in rows.items()])
+    assert made.where(mail.resolved(F.col("token"), key) == F.col("id")).count() == n
+    forged = ["7-", "7", "-abc", "x-1", "", None, rows[7].token + "0", rows[7].token[:-1], "0" + rows[7].token, rows[7].token.upper() + "A", f"8-{rows[7].token[2:]}", rows[7].token.replace("7-", "7--", 1)]
+    assert table(spark, "token string", [(t,) for t in forged]).where(mail.resolved(F.col("token"), key).isNotNull()).count() == 0
 
 
 def test_a_sheet_holds_all_rows_or_none(spark):
