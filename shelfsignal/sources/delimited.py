@@ -10,6 +10,7 @@ piece or two a split, is put together by file.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import small
+from ..functions.shared import shared_dir
 
 _BOM = "﻿"
 _PARSER = {"quote": '"', "escape": '"', "mode": "PERMISSIVE"}
@@ -92,6 +94,13 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from rest()
 
 
+def _kept(splits: DataFrame) -> DataFrame:
+    """``splits`` written to the shared folder and read again: asked several times, counted once."""
+    spark, path = splits.sparkSession, f"{shared_dir(splits.sparkSession)}/splits/{uuid.uuid4().hex}"
+    splits.write.parquet(path)
+    return spark.read.schema(splits.schema).parquet(path)
+
+
 def records(spark: SparkSession, path) -> tuple[DataFrame, list[str]]:
     """(file, at, row, head, text) of each record; and the files whose quotes don't pair up, which have none."""
     odd = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1
@@ -99,7 +108,8 @@ def records(spark: SparkSession, path) -> tuple[DataFrame, list[str]]:
     splits = lines.groupBy("file", "at").agg((F.count_if("odd") % 2).alias("odd"))
     w = Window.partitionBy("file").orderBy("at")
     splits = splits.withColumn("upto", F.sum("odd").over(w) % 2)  # a row a split
-    splits = splits.select("file", "at", ((F.col("upto") + F.col("odd")) % 2 == 1).alias("inside"), F.last("upto").over(w.rowsBetween(0, Window.unboundedFollowing)).alias("left")).where("inside OR left = 1").persist()
+    splits = splits.select("file", "at", ((F.col("upto") + F.col("odd")) % 2 == 1).alias("inside"), F.last("upto").over(w.rowsBetween(0, Window.unboundedFollowing)).alias("left")).where("inside OR left = 1")
+    splits = _kept(splits)
     broken = [r["file"] for r in splits.where("left = 1").select("file").distinct().collect()]  # as few as files with a stray quote
     starts = splits.where("inside").select("file", "at", "inside")
     crossing = not starts.isEmpty()

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.delimited import read_csv
-from ..sources.files import read_sheets
+from ..sources.files import glob_regex, read_sheets
 from ..sources.imports import apply_map, map_headers, split_valid, validate
 
 
@@ -61,16 +61,11 @@ def any_case(pattern: str) -> str:
     return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() and c.lower() != c.upper() else c for c in pattern.strip() or "*")
 
 
-def _plain(path: str) -> str:
-    """A path in which no character is a pattern."""
-    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
-
-
 def _headed(spark: SparkSession, path: str) -> DataFrame:
     """The rows of a delimited file or the first sheet of a workbook under their headers, with ``_order``."""
     if not path.lower().endswith((".xlsx", ".xlsm")):
-        return read_csv(spark, _plain(path))
-    cells = read_sheets(spark, _plain(path)).persist()
+        return read_csv(spark, path)
+    cells = read_sheets(spark, path).persist()
     head = cells.orderBy("order").limit(1).collect()  # one row
     names = [h.strip() or f"column_{i}" for i, h in enumerate(head[0]["cells"])] if head else []
     return cells.where(F.col("order") > 1).select(*(F.coalesce(F.get("cells", F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(names)), F.col("order").alias("_order"))
@@ -102,23 +97,39 @@ def poll(spark: SparkSession, feed: Feed, out: str, checkpoint: str, now, files:
     The checkpoint remembers files, failed ones included; each batch of at most
     ``files`` writes its lines of the ledger under its number, so that a batch
     that is tried again replaces its own. Files are archived or deleted by the
-    stream once their batch is done.
+    stream once their batch is done, failed ones too. Spark takes brackets,
+    braces and question marks in a file's name for a pattern: such files fail.
     """
     spark.conf.set("spark.sql.streaming.fileSource.cleaner.numThreads", "0")
-    source = spark.readStream.format("binaryFile").option("pathGlobFilter", any_case(feed.pattern)).option("maxFilesPerTrigger", files).option("maxFileAge", "36500d").option("recursiveFileLookup", "false")
+    source = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", any_case(feed.pattern)).option("maxFilesPerTrigger", files).option("maxFileAge", "36500d").option("recursiveFileLookup", "false")
     if feed.after == "archive":
         source = source.option("cleanSource", "archive").option("sourceArchiveDir", feed.archive)
     elif feed.after == "delete":
         source = source.option("cleanSource", "delete")
 
     def take(batch: DataFrame, number: int) -> None:
-        found = batch.select("path", "length").collect()  # ``files`` rows at most
+        found = batch.select("path", "length").distinct().collect()  # ``files`` rows at most
         with ThreadPoolExecutor(AT_ONCE) as pool:
             lines = list(pool.map(lambda r: (*take_file(spark, feed, r["path"], r["length"], out), now), found))
         spark.createDataFrame(lines, _LEDGER).write.mode("overwrite").parquet(f"{out}/ledger/feed={feed.id}/batch={number}")
 
     query = source.load(feed.folder).select("path", "length").writeStream.foreachBatch(take).option("checkpointLocation", f"{checkpoint}/feed={feed.id}").trigger(availableNow=True).start()
     query.awaitTermination()
+    _note_empty(spark, feed, f"{out}/ledger/feed={feed.id}", now)
+
+
+def _note_empty(spark: SparkSession, feed: Feed, ledger: str, now) -> None:
+    """Lines of the ledger for empty files, which the stream passes over: one for each, at its first sight. They stay where they are."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(feed.folder)
+    fs, like = folder.getFileSystem(conf), re.compile(glob_regex(feed.pattern))
+    for status in fs.listStatus(folder):
+        path = status.getPath().toString()
+        name = path.rsplit("/", 1)[-1]
+        if status.isFile() and not status.getLen() and like.match(name):
+            noted = f"{ledger}/batch=empty-{hashlib.sha256(path.encode()).hexdigest()[:20]}"
+            if not fs.exists(jvm.org.apache.hadoop.fs.Path(noted)):
+                spark.createDataFrame([(*take_file(spark, feed, path, 0, ""), now)], _LEDGER).write.mode("overwrite").parquet(noted)
 
 
 def poll_all(spark: SparkSession, feeds: list[Feed], out: str, checkpoint: str, now) -> dict[int, str]:
