@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 WEEKDAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
 COUNTS = ("one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve")
+_MONTHS = "|".join(m[:3] for m in MONTHS)
+_STEPS = _MONTHS + "|" + "|".join(d[:3] for d in WEEKDAYS) + "|day|week|fortnight|month|year|tomorrow|now|noon|night"
 _TIME = r"(?:[ t]+(?:at )?\d{1,2}:\d{2}(?::\d{2}(?:[.,]\d+)?)?| \d{1,2}(?= ?[ap]\.?m\.?))(?: ?[ap]\.?m\.?)?(?: ?(?:z|utc|gmt|[+-]\d{2}:?\d{2}))?$"
 
 
@@ -46,12 +48,19 @@ def _add_months(day: Column, months: Column) -> Column:
 
 
 def natural_date(c: Column, today: Column | None = None) -> Column:
-    """The date that a text means, seen from ``today`` where it is given; null for any other text."""
+    """The date that a text means, seen from ``today`` where it is given; null for any other text.
+
+    The text is made plain once and handed to the patterns as a variable, which
+    also keeps their many branches out of generated code.
+    """
     s = F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
     s = F.trim(F.regexp_replace(s, _TIME, ""))
     s = F.regexp_replace(s, r"(?<=\d)(?:st|nd|rd|th)\b", "")
     s = F.regexp_replace(s, rf"^(?:{'|'.join(sorted(_WEEKDAY, key=len, reverse=True))})\.?,? (?=.*\d)", "")
+    return F.get(F.transform(F.array(s), lambda plain: _meant(plain, today)), F.lit(0))
+
 
+def _meant(s: Column, today: Column | None) -> Column:
     def group(pattern: str, k: int) -> Column:
         return F.regexp_extract(s, pattern, k)
 
@@ -71,15 +80,17 @@ def natural_date(c: Column, today: Column | None = None) -> Column:
 
     one = F.lit(1)
     day_first, name_first, no_day, year_first = r"^(\d{1,2})[ .-]*([a-z]+)\.?[ .,-]*(\d{4})$", r"^([a-z]+)\.?[ .-]*(\d{1,2})[ ,.-]+(\d{4})$", r"^([a-z]+)\.?[ .,-]*(\d{4})$", r"^(\d{4})[ -]([a-z]+)[ -](\d{1,2})$"
-    found = [
+    numbers = [
         numeric(r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})$", 1, 2, 3), numeric(r"^(\d{4})(\d{2})(\d{2})$", 1, 2, 3), numeric(r"^(\d{1,2})/(\d{1,2})/(\d{4}|\d{2})$", 3, 1, 2), numeric(r"^(\d{1,2})[.-](\d{1,2})[.-](\d{4})$", 3, 2, 1),
+        F.date_from_unix_date(F.floor(F.regexp_extract(s, r"^@(-?\d{1,11})$", 1).try_cast("bigint") / 86400).cast("int")),
+    ]
+    named_ones = [
         _date(year(day_first, 3), named(day_first, 2), number(day_first, 1)), _date(year(name_first, 3), named(name_first, 1), number(name_first, 2)),
         _date(year(no_day, 2), named(no_day, 1), one), _date(year(year_first, 1), named(year_first, 2), number(year_first, 3)),
-        F.date_from_unix_date(F.floor(F.regexp_extract(s, r"^@(-?\d{1,11})$", 1).try_cast("bigint") / 86400).cast("int")),
     ]
-    if today is not None:
-        found += _relative(s, group, number, named, today)
-    return F.coalesce(*found)
+    steps = F.lit(None).cast("date") if today is None else F.when(s.rlike(_STEPS), F.coalesce(*_relative(s, group, number, named, today)))
+    # most texts that mean no date are told by one or two patterns
+    return F.when(s.rlike("[a-z]"), F.coalesce(F.when(s.rlike(_MONTHS), F.coalesce(*named_ones)), steps)).when(s.rlike(r"^[@\d]"), F.coalesce(*numbers))
 
 
 def _relative(s: Column, group, number, named, today: Column) -> list[Column]:

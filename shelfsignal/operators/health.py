@@ -43,19 +43,25 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def measured(ctx: Context) -> DataFrame:
-    """dataset, received, newest, orphans and shares (column, share of filled values); one pass over each table."""
+    """dataset, received, newest, orphans and shares (column, share of filled values); one pass over each table.
+
+    Tables with SKUs are added up by SKU first, so that products are joined
+    with a row for each SKU, not with each row.
+    """
     products = ctx.table("products").select(F.col("sku").alias("known")).distinct()
     out = []
     for name, (table, columns, date, *_) in DATASETS.items():
-        rows = ctx.table(table)
-        fallback = F.max("updated_at").cast("timestamp") if "updated_at" in rows.columns else F.lit(None).cast("timestamp")
-        newest = F.coalesce(F.max(date).cast("timestamp"), fallback) if date else fallback
-        orphans = F.lit(0).cast("long")
-        if name in WITH_SKUS:
-            rows = rows.join(products, F.col("sku") == F.col("known"), "left")
-            orphans = F.count_if(F.col("sku").isNotNull() & F.col("known").isNull())
-        shares = F.array(*(F.struct(F.lit(c).alias("column"), F.coalesce(F.try_divide(F.count(c).cast("double"), F.count("*").cast("double")), F.lit(1.0)).alias("share")) for c in columns))
-        out.append(rows.agg(F.lit(name).alias("dataset"), F.count("*").alias("received"), newest.alias("newest"), orphans.alias("orphans"), shares.alias("shares")))
+        rows, by_sku = ctx.table(table), name in WITH_SKUS
+        at = {k: c for k, c in (("date", date), ("changed", "updated_at" if "updated_at" in rows.columns else None)) if c}
+        sums = [F.count("*").alias("n"), *(F.count(c).alias(f"n_{i}") for i, c in enumerate(columns)), *(F.max(c).cast("timestamp").alias(k) for k, c in at.items())]
+        if by_sku:
+            rows = rows.groupBy("sku").agg(*sums).join(products, F.col("sku") == F.col("known"), "left")
+            total, orphans = lambda c: F.coalesce(F.sum(c), F.lit(0)), F.coalesce(F.sum(F.when(F.col("sku").isNotNull() & F.col("known").isNull(), F.col("n"))), F.lit(0))
+        else:
+            rows, total, orphans = rows.agg(*sums), F.sum, F.lit(0).cast("long")
+        newest = F.coalesce(*(F.max(k) for k in at)) if at else F.lit(None).cast("timestamp")
+        shares = F.array(*(F.struct(F.lit(c).alias("column"), F.coalesce(F.try_divide(total(f"n_{i}").cast("double"), total("n").cast("double")), F.lit(1.0)).alias("share")) for i, c in enumerate(columns)))
+        out.append(rows.agg(F.lit(name).alias("dataset"), total("n").alias("received"), newest.alias("newest"), orphans.alias("orphans"), shares.alias("shares")))
     return _union(out)
 
 

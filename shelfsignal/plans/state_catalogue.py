@@ -17,14 +17,14 @@ from .registry import Catalogue, r
 from .rules_catalogue import T
 
 CAT = Catalogue()
-_PERIOD = (dt.date(2024, 1, 5), dt.date(2024, 1, 25))
+_PERIOD = (dt.date(2024, 1, 1), dt.date(2024, 1, 29))
 _LABEL = "CASE {0} WHEN 'po_overdue' THEN 'PO Overdue' WHEN 'sku_master_drift' THEN 'SKU Master Drift' WHEN 'slow_moving_capital' THEN 'Slow-Moving Capital' WHEN 'multi_location_imbalance' THEN 'Multi-Location Imbalance' WHEN 'duplicate_transaction_ids' THEN 'Duplicate Transaction IDs' ELSE array_to_string(list_transform(string_split({0}, '_'), lambda x: upper(x[1]) || lower(x[2:])), ' ') END"
 _WORDS = "array_to_string(list_transform(string_split({}, '_'), lambda x: upper(x[1]) || lower(x[2:])), ' ')"
 _CAP = "upper({0}[1]) || {0}[2:]"
 
 
 def _in(column: str) -> str:
-    return f"CAST({column} AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-25'"
+    return f"CAST({column} AS DATE) BETWEEN DATE '2024-01-01' AND DATE '2024-01-29'"
 
 
 # Committed state
@@ -136,10 +136,10 @@ CAT.add("outcome_record_write_back", lambda c: _recorded(c)[1].select("id", "obs
 
 
 def _tenants(c):
-    return c.table("anomalies").withColumn("tenant_id", F.col("id") % 5), c.table("teams").select("id", F.when(F.col("id") != 2, F.concat(F.lit("t"), "id")).alias("notification_email"), (F.col("id") % 2 == 0).alias("notify_on_high"), (F.col("id") > 2).alias("notify_on_medium"))
+    return c.table("anomalies").withColumn("tenant_id", F.expr("id div 7 % 5")), c.table("teams").select("id", F.when(F.col("id") != 2, F.concat(F.lit("t"), "id")).alias("notification_email"), (F.col("id") % 2 == 0).alias("notify_on_high"), (F.col("id") > 2).alias("notify_on_medium"))
 
 
-_TOLD = "SELECT id, id % 5 AS tenant_id, rule_type, severity, sku, detected_at FROM anomalies WHERE dismissed_at IS NULL AND notified_at IS NULL AND id % 5 <> 2 AND ((severity = 'high' AND id % 5 IN (0, 4)) OR (severity = 'medium' AND id % 5 IN (3, 4)))"
+_TOLD = "SELECT id, id // 7 % 5 AS tenant_id, rule_type, severity, sku, detected_at FROM anomalies WHERE dismissed_at IS NULL AND notified_at IS NULL AND ((severity = 'high' AND id // 7 % 5 IN (0, 4)) OR (severity = 'medium' AND id // 7 % 5 IN (3, 4)))"
 CAT.add("digest_by_tenant", lambda c: reports.digests(_tenants(c)[1], _tenants(c)[0], c.clock())[0].drop("notification_email"), f"SELECT tenant_id, id, rule_type, severity, sku, row_number() OVER (PARTITION BY tenant_id ORDER BY {SEV} DESC, detected_at DESC, id) AS place FROM ({_TOLD})")
 CAT.add("digest_marks", lambda c: reports.digests(_tenants(c)[1], _tenants(c)[0], c.clock())[1].select("id", (F.col("notified_at") == c.clock()).alias("told_now")), f"SELECT id, CASE WHEN id IN (SELECT id FROM ({_TOLD})) THEN true WHEN notified_at IS NOT NULL THEN false END AS told_now FROM anomalies")
 _O = "FROM outcomes"
