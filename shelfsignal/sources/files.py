@@ -108,7 +108,7 @@ class SheetReader(DataSourceReader):
 
 
 class SheetSource(DataSource):
-    """``spark.read.format("sheet").load(path)``: the first sheet of a local XLSX file, header in its first row."""
+    """``spark.read.format("sheet").load(path)``: the first sheet of an XLSX file on a folder that driver and executors share; ``read_workbook`` reads any file system."""
 
     @classmethod
     def name(cls) -> str:
@@ -139,13 +139,26 @@ def read_sheets(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(run, "file string, order long, cells array<string>")
 
 
+def read_workbook(spark: SparkSession, path: str) -> DataFrame:
+    """The first sheets of XLSX files on any file system under the header of the first file: text columns, blank rows left out, ``_order`` by file and row.
+
+    A file is unpacked by one task, as its format asks; headers are trimmed and
+    without a byte-order mark, an empty one is named by its place.
+    """
+    cells = read_sheets(spark, path)
+    head = cells.where(F.col("order") == 1).orderBy("file").limit(1).collect()  # one row
+    names = [h.replace(_BOM, "").strip() or f"column_{i}" for i, h in enumerate(head[0]["cells"])] if head else []
+    rows = cells.where((F.col("order") > 1) & F.exists("cells", lambda v: F.length(F.trim(v)) > 0))
+    return rows.select(*(F.coalesce(F.get("cells", F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(names)), F.struct("file", "order").alias("_order"))
+
+
 def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
     """Headed CSV files in the folder ``path``, as many as ``df`` has partitions; one file only where it is asked for."""
     (df.coalesce(1) if one_file else df).write.mode("overwrite").option("header", True).csv(path)
 
 
 def workbook(sheets: dict[str, tuple[list[str], Iterable[tuple]]]) -> bytes:
-    """An XLSX file of small tables, the summary first: names of up to 31 characters, headers frozen."""
+    """An XLSX file of small tables, made in one process as its format asks, the summary first: names of up to 31 characters, headers frozen."""
     from xml.sax.saxutils import escape
 
     def cell(v) -> str:

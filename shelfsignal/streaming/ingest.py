@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.delimited import read_csv
-from ..sources.files import glob_regex, read_sheets
+from ..sources.files import glob_regex, read_workbook
 from ..sources.imports import apply_map, map_headers, split_valid, validate
 
 
@@ -63,12 +63,7 @@ def any_case(pattern: str) -> str:
 
 def _headed(spark: SparkSession, path: str) -> DataFrame:
     """The rows of a delimited file or the first sheet of a workbook under their headers, with ``_order``."""
-    if not path.lower().endswith((".xlsx", ".xlsm")):
-        return read_csv(spark, path)
-    cells = read_sheets(spark, path).persist()
-    head = cells.orderBy("order").limit(1).collect()  # one row
-    names = [h.strip() or f"column_{i}" for i, h in enumerate(head[0]["cells"])] if head else []
-    return cells.where(F.col("order") > 1).select(*(F.coalesce(F.get("cells", F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(names)), F.col("order").alias("_order"))
+    return read_workbook(spark, path) if path.lower().endswith((".xlsx", ".xlsm")) else read_csv(spark, path)
 
 
 def take_file(spark: SparkSession, feed: Feed, path: str, size: int, out: str) -> tuple:

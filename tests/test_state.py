@@ -139,3 +139,39 @@ def test_runs_of_detection(spark, store):
     assert runs.detection_run(store, ctx, detections, ran) == 3
     assert facts() == once and cases() == before
     assert rows(store.read("investigations", 2)) == rows(store.read("investigations", 3))
+
+
+def test_runs_of_measurement(spark, store):
+    day = dt.date(2024, 1, 1)
+    sales = spark.createDataFrame([("A", day + dt.timedelta(i), 100.0 if i < 20 or i > 30 else 10.0, 1.0, 1.0) for i in range(-40, 46)], "sku string, date date, total_amount double, quantity double, unit_price double")
+    cases = spark.createDataFrame([(7, "A", day + dt.timedelta(20), day + dt.timedelta(30))], "case_id long, sku string, detected_on date, done_on date")
+    first = spark.createDataFrame([(7, "monitoring", 12.5, "not_attempted", "insufficient", None)], "investigation_id long, outcome_state string, observed_recovery double, attribution_status string, evidence_strength string, next_measurement_at timestamp_ntz")
+    runs.load(store, outcomes=first)
+    c = Context({"sales": sales, "cases": cases}, dt.date(2024, 3, 1), NOW, 1)
+    assert runs.measurement_run(store, c) == 2
+    once = rows(store.read("measurements")), rows(store.read("outcomes"))
+    assert len(once[0]) == 1 and store.read("outcomes").first()["observed_recovery"] == 12.5
+    assert runs.measurement_run(store, c) == 3  # at the same time: nothing is measured twice
+    assert (rows(store.read("measurements")), rows(store.read("outcomes"))) == once
+    assert runs.measurement_run(store, Context(c.tables, c.as_of, NOW + dt.timedelta(days=1), 1)) == 4 and store.read("measurements").count() == 2
+
+
+def test_runs_of_watches(spark, store):
+    from test_scenarios import watch_context
+
+    c = watch_context(spark, "resolved")
+    runs.load(store, watches=c.table("watches"), watch_ledger=spark.createDataFrame([], "watch_id long, signature string, sent_at timestamp_ntz"))
+    told = runs.watch_run(store, c)
+    assert told.count() > 0 and store.version() == 2
+    sent = rows(store.read("watch_ledger").select("watch_id", "signature"))
+    assert sent and store.read("watches").count() == c.table("watches").count()
+    assert runs.watch_run(store, c).count() == 0 and rows(store.read("watch_ledger").select("watch_id", "signature")) == sent
+
+
+def test_entry_of_a_workbook(spark, tmp_path):
+    from shelfsignal.sources import files
+
+    (tmp_path / "a.xlsx").write_bytes(files.workbook({"One": (["SKU ", "", "Qty"], [("A", None, 1), (None, None, None), ("B", "x", 2.5)])}))
+    got = files.read_workbook(spark, f"file://{tmp_path}/a.xlsx")
+    assert got.columns == ["SKU", "column_1", "Qty", "_order"]
+    assert sorted(tuple(r)[:3] for r in got.collect()) == [("A", "", "1"), ("B", "x", "2.5")]
