@@ -63,10 +63,11 @@ def correlation_groups(ctx: Context) -> DataFrame:
 
 
 def entities(ctx: Context) -> DataFrame:
-    """Distinct rule, SKU and store entities of linked anomalies."""
-    a = ctx.table("anomalies").where("investigation_id IS NOT NULL")
+    """Distinct rule, SKU and store entities of linked anomalies; a store by its name, or its number where it has no row."""
+    stores = ctx.table("stores").select(F.col("id").alias("store_id"), F.col("name").alias("store_name"))
+    a = ctx.table("anomalies").where("investigation_id IS NOT NULL").join(stores, "store_id", "left")
     entity = lambda kind, key: F.when(key.isNotNull(), F.struct(F.lit(kind).alias("entity_type"), key.cast("string").alias("entity_key")))
-    each = F.explode(F.array_compact(F.array(entity("rule", F.col("rule_type")), entity("sku", F.col("sku")), entity("store", F.col("store_id"))))).alias("e")
+    each = F.explode(F.array_compact(F.array(entity("rule", F.col("rule_type")), entity("sku", F.col("sku")), entity("store", F.coalesce("store_name", F.col("store_id").cast("string")))))).alias("e")
     return a.select("investigation_id", each).select("investigation_id", "e.*").groupBy("investigation_id", "entity_type", "entity_key").agg(F.count("*").alias("anomalies"))
 
 

@@ -80,7 +80,7 @@ CAT.add(
     "investigation_entities",
     investigations.entities,
     """SELECT investigation_id, t AS entity_type, k AS entity_key, count(*) AS anomalies FROM (SELECT investigation_id, 'rule' AS t, rule_type AS k FROM anomalies WHERE investigation_id IS NOT NULL UNION ALL SELECT investigation_id, 'sku', sku FROM anomalies WHERE investigation_id IS NOT NULL AND sku IS NOT NULL
-    UNION ALL SELECT investigation_id, 'store', CAST(store_id AS VARCHAR) FROM anomalies WHERE investigation_id IS NOT NULL AND store_id IS NOT NULL) GROUP BY ALL""",
+    UNION ALL SELECT investigation_id, 'store', coalesce(s.name, CAST(store_id AS VARCHAR)) FROM anomalies LEFT JOIN stores s ON s.id = store_id WHERE investigation_id IS NOT NULL AND store_id IS NOT NULL) GROUP BY ALL""",
 )
 CAT.add(
     "investigation_rollup",
