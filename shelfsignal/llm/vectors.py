@@ -18,7 +18,10 @@ Adjacency lists are united over all shards. Then every class searches in its
 shards: a greedy search from the shard's medoid and the class's own node keeps
 ``BEAM`` candidates, then expands everything in a range wider than the
 threshold until nothing new turns up. Only nodes that a search comes across
-are compared. What it finds is verified in double precision.
+are compared. What it finds is verified in double precision. A shard in which
+more than ``DENSE`` of all pairs are links (64 of its classes against all tell)
+has no use for a graph, as a search would come across all of it: it is compared
+by products of blocks, and writes no adjacency lists.
 
 A pair that meets in several shards counts in the first one only, so shards
 return a count and a local component for each member, never pairs. Recall is
@@ -47,6 +50,7 @@ from .common import bounded_sample, connected_components, stage, tune
 
 SHARD, MEMBERS, CENTROIDS, FIT = 2000, 700, 8192, 8
 DEGREE, NEAREST, ROUNDS, ALPHA, BEAM, SLACK = 24, 48, 2, 1.2, 16, 0.08
+DENSE, PROBES = 0.25, 64
 AUDIT, RECALL, LEAST, OVERLAP, MOST_OVERLAP = 2048, 0.97, 0.9, 2, 16
 _log = logging.getLogger(__name__)
 #: Members of a coarse cell that are looked up in one run of rows.
@@ -188,6 +192,19 @@ def search(x: np.ndarray, graph: np.ndarray, threshold: float, chunk: int = 256)
     return found
 
 
+def dense(x: np.ndarray, threshold: float) -> bool:
+    """Whether so many pairs are links that a graph would not save comparisons."""
+    probes = x[np.linspace(0, len(x) - 1, PROBES).astype(int)]
+    return len(x) > PROBES and float((probes @ x.T >= threshold).mean()) > DENSE
+
+
+def products(x: np.ndarray, threshold: float, chunk: int = 256) -> np.ndarray:
+    """As ``search``, by comparing all."""
+    found = np.concatenate([x[a : a + chunk] @ x.T >= threshold - 1e-4 for a in range(0, len(x), chunk)])
+    np.fill_diagonal(found, False)
+    return found
+
+
 def _assigned(centroids: dict[int, np.ndarray], overlap: int):
     def run(batches):
         for batch in batches:
@@ -206,14 +223,29 @@ def _assigned(centroids: dict[int, np.ndarray], overlap: int):
     return run
 
 
-def _graph(table):
-    table = table.sort_by("id")
-    ids = table["id"].to_numpy()
-    if len(ids) < 2:
-        return pa.table({"src": ids[:0], "dst": ids[:0]})
-    flat = build(matrix(table["v"]))
-    row, col = np.nonzero(flat != np.arange(len(ids))[:, None])
-    return pa.table({"src": ids[row], "dst": ids[flat[row, col]]})
+def _graph(percent: int):
+    def run(table):
+        table = table.sort_by("id")
+        ids = table["id"].to_numpy()
+        x = matrix(table["v"]) if len(ids) > 1 else None
+        if x is None or dense(x, percent / 100):
+            return pa.table({"src": ids[:0], "dst": ids[:0]})
+        flat = build(x)
+        row, col = np.nonzero(flat != np.arange(len(ids))[:, None])
+        return pa.table({"src": ids[row], "dst": ids[flat[row, col]]})
+
+    return run
+
+
+def met_before(shards, shard: int) -> np.ndarray:
+    """Boolean (nodes x nodes): which nodes have a shard of a smaller number in common as well; such pairs count there."""
+    lists = shards.combine_chunks() if isinstance(shards, pa.ChunkedArray) else shards
+    owner, number = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
+    owner, number = owner[number < shard], number[number < shard]
+    names, at = np.unique(number, return_inverse=True)
+    has = np.zeros((len(lists), len(names)), np.float32)
+    has[owner, at] = 1
+    return has @ has.T > 0.5
 
 
 def _searched(percent: int):
@@ -229,15 +261,11 @@ def _searched(percent: int):
             at = np.minimum(np.searchsorted(ids, v), n - 1)
             at = at[ids[at] == v]
             graph[i, : len(at)] = at
-        found = search(x, graph, percent / 100)
-        first = table["shards"].to_pylist()
+        found = products(x, percent / 100) if dense(x, percent / 100) else search(x, graph, percent / 100)
         row, col = np.nonzero(np.triu(found))
         exact = np.concatenate([np.einsum("nd,nd->n", x[row[i : i + 65536]], x[col[i : i + 65536]]) for i in range(0, len(row), 65536)] or [np.zeros(0)])
         row, col = row[exact >= percent / 100], col[exact >= percent / 100]
-        several = [len(s) > 1 for s in first]
-        mine = np.ones(len(row), bool)
-        for k in np.flatnonzero(np.array(several)[row] & np.array(several)[col]) if len(row) else []:
-            mine[k] = min(set(first[row[k]]) & set(first[col[k]])) == shard
+        mine = ~met_before(table["shards"], shard)[row, col]
         links = np.bincount(row[mine], weight[col[mine]], n) + np.bincount(col[mine], weight[row[mine]], n)
         root = np.arange(n)
         while True:
@@ -346,7 +374,7 @@ def _linked(classes: DataFrame, percent: int, overlap: int) -> DataFrame:
     spread = spread.withColumn("o", F.explode(other)).withColumn("shard", F.expr("xxhash64(c, if(blocks = 1, 0L, least(b, o)), if(blocks = 1, 0L, greatest(b, o)))"))
     shards = stage(spread.groupBy("id").agg(F.collect_set("shard").alias("shards")), "shards")
     members = stage(classes.join(shards, "id").withColumn("shard", F.explode("shards")), "members")
-    edges = members.select("shard", "id", "v").groupBy("shard").applyInArrow(_graph, "src long, dst long")
+    edges = members.select("shard", "id", "v").groupBy("shard").applyInArrow(_graph(percent), "src long, dst long")
     lists = stage(edges.groupBy("src").agg(F.collect_set("dst").alias("neighbours")), "lists")
     rows = members.join(lists, members.id == lists.src, "left").drop("src")
     return rows.groupBy("shard").applyInArrow(_searched(percent), "id long, links long, root long")

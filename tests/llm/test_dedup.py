@@ -373,3 +373,27 @@ def test_recall_too_low_is_an_error(spark, monkeypatch):
     rows = [(i, [1.0, float(i)]) for i in range(5)]
     with pytest.raises(RuntimeError, match="recall"):
         vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+
+
+def test_pairs_count_in_their_first_shard():
+    rng = np.random.default_rng(2)
+    lists = [sorted({5, *rng.integers(0, 9, rng.integers(0, 4)).tolist()}) for _ in range(40)]
+    found = vectors.met_before(vectors.pa.array(lists, vectors.pa.list_(vectors.pa.int64())), 5)
+    assert found.tolist() == [[min(set(a) & set(b)) < 5 for b in lists] for a in lists]
+    assert not vectors.met_before(vectors.pa.array([[5], [5, 7]]), 5).any()
+
+
+def test_a_dense_group_is_compared_by_products(spark, monkeypatch):
+    """One group of near copies over several blocks, beside vectors that link with few: counts are exact, and no graph is built for it."""
+    monkeypatch.setattr(vectors, "SHARD", 200)
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=24)
+    x = np.concatenate([base + rng.normal(0, 0.3, (700, 24)), rng.normal(size=(150, 24))])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = u @ u.T >= 0.9
+    assert vectors.dense(u[:200], 0.9) and not vectors.dense(u[700:], 0.9) and not vectors.dense(u[:60], 0.9)
+    found, other = vectors.products(u, 0.9), ~np.eye(len(u), dtype=bool)
+    assert not (linked & other & ~found).any() and not (found & (u @ u.T < 0.8998)).any() and not found.diagonal().any()
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in vectors.near_duplicates(rows).collect()}
+    assert [got[i] for i in range(700)] == (linked.sum(axis=1) - 1)[:700].tolist()
