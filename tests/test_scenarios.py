@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfsignal.context import Context
-from shelfsignal.operators import health, metrics, outcomes, watches
+from shelfsignal.operators import health, metrics, outcomes, reports, watches
 from shelfsignal.sources import files, imports, mail
 
 T = dt.date(2024, 6, 1)
@@ -96,6 +96,15 @@ def test_quality_is_withheld_with_few_resolved(spark):
     assert tuple(metrics.quality_score(c).first()) == (1, False, None)
 
 
+def test_anomalies_count_by_store_with_and_without_a_row(spark):
+    ago = lambda days: NOW - dt.timedelta(days=days)
+    rows = [(1, 3, ago(1)), (1, 3, ago(30)), (1, 3, ago(31)), (1, 4, ago(2)), (1, 9, ago(2)), (1, None, ago(1)), (2, 3, ago(1))]
+    stores = table(spark, "tenant_id long, id long, name string", [(1, 3, "North"), (1, 4, "North"), (1, 5, "South"), (2, 9, "Other")])
+    c = Context({"anomalies": table(spark, "tenant_id long, store_id long, detected_at timestamp", rows), "stores": stores}, T, NOW, 1)
+    got = {(r.name, r.store, r.anomalies) for r in reports.anomalies_by_store(c).collect()}
+    assert got == {("Store 3", "North", 2), ("Store 4", "North", 1), ("Store 9", None, 1)}
+
+
 def watch_context(spark, status, ledger=()):
     schema = "tenant_id long, id long, investigation_id long, user_id long, team_id long, mode string, until_date timestamp, active boolean, triggers array<string>, last_status string, last_priority string, last_actions long, last_completed long, last_overdue long, last_escalations long, last_at_risk double, last_recovered double"
     tables = {
