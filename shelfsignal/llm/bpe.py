@@ -9,7 +9,7 @@ A text is cut where a single space stands between two characters that aren't
 white space: there a token always begins, whatever the texts. The library
 encodes each distinct piece once while a task remembers it, in a table that is
 emptied when full; the new pieces of a batch go to the library in one call,
-words joined to long strings.
+up to a hundred joined to a string (longer strings cost it more a word).
 
 Defined cases: a null or empty text has no tokens; ids outside the vocabulary
 are an error; special tokens' strings are ordinary text; null ids and null
@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import chain
+from itertools import chain, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +33,8 @@ from pyspark.sql import types as T
 from .common import tune
 
 _CUT = re.compile(r"(?<=\S)(?= \S)")
-#: Pieces and characters that a task remembers before it begins anew (a batch may add to them), and the words that go to the library as one string.
-REMEMBERED, MOST_CHARS, TOGETHER = 300_000, 8_000_000, 3000
+#: Pieces and characters that a task remembers before it begins anew (a batch may add to them), and the most that go to the library as one string.
+REMEMBERED, MOST_CHARS, TOGETHER = 300_000, 8_000_000, 100
 
 
 def byte_table() -> dict[str, int]:
@@ -59,6 +59,14 @@ def _spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(start - before, count) + np.arange(int(count.sum()))
 
 
+class _Numbers(dict):
+    """Numbers keys as they come."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
 class Pieces:
     """Ids and character offsets of pieces, each distinct one encoded once while it is remembered."""
 
@@ -67,36 +75,36 @@ class Pieces:
         self.forget()
 
     def forget(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index: dict[str, int] = _Numbers()
         self.chars = self.start = self.count = self.ids = self.first = self.end = np.zeros(0, np.int32)
 
     def numbers(self, pieces: list[str]) -> np.ndarray:
-        """The place of each piece in the tables; unknown ones are encoded, those that join like words in long strings."""
+        """The place of each piece in the tables; unknown ones are numbered as they come and encoded."""
         if len(self.index) > REMEMBERED or self.chars.sum() > MOST_CHARS:
             self.forget()
-        new = [p for p in dict.fromkeys(pieces) if p not in self.index]
-        together = [p for p in new if p[0] == " " and len(p) > 1 and not (p[1].isspace() or p[-1].isspace())]
-        joined = set(together)
-        alone = [p for p in new if p not in joined]
-        runs = [[p] for p in alone] + [together[i : i + TOGETHER] for i in range(0, len(together), TOGETHER)]
-        new = alone + together
-        n, at, count = len(self.index), len(self.ids), []
-        chars, ids, first, end = [self.chars], [self.ids], [self.first], [self.end]
-        for run, e in zip(runs, self.tokenizer.encode_batch(["".join(r) for r in runs], add_special_tokens=False), strict=True):
-            spans = np.array(e.offsets, np.int32).reshape(-1, 2)
-            size = np.fromiter(map(len, run), np.int32, len(run))
-            begin = np.cumsum(size, dtype=np.int32) - size
-            owner = np.searchsorted(begin, spans[:, 0], "right") - 1
-            ids.append(np.array(e.ids, np.int32))
-            first.append(spans[:, 0] - begin[owner])
-            end.append(spans[:, 1] - begin[owner])
-            count.append(np.bincount(owner, minlength=len(run)).astype(np.int32))
-            chars.append(size)
-        self.index.update(zip(new, range(n, n + len(new)), strict=True))
-        self.chars, self.ids, self.first, self.end = (np.concatenate(x) for x in (chars, ids, first, end))
-        count = np.concatenate([self.count, *count])
-        self.start, self.count = np.concatenate([self.start, at + np.cumsum(count[n:], dtype=np.int32) - count[n:]]), count
-        return np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
+        index, known = self.index, len(self.index)
+        at = np.fromiter(map(index.__getitem__, pieces), np.int64, len(pieces))
+        if new := list(islice(index, known, None)):
+            self._add(new)
+        return at
+
+    def _add(self, new: list[str]) -> None:
+        """Encodes pieces; a run goes on where a single space parts two characters that aren't white space."""
+        joins = [q[:1] == " " and not (q[1:2].isspace() or p[-1].isspace()) and len(q) > 1 for p, q in pairwise(new)]
+        begins = [0] + [i for i, joined in enumerate(joins, 1) if not joined or i % TOGETHER == 0]
+        runs = ["".join(new[i:j]) for i, j in pairwise([*begins, len(new)])]
+        found = self.tokenizer.encode_batch(runs, add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(e.ids for e in found), np.int32)
+        spans = np.fromiter(chain.from_iterable(chain.from_iterable(e.offsets for e in found)), np.int64).reshape(-1, 2)
+        chars = np.fromiter(map(len, new), np.int64, len(new))
+        start = np.cumsum(chars) - chars  # of the pieces, all runs in a row
+        spans += np.repeat(start[begins], np.fromiter(map(len, found), np.int64, len(found)))[:, None]
+        owner = np.searchsorted(start, spans[:, 0], "right") - 1
+        spans -= start[owner][:, None]
+        count = np.bincount(owner, minlength=len(new))
+        first = len(self.ids) + np.cumsum(count) - count
+        for name, more in (("chars", chars), ("start", first), ("count", count), ("ids", ids), ("first", spans[:, 0]), ("end", spans[:, 1])):
+            setattr(self, name, np.concatenate([getattr(self, name), more.astype(np.int32)]))
 
 
 _pieces: dict[str, Pieces] = {}

@@ -64,6 +64,31 @@ def test_pieces_that_are_forgotten(paths, monkeypatch):
         assert ids == [pieces.tokenizer.encode(w, add_special_tokens=False).ids for w in words]
 
 
+def test_new_pieces_in_short_runs(paths):
+    words = [" w" + "".join(map(chr, np.random.default_rng(i).integers(97, 123, 9))) for i in range(1000)]
+    odd = ["Ab", " ", "\n c", "d ", " é\U0001f601", "\x1c", " '", "'s", " 's", "\x85e", " f\ng", "  h", " ", " i\t", " j"]
+    pieces = bpe.Pieces(bpe.load(paths[0]))
+    plain, asked = pieces.tokenizer, []
+
+    class Heard:
+        def encode_batch(self, texts, **options):
+            asked.extend(texts)
+            return plain.encode_batch(texts, **options)
+
+    pieces.tokenizer = Heard()
+    given = words[:500] + odd + words
+    at = pieces.numbers(given)
+    for p, i in zip(given, at, strict=True):
+        e, of = plain.encode(p, add_special_tokens=False), slice(pieces.start[i], pieces.start[i] + pieces.count[i])
+        assert pieces.ids[of].tolist() == e.ids and pieces.chars[i] == len(p)
+        assert list(zip(pieces.first[of].tolist(), pieces.end[of].tolist(), strict=True)) == e.offsets
+    assert sum(map(len, asked)) == sum(map(len, set(given)))  # each once
+    assert max(x.count(" w") for x in asked) <= 100  # long strings cost the library twice the time a word
+    assert len(asked) < len(odd) + 20
+    assert pieces.numbers(words).tolist() == at[-1000:].tolist() and sum(map(len, asked)) == sum(map(len, set(given)))
+    assert pieces.numbers([]).tolist() == []
+
+
 # HTML
 
 
