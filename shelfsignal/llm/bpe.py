@@ -10,6 +10,8 @@ white space: there a token always begins, whatever the texts. The library
 encodes each distinct piece once while a task remembers it, in a table that is
 emptied when full; the new pieces of a batch go to the library in one call,
 up to a hundred joined to a string (longer strings cost it more a word).
+A batch is worked off in slices of bounded size, and decoding gets the bytes of
+all tokens with the task, so that a worker's memory stays small beside the JVM's.
 
 Defined cases: a null or empty text has no tokens; ids outside the vocabulary
 are an error; special tokens' strings are ordinary text; null ids and null
@@ -21,7 +23,8 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import chain, islice, pairwise
+from array import array
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +38,8 @@ from .common import tune
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 #: Pieces and characters that a task remembers before it begins anew (a batch may add to them), and the most that go to the library as one string.
 REMEMBERED, MOST_CHARS, TOGETHER = 300_000, 8_000_000, 100
+#: Characters, and tokens, that a worker takes in hand at once; a longer text goes alone.
+SLICE_CHARS, SLICE_TOKENS = 1 << 18, 1 << 16
 
 
 def byte_table() -> dict[str, int]:
@@ -59,11 +64,27 @@ def _spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(start - before, count) + np.arange(int(count.sum()))
 
 
+def _slices(sizes, most: int):
+    """Ranges of rows whose sizes add up to at most ``most``, or of one row."""
+    i = held = 0
+    for j, size in enumerate(sizes):
+        if j > i and held + size > most:
+            yield i, j
+            i, held = j, 0
+        held += size
+    if len(sizes):
+        yield i, len(sizes)
+
+
 class _Numbers(dict):
-    """Numbers keys as they come."""
+    """Numbers keys as they come and lists the new ones."""
+
+    def __init__(self):
+        self.new: list[str] = []
 
     def __missing__(self, key: str) -> int:
         self[key] = n = len(self)
+        self.new.append(key)
         return n
 
 
@@ -75,17 +96,19 @@ class Pieces:
         self.forget()
 
     def forget(self) -> None:
-        self.index: dict[str, int] = _Numbers()
-        self.chars = self.start = self.count = self.ids = self.first = self.end = np.zeros(0, np.int32)
+        self.index = _Numbers()
+        self.held = 0  # characters
+        self.chars, self.start, self.count, self.ids, self.first, self.end = (array("i") for _ in range(6))  # they grow in place
 
     def numbers(self, pieces: list[str]) -> np.ndarray:
         """The place of each piece in the tables; unknown ones are numbered as they come and encoded."""
-        if len(self.index) > REMEMBERED or self.chars.sum() > MOST_CHARS:
+        if len(self.index) > REMEMBERED or self.held > MOST_CHARS:
             self.forget()
-        index, known = self.index, len(self.index)
+        index = self.index
         at = np.fromiter(map(index.__getitem__, pieces), np.int64, len(pieces))
-        if new := list(islice(index, known, None)):
-            self._add(new)
+        if index.new:
+            self._add(index.new)
+            index.new = []
         return at
 
     def _add(self, new: list[str]) -> None:
@@ -104,7 +127,12 @@ class Pieces:
         count = np.bincount(owner, minlength=len(new))
         first = len(self.ids) + np.cumsum(count) - count
         for name, more in (("chars", chars), ("start", first), ("count", count), ("ids", ids), ("first", spans[:, 0]), ("end", spans[:, 1])):
-            setattr(self, name, np.concatenate([getattr(self, name), more.astype(np.int32)]))
+            getattr(self, name).frombytes(more.astype(np.int32).tobytes())
+        self.held += int(chars.sum())
+
+    def taken(self, name: str, at: np.ndarray) -> np.ndarray:
+        """Entries of one of the tables."""
+        return np.asarray(getattr(self, name))[at]
 
 
 _pieces: dict[str, Pieces] = {}
@@ -114,42 +142,55 @@ def _encoded(path: str):
     def run(batches):
         pieces = _pieces.get(path) or _pieces.setdefault(path, Pieces(load(path)))  # a worker's later tasks go on with it
         for batch in batches:
-            cut = [_CUT.split(t) if t else [] for t in batch.column(0).to_pylist()]
-            unit = pieces.numbers(list(chain.from_iterable(cut)))
-            parts = np.cumsum([0] + [len(x) for x in cut])
-            chars, count = pieces.chars[unit], pieces.count[unit].astype(np.int64)
-            base = np.concatenate([[0], np.cumsum(chars)])
-            base = base[:-1] - np.repeat(base[parts[:-1]], np.diff(parts))
-            at, base = _spread(pieces.start[unit], count), np.repeat(base, count)
-            offsets = pa.array(np.concatenate([[0], np.cumsum(count)])[parts].astype(np.int32))
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (pieces.ids[at], pieces.first[at] + base, pieces.end[at] + base)]
-            yield pa.RecordBatch.from_arrays([*lists, *batch.columns[1:]], names=["ids", "first", "end", *batch.schema.names[1:]])
+            texts = [t or "" for t in batch.column(0).to_pylist()]
+            for i, j in _slices([len(t) for t in texts], SLICE_CHARS):
+                cut = [_CUT.split(t) if t else [] for t in texts[i:j]]
+                unit = pieces.numbers(list(chain.from_iterable(cut)))
+                parts = np.cumsum([0] + [len(x) for x in cut])
+                chars, count = pieces.taken("chars", unit), pieces.taken("count", unit).astype(np.int64)
+                base = np.concatenate([[0], np.cumsum(chars)])
+                base = base[:-1] - np.repeat(base[parts[:-1]], np.diff(parts))
+                at, base = _spread(pieces.taken("start", unit), count), np.repeat(base, count)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(count)])[parts].astype(np.int32))
+                found = (pieces.taken("ids", at), pieces.taken("first", at) + base, pieces.taken("end", at) + base)
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in found]
+                rest = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([*lists, *rest.columns[1:]], names=["ids", "first", "end", *batch.schema.names[1:]])
 
     return run
 
 
+def pieces_of_bytes(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all tokens by their ids in a row, and how many each has; the last entry, empty, is for null ids."""
+    back = byte_table()
+    vocabulary = load(path).get_vocab()
+    piece = [b""] * (max(vocabulary.values()) + 2)
+    for token, i in vocabulary.items():
+        piece[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
+    return np.frombuffer(b"".join(piece), np.uint8), np.array([len(x) for x in piece], np.int32)
+
+
 def _decoded(path: str):
+    table, size = pieces_of_bytes(path)  # half a megabyte goes to the tasks, which need no tokenizer then
+
     def run(batches):
-        back = byte_table()
-        vocabulary = load(path).get_vocab()
-        piece = [b""] * (max(vocabulary.values()) + 1)
-        for token, i in vocabulary.items():
-            piece[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
-        piece.append(b"")  # what a null id stands for
-        size = np.array([len(x) for x in piece])
-        start, table = np.cumsum(size) - size, np.frombuffer(b"".join(piece), np.uint8)
-        for batch in batches:
-            lists = pc.fill_null(batch.column(0), []) if batch.column(0).null_count else batch.column(0)
-            ids = lists.flatten()
-            known = ids.drop_null().to_numpy()
-            if len(known) and not 0 <= known.min() <= known.max() < len(size) - 1:
-                raise ValueError("an id lies outside the vocabulary")
-            ids = ids.fill_null(len(size) - 1).to_numpy()
-            tokens = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
-            data = table[_spread(start[ids], size[ids])]
-            offsets = np.concatenate([[0], np.cumsum(size[ids])])[tokens]
-            out = pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
-            yield pa.RecordBatch.from_arrays([out, *batch.columns[1:]], names=["bytes", *batch.schema.names[1:]])
+        start = np.cumsum(size) - size
+        for whole in batches:
+            if whole.column(0).null_count:
+                whole = pa.RecordBatch.from_arrays([pc.fill_null(whole.column(0), []), *whole.columns[1:]], names=whole.schema.names)
+            for i, j in _slices(pc.list_value_length(whole.column(0)).to_pylist(), SLICE_TOKENS):
+                batch = whole.slice(i, j - i)
+                lists = batch.column(0)
+                ids = lists.flatten()
+                known = ids.drop_null().to_numpy()
+                if len(known) and not 0 <= known.min() <= known.max() < len(size) - 1:
+                    raise ValueError("an id lies outside the vocabulary")
+                ids = ids.fill_null(len(size) - 1).to_numpy()
+                tokens = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
+                data = table[_spread(start[ids], size[ids])]
+                offsets = np.concatenate([[0], np.cumsum(size[ids], dtype=np.int64)])[tokens]
+                out = pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays([out, *batch.columns[1:]], names=["bytes", *batch.schema.names[1:]])
 
     return run
 

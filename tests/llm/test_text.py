@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from shelfsignal.llm import bpe, chat, decontam, htmlnet, langid, quality
@@ -89,6 +90,29 @@ def test_new_pieces_in_short_runs(paths):
     assert pieces.numbers([]).tolist() == []
 
 
+def test_bounded_slices(paths, monkeypatch):
+    """A worker takes a quarter of a million characters, or 65,536 tokens, in hand at once, however long a batch's texts are; decoding needs no tokenizer there."""
+    texts = [None, "", *[f"a{i} word " * 2000 for i in range(60)], "", "z y" * 200_000, "\U0001f600 end", None]
+    asked, plain = [], bpe.Pieces.numbers
+    monkeypatch.setattr(bpe.Pieces, "numbers", lambda self, pieces: asked.append(sum(map(len, pieces))) or plain(self, pieces))
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(range(len(texts)), pa.int64())], names=["text", "doc_id"])
+    coded = list(bpe._encoded(paths[0])([batch]))
+    assert sorted(asked)[-1] == 600_000 and sorted(asked)[-2] <= 1 << 18  # the one long text goes alone
+    tokenizer = bpe.load(paths[0])
+    rows = pa.Table.from_batches(coded).to_pylist()
+    assert [r["doc_id"] for r in rows] == list(range(len(texts)))
+    for t, r in zip(texts, rows, strict=True):
+        e = tokenizer.encode(t or "", add_special_tokens=False)
+        assert r["ids"] == e.ids and list(zip(r["first"], r["end"], strict=True)) == e.offsets
+    run = bpe._decoded(paths[0])
+    monkeypatch.setattr(bpe, "load", None)
+    ids = pa.RecordBatch.from_arrays([pa.array([r["ids"] for r in rows] + [None], pa.list_(pa.int32())), pa.array(range(len(rows) + 1))], names=["ids", "doc_id"])
+    back = list(run([ids, ids.slice(0, 0)]))
+    sizes = [[len(rows[i]["ids"]) for i in b["doc_id"].to_pylist() if i < len(rows)] for b in back]
+    assert len(back) > 3 and all(sum(x) <= 1 << 16 or len(x) == 1 for x in sizes)
+    assert [x.decode() for x in pa.Table.from_batches(back)["bytes"].to_pylist()] == [t or "" for t in texts] + [""]
+
+
 # HTML
 
 
